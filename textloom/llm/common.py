@@ -40,14 +40,14 @@ def row_key(*columns: str) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns])))
 
 
-def sampled_ids(labels: DataFrame, keep: Column, label: str, limit: int) -> DataFrame:
+def sampled_ids(labels: DataFrame, keep: Column, label: str, limit: int, kind: str = "int") -> DataFrame:
     """At most `limit` labelled ids with their label, by the order of md5(doc_id): the same rows on every run.
 
     An id that bears both labels takes the larger one; null ids and null labels are left out.
     """
     return (
         labels.where(keep & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-        .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+        .groupBy("doc_id").agg(F.max(F.col(label).cast(kind)).alias("label"))
         .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(limit)
     )
 
