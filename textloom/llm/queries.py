@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, probminhash, quality_rules, toxicity
+from . import ann, html_extract, langid, license_scan, mixing, probminhash, quality_classifier, quality_rules, sentencepiece_codec, toxicity
 from .common import fold, read
 
 
@@ -18,6 +18,14 @@ def op2_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
@@ -25,9 +33,34 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, read(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    scored = quality_classifier.score(docs, model).drop("text")
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(read(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, fold("doc_id", 4) != 2)
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_probminhash, op5_toxicity, op10_mixing)}
-ORACLES = {"op10_mixing": mixing.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_probminhash, op3_html_extraction, op4_ann, op5_toxicity, op6_quality_classifier, op7_sentencepiece, op8_language_id, op9_license_scan, op10_mixing)
+}
+ORACLES = {"op9_license_scan": license_scan.oracle(), "op10_mixing": mixing.ORACLE}
