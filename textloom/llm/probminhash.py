@@ -9,10 +9,12 @@ bands of ROWS slots: similarity 0.8 shares a band with probability 0.9993, 0.85
 a band are verified by the exact Jaccard similarity of their shingle sets, 0.8 or more.
 
 Equal texts are one node (by their md5), so copies cost nothing after the first stage. Inside a band's bucket not all
-pairs are compared: the most popular member (the one that shares most buckets) is the pivot for all the others. Only
-buckets that still hold several components go on, with the next 2, 4, 8, ... pivots against the members of other
-components, until each bucket is one component or all its members have been pivots. So no candidate link between
-components goes untested, hot groups cost a multiple of their size, and a group's size has no cap.
+pairs are compared: the most popular member (the one that shares most buckets) is the pivot for all the others. Buckets
+that then still hold several components are cut into tiles of two blocks of BLOCK members, and a tile's texts are
+compared at once by the product of their shingle incidence matrices (columns that only one text has are dropped, so
+texts that share a passage and no more cost little); it emits the links that join components, fewer than its members.
+So no candidate link between components goes untested, no row is made for a pair, no task holds more than a tile, and
+a group's size has no cap.
 
 Defined cases: null texts belong to no group (class of their own); empty texts are copies of each other, as are texts
 of white space alone only if they are equal; null ids take part, and a class is named by its smallest non-null id.
@@ -24,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +37,7 @@ WIDTH, SIMILARITY = 5, 0.8
 ROWS, BANDS = 6, 24
 SLOTS = ROWS * BANDS
 MEMO = 400_000
+BLOCK, COLUMNS = 1024, 4096
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
@@ -90,8 +93,8 @@ def _first_arrivals(elements, weights, owner, n_docs: int, until: np.ndarray, sl
     return who.reshape(n_docs, slots), np.isfinite(best).reshape(n_docs, slots).all(1)
 
 
-def signatures(texts: list[bytes], memo: Words | None = None, slots: int = SLOTS) -> np.ndarray:
-    """A row of `slots` element hashes for each text; all 0 for texts without a word."""
+def signatures(texts: list[bytes], memo: Words | None = None, slots: int = SLOTS) -> tuple[np.ndarray, list[int]]:
+    """A row of `slots` element hashes for each text, all 0 for texts without a word; and the numbers of different shingles."""
     memo = Words() if memo is None else memo
     sets = [np.unique(shingles(t, memo), return_counts=True) for t in texts]
     out, todo, extra = np.zeros((len(texts), slots), np.uint64), [i for i, s in enumerate(sets) if len(s[0])], 3.0
@@ -103,7 +106,7 @@ def signatures(texts: list[bytes], memo: Words | None = None, slots: int = SLOTS
         got, full = _first_arrivals(elements, weights, owner, len(todo), until, slots)
         out[[i for i, f in zip(todo, full, strict=True) if f]] = got[full]
         todo, extra = [i for i, f in zip(todo, full, strict=True) if not f], extra + 12
-    return out
+    return out, [len(x[0]) for x in sets]
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
@@ -143,10 +146,64 @@ def _banded(batches):
             first = {n: i for i, n in reversed(list(enumerate(nodes)))}  # copies in a batch once
             places = sorted(first.values())
             texts = part.column("text").cast(pa.binary()).take(pa.array(places)).to_pylist()
-            found = bands(signatures(texts, memo))
-            some = [i for i, t in enumerate(texts) if t.strip()]
+            found, sizes = signatures(texts, memo)
+            found, some = bands(found), [i for i, n in enumerate(sizes) if n]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([nodes[places[i]] for i in some], pa.binary()), pa.array(list(found[some]), pa.list_(pa.int64()))], names=["node", "bands"])
+                [pa.array([nodes[places[i]] for i in some], pa.binary()), pa.array([sizes[i] for i in some], pa.int32()), pa.array(list(found[some]), pa.list_(pa.int64()))],
+                names=["node", "size", "bands"])
+
+
+def joining(sets: list[np.ndarray], components: list) -> list[tuple[int, int]]:
+    """Pairs of similar sets that join their components: as few as connect what all similar pairs would."""
+    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), lengths)
+    shared = n > 1
+    place = np.cumsum(shared) - 1
+    row, column = row[shared[column]], place[column[shared[column]]]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        on = (column >= at) & (column < at + COLUMNS)
+        held[row[on], column[on] - at] = 1
+        common += held @ held.T
+    a, b = np.nonzero(np.triu(common >= SIMILARITY * (lengths[:, None] + lengths[None] - common), 1))
+    root = {c: c for c in components}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(components[i]), find(components[j])
+        if x != y and min(lengths[i], lengths[j]):
+            root[x] = y
+            out.append((i, j))
+    return out
+
+
+def _tiled(batches):
+    """Links inside each tile; the rows of a tile come one after the other."""
+    memo, key, rows = Words(), None, []
+
+    def done():
+        if len({r[1] for r in rows}) < 2:
+            return []
+        sets = [np.unique(shingles(r[2].encode("utf-8", "surrogatepass"), memo)) for r in rows]
+        return [(rows[i][0], rows[j][0]) for i, j in joining(sets, [r[1] for r in rows])]
+
+    for batch in batches:
+        out = []
+        for r in zip(*(batch.column(c).to_pylist() for c in ("b", "i", "j", "node", "component", "text")), strict=True):
+            if r[:3] != key:
+                out += done()
+                key, rows = r[:3], []
+            rows.append(r[3:])
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["u", "v"])
+    out = done()
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["u", "v"])
 
 
 def _verified(batches):
@@ -162,57 +219,65 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("u", "v")], names=["u", "v"])
 
 
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One text for each of the nodes."""
+    return docs.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+
 def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) of nodes whose texts are similar enough."""
-    pairs = materialise(pairs.select("u", "v").distinct())
+    """The pairs (u, v) of nodes whose texts are similar enough; pairs of too different sizes are left out before."""
+    fits = F.least("u_size", "v_size") >= SIMILARITY * F.greatest("u_size", "v_size")
+    pairs = materialise(pairs.where(fits).select("u", "v").distinct())
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = docs.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialise(texts)
+    texts = materialise(_texts(docs, nodes))
     known = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("u_text")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("v_text")), "v")
-    return materialise(known.mapInArrow(_verified, T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())])))
+    return materialise(known.mapInArrow(_verified, _LINK))
+
+
+_LINK = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())])
+
+
+def _open(members: DataFrame, named: DataFrame) -> DataFrame:
+    """The members, with their component, of buckets of three or more that hold several components; and the bucket's size."""
+    placed = members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high AND n > 2")
+    return materialise(placed.join(several.select("b", "n"), "b").select("b", "node", "component", "n"))
 
 
-def _components_of(links: DataFrame, members: DataFrame) -> DataFrame:
-    """The members (b, node, ...) with the component of each node; nodes without a link are their own."""
-    found = components(links)
-    return members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _inside(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """All links between components inside the buckets, tile by tile."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    tiles = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiles = tiles.select("b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component")
+    texts = _texts(docs, members.select("node").distinct())
+    rows = tiles.join(texts, "node").repartition("b", "i", "j").sortWithinPartitions("b", "i", "j")
+    return materialise(rows.mapInArrow(_tiled, _LINK))
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """Verified links (u, v) between nodes that join all texts of a class; docs has node (md5 of the text) and text."""
-    schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    banded = docs.mapInArrow(_banded, schema).groupBy("node").agg(F.first("bands").alias("bands"))
-    rows = materialise(banded.select("node", F.explode("bands").alias("b")))
-    sizes = rows.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialise(rows.join(sizes, "b"))
+def linked(docs: DataFrame) -> DataFrame:
+    """(node, component) of all texts with a similar one; docs has node (md5 of the text) and text."""
+    schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    banded = docs.mapInArrow(_banded, schema).groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    rows = materialise(banded.select("node", "size", F.explode("bands").alias("b")))
+    members = materialise(rows.join(rows.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"), "b"))
     popular = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("popularity"))
-    members = materialise(members.select("b", "node").join(popular, "node"))
-    first = members.groupBy("b").agg(F.max(F.struct("popularity", "node")).alias("p")).select("b", F.col("p.node").alias("v"))
-    pairs = members.join(first, "b").where("node <> v").select(F.col("node").alias("u"), "v")
-    every = _links(pairs, docs)
-    tried, width = 1, 2
-    while True:
-        placed = materialise(_components_of(every, members))
-        several = placed.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where(f"low <> high AND n > {tried + 1}").select("b")
-        members = materialise(placed.join(several, "b").select("b", "node", "popularity", "component"))
-        if members.isEmpty():
-            return every
-        place = F.row_number().over(_by_popularity())
-        pivots = members.withColumn("place", place).where((F.col("place") > tried) & (F.col("place") <= tried + width)).select("b", F.col("node").alias("v"), F.col("component").alias("own"))
-        pairs = members.join(pivots, "b").where("node <> v AND component <> own").select(F.col("node").alias("u"), "v")
-        every = every.unionByName(_links(pairs, docs))
-        members, tried, width = members.select("b", "node", "popularity"), tried + width, width * 2
-
-
-def _by_popularity():
-    return Window.partitionBy("b").orderBy(F.desc("popularity"), F.desc("node"))
+    members = materialise(members.drop("n").join(popular, "node"))
+    first = members.groupBy("b").agg(F.max(F.struct("popularity", "node", "size")).alias("p")).select("b", F.col("p.node").alias("v"), F.col("p.size").alias("v_size"))
+    pairs = members.join(first, "b").where("node <> v").select(F.col("node").alias("u"), F.col("size").alias("u_size"), "v", "v_size")
+    near = _links(pairs, docs)
+    named = components(near)
+    members = _open(members, named)
+    if members.isEmpty():
+        return named
+    found = _inside(members, docs)
+    return named if found.isEmpty() else components(near.unionByName(found))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, class_id (smallest id of its class), node and whether it is the one to keep."""
     keyed = docs.select("doc_id", _node().alias("node"))
     texts = docs.where("text IS NOT NULL").select(_node().alias("node"), "text")
-    named = components(links(texts))
+    named = linked(texts)
     out = keyed.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # a null text is alone: its id stands for its class
     heads = out.where("node IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("head"))
