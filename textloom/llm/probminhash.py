@@ -9,8 +9,7 @@ bands of ROWS slots: similarity 0.8 shares a band with probability 0.9993, 0.85
 a band are verified by the exact Jaccard similarity of their shingle sets, 0.8 or more.
 
 Equal texts are one node (by their md5), so copies cost nothing after the first stage. Inside a band's bucket not all
-pairs are compared: the most popular member (the one that shares most buckets) is the pivot for all the others. Buckets
-that then still hold several components are cut into tiles of two blocks of BLOCK members, and a tile's texts are
+pairs are compared: the smallest member is the pivot for all the others. Buckets that then still hold several components are cut into tiles of two blocks of BLOCK members, and a tile's texts are
 compared at once by the product of their shingle incidence matrices (columns that only one text has are dropped, so
 texts that share a passage and no more cost little); it emits the links that join components, fewer than its members.
 So no candidate link between components goes untested, no row is made for a pair, no task holds more than a tile, and
@@ -185,14 +184,14 @@ def joining(sets: list[np.ndarray], components: list) -> list[tuple[int, int]]:
 
 
 def _tiled(batches):
-    """Links inside each tile; the rows of a tile come one after the other."""
+    """Pairs of components that a link inside a tile joins; the rows of a tile come one after the other."""
     memo, key, rows = Words(), None, []
 
     def done():
         if len({r[1] for r in rows}) < 2:
             return []
         sets = [np.unique(shingles(r[2].encode("utf-8", "surrogatepass"), memo)) for r in rows]
-        return [(rows[i][0], rows[j][0]) for i, j in joining(sets, [r[1] for r in rows])]
+        return [(rows[i][1], rows[j][1]) for i, j in joining(sets, [r[1] for r in rows])]
 
     for batch in batches:
         out = []
@@ -220,16 +219,14 @@ def _verified(batches):
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One text for each of the nodes."""
-    return docs.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    """One text for each of the nodes. Never by broadcast: the same plan at every size."""
+    return docs.join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
 
-def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) of nodes whose texts are similar enough; pairs of too different sizes are left out before."""
     fits = F.least("u_size", "v_size") >= SIMILARITY * F.greatest("u_size", "v_size")
-    pairs = materialise(pairs.where(fits).select("u", "v").distinct())
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = materialise(_texts(docs, nodes))
+    pairs = pairs.where(fits).select("u", "v").distinct()
     known = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("u_text")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("v_text")), "v")
     return materialise(known.mapInArrow(_verified, _LINK))
 
@@ -239,17 +236,16 @@ _LINK = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.B
 
 def _open(members: DataFrame, named: DataFrame) -> DataFrame:
     """The members, with their component, of buckets of three or more that hold several components; and the bucket's size."""
-    placed = members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = placed.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high AND n > 2")
-    return materialise(placed.join(several.select("b", "n"), "b").select("b", "node", "component", "n"))
+    placed = members.where("n > 2").select("b", "n", "node").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("b")
+    return materialise(placed.join(several, "b"))
 
 
-def _inside(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """All links between components inside the buckets, tile by tile."""
+def _inside(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """All links between components inside the buckets, tile by tile, as pairs of components."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     tiles = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     tiles = tiles.select("b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component")
-    texts = _texts(docs, members.select("node").distinct())
     rows = tiles.join(texts, "node").repartition("b", "i", "j").sortWithinPartitions("b", "i", "j")
     return materialise(rows.mapInArrow(_tiled, _LINK))
 
@@ -257,20 +253,21 @@ def _inside(members: DataFrame, docs: DataFrame) -> DataFrame:
 def linked(docs: DataFrame) -> DataFrame:
     """(node, component) of all texts with a similar one; docs has node (md5 of the text) and text."""
     schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    banded = docs.mapInArrow(_banded, schema).groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
-    rows = materialise(banded.select("node", "size", F.explode("bands").alias("b")))
-    members = materialise(rows.join(rows.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"), "b"))
-    popular = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("popularity"))
-    members = materialise(members.drop("n").join(popular, "node"))
-    first = members.groupBy("b").agg(F.max(F.struct("popularity", "node", "size")).alias("p")).select("b", F.col("p.node").alias("v"), F.col("p.size").alias("v_size"))
-    pairs = members.join(first, "b").where("node <> v").select(F.col("node").alias("u"), F.col("size").alias("u_size"), "v", "v_size")
-    near = _links(pairs, docs)
-    named = components(near)
-    members = _open(members, named)
-    if members.isEmpty():
+    banded = materialise(docs.mapInArrow(_banded, schema).groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands")))
+    rows = banded.select("node", "size", F.explode("bands").alias("b"))
+    pivots = rows.groupBy("b").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("p")).where("n > 1")
+    members = materialise(rows.join(pivots, "b").select("b", "n", "node", "size", F.col("p.node").alias("v"), F.col("p.size").alias("v_size")))
+    texts = materialise(_texts(docs, members.select("node").distinct()))
+    pairs = members.where("node <> v").select(F.col("node").alias("u"), F.col("size").alias("u_size"), "v", "v_size")
+    named = materialise(components(_links(pairs, texts)))
+    found = _inside(_open(members, named), texts)
+    if found.isEmpty():
         return named
-    found = _inside(members, docs)
-    return named if found.isEmpty() else components(near.unionByName(found))
+    joined = components(found).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    # a component of one text isn't in `named`, so its node is looked up as well
+    alone = joined.join(named.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("into").alias("component"))
+    known = named.join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return materialise(known.unionByName(alone))
 
 
 def classes(docs: DataFrame) -> DataFrame:
