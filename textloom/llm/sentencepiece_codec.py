@@ -1,7 +1,7 @@
 """Encoding and decoding with a public SentencePiece BPE model by suffix-array matching.
 
-The units of a batch (words with the spaces before them; no piece crosses from a letter to a space, which loading
-proves) that aren't remembered yet are concatenated and their suffixes sorted by as many characters as the longest
+The units of a batch (words with the spaces and signs before them; loading proves that no piece goes on from a letter to
+a sign, or from anything to a space) that aren't remembered yet are concatenated and their suffixes sorted by as many characters as the longest
 piece has. Each piece is binary-searched for the range of suffixes that begin with it; its occurrences are edges from
 their start to their end. The edges are sorted by their end and relaxed from left to right, all units at once: the
 merge order of BPE admits exactly one last piece for each prefix, the one that may stand beside the last piece of the
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 MODEL = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 SPACE = "▁"
 REMEMBERED = 500_000  # units whose pieces a worker keeps
-NONE = np.int32(-1)
+NEVER = 1 << 30
 
 
 class Vocabulary:
@@ -43,6 +44,10 @@ class Vocabulary:
                 raise ValueError(f"piece {p!r} crosses a unit's start")
         if any("\n" in p for p in ids):
             raise ValueError("a piece holds a line break")
+        neighbours = {(a, b) for p in ids for a, b in zip(p, p[1:], strict=False) if re.match(r"\w", a)}
+        self.going_on: set[str] = set()  # word characters that a piece continues with something else: they count as signs
+        while more := {a for a, b in neighbours if a not in self.going_on and (b in self.going_on or not re.match(r"\w", b))}:
+            self.going_on |= more
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -61,29 +66,34 @@ class Vocabulary:
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging the best pair again and again yields; for the short strings of `beside`."""
-        parts, order = list(text), self.order
-        while len(parts) > 1:
-            rank, at = min((order.get(a + b, 1 << 30), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 30:
-                break
+        parts, rank = list(text), self.order.get
+        ranks = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) != NEVER:
+            at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], NEVER)
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] + parts[at + 1], NEVER)
         return parts
 
 
 class Encoder:
     """Pieces of units; remembers what it has seen."""
 
-    _UNITS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-
     def __init__(self, vocabulary: Vocabulary):
         v = self.vocabulary = vocabulary
+        odd = "".join(map(re.escape, sorted(v.going_on)))
+        signs, letters = f"(?:[^\\w{SPACE}\n]" + (f"|[{odd}])" if odd else ")"), f"[^\\W{odd}]"
+        self._units = re.compile(f"\n|{SPACE}*{signs}*{letters}+|{SPACE}*{signs}+|{SPACE}+")
         normal = sorted(v.ids, key=v.ids.get)
         letters = sorted({c for p in normal for c in p})
         self._codes = np.array([ord(c) for c in letters], np.uint32)
         self._ids = np.array([v.ids[p] for p in normal], np.int64)
         self._lengths = np.zeros(len(v.pieces) + 1, np.int64)
         self._lengths[self._ids] = [len(p) for p in normal]
-        self._lengths[-1] = 1  # NONE: a character without a piece
+        self._lengths[-1] = 1  # -1: a character without a piece
         self._width = v.longest
         self._low = self._keys([self._symbols(p) for p in normal], 0)
         self._high = self._keys([self._symbols(p) for p in normal], 0xFFFF)
@@ -118,7 +128,7 @@ class Encoder:
         return order[at], np.repeat(self._ids, n)
 
     def _beside(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether the pieces may stand side by side; characters without a piece (NONE) always may."""
+        """Whether the pieces may stand side by side; characters without a piece (-1) always may."""
         key = left.astype(np.int64) << 32 | right.astype(np.int64) & 0xFFFFFFFF
         different, back = np.unique(key, return_inverse=True)
         known, pieces = self._pairs, self.vocabulary.pieces
@@ -184,12 +194,13 @@ class Encoder:
         """All ids of the texts one after the other, and how many each text has."""
         if len(self._unit) > REMEMBERED:
             self._forget()
-        split = [self._UNITS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = list(dict.fromkeys(u for units in split for u in units if u not in self._unit))
+        find, known = self._units.findall, self._unit
+        split = [find(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        new = set(chain.from_iterable(split)).difference(known)
         if new:
-            self._solve(new)
+            self._solve(sorted(new))
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        index = np.fromiter((self._unit[u] for units in split for u in units), np.int64, int(counts.sum()))
+        index = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         n, start = self._size[index], self._start[index]
         ids = self._pool[_ranges(start, n)]
         return ids, np.bincount(np.repeat(np.arange(len(texts)), counts), n, len(texts)).astype(np.int64)
