@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SAMPLE, MAX_LISTS, RECALL, TRIALS, K, EPSILON, BLOCKS = 20_000, 1024, 0.97, 256, 20, 2.1, (16, 24, 32, 48)
-TILE_ROWS, TILE_QUERIES, ITERATIONS, SEED = 65_536, 16_384, 12, 11
+TILE_ROWS, TILE_QUERIES, ITERATIONS, SEED, FEW, SEEDS = 65_536, 16_384, 12, 11, 0.05, 8
 SMALL = 5_000  # below so many rows there is one list
 
 
@@ -98,22 +98,35 @@ class Space:
 
 
 def scan(rows: np.ndarray, queries: np.ndarray, k: int, epsilon: float = EPSILON, blocks=BLOCKS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) that survive the adaptive scan: with them are the k nearest rows of each query."""
+    """Pairs (query, row) that survive the adaptive scan: with them are the k nearest rows of each query.
+
+    While many candidates live, a block's part of all distances is one matrix product; once fewer than FEW of them do,
+    only theirs are computed.
+    """
     d, n = rows.shape[1], len(rows)
-    ends = [b for b in blocks if b < d] + [d]
     if n <= k:
         return np.repeat(np.arange(len(queries)), n), np.tile(np.arange(n), len(queries))
-    first = ends[0]
-    partial = (rows[:, :first] ** 2).sum(1)[None] + (queries[:, :first] ** 2).sum(1)[:, None] - 2 * queries[:, :first] @ rows[:, :first].T
-    seeds = np.argpartition(partial, k - 1, axis=1)[:, :k]
-    bound = ((rows[seeds] - queries[:, None]) ** 2).sum(2).max(1) * (1 + 1e-4) + 1e-6  # no less than the k-th distance
-    q, r = np.nonzero(partial <= (bound * first / d * (1 + epsilon / np.sqrt(first)) ** 2)[:, None]) if first < d else np.nonzero(partial <= bound[:, None])
-    so_far = partial[q, r]
+    ends = [b for b in blocks if b < d] + [d]
+    part = lambda a, b: (rows[:, a:b] ** 2).sum(1)[None] + (queries[:, a:b] ** 2).sum(1)[:, None] - 2 * queries[:, a:b] @ rows[:, a:b].T
+    so_far = part(0, ends[0])
+    few = min(n, SEEDS * k)
+    seeds = np.argpartition(so_far, few - 1, axis=1)[:, :few]
+    bound = np.partition(((rows[seeds] - queries[:, None]) ** 2).sum(2), k - 1, axis=1)[:, k - 1] * (1 + 1e-4) + 1e-5  # no less than the k-th distance
+    limit = lambda end: bound if end == d else np.minimum(bound, bound * end / d * (1 + epsilon / np.sqrt(end)) ** 2)
+    alive, done = so_far <= limit(ends[0])[:, None], ends[0]
+    while done < d and np.count_nonzero(alive) > FEW * alive.size:
+        end = ends[ends.index(done) + 1]
+        so_far += part(done, end)
+        alive &= so_far <= limit(end)[:, None]
+        done = end
+    q, r = np.nonzero(alive)
+    so_far = so_far[q, r]
     for start, end in zip(ends, ends[1:], strict=False):
+        if start < done:
+            continue
         gap = rows[r, start:end] - queries[q, start:end]
         so_far = so_far + (gap * gap).sum(1)
-        limit = bound if end == d else np.minimum(bound, bound * end / d * (1 + epsilon / np.sqrt(end)) ** 2)
-        on = so_far <= limit[q]
+        on = so_far <= limit(end)[q]
         q, r, so_far = q[on], r[on], so_far[on]
     return q, r
 
@@ -174,7 +187,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K, recall: float = R
             vectors, asks = _matrix(one["v"], dimension), _matrix(other["v"], dimension)
             ids, own = one["vec_id"].to_numpy(), other["query_id"].to_numpy()
             turned, asked_ = space.rows(vectors), space.queries(asks)
-            step = max(1, (1 << 22) // len(ids))
+            step = min(256, max(1, (1 << 22) // len(ids)))
             for at in range(0, len(own), step):
                 q, r = scan(turned, asked_[at : at + step], k + 1)
                 on = ids[r] != own[at + q]
