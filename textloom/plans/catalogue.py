@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import measures, texts, tokens
+
+QUERIES = texts.QUERIES | tokens.QUERIES | measures.QUERIES
+ORACLES = texts.ORACLES | tokens.ORACLES | measures.ORACLES
