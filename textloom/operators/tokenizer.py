@@ -189,14 +189,21 @@ def encode(docs: DataFrame, merges: Merges, text: str = "text", eot: bool = Fals
     """
     vocab = build_vocab(merges)
     if len(merges) <= NATIVE_MERGES:
-        table = F.create_map(*[x for s, i in vocab.items() for x in (F.lit(s), F.lit(i))])
-        of_word = lambda w: F.transform(B.unwrapped(apply_merges(B.wrapped(w), merges)), lambda s: F.element_at(table, s))
+        of_word = lambda w: F.transform(B.unwrapped(apply_merges(B.wrapped(w), merges)), _id_of(vocab))
         out = docs.select("doc_id", F.flatten(F.transform(X.pretokens(text), of_word)).alias("ids"))
     else:
         out = _encode_batches(docs.select("doc_id", X.pretokens(text).alias("words")), merges, vocab)
     return out.withColumn("ids", F.concat("ids", F.array(F.lit(vocab[EOT])))) if eot else out
 
 
+def _id_of(vocab: dict[str, int]):
+    """Symbol to id: single signs by their code point in an array, merged symbols (few) in a map."""
+    signs = {ord(s): i for s, i in vocab.items() if len(s) == 1}
+    single = F.array(*[F.lit(signs.get(c)).cast("int") for c in range(max(signs) + 1)])
+    merged = [x for s, i in vocab.items() if len(s) > 1 for x in (F.lit(s), F.lit(i))]  # EOT is there, at least
+    return lambda s: F.when(F.length(s) == 1, F.get(single, F.ascii(s))).otherwise(F.element_at(F.create_map(*merged), s))
+
+
 def _encode_batches(docs: DataFrame, merges: Merges, vocab: dict[str, int], remembered: int = 500_000) -> DataFrame:
     ranks = {m: i for i, m in enumerate(merges)}
 
