@@ -44,5 +44,6 @@ def unwrapped(symbols: Column) -> Column:
 
 
 def to_text(symbols: Column) -> Column:
-    """Signs of the alphabet back to text; malformed UTF-8 is replaced."""
-    return F.make_valid_utf8(F.encode(F.translate(symbols, _SIGNS, _LATIN1), "iso-8859-1").cast("string"))
+    """Signs of the alphabet back to text; malformed UTF-8 is replaced. (translate would delete what becomes NUL.)"""
+    plain = F.replace(F.translate(symbols, _SIGNS[1:], _LATIN1[1:]), F.lit(_SIGNS[0]), F.lit("\0"))
+    return F.make_valid_utf8(F.encode(plain, "iso-8859-1").cast("string"))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import bytes as B
 from ..functions import text as X
+from ..sources.shared import materialise
 from .order import block
 
 EOT = "<|endoftext|>"
@@ -54,18 +55,15 @@ def best_pair(pairs: DataFrame):
 def train_rounds(counts: DataFrame, n_merges: int) -> Merges:
     """Merges learned by one aggregation a round over the distinct words."""
     words, merges = word_symbols(counts), []
-    words = words.groupBy("symbols").agg(F.sum("n").alias("n")).persist()
-    base = words
+    words = materialise(words.groupBy("symbols").agg(F.sum("n").alias("n")))
     for k in range(n_merges):
         best = best_pair(pair_counts(words))
         if best is None:
             break
         merges.append((best["l"], best["r"]))
         words = words.withColumn("symbols", B.merge(F.col("symbols"), best["l"], best["r"]))
-        if k % CUT_EVERY == CUT_EVERY - 1:
-            words = words.checkpoint()
-            base.unpersist()
-    base.unpersist()
+        if k % CUT_EVERY == CUT_EVERY - 1 and k + 1 < n_merges:
+            words = materialise(words)
     return merges
 
 
