@@ -12,7 +12,7 @@ Words are runs of letters, digits and underscores, in lower case; a sentence end
 Features in fewer than `least` documents of label 1, or not clearly more frequent there, weigh nothing.
 
 Defined cases: null and empty texts, and texts without a word, score as a document with one empty sentence. Without
-labelled rows of both classes all scores are the share of label 1, or 0. Rows repeat as they come; null ids are scored.
+labelled rows of both classes nothing can be learned and all scores are 0. Rows repeat as they come; null ids are scored.
 """
 
 from __future__ import annotations
@@ -109,9 +109,7 @@ def fit_texts(texts: list[str], labels, least: int = LEAST, steps: int = STEPS,
     """
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        p = min(max(share, 1e-9), 1 - 1e-9)
-        return Model({}, float(np.log(p / (1 - p))))
+        return Model({}, -np.inf)
     bags = [_sentences(t) for t in texts]
     held = [{x for w in set(chain.from_iterable(bag)) for x in features(w)} for bag in bags]
     seen, toxic = Counter(chain.from_iterable(held)), Counter(chain.from_iterable(h for h, label in zip(held, y, strict=True) if label == 1))
