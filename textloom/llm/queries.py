@@ -63,4 +63,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_quality_rules, op2_probminhash, op3_html_extraction, op4_ann, op5_toxicity, op6_quality_classifier, op7_sentencepiece, op8_language_id, op9_license_scan, op10_mixing)
 }
-ORACLES = {"op9_license_scan": license_scan.oracle(), "op10_mixing": mixing.ORACLE}
+ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op9_license_scan": license_scan.oracle(), "op10_mixing": mixing.ORACLE}
