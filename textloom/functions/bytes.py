@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OPEN, CLOSE = "\ue000", "\ue001"
+OPEN, CLOSE, BETWEEN = "\ue000", "\ue001", "\ue002"
 
 
 def alphabet() -> list[str]:
@@ -32,6 +32,11 @@ def wrapped(word: Column) -> Column:
     return F.regexp_replace(to_symbols(word), "(?s)(.)", f"{OPEN}$1{CLOSE}")
 
 
+def wrapped_words(words: Column) -> Column:
+    """The symbols of all words in one string, with a sign between words that no merge crosses."""
+    return F.regexp_replace(F.array_join(F.transform(words, to_symbols), BETWEEN), f"([^{BETWEEN}])", f"{OPEN}$1{CLOSE}")
+
+
 def merge(symbols: Column, left: str | Column, right: str | Column) -> Column:
     o, c = F.lit(OPEN), F.lit(CLOSE)
     left, right = (F.lit(x) if isinstance(x, str) else x for x in (left, right))

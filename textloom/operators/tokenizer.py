@@ -187,8 +187,7 @@ def encode(docs: DataFrame, merges: Merges, text: str = "text", eot: bool = Fals
     """
     vocab = build_vocab(merges)
     if len(merges) <= NATIVE_MERGES:
-        of_word = lambda w: F.transform(B.unwrapped(apply_merges(B.wrapped(w), merges)), _id_of(vocab))
-        out = docs.select("doc_id", F.flatten(F.transform(X.pretokens(text), of_word)).alias("ids"))
+        out = docs.select("doc_id", F.transform(B.unwrapped(apply_merges(B.wrapped_words(X.pretokens(text)), merges)), _id_of(vocab)).alias("ids"))
     else:
         out = _encode_batches(docs.select("doc_id", X.pretokens(text).alias("words")), merges, vocab)
     return out.withColumn("ids", F.concat("ids", F.array(F.lit(vocab[EOT])))) if eot else out
