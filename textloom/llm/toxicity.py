@@ -11,7 +11,9 @@ Arrow batches, with the weights of the words as a broadcast table.
 Words are runs of letters, digits and underscores, in lower case; a sentence ends at one of . ! ? or a line break.
 Features in fewer than `least` documents of label 1, or not clearly more frequent there, weigh nothing.
 
-Defined cases: null and empty texts, and texts without a word, score as a document with one empty sentence. Without
+A sentence's probability is taken over that of one without any weighty word, so length alone makes no document toxic.
+
+Defined cases: null and empty texts, and texts without a word, score 0. Without
 labelled rows of both classes nothing can be learned and all scores are 0. Rows repeat as they come; null ids are scored.
 """
 
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import sampled_ids, texts_of
 
-LIMIT, LEAST, LIFT, STEPS, PENALTY, NOISE, START = 4_000, 4, 2.0, 200, 2e-4, 0.02, -10.0
+LIMIT, LEAST, LIFT, STEPS, PENALTY, NOISE, START = 4_000, 4, 2.0, 200, 3e-4, 0.02, -7.0
 MEMO = 400_000  # words whose weight a worker remembers
 
 _TOKENS = re.compile(r"\w+|[.!?\n]")
@@ -61,36 +63,29 @@ class Model:
         known.update((w, self.word(w)) for w in set(words).difference(known))
 
     def sentence(self, words) -> float:
-        z = self.bias + sum(map(self.word, set(words)))
-        return 1 / (1 + np.exp(-z))
+        return float(-np.expm1(self._quiet(sum(map(self.word, set(words))))))
+
+    def _quiet(self, weight: float) -> float:
+        """Log of the chance that a sentence of this weight isn't toxic, over that of one without weight."""
+        return min(0.0, float(np.logaddexp(0, self.bias) - np.logaddexp(0, self.bias + weight)))
 
     def documents(self, texts: list[str]) -> np.ndarray:
-        """Noisy-or of the sentences of each text. Sentences without a weighty word all have the bias's probability."""
-        bias, known = self.bias, self._known
-        quiet = -np.logaddexp(0, bias)
-        out = np.empty(len(texts))
+        """Noisy-or of the sentences of each text. Only weight speaks: a sentence without any adds nothing, however many there are."""
+        known = self._known
+        out = np.zeros(len(texts))
         for i, text in enumerate(texts):
             tokens = _TOKENS.findall(text.lower())
             self._learned(tokens)
-            weights = np.fromiter(map(known.__getitem__, tokens), float, len(tokens))
-            ends = np.flatnonzero(np.fromiter(map(_ENDS.__contains__, tokens), bool, len(tokens)))
-            n, logs, hits = max(1, _filled(tokens, ends)), 0.0, np.flatnonzero(weights)
+            hits = np.flatnonzero(np.fromiter(map(known.__getitem__, tokens), float, len(tokens)))
             if len(hits):
-                sums: dict[int, dict[str, float]] = {}
+                ends = np.flatnonzero(np.fromiter(map(_ENDS.__contains__, tokens), bool, len(tokens)))
+                found: dict[int, set[str]] = {}
                 for k, s in zip(hits.tolist(), np.searchsorted(ends, hits).tolist(), strict=True):
-                    sums.setdefault(s, {})[tokens[k]] = weights[k]
-                logs = -sum(float(np.logaddexp(0, bias + sum(x.values()))) for x in sums.values())
-                n -= len(sums)
-            out[i] = -np.expm1(logs + max(0, n) * quiet)
+                    found.setdefault(s, set()).add(tokens[k])
+                out[i] = -np.expm1(sum(self._quiet(sum(map(known.__getitem__, x))) for x in found.values()))
         return np.clip(out, 0.0, 1.0)
 
 
-def _filled(tokens: list[str], ends: np.ndarray) -> int:
-    """Sentences that hold a word."""
-    gaps = np.diff(np.concatenate(([-1], ends, [len(tokens)])))
-    return int((gaps > 1).sum())
-
-
 def _sentences(text: str) -> list[list[str]]:
     out: list[list[str]] = [[]]
     for t in _TOKENS.findall(text.lower()):
@@ -101,7 +96,7 @@ def _sentences(text: str) -> list[list[str]]:
     return [x for x in out if x] or [[]]
 
 
-def fit_texts(texts: list[str], labels, least: int = LEAST, steps: int = STEPS, penalty: float = PENALTY, noise: float = NOISE) -> Model:
+def fit_texts(texts: list[str], labels, least: int = LEAST, steps: int = STEPS, penalty: float = PENALTY, noise: float = NOISE, start: float = START) -> Model:
     """Fit word weights to document labels through the noisy-or on the whole (bounded) sample.
 
     Accelerated proximal gradient steps with an L1 penalty; each feature has its own step, from a bound on its curvature.
@@ -109,16 +104,20 @@ def fit_texts(texts: list[str], labels, least: int = LEAST, steps: int = STEPS,
     """
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
-        return Model({}, -np.inf)
-    bags = [_sentences(t) for t in texts]
-    held = [{x for w in set(chain.from_iterable(bag)) for x in features(w)} for bag in bags]
-    seen, toxic = Counter(chain.from_iterable(held)), Counter(chain.from_iterable(h for h, label in zip(held, y, strict=True) if label == 1))
-    ids = {x: i for i, x in enumerate(sorted(x for x, n in toxic.items() if n >= least and n > LIFT * y.mean() * seen[x]))}
-    of = {w: [ids[x] for x in features(w) if x in ids] for w in set(chain.from_iterable(chain.from_iterable(bags)))}
+        return Model({}, start)
+    numbers: dict[str, int] = {}
+    bags = [[np.fromiter({numbers.setdefault(w, len(numbers)) for w in s}, np.int32) for s in _sentences(t)] for t in texts]
+    words, held = list(numbers), [np.unique(np.concatenate(bag)).tolist() for bag in bags]
+    of_document = lambda d: {x for w in held[d] for x in features(words[w])}
+    toxic = Counter(chain.from_iterable(of_document(d) for d in np.flatnonzero(y == 1).tolist()))
+    toxic = {x: n for x, n in toxic.items() if n >= least}
+    seen = Counter(chain.from_iterable(of_document(d) & toxic.keys() for d in range(len(y))))
+    ids = {x: i for i, x in enumerate(sorted(x for x, n in toxic.items() if n > LIFT * y.mean() * seen[x]))}
+    of = {k: found for k, w in enumerate(words) if (found := [ids[x] for x in features(w) if x in ids])}
     word, sentence, document, at = [], [], [], 0
     for d, bag in enumerate(bags):
         for s in bag:
-            known = sorted(set(chain.from_iterable(of[w] for w in s)))
+            known = sorted(set(chain.from_iterable(of[w] for w in s.tolist() if w in of)))
             word += known
             sentence += [at] * len(known)
             document.append(d)
@@ -126,7 +125,7 @@ def fit_texts(texts: list[str], labels, least: int = LEAST, steps: int = STEPS,
     word, sentence, document = (np.asarray(x, np.int64) for x in (word, sentence, document))
     bound = 0.5 * np.bincount(word, minlength=len(ids)) / len(y) + 1e-5
     w = last = np.zeros(len(ids))
-    b, pace = START, 1.0
+    b, pace = start, 1.0
     for _ in range(steps):
         paced = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         ahead, pace = w + (pace - 1) / paced * (w - last), paced
