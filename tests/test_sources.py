@@ -53,7 +53,7 @@ def test_bad_json_raises(spark, tmp_path):
 
 def test_token_store(spark, tmp_path):
     docs = spark.createDataFrame([(0, "ab"), (1, ""), (2, "c")], "doc_id long, text string")
-    s = stream.token_stream(tokenizer.encode(docs, [], eot=True))
+    s = stream.token_stream(stream.placed(tokenizer.encode(docs, [], eot=True)))
     corpus.write_tokens(s, str(tmp_path / "t"), 257)
     got = corpus.load_tokens(spark, str(tmp_path / "t")).orderBy("pos").collect()
     assert [r["token_id"] for r in got] == [97, 98, 256, 256, 99, 256]

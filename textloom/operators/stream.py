@@ -9,15 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
 from .order import running_before
 
 
-def token_stream(encoded: DataFrame, eot: int | None = None) -> DataFrame:
-    """(pos, doc_id, token_id) of (doc_id, ids) in the order of doc_id, with EOT after each document if it's given."""
+def placed(encoded: DataFrame, eot: int | None = None) -> DataFrame:
+    """(start, doc_id, ids): each document's tokens and the position of its first, in the order of doc_id.
+
+    Encoding is the costly part and its result is needed twice (lengths, then tokens), so it is written once.
+    """
     ids = F.col("ids") if eot is None else F.concat("ids", F.array(F.lit(eot)))
-    sized = encoded.select("doc_id", ids.alias("ids")).withColumn("_n", F.size("ids"))
-    placed = running_before(sized, "doc_id", "_n", "_start")
-    return placed.select("_start", "doc_id", F.posexplode("ids").alias("_at", "token_id")).select((F.col("_start") + F.col("_at")).alias("pos"), "doc_id", "token_id")
+    sized = materialise(encoded.select("doc_id", ids.alias("ids")).withColumn("_n", F.size("ids")))
+    starts = running_before(sized.select("doc_id", "_n").groupBy("doc_id").agg(F.sum("_n").alias("_n")), "doc_id", "_n", "start")
+    return sized.join(starts.select("doc_id", "start"), "doc_id").select("start", "doc_id", "ids")
+
+
+def token_stream(documents: DataFrame) -> DataFrame:
+    """(pos, doc_id, token_id) of placed documents."""
+    return documents.select("start", "doc_id", F.posexplode("ids").alias("at", "token_id")).select((F.col("start") + F.col("at")).alias("pos"), "doc_id", "token_id")
+
+
+def count_tokens(documents: DataFrame) -> int:
+    return documents.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n")).first()["n"]
 
 
 def meta(stream: DataFrame, vocab_size: int) -> DataFrame:
@@ -40,8 +53,8 @@ def split_train_val(stream: DataFrame, val_fraction: float, n: int | None = None
 def windows(stream: DataFrame, seq_len: int, max_windows: int | None = None, n: int | None = None) -> DataFrame:
     """(window_id, x, y): windows of seq_len tokens from the start and the same shifted by one.
 
-    Each token belongs to its window and, at a window's first place, to the one before as its last target: an equi-join
-    free grouping that shuffles seq_len + 1 tokens for each window.
+    For a stored stream. Each token belongs to its window and, at a window's first place, to the one before as its last
+    target: a grouping without a join that shuffles seq_len + 1 tokens for each window.
     """
     n = stream.count() if n is None else n
     count = max(0, (n - 1) // seq_len) if n else 0
@@ -53,16 +66,41 @@ def windows(stream: DataFrame, seq_len: int, max_windows: int | None = None, n:
     return grouped.select("window_id", F.slice("w", 1, seq_len).alias("x"), F.slice("w", 2, seq_len).alias("y"))
 
 
-def sequential_batches(stream: DataFrame, seq_len: int, batch: int, max_batches: int, n: int | None = None) -> DataFrame:
+def document_windows(documents: DataFrame, seq_len: int, max_windows: int | None = None) -> DataFrame:
+    """windows() of placed documents: whole stretches of tokens are shuffled, a row for each document and window."""
+    n = count_tokens(documents)
+    count = max(0, (n - 1) // seq_len) if n else 0
+    count = count if max_windows is None else min(count, max_windows)
+    start, size = F.col("start"), F.size("ids")
+    low, high = F.greatest(F.floor((start - 1) / seq_len), F.lit(0)), F.least(F.floor((start + size - 1) / seq_len), F.lit(count - 1))
+
+    def stretch(w):
+        begin = F.greatest(w * seq_len, start)
+        end = F.least(w * seq_len + seq_len + 1, start + size)
+        return F.struct(w.alias("window_id"), begin.alias("pos"), F.slice("ids", (begin - start + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int")).alias("ids"))
+
+    parts = documents.where((size > 0) & (low <= high)).select(F.explode(F.transform(F.sequence(low, high), stretch)).alias("p")).select("p.*")
+    w = parts.groupBy("window_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda s: s["ids"])).alias("w"))
+    return w.select("window_id", F.slice("w", 1, seq_len).alias("x"), F.slice("w", 2, seq_len).alias("y"))
+
+
+def sequential_batches(windowed: DataFrame, batch: int, max_batches: int) -> DataFrame:
     """(batch_id, row, x, y) of the first batch * max_batches windows."""
-    w = windows(stream, seq_len, batch * max_batches, n)
+    w = windowed.where(F.col("window_id") < batch * max_batches)
     return w.select(F.floor(F.col("window_id") / batch).alias("batch_id"), (F.col("window_id") % batch).cast("int").alias("row"), "x", "y")
 
 
-def shifted_targets(stream: DataFrame) -> DataFrame:
-    """(pos, input, target): each token and the next one, by a join on the position: no window over the whole stream."""
-    after = stream.select((F.col("pos") - 1).alias("pos"), F.col("token_id").alias("target"))
-    return stream.select("pos", F.col("token_id").alias("input")).join(after, "pos")
+def shifted_targets(documents: DataFrame) -> DataFrame:
+    """(pos, input, target): each token of placed documents and the next one.
+
+    Inside a document the shift needs no other row; its last token meets the first of the next document by an equi-join
+    of one row for each document.
+    """
+    some = documents.where(F.size("ids") > 0).withColumn("_next", F.col("start") + F.size("ids"))
+    firsts = documents.where(F.size("ids") > 0).select(F.col("start").alias("_next"), F.get("ids", F.lit(0)).alias("_first"))
+    after = F.concat(F.slice("ids", F.lit(2), F.size("ids")), F.array("_first"))
+    pairs = some.join(firsts, "_next", "left").select("start", F.posexplode(F.arrays_zip(F.col("ids").alias("input"), after.alias("target"))).alias("at", "p"))
+    return pairs.where("p.target IS NOT NULL").select((F.col("start") + F.col("at")).alias("pos"), "p.input", "p.target")
 
 
 def batch_starts(spark, batches: int, batch: int, n: int, seq_len: int, seed: int = 0) -> DataFrame:

@@ -61,9 +61,13 @@ def decode_roundtrip(spark, d):
     return back
 
 
-def _stream(spark, d):
+def _placed(spark, d):
     """Bytes of the documents as ids, EOT (256) behind each."""
-    return stream.token_stream(tokenizer.encode(read(spark, d, "documents"), [], eot=True))
+    return stream.placed(tokenizer.encode(read(spark, d, "documents"), [], eot=True))
+
+
+def _stream(spark, d):
+    return stream.token_stream(_placed(spark, d))
 
 
 def token_stream(spark, d):
@@ -81,12 +85,12 @@ def train_val_split(spark, d):
 
 
 def sequential_windows(spark, d):
-    b = stream.sequential_batches(_stream(spark, d), SEQ, BATCH, BATCHES)
+    b = stream.sequential_batches(stream.document_windows(_placed(spark, d), SEQ, BATCH * BATCHES), BATCH, BATCHES)
     return b.select("batch_id", "row", _summed(F.col("x")).alias("x"), _summed(F.col("y")).alias("y"), F.size("x").alias("n"))
 
 
 def shifted_targets(spark, d):
-    s = stream.shifted_targets(_stream(spark, d))
+    s = stream.shifted_targets(_placed(spark, d))
     return s.groupBy((F.col("pos") % 97).alias("residue")).agg(F.count("*").alias("n"), F.sum(F.col("input") * F.col("target")).alias("product"))
 
 
@@ -97,6 +101,12 @@ def hash_batches(spark, d):
     return got.select("batch_id", "row", _summed(F.col("x")).alias("x"), _summed(F.col("y")).alias("y"))
 
 
+def stored_windows(spark, d):
+    """All windows of a stored stream."""
+    w = stream.windows(_stream(spark, d).select("pos", "token_id"), SEQ)
+    return w.select("window_id", _summed(F.col("x")).alias("x"), _summed(F.col("y")).alias("y"))
+
+
 def pair_split(spark, d):
     pairs = read(spark, d, "conversations").select("conv_id").distinct()
     return stream.shuffled_split(pairs, "conv_id", 0.2, seed=1)
@@ -177,6 +187,10 @@ ORACLES = {
     "sequential_windows": _FLAT + f""", w AS (SELECT unnest(range(0, least(({_N} - 1) // {SEQ}, {BATCH * BATCHES}))) AS w), k AS (SELECT w, unnest(range(0, {SEQ + 1})) AS k FROM w)
         SELECT w // {BATCH} AS batch_id, (w % {BATCH})::INT AS "row", sum(CASE WHEN k < {SEQ} THEN token_id * (k + 1) ELSE 0 END)::BIGINT AS x, sum(CASE WHEN k > 0 THEN token_id * k ELSE 0 END)::BIGINT AS y, {SEQ} AS n
         FROM k JOIN stream ON pos = w * {SEQ} + k GROUP BY w""",
+    "stored_windows": _FLAT + f""", k AS (SELECT pos, token_id, pos // {SEQ} AS w, pos % {SEQ} AS k FROM stream),
+        r AS (SELECT w, k, token_id FROM k UNION ALL SELECT w - 1, {SEQ}, token_id FROM k WHERE k = 0)
+        SELECT w AS window_id, sum(CASE WHEN k < {SEQ} THEN token_id * (k + 1) ELSE 0 END)::BIGINT AS x, sum(CASE WHEN k > 0 THEN token_id * k ELSE 0 END)::BIGINT AS y
+        FROM r WHERE w >= 0 AND w < ({_N} - 1) // {SEQ} GROUP BY w""",
     "shifted_targets": _FLAT + ", t AS (SELECT pos, token_id AS input, lead(token_id) OVER (ORDER BY pos) AS target FROM stream) SELECT pos % 97 AS residue, count(*) AS n, sum(input * target)::BIGINT AS product FROM t WHERE target IS NOT NULL GROUP BY 1",
     "hash_batches": _FLAT + f""", s AS (SELECT b, r, ('0x' || substr(md5('3:' || b || ':' || r), 1, 12))::BIGINT % ({_N} - {SEQ}) AS start FROM (SELECT unnest(range(0, {BATCHES})) AS b), (SELECT unnest(range(0, {BATCH})) AS r)),
         k AS (SELECT b, r, start, unnest(range(0, {SEQ + 1})) AS k FROM s)
