@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import parts
+
 # Names of HTML and of page parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript template iframe noembed noframes".split())
@@ -162,14 +164,14 @@ def _density(node: Node) -> float:
 
 def _own_text(node: Node) -> str:
     """The element's text outside of block children."""
-    parts, open_ = [], [*reversed(node.children)]
+    found, open_ = [], [*reversed(node.children)]
     while open_:
         c = open_.pop()
         if isinstance(c, str):
-            parts.append(c)
+            found.append(c)
         elif c.tag not in BLOCK:
             open_ += reversed(c.children)
-    return " ".join("".join(parts).split())
+    return " ".join("".join(found).split())
 
 
 def _score(order: list[Node]) -> None:
@@ -263,7 +265,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
 
     def extracted(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 512, column="html")):
             texts = [main_text(h) for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sampled_ids, texts_of
+from .common import parts, sampled_ids, texts_of
 
 N_GRAMS, LANDMARKS, LIMIT, RIDGE, SHARPNESS = (2, 3, 4), 256, 4_000, 1.0, 6.0
 UNKNOWN = "und"
@@ -161,8 +161,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def predicted(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in parts(batch, 64):
                 names, score = model.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], names=[*part.schema.names, "lang_pred", "score"])
 

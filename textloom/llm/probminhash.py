@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, parts
 from .components import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -139,8 +139,7 @@ def _node(text: str = "text") -> Column:
 def _banded(batches):
     memo = Words()
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for part in parts(batch, 256):
             nodes = part.column("node").to_pylist()
             first = {n: i for i, n in reversed(list(enumerate(nodes)))}  # copies in a batch once
             places = sorted(first.values())
@@ -193,7 +192,7 @@ def _tiled(batches):
         sets = [np.unique(shingles(r[2].encode("utf-8", "surrogatepass"), memo)) for r in rows]
         return [(rows[i][1], rows[j][1]) for i, j in joining(sets, [r[1] for r in rows])]
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts(whole, 1024)):
         out = []
         for r in zip(*(batch.column(c).to_pylist() for c in ("b", "i", "j", "node", "component", "text")), strict=True):
             if r[:3] != key:
@@ -207,7 +206,7 @@ def _tiled(batches):
 
 def _verified(batches):
     memo, last, cached = Words(), None, None
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts(whole, 1024, column="u_text")):
         keep = []
         columns = [batch.column(c).to_pylist() for c in ("v", "u_text", "v_text")]
         for i, (v, a, b) in enumerate(zip(*columns, strict=True)):

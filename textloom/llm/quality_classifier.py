@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sampled_ids, texts_of
+from .common import parts, sampled_ids, texts_of
 
 LIMIT, LEAST, SIZE, SIGNS, WINDOW, HIDDEN, EPOCHS, DECAY = 4_000, 4, 128, 8, 2, 32, 400, 1e-3
 MEMO = 400_000
@@ -140,8 +140,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     def scored(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in parts(batch, 512):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score([t or "" for t in part.column("text").to_pylist()]))], names=[*part.schema.names, name])
 
     return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

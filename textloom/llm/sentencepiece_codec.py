@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import parts
+
 MODEL = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 SPACE = "▁"
 REMEMBERED = 500_000  # units whose pieces a worker keeps
@@ -252,8 +254,7 @@ def encode(docs: DataFrame, path: str = MODEL, batch: int = 1024) -> DataFrame:
     def encoded(batches):
         encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
         for rows in batches:
-            for at in range(0, rows.num_rows, batch):
-                part = rows.slice(at, batch)
+            for part in parts(rows, batch):
                 texts = part.column("text").to_pylist()
                 ids, n = encoder.encode([t or "" for t in texts])
                 back = decoder.decode(ids, n)

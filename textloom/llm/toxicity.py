@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sampled_ids, texts_of
+from .common import parts, sampled_ids, texts_of
 
 LIMIT, LEAST, LIFT, STEPS, PENALTY, NOISE, START = 4_000, 4, 2.0, 200, 3e-4, 0.02, -7.0
 MEMO = 400_000  # words whose weight a worker remembers
@@ -150,8 +150,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     def scored(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in parts(batch, 1024):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.documents(texts))], names=[*part.schema.names, name])
 
@@ -162,7 +161,7 @@ def offending(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
     """(doc_id, start, end, sentence, probability) of every sentence at or above the threshold; offsets count code points."""
 
     def located(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1024)):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for m in _SENTENCE.finditer(text or ""):
