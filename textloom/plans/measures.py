@@ -148,7 +148,7 @@ V_HIDDEN = 704
 _LOGP = "lp AS (SELECT event_type AS kind, event_id, -value / 100 AS pc, -value / 100 * 2 + 1 AS pr, -value / 100 - 0.5::DOUBLE AS rc, -value / 100 * 1.5::DOUBLE AS rr FROM events)"
 _REWARDS = f"WITH {_LOGP}, rw AS (SELECT *, {BETA}::DOUBLE * (pc - rc) AS chosen_reward, {BETA}::DOUBLE * (pr - rr) AS rejected_reward FROM lp), m AS (SELECT *, chosen_reward - rejected_reward AS margin, greatest(-(chosen_reward - rejected_reward), 0) + ln(1 + exp(-abs(chosen_reward - rejected_reward))) AS loss FROM rw)"
 _VALUES = "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"
-_TRAINED = "(VALUES " + ", ".join(f"({b}, {r}, {p or '[]::INT[]'}, {c}, {j})" for b, r, p, c, j in _PAIRS) + ") AS v(batch_id, r, prompt, chosen, rejected)"
+_TRAINED = "(VALUES " + ", ".join(f"({b}::BIGINT, {r}::BIGINT, {p or '[]::INT[]'}, {c}, {j})" for b, r, p, c, j in _PAIRS) + ") AS v(batch_id, r, prompt, chosen, rejected)"
 _ENC = f"enc AS (SELECT batch_id, r, prompt, list_slice(list_append(chosen, 99), 1, 5 - len(prompt)) AS chosen, list_slice(list_append(rejected, 99), 1, 5 - len(prompt)) AS rejected FROM {_TRAINED} WHERE len(prompt) > 0 AND len(prompt) < 5)"
 
 

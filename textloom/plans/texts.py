@@ -221,19 +221,19 @@ def _classes(c: str) -> str:
 
 ORACLES = {
     "pretoken_counts": f"SELECT word, count(*) AS n FROM (SELECT unnest({sql.pretokens('text')}) AS word FROM documents) GROUP BY word",
-    "pretokens_per_doc": f"SELECT doc_id, len(w) AS n, len(list_distinct(w)) AS n_distinct, array_to_string(w, '') = text AS whole FROM (SELECT doc_id, text, {sql.pretokens('text')} AS w FROM documents)",
+    "pretokens_per_doc": f"SELECT doc_id, len(w)::INT AS n, len(list_distinct(w))::INT AS n_distinct, array_to_string(w, '') = text AS whole FROM (SELECT doc_id, text, {sql.pretokens('text')} AS w FROM documents)",
     "latin_ratio_filter": f"SELECT doc_id, round({_RATIO_OF}, 6) AS latin_ratio, {_KEPT} AS kept FROM documents",
     "corpus_stats": f"SELECT count(*) FILTER ({_KEPT}) AS kept, count(*) FILTER (NOT {_KEPT}) AS dropped FROM documents",
     "max_docs_prefix": f"""SELECT doc_id, kept FROM (SELECT *, coalesce(sum(kept::INT) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
         FROM (SELECT doc_id, {_KEPT} AS kept FROM documents)) WHERE before < {MAX_DOCS}""",
     "stripped_texts": f"SELECT doc_id, {sql.strip('text')} AS stripped FROM documents",
     "story_openings": f"""SELECT doc_id, substr(t, 1, instr(t, '.')) AS opening FROM (SELECT doc_id, {sql.strip('text')} AS t FROM documents) WHERE instr(t, '.') - 1 BETWEEN 5 AND 80""",
-    "sentence_stats": f"SELECT doc_id, len(s) AS n, len(list_distinct(s)) AS n_distinct FROM (SELECT doc_id, {sql.sentences('text', ENDS)} AS s FROM documents)",
+    "sentence_stats": f"SELECT doc_id, len(s)::INT AS n, len(list_distinct(s))::INT AS n_distinct FROM (SELECT doc_id, {sql.sentences('text', ENDS)} AS s FROM documents)",
     "repeated_sentences": f"SELECT doc_id, round(CASE WHEN len(s) < 2 THEN 0.0::DOUBLE ELSE 1 - len(list_distinct(s))::DOUBLE / len(s) END, 6) AS ratio FROM (SELECT doc_id, {sql.sentences('text', ENDS)} AS s FROM documents)",
     "repeated_ngrams": _DOC_GRAMS,
-    "character_names": f"""SELECT id, generate_subscripts(n, 1) - 1 AS idx, unnest(n) AS name FROM (SELECT id, list_filter(regexp_extract_all(prompt, '{X.NAME}'),
+    "character_names": f"""SELECT id, (generate_subscripts(n, 1) - 1)::INT AS idx, unnest(n) AS name FROM (SELECT id, list_filter(regexp_extract_all(prompt, '{X.NAME}'),
         lambda w: NOT (length(w) % 2 = 0 AND left(w, length(w) // 2) = right(w, length(w) // 2))) AS n FROM (VALUES {_values(_NAMES)}) AS v(id, prompt))""",
-    "safe_splits": f"""SELECT id, at_ AS "at", a <> '''' AND NOT regexp_matches(a, '[{sql.WS}]') AND NOT regexp_matches(b, '[{sql.WS}]') AND NOT list_has_any({_classes('a')}, {_classes('b')}) AS safe
+    "safe_splits": f"""SELECT id, at_::INT AS "at", a <> '''' AND NOT regexp_matches(a, '[{sql.WS}]') AND NOT regexp_matches(b, '[{sql.WS}]') AND NOT list_has_any({_classes('a')}, {_classes('b')}) AS safe
         FROM (SELECT id, at_, substr(text, at_, 1) AS a, substr(text, at_ + 1, 1) AS b FROM (SELECT id, text, unnest(range(1, length(text))) AS at_ FROM (VALUES {_values(_SPLITS)}) AS v(id, text)))""",
     "char_classes": f"SELECT c, array_to_string({_classes('c')}, ',') AS classes FROM (SELECT unnest(string_split('aＡ1９あーアｱ漢々!。é', '')) AS c)",
     "rule_scores": _SCORED + f" SELECT prompt_id, cand_idx, {', '.join(f'round({k}, 6) AS {k}' for k in [*X.WEIGHTS, 'score'])} FROM scored",
