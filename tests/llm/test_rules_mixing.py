@@ -48,6 +48,23 @@ def test_pasted_lines_go_and_copies_stay(spark):
     assert set(cleaned) == {i for i in got if got[i]["kept"]} and notice not in cleaned[0] and cleaned[200] == page
 
 
+def test_blocks_of_two_lines_go(spark):
+    draw = random.Random(7)
+    prose = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    head, foot = [prose(9), prose(12)], [prose(8), prose(11)]
+    rows = [(i, "\n".join([*head, prose(40), prose(40), *foot]), "h") for i in range(30)]
+    page = [prose(30).split() for _ in range(4)]
+    for i in range(60):  # near copies: one word of one line is another
+        lines = [list(x) for x in page]
+        lines[i % 4][draw.randrange(30)] = prose(1)
+        rows.append((100 + i, "\n".join(" ".join(x) for x in lines), "h"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["n_removed_words"] for r in quality_rules.verdicts(docs).collect()}
+    assert all(n == (40 if i < 100 else 0) for i, n in got.items()) and len(got) == 90
+    cleaned = {r["doc_id"]: r["text"].split("\n") for r in quality_rules.clean(docs).collect()}
+    assert len(cleaned) == 90 and all(len(x) == (2 if i < 100 else 4) for i, x in cleaned.items())
+
+
 def test_clean_keeps_columns(messy, empty):
     out = quality_rules.clean(messy)
     assert out.columns == messy.columns and out.where("doc_id = 6").count() == 2
