@@ -65,6 +65,19 @@ def test_blocks_of_two_lines_go(spark):
     assert len(cleaned) == 90 and all(len(x) == (2 if i < 100 else 4) for i, x in cleaned.items())
 
 
+def test_long_notices_go_and_long_copies_stay(spark):
+    draw = random.Random(9)
+    prose = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    notice, page = prose(60), prose(150)
+    rows = [(i, f"{prose(40)}\n{notice}\n{prose(40)}", "h") for i in range(30)]
+    rows += [(100, f"{prose(4)}\n{notice}", "h")]  # hardly more than the notice
+    rows += [(200 + i, f"{page}\n{prose(8)}", "h") for i in range(30)]  # near copies of one long line
+    rows += [(300 + i, " ".join([*page.split()[:i], prose(1), *page.split()[i + 1 :]]), "h") for i in range(30)]
+    got = {r["doc_id"]: r for r in quality_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(r["n_removed_words"] == (60 if i < 200 else 0) for i, r in got.items()) and len(got) == 91
+    assert {i for i, r in got.items() if not r["kept"]} == {100}
+
+
 def test_clean_keeps_columns(messy, empty):
     out = quality_rules.clean(messy)
     assert out.columns == messy.columns and out.where("doc_id = 6").count() == 2
