@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialise, shared_dir  # noqa: F401
+from ..sources.shared import discard, materialise, shared_dir, unused  # noqa: F401
+
+SALTS = 32
+BYTES = 48 << 20  # of text that a fitting sample holds at most
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +39,32 @@ def row_key(*columns: str) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns])))
 
 
+def salt(*columns: str) -> Column:
+    """One of SALTS numbers by a hash of the columns; rows without any value get 0 to SALTS - 1 all the same."""
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def spread(df: DataFrame, name: str) -> DataFrame:
+    """Each row once for every salt: the other side of a join on keys that a hot group may share."""
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def with_least(rows: DataFrame, keys: list[str], value: str, out: str, count: str | None = None) -> DataFrame:
+    """rows with the least `value` of the rows that share its keys, and their number if `count` names a column for it.
+
+    A key that a third of all rows share stays spread: the least of each (key, salt) comes first, then that of the key,
+    which is joined back once for each salt that the key has. Keys must not be null.
+    """
+    s, found = unused("salt", rows), unused("salts", rows)
+    salted = rows.withColumn(s, salt(value))
+    n = unused("n", rows) if count is None else count
+    part = salted.groupBy(*keys, s).agg(F.min(value).alias(out), F.count("*").alias(n))
+    whole = part.groupBy(*keys).agg(F.min(out).alias(out), F.sum(n).alias(n), F.collect_set(s).alias(found))
+    if count is None:
+        whole = whole.drop(n)
+    return salted.join(whole.withColumn(s, F.explode(found)).drop(found), [*keys, s]).drop(s)
+
+
 def sampled_ids(labels: DataFrame, keep: Column, label: str, limit: int, kind: str = "int") -> DataFrame:
     """At most `limit` labelled ids with their label, by the order of md5(doc_id): the same rows on every run.
 
@@ -48,11 +77,15 @@ def sampled_ids(labels: DataFrame, keep: Column, label: str, limit: int, kind: s
     )
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, limit: int):
-    """The texts of at most `limit` sampled ids, one for each id, as pandas (text, label) in the order of the ids."""
+def texts_of(docs: DataFrame, ids: DataFrame, limit: int, size: int = BYTES):
+    """The whole texts of at most `limit` sampled ids and `size` bytes in all, one for each id, as pandas (doc_id, text, label).
+
+    Both bounds take the ids in the order of md5(doc_id); a text that would exceed `size` is left out.
+    """
     rows = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).limit(limit)
     )
-    got = rows.toPandas()
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))  # `limit` rows at most
+    got = rows.withColumn("upto", upto).where(F.col("upto") <= size).drop("upto").toPandas()
     return got.sort_values("doc_id", kind="stable").reset_index(drop=True)
