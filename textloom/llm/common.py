@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,8 +18,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def parts(batch, rows: int, size: int = 16 << 20, column: str = "text"):
-    """A record batch in pieces of at most `rows` rows and, but for single rows beyond it, `size` bytes of text."""
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    """A record batch in pieces of at most `rows` rows and, but for single rows beyond it, `size` bytes of text or numbers."""
+    held_by = batch.column(column)
+    lengths = pc.multiply(pc.list_value_length(held_by), 8) if pa.types.is_list(held_by.type) else pc.binary_length(held_by)
+    lengths = pc.fill_null(lengths, 0).to_pylist()
     start = held = 0
     for i, n in enumerate(lengths):
         if i > start and (i - start >= rows or held + n > size):
@@ -49,20 +52,39 @@ def spread(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def with_least(rows: DataFrame, keys: list[str], value: str, out: str, count: str | None = None) -> DataFrame:
-    """rows with the least `value` of the rows that share its keys, and their number if `count` names a column for it.
+def salts_held(by: Column) -> Column:
+    """Aggregate: the salts that a group's rows have, as the bits of a number."""
+    return F.bit_or(F.pow(F.lit(2.0), by).cast("long"))
 
-    A key that a third of all rows share stays spread: the least of each (key, salt) comes first, then that of the key,
-    which is joined back once for each salt that the key has. Keys must not be null.
+
+def for_each_salt(table: DataFrame, held: str, name: str) -> DataFrame:
+    """The table's rows once for each of the salts in its column `held`, which goes."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit(F.col(held), k) == 1)
+    return table.withColumn(name, F.explode(bits)).drop(held)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """rows with the table's one row for their keys. A key of very many rows stays spread over SALTS salts of `by`.
+
+    The table's row is repeated only for the salts that its key's rows have. Keys must not be null.
+    """
+    s, held = unused("salt", rows, table), unused("salts", rows, table)
+    salted = rows.withColumn(s, salt(by))
+    masks = salted.groupBy(*keys).agg(salts_held(F.col(s)).alias(held))
+    return salted.join(for_each_salt(table.join(masks, keys), held, s), [*keys, s], how).drop(s)
+
+
+def with_least(rows: DataFrame, keys: list[str], value: str, out: str, count: str | None = None, having: str | None = None) -> DataFrame:
+    """rows with the least `value` of the rows that share its keys (and their number, as `count`); keys without `having` go.
+
+    One aggregation with partial sums, joined back once for each salt that the key has, so a key that a third of all rows
+    share is never one task's. Keys must not be null.
     """
-    s, found = unused("salt", rows), unused("salts", rows)
+    s, held, n = unused("salt", rows), unused("salts", rows), count or unused("n", rows)
     salted = rows.withColumn(s, salt(value))
-    n = unused("n", rows) if count is None else count
-    part = salted.groupBy(*keys, s).agg(F.min(value).alias(out), F.count("*").alias(n))
-    whole = part.groupBy(*keys).agg(F.min(out).alias(out), F.sum(n).alias(n), F.collect_set(s).alias(found))
-    if count is None:
-        whole = whole.drop(n)
-    return salted.join(whole.withColumn(s, F.explode(found)).drop(found), [*keys, s]).drop(s)
+    whole = salted.groupBy(*keys).agg(F.min(value).alias(out), F.count("*").alias(n), salts_held(F.col(s)).alias(held))
+    whole = whole if having is None else whole.where(having)
+    return salted.join(for_each_salt(whole if count else whole.drop(n), held, s), [*keys, s]).drop(s)
 
 
 def sampled_ids(labels: DataFrame, keep: Column, label: str, limit: int, kind: str = "int") -> DataFrame:
