@@ -4,7 +4,7 @@ import pytest
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(12_000))
 PROSE = "The quiet river runs past the old mill, and nobody in the village remembers who built it or why it stopped turning so long ago."
-EXTRA = "node string, size int, score string, b int, label string, rk string, n long, host string, bands int, target int, source_size int, w int, s int, t int, list int, v int"
+EXTRA = "node string, size int, score string, b int, label string, rk string, n long, host string, bands int, target int, source_size int, w int, s int, t int, list int, v int, _rk int, _node string, _id int, _size int, _key string, _source int, _bucket int, _position int, _positions int, lang_pred int, removed int, salt int, salts int, head int, copy int, held_out int, content int, taken int"
 
 
 @pytest.fixture(scope="session")

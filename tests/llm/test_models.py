@@ -55,26 +55,91 @@ def test_language_on_held_out_documents(spark):
     assert got.count() == 1000 and (y["lang_pred"] == y["lang"]).mean() > 0.98
 
 
-def test_kernel_scores_equal_the_landmark_form():
-    texts = ["the cat sat on the mat", "le chat est sur le tapis", "a dog in the fog", "un chien dans le jardin"] * 3
-    names = ["en", "fr", "en", "fr"] * 3
-    model = langid.fit_texts(texts, names, landmarks=6)
+def test_kernel_scores_equal_the_landmark_form(monkeypatch):
+    """Scores by the kernel's definition on sets of n-grams, landmark by landmark, and the blocked products that replace it."""
+    import unicodedata
+
+    monkeypatch.setattr(langid, "COLUMNS", 37)
+    texts = ["the cat sat on the mat", "le chat est sur le tapis", "a dog in the fog", "un chien dans le jardin", "the end of the day", "la fin du jour"]
+    names = ["en", "fr"] * 3
+    model = langid.fit_texts(texts, names, landmarks=4)
     assert model.predict(["the dog sat", "le chien est", "123 !?", "", None])[0] == ["en", "fr", "und", "und", "und"]
-    grams = langid.Grams()
-    held, _ = model.presence(["the mat the mat"])
-    want = set(np.concatenate(grams.hashes("the mat the mat")).tolist()) & set(model.grams.tolist())
-    assert held.sum() == len(want)
+
+    def grams(text):
+        kept = "".join(c.lower() if unicodedata.category(c).startswith("L") else " " for c in f" {text} ")
+        line = " " + " ".join(kept.split()) + " "
+        return {line[i : i + n] for n in (2, 3, 4) for i in range(len(line) - n + 1)}
+
+    landmarks = [grams(t) for t in texts[:4]]
+    shared = {g for x in landmarks for g in x if sum(g in y for y in landmarks) > 1}
+    kernel = lambda a, b: len(a & b & shared) / np.sqrt(max(len(a & shared), 1) * max(len(b & shared), 1))
+    own = np.array([[kernel(a, b) for b in landmarks] for a in landmarks])
+    value, vector = np.linalg.eigh(own)
+    root = (vector / np.sqrt(np.maximum(value, 1e-6 * value.max()))) @ vector.T
+    x = np.array([[kernel(grams(t), b) for b in landmarks] for t in texts]) @ root
+    y = np.array([[1.0, -1.0] if n == "en" else [-1.0, 1.0] for n in names])
+    solved = np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) + langid.RIDGE * np.eye(4), (x - x.mean(0)).T @ (y - y.mean(0)))
+    for text in ["the dog sat", "un chien est la", "zzz", *texts]:
+        want = (np.array([kernel(grams(text), b) for b in landmarks]) @ root - x.mean(0)) @ solved + y.mean(0)
+        assert np.allclose(model.margins(model.hits([text])[0])[0], want, atol=1e-4)
+
+
+def test_noisy_or_equals_a_plain_one():
+    weights = {"idiot": 5.0, "idio-": 2.0, "rude": 3.0, "fool": 9.0}
+    model = toxicity.Model(weights, -6.0)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    draw = random.Random(3)
+    words = ["idiot", "idiom", "rude", "fool", "fine", "day", "Rude", "x", "7"]
+    for _ in range(200):
+        text = "".join(draw.choice(words) + draw.choice([" ", " ", ", ", ". ", "!\n", "? ", "."]) for _ in range(draw.randint(0, 30)))
+        sentences = __import__("re").split(r"[.!?\n]", text)
+        quiet, each = 1.0, []
+        for s in sentences:
+            z = sum(weights.get(f, 0) for w in set(__import__("re").findall(r"\w+", s.lower())) for f in [w, *(w[:k] + "-" for k in range(4, min(9, len(w))))])
+            ratio = (1 - sigmoid(-6.0 + z)) / (1 - sigmoid(-6.0))  # over a sentence without weight
+            quiet *= ratio
+            each.append(1 - ratio)
+        (whole, located), = model.located([text])
+        assert abs(whole - (1 - quiet)) < 1e-9 and abs(model.documents([text])[0] - whole) < 1e-12
+        assert {s for s, p in located if p >= 0.5} == {i for i, p in enumerate(each) if p >= 0.5}
+
+
+def test_the_bias_is_learned():
+    draw = random.Random(8)
+    texts = [". ".join(["calm words here"] * 5 + (["you grumble"] if i % 3 == 0 else [])) for i in range(120)]
+    model = toxicity.fit_texts(texts, [int(i % 3 == 0) for i in range(120)], start=-4.0)
+    assert model.bias != -4.0 and draw is not None
+    assert ((model.documents(texts) >= 0.5) == np.array([i % 3 == 0 for i in range(120)])).all()
+
+
+def test_quality_scores_equal_a_plain_network():
+    draw = random.Random(5)
+    good = lambda: " ".join(draw.choice(["the", "river", "runs", "past", "old", "mills", "and", "towns"]) for _ in range(30)) + "."
+    bad = lambda: " ".join(draw.choice(["BUY", "now", "$$$", "click", "here", "!!!", "win", "7777"]) for _ in range(30))
+    texts = [good() if i % 2 else bad() for i in range(80)]
+    model = quality_classifier.fit_texts(texts, [i % 2 for i in range(80)], epochs=60)
+    for text in [*texts[:10], "", "the Unknownword 42 ???"]:
+        pooled, n = np.zeros(model.inner.shape[1]), 0
+        for token in __import__("re").findall(r"\w+|[^\w\s]+", text):
+            row = model.ids.get(token, model.ids.get(quality_classifier.shape(token), len(model.ids)))
+            pooled, n = pooled + model.inner[row], n + 1
+        hidden = [np.tanh(a + b) for a, b in zip(pooled / max(n, 1), model.bias)]
+        z = (sum(h * o for h, o in zip(hidden, model.outer)) + model.last) / model.temperature
+        assert abs(model.score([text])[0] - 1 / (1 + np.exp(-z))) < 1e-5
+    y = np.array([i % 2 for i in range(80)])
+    assert ((model.score(texts) > 0.5) == y).mean() > 0.95 and model.temperature > 0
 
 
 def test_messy_rows(spark, messy, empty):
     labels = spark.createDataFrame([(6, 1, 0), (7, 0, 1), (9, 1, 0), (None, 1, 1), (99, None, None), (6, 1, 0)], "doc_id long, quality int, toxic int")
-    docs = messy.select("doc_id", "text", "lang")
-    for rows, size in ((docs, messy.count()), (empty.select("doc_id", "text", "lang"), 0)):
+    docs = messy
+    for rows, size in ((docs, messy.count()), (empty, 0)):
         t = toxicity.score(rows, toxicity.fit(rows, labels, fold("doc_id", 5) != 99))
         q = quality_classifier.score(rows, quality_classifier.fit(rows, labels, fold("doc_id", 4) != 99))
         lang = langid.predict(rows, langid.fit(rows, fold("doc_id", 4) != 99))
         for out in (t, q, lang):
             assert out.where("score >= 0 AND score <= 1").count() == size
+            assert set(out.columns) >= set(messy.columns) and len(out.columns) == len(set(out.columns))
     assert {r["lang_pred"] for r in lang.collect()} == set()
     none = spark.createDataFrame([], labels.schema)
     assert toxicity.score(docs, toxicity.fit(docs, none, F.lit(True))).where("score <= 1").count() == messy.count()

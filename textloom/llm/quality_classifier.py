@@ -7,10 +7,11 @@ sparse index vector of +1 and -1, drawn from its hash; a token's vector is the s
 its tokens' vectors. A two-layer network (tanh, then a logistic unit) is trained by Adam in numpy; a temperature that
 minimises the log loss of the sample's validation part divides the logits.
 
-Fitting takes at most `limit` labelled rows, by the order of md5(doc_id). Scoring reads whole texts once.
+Fitting takes at most `limit` labelled rows and BYTES of text (see common.texts_of), by the order of md5(doc_id). Scoring reads whole texts once.
 
 Defined cases: null and empty texts are pooled as zeros and get the network's answer to that. Without labelled rows of
-both classes every score is the share of label 1, or 0.5. Further columns and repeated rows are of no effect.
+both classes every score is the share of label 1, or 0.5. A column of the result's name is replaced, further ones are passed
+through; repeated rows are scored as they come.
 """
 
 from __future__ import annotations
@@ -143,4 +144,5 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             for part in parts(batch, 512):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score([t or "" for t in part.column("text").to_pylist()]))], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    own = docs.drop(name)
+    return own.mapInArrow(scored, T.StructType([*own.schema.fields, T.StructField(name, T.DoubleType())]))

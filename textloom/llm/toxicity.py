@@ -5,16 +5,18 @@ beginnings, none below zero, since a sentence isn't made harmless by harmless wo
 probability is the noisy-or 1 - prod(1 - p). Only documents bear labels: the gradient of the document's log loss runs
 through the noisy-or to its sentences. The fitted sentence model then locates the offending sentences of a document.
 
-Fitting takes at most `limit` labelled rows (by the order of md5(doc_id)); scoring reads every whole text once, in
+Fitting takes at most `limit` labelled rows and BYTES of text (see common.texts_of), by the order of md5(doc_id); scoring reads every whole text once, in
 Arrow batches, with the weights of the words as a broadcast table.
 
 Words are runs of letters, digits and underscores, in lower case; a sentence ends at one of . ! ? or a line break.
-Features in fewer than `least` documents of label 1, or not clearly more frequent there, weigh nothing.
+Features in fewer than `least` documents of label 1, or not clearly more frequent there, weigh nothing. The bias is learned
+with the weights; `start` is where it begins.
 
 A sentence's probability is taken over that of one without any weighty word, so length alone makes no document toxic.
 
 Defined cases: null and empty texts, and texts without a word, score 0. Without
 labelled rows of both classes nothing can be learned and all scores are 0. Rows repeat as they come; null ids are scored.
+A column of the name of a result is replaced; all others are passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ MEMO = 400_000  # words whose weight a worker remembers
 
 _TOKENS = re.compile(r"\w+|[.!?\n]")
 _ENDS = {".", "!", "?", "\n"}
-_SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
+_END, _WORDS = re.compile(r"[.!?\n]|\Z"), re.compile(r"\w+")
 
 
 def features(word: str) -> list[str]:
@@ -63,7 +65,7 @@ class Model:
         known.update((w, self.word(w)) for w in set(words).difference(known))
 
     def sentence(self, words) -> float:
-        return float(-np.expm1(self._quiet(sum(map(self.word, set(words))))))
+        return float(-np.expm1(self._quiet(sum(map(self.word, sorted(set(words)))))))
 
     def _quiet(self, weight: float) -> float:
         """Log of the chance that a sentence of this weight isn't toxic, over that of one without weight."""
@@ -71,19 +73,23 @@ class Model:
 
     def documents(self, texts: list[str]) -> np.ndarray:
         """Noisy-or of the sentences of each text. Only weight speaks: a sentence without any adds nothing, however many there are."""
-        known = self._known
-        out = np.zeros(len(texts))
-        for i, text in enumerate(texts):
+        return np.array([x[0] for x in self.located(texts)])
+
+    def located(self, texts: list[str]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """For each text its probability, and (number from 0, probability) of its sentences with any weight."""
+        known, out = self._known, []
+        for text in texts:
             tokens = _TOKENS.findall(text.lower())
             self._learned(tokens)
             hits = np.flatnonzero(np.fromiter(map(known.__getitem__, tokens), float, len(tokens)))
-            if len(hits):
-                ends = np.flatnonzero(np.fromiter(map(_ENDS.__contains__, tokens), bool, len(tokens)))
-                found: dict[int, set[str]] = {}
-                for k, s in zip(hits.tolist(), np.searchsorted(ends, hits).tolist(), strict=True):
-                    found.setdefault(s, set()).add(tokens[k])
-                out[i] = -np.expm1(sum(self._quiet(sum(map(known.__getitem__, x))) for x in found.values()))
-        return np.clip(out, 0.0, 1.0)
+            ends = np.flatnonzero(np.fromiter(map(_ENDS.__contains__, tokens), bool, len(tokens)))
+            found: dict[int, set[str]] = {}
+            for k, s in zip(hits.tolist(), np.searchsorted(ends, hits).tolist(), strict=True):
+                found.setdefault(s, set()).add(tokens[k])
+            quiet = {s: self._quiet(sum(map(known.__getitem__, sorted(x)))) for s, x in found.items()}
+            whole = min(1.0, max(0.0, float(-np.expm1(sum(quiet.values())))))
+            out.append((whole, [(s, float(-np.expm1(q))) for s, q in quiet.items()]))
+        return out
 
 
 def _sentences(text: str) -> list[list[str]]:
@@ -137,6 +143,8 @@ def fit_texts(texts: list[str], labels, least: int = LEAST, steps: int = STEPS,
         grad = np.bincount(word, (pull[document] * p)[sentence], len(ids))
         last, w = w, ahead - grad / bound
         w = np.maximum(w - penalty / bound, 0)
+        slope, bend = float(pull[document] @ p), float(np.abs(pull[document]) @ (p * (1 - p)))
+        b -= float(np.clip(slope / (bend + 1e-4), -0.25, 0.25))  # a damped Newton step
     return Model({x: float(w[i]) for x, i in ids.items() if w[i] > 1e-3}, b)
 
 
@@ -145,31 +153,46 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic",
     return fit_texts(sample["text"].tolist(), sample["label"].tolist())
 
 
-def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """The documents with the probability that they are toxic."""
+def score(docs: DataFrame, model: Model, name: str = "score", offences: str | None = None, threshold: float = 0.5) -> DataFrame:
+    """The documents with the probability that they are toxic and, if `offences` names a column for them, the numbers of
+    their offending sentences (from 0, at or above the threshold by themselves) in order."""
 
     def scored(batches):
         for batch in batches:
             for part in parts(batch, 1024):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.documents(texts))], names=[*part.schema.names, name])
+                found = model.located([t or "" for t in part.column("text").to_pylist()])
+                columns, names = [*part.columns, pa.array([x[0] for x in found], pa.float64())], [*part.schema.names, name]
+                if offences:
+                    columns.append(pa.array([sorted(s for s, p in x[1] if p >= threshold) for x in found], pa.list_(pa.int32())))
+                    names.append(offences)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    own = docs.drop(*[n for n in (name, offences) if n])
+    fields = [*own.schema.fields, T.StructField(name, T.DoubleType())]
+    if offences:
+        fields.append(T.StructField(offences, T.ArrayType(T.IntegerType())))
+    return own.mapInArrow(scored, T.StructType(fields))
 
 
 def offending(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, start, end, sentence, probability) of every sentence at or above the threshold; offsets count code points."""
+    """(doc_id, sentence_no, start, end, sentence, probability) of every sentence at or above the threshold.
+
+    Sentences are numbered as in `score`; offsets count code points.
+    """
 
     def located(batches):
         for batch in (part for whole in batches for part in parts(whole, 1024)):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for m in _SENTENCE.finditer(text or ""):
-                    p = model.sentence(re.findall(r"\w+", m[0].lower()))
+                start, text = 0, text or ""
+                for number, m in enumerate(_END.finditer(text)):
+                    sentence = text[start : m.end()]
+                    p = model.sentence(_WORDS.findall(sentence.lower()))
                     if p >= threshold:
-                        rows.append({"doc_id": doc_id, "start": m.start(), "end": m.end(), "sentence": m[0], "probability": float(p)})
-            types = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("start", pa.int32()), ("end", pa.int32()), ("sentence", pa.string()), ("probability", pa.float64())])
-            yield pa.RecordBatch.from_pylist(rows, schema=types)
+                        rows.append({"doc_id": doc_id, "sentence_no": number, "start": start, "end": m.end(), "sentence": sentence, "probability": p})
+                    start = m.end()
+            types = [("doc_id", batch.schema.field("doc_id").type), ("sentence_no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("sentence", pa.string()), ("probability", pa.float64())]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(types))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(located, f"doc_id {kind}, start int, end int, sentence string, probability double")
+    return docs.select("doc_id", "text").mapInArrow(located, f"doc_id {kind}, sentence_no int, start int, end int, sentence string, probability double")
