@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from textloom.llm import ann
@@ -29,6 +31,101 @@ def test_broken_pages():
     assert main_text("<!-- <p>no</p> --><p>yes</p><script>no</script>") == "yes"
 
 
+def test_siblings_of_the_best_container_stay():
+    prose = "A long paragraph, with commas, and many words, that scores well, and goes on, and on, for some time."
+    rest = "<h2>Second part</h2><ul><li>An item</li></ul><p>no full stop</p><pre>code  here</pre><div>Short</div>bare words"
+    for around in ("main", "article", "div"):
+        page = f"<body><nav>Menu</nav><{around}><h1>Title</h1><div><p>{prose}</p><p>{prose}</p></div>{rest}<ul><li><a href=/a>Link one</a></li></ul></{around}><footer>End</footer></body>"
+        assert main_text(page).split("\n") == ["Title", prose, prose, "Second part", "An item", "no full stop", "code here", "Short", "bare words"], around
+    teasers = f"<body><div>Site slogan</div><article><p>{prose}</p><p>{prose}</p><p>{prose}</p></article><div><a href=x>More</a></div></body>"
+    assert main_text(teasers) == "\n".join([prose] * 3)
+    assert main_text(f"<article><p>{prose}</p><p>See <a href=http://x/>this link</a> now.</p></article>").endswith("See this link now.")
+
+
+def test_names_of_layouts_drop_nothing():
+    prose = "A long paragraph, with commas, and many words, that scores well, and goes on, and on, for some time."
+    for name in ("content has-sidebar", "no-sidebar", "page-with-comments", "reader"):
+        page = f'<body><div class="{name}"><p>{prose}</p><p>{prose}</p></div><div class="sidebar"><p>Popular things, of all kinds, and so on.</p></div></body>'
+        assert main_text(page) == f"{prose}\n{prose}", name
+
+
+def test_deep_and_unbalanced_pages_take_linear_time():
+    import time
+
+    start = time.time()
+    deep = "<div>" * 8000
+    assert main_text("<article><header>" + deep + "<h1>T</h1>" + "</div>" * 8000 + "</header><p>Text, of some length, for the score.</p></article>").startswith("T")
+    assert main_text(deep + "</span>" * 8000 + "x") == "x"
+    assert main_text("<b>" * 8000 + "<hr>" * 8000 + "x") == "x"
+    assert main_text("".join(f"<div><p>Paragraph number {i}, with a comma.</p>" for i in range(8000))).startswith("Paragraph number")
+    assert time.time() - start < 10
+
+
+def plain_extract(page):
+    """A second scorer, on the standard library's parser and for well-formed pages: points, density, best container."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.root = self.here = {"tag": "root", "kids": [], "up": None, "score": 0.0}
+
+        def handle_starttag(self, tag, attrs):
+            node = {"tag": tag, "kids": [], "up": self.here, "score": 0.0, "class": dict(attrs).get("class", "")}
+            self.here["kids"].append(node)
+            if tag not in ("br", "meta"):
+                self.here = node
+
+        def handle_endtag(self, tag):
+            self.here = self.here["up"]
+
+        def handle_data(self, data):
+            self.here["kids"].append(data)
+
+    t = Tree()
+    t.feed(page)
+    dropped = lambda n: n["tag"] in ("head", "nav", "footer", "aside", "form", "script", "style") or n.get("class") in ("ad", "sidebar", "comments")
+    text = lambda n: n if isinstance(n, str) else " " if n["tag"] == "br" else "" if dropped(n) else "".join(map(text, n["kids"]))
+    linked = lambda n: "" if isinstance(n, str) or dropped(n) else text(n) if n["tag"] == "a" else "".join(map(linked, n["kids"]))
+    every = []
+
+    def walk(n):
+        if not isinstance(n, str) and not dropped(n):
+            every.append(n)
+            for k in n["kids"]:
+                walk(k)
+
+    walk(t.root)
+    for n in every:
+        if n["tag"] == "p" and len(words := " ".join(text(n).split())) >= 25:
+            up, share = n["up"], 1.0
+            while up["up"]:
+                up["score"] += (1 + words.count(",") + min(len(words) / 100, 3)) * share
+                up, share = up["up"], share / 2
+    best = max(every, key=lambda n: n["score"] * (1 - len(linked(n)) / max(len(text(n)), 1)))
+    return [line for n in every if n["tag"] in ("p", "h1", "h2", "li") and best in _ups(n) and (line := " ".join(text(n).split())) and not linked(n) == text(n)]
+
+
+def _ups(n):
+    while n := n["up"]:
+        yield n
+
+
+def test_extraction_equals_a_plain_scorer():
+    draw = random.Random(21)
+    word = lambda: draw.choice(["stone", "river,", "quiet", "&amp;", "mill", "and", "old,", "caf&eacute;", "town"])
+    line = lambda a, b: " ".join(word() for _ in range(draw.randint(a, b)))
+    for _ in range(60):
+        body = "".join(draw.choice([f"<p>{line(20, 90)}</p>", f"<p>{line(2, 4)} <b>{line(9, 30)}</b><br>{line(9, 9)}</p>", f"<h2>{line(2, 5)}</h2>", f"<ul><li>{line(1, 3)}</li><li>{line(4, 8)}</li></ul>"]) for _ in range(draw.randint(4, 12)))
+        links = "".join(f"<li><a href='/{i}'>{line(1, 3)}</a></li>" for i in range(6))
+        around = draw.choice(["article", "div", "section"])
+        page = (
+            f"<html><head><meta charset='utf-8'><title>{line(3, 5)}</title><style>p{{}}</style></head><body><nav><ul>{links}</ul></nav><div class='ad'><p>{line(30, 40)}</p></div>"
+            f"<{around}><h1>{line(2, 6)}</h1><p>{line(30, 60)}</p>{body}</{around}><aside><p>{line(20, 40)}</p></aside><div class='comments'><p>{line(20, 40)}</p></div><footer><p>{line(20, 30)}</p></footer></body></html>"
+        )
+        assert main_text(page).split("\n") == plain_extract(page)
+
+
 def test_every_page_of_the_table(spark, sf):
     got = extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()
     assert len(got) == 50 and all(r["n_chars"] == len(r["text"]) for r in got)

@@ -2,22 +2,30 @@
 
 The page becomes a tree (tags that HTML closes by itself are closed, raw text of scripts and styles is skipped). What is
 never article text goes first: scripts, styles, forms, navigation, page headers and footers, asides, hidden elements,
-and elements whose class, id or role names one of OUTSIDE. Then every paragraph of 25 characters or more passes
+and elements whose class, id or role names one of OUTSIDE (a name that only says what else a layout has, such as
+has-sidebar, or that stands on an element with an article or most of the page's paragraphs inside, drops nothing).
+Then every paragraph of 25 characters or more passes
 points, one and one for each comma and up to three for its length, to its parent, half of them to its grandparent and
-ever smaller parts to the ancestors above. A container's score is discounted by the share of its text in links. The best
-container is kept with those siblings that score a fifth of it, or are paragraphs of prose; link lists inside go.
+ever smaller parts to LEVELS ancestors in all. A container's score is discounted by the share of its text in links. The best
+container is the nearest article around it, if there is one, or else the widest element that holds nothing but it.
+
+Kept are the container and its siblings, in page order: inside an article, main or other element all of them but lists of
+links; at the top of the page, where siblings are parts of the page, those that score a fifth of the best, headings,
+paragraphs, lists, tables, preformatted and quoted text, but lists of links.
 
 Text is cut into blocks at block elements, character references are decoded, runs of white space become one space,
 and the blocks are joined by line breaks in page order.
 
 Defined cases: null and empty pages give an empty text; a page without any scoring paragraph gives its <article>,
-<main> or else its body without the dropped elements; cut-off markup ends at the cut. Other columns are of no effect.
+<main> or else its body without the dropped elements; cut-off markup ends at the cut; elements may nest to any depth, and
+end tags without an element are skipped. Other columns are of no effect.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,20 +56,42 @@ BONUS = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 5.0, "blockquote"
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-MIN_PARAGRAPH, SIBLING_SHARE, LINKS = 25, 0.2, 0.5
+PLAIN = frozenset("p pre blockquote ul ol dl table figure".split()) | HEADINGS
+MIN_PARAGRAPH, SIBLING_SHARE, LINKS, LEVELS, MOST = 25, 0.2, 0.5, 6, 0.5
+_OTHERS = re.compile(r"\b(?:has|have|with|without|no|not|show|hide)[-_]+[\w-]*", re.I)  # names of what else a layout has
 
 
 class Node:
-    __slots__ = ("attributes", "children", "parent", "score", "tag", "links", "length")
+    __slots__ = ("article", "attributes", "children", "heading", "inside", "length", "links", "parent", "prose", "score", "tag")
 
     def __init__(self, tag: str, attributes: str = "", parent: Node | None = None):
-        self.tag, self.attributes, self.parent, self.children, self.score, self.links, self.length = tag, attributes, parent, [], None, 0, 0
+        self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
+        self.score, self.links, self.length = None, 0, 0
+        self.heading = tag == "h1"  # or one inside; so is article
+        self.article = tag in ("article", "main")
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.prose = 0  # characters in paragraphs
 
 
 def tree(page: str) -> Node:
     """The page as nodes; children are nodes and decoded strings."""
+    return _parsed(page)[0]
+
+
+def _parsed(page: str) -> tuple[Node, list[Node]]:
+    """The root and all nodes in page order. How many elements of a tag are open tells whether an end tag has any to end."""
     root = here = Node("#root")
+    order, open_ = [root], Counter()
     at, size = 0, len(page)
+
+    def leave(node: Node) -> Node:
+        """Close what is open up to and with the node."""
+        walk = here
+        while walk is not node.parent:
+            open_[walk.tag] -= 1
+            walk = walk.parent
+        return walk
+
     while at < size:
         m = _MARKUP.search(page, at)
         text = page[at : m.start() if m else size]
@@ -75,87 +105,86 @@ def tree(page: str) -> Node:
             continue
         tag = tag.lower()
         if end:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if open_[tag] > 0:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = leave(node)
             continue
-        if tag in CLOSES_P or tag in SELF_CLOSED:
-            here = _closed(here, tag)
+        if closed := _closed(here, tag, open_):
+            here = leave(closed)
         node = Node(tag, attributes, here)
         here.children.append(node)
+        order.append(node)
         if tag in RAW:
             stop = re.compile(f"</{re.escape(tag)}[^>]*(?:>|\\Z)", re.I).search(page, at)
             at = stop.end() if stop else size
-        elif tag not in VOID and not attributes.endswith("/"):
+        elif tag not in VOID:
             here = node
-    return root
+            open_[tag] += 1
+    return root, order
 
 
-def _closed(here: Node, tag: str) -> Node:
-    """Where a new `tag` goes: out of an open paragraph, or out of the last element of its own kind."""
-    if tag in CLOSES_P:
-        node = here
-        while node.parent is not None and node.tag not in BLOCK:
-            node = node.parent
-        if node.tag == "p":
-            here = node.parent
+def _closed(here: Node, tag: str, open_: Counter) -> Node | None:
+    """The element that a new `tag` ends: an open paragraph, or the last element of its own kind."""
     if stops := SELF_CLOSED.get(tag):
         own = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
+        if any(open_[x] > 0 for x in own):
+            node = here
+            while node.parent is not None and node.tag not in stops:
+                if node.tag in own:
+                    return node
+                node = node.parent
+    if tag in CLOSES_P and open_["p"] > 0:
         node = here
-        while node.parent is not None and node.tag not in stops:
-            if node.tag in own:
-                return node.parent
+        while node.parent is not None and node.tag not in BLOCK:
             node = node.parent
-    return here
+        if node.tag == "p":
+            return node
+    return None
 
 
-def _outside(node: Node) -> bool:
-    """Whether the element is never part of an article."""
+def _outside(node: Node, prose: int) -> bool:
+    """Whether the element is never part of an article; prose: the characters in all paragraphs of the page."""
     tag = node.tag
     if tag in DROPPED or tag in RAW:
         return True
     if tag == "header":
-        return not _within_article(node) or not _has_heading(node)
+        return not node.inside or not node.heading
     if not node.attributes or tag in ("article", "main", "body", "html"):
         return False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(node.attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return True
-    names = {x.lower() for k in ("class", "id", "role") if k in found for x in _NAME.findall(html.unescape(found[k]))}
+    if node.article or prose and node.prose > MOST * prose:
+        return False
+    names = {x.lower() for k in ("class", "id", "role") if k in found for x in _NAME.findall(_OTHERS.sub(" ", html.unescape(found[k])))}
     if names & OUTSIDE:
-        return tag not in HEADINGS or not _within_article(node)
-    return "header" in names and tag not in HEADINGS and not (_within_article(node) and _has_heading(node))
-
-
-def _within_article(node: Node) -> bool:
-    while (node := node.parent) is not None:
-        if node.tag in ("article", "main"):
-            return True
-    return False
-
-
-def _has_heading(node: Node) -> bool:
-    return any(isinstance(c, Node) and (c.tag == "h1" or _has_heading(c)) for c in node.children)
+        return tag not in HEADINGS or not node.inside
+    return "header" in names and tag not in HEADINGS and not (node.inside and node.heading)
 
 
-def _pruned(root: Node) -> list[Node]:
+def _pruned(root: Node, order: list[Node]) -> list[Node]:
     """Drop what is outside; the rest in page order, with the lengths of text and of linked text."""
-    order, open_ = [], [root]
+    for node in reversed(order):
+        if node.tag == "p":
+            node.prose = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + node.prose
+        if (up := node.parent) is not None:
+            up.heading, up.article, up.prose = up.heading or node.heading, up.article or node.article, up.prose + node.prose
+    kept, open_ = [], [root]
     while open_:
         node = open_.pop()
-        order.append(node)
-        node.children = [c for c in node.children if not isinstance(c, Node) or not _outside(c)]
+        kept.append(node)
+        node.children = [c for c in node.children if not isinstance(c, Node) or not _outside(c, root.prose)]
         open_ += [c for c in reversed(node.children) if isinstance(c, Node)]
-    for node in reversed(order):
+    for node in reversed(kept):
         for c in node.children:
             if isinstance(c, Node):
                 node.length += c.length
                 node.links += c.length if c.tag == "a" else c.links
             else:
                 node.length += len(c.strip())
-    return order
+    return kept
 
 
 def _density(node: Node) -> float:
@@ -182,7 +211,7 @@ def _score(order: list[Node]) -> None:
                 points = 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)
                 first = node if node.tag in ("div", "section", "article", "main", "td") else node.parent
                 level, up = 0, first
-                while up is not None and up.tag != "#root":
+                while up is not None and up.tag != "#root" and level < LEVELS:
                     if up.score is None:
                         up.score = BONUS.get(up.tag, 0.0)
                     up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
@@ -192,30 +221,34 @@ def _score(order: list[Node]) -> None:
             node.score *= 1 - _density(node)
 
 
-def _kept(root: Node, order: list[Node]) -> list[Node]:
-    """The best container and the siblings that belong to it."""
+def _kept(root: Node, order: list[Node]) -> list:
+    """The best container and the siblings that belong to it, in page order; bare strings are siblings too."""
     scored = [n for n in order if n.score is not None]
     if not scored:
         for tag in ("article", "main", "body"):
             if found := [n for n in order if n.tag == tag]:
                 return found if tag == "article" else found[:1]
         return [root]
-    best = max(scored, key=lambda n: n.score)
-    if best.parent is None or best.tag in ("article", "main", "body"):
-        if best.tag != "article" or best.parent is None:
-            return [best]
-    out, least = [], max(10.0, best.score * SIBLING_SHARE)
-    for c in best.parent.children:
-        if c is best:
-            out.append(c)
-        elif isinstance(c, Node):
-            if c.score is not None and c.score >= least:
-                out.append(c)
-            elif c.tag == "p" or c.tag in HEADINGS and out == []:
-                text, density = _own_text(c), _density(c)
-                if c.tag in HEADINGS or len(text) > 80 and density < 0.25 or text and not c.links and re.search(r"[.!?。](?:\s|$)", text):
-                    out.append(c)
-    return out
+    best = top = max(scored, key=lambda n: n.score)
+    while top.parent is not None and top.tag != "article":
+        top = top.parent
+    if top.tag == "article":
+        best = top
+    while best.parent is not None and best.tag not in ("article", "main", "body") and best.parent.length == best.length:
+        best = best.parent
+    if best.parent is None or best.tag in ("main", "body"):
+        return [best]
+    least, apart = max(10.0, best.score * SIBLING_SHARE if best.score is not None else 0.0), best.tag == "article" or best.parent.tag in ("body", "html", "#root")
+    return [c for c in best.parent.children if c is best or _belongs(c, least, apart)]
+
+
+def _belongs(sibling: Node | str, least: float, apart: bool) -> bool:
+    """Whether a sibling of the best container is part of the article; apart: the siblings are parts of the page."""
+    if isinstance(sibling, str):
+        return not apart
+    if _list_of_links(sibling) or _density(sibling) > LINKS:
+        return False
+    return not apart or sibling.tag in PLAIN or sibling.score is not None and sibling.score >= least
 
 
 def _list_of_links(node: Node) -> bool:
@@ -255,8 +288,8 @@ def blocks(nodes: list[Node]) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    root = tree(page)
-    order = _pruned(root)
+    root, every = _parsed(page)
+    order = _pruned(root, every)
     _score(order)
     return "\n".join(blocks(_kept(root, order)))
 
