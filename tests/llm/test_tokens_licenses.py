@@ -23,6 +23,23 @@ def test_ids_equal_the_library_and_round_trip():
         at += size
 
 
+def test_edges_are_all_occurrences_of_all_pieces(monkeypatch):
+    import numpy as np
+
+    encoder = S.encoder_of(S.Vocabulary.load())
+    draw = random.Random(4)
+    text = S.SPACE + "".join(draw.choice(["the", "ing", "ation", S.SPACE, "s", "1", "é", ", ", "internationalization"]) for _ in range(300))
+    start, piece = encoder._edges(encoder._symbol(S._codes(text)))
+    want = {(i, encoder.vocabulary.ids[text[i:j]]) for i in range(len(text)) for j in range(i + 1, min(len(text), i + 16) + 1) if text[i:j] in encoder.vocabulary.ids}
+    assert set(zip(start.tolist(), piece.tolist())) == want and len(start) == len(want)
+    texts = ["".join(draw.choice("ab c.d\n1é漢") for _ in range(draw.randint(0, 300))) for _ in range(40)]
+    whole = encoder.encode(texts)
+    monkeypatch.setattr(S, "BLOCK", 64)  # the same ids from small blocks, and with a full table of pairs
+    monkeypatch.setattr(S, "PAIRS", 50)
+    small = S.Encoder(encoder.vocabulary).encode(texts)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, small))
+
+
 def test_frames(spark, messy, empty):
     out = S.encode(messy)
     got = out.collect()

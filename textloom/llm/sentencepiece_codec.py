@@ -1,26 +1,29 @@
 """Encoding and decoding with a public SentencePiece BPE model by suffix-array matching.
 
-The units of a batch (words with the spaces and signs before them; loading proves that no piece goes on from a letter to
-a sign, or from anything to a space) that aren't remembered yet are concatenated and their suffixes sorted by as many characters as the longest
-piece has. Each piece is binary-searched for the range of suffixes that begin with it; its occurrences are edges from
-their start to their end. The edges are sorted by their end and relaxed from left to right, all units at once: the
-merge order of BPE admits exactly one last piece for each prefix, the one that may stand beside the last piece of the
-prefix before it (two pieces may stand side by side if merging their characters yields just these two). Walking back
-from each unit's end gives its pieces, the same that the model's own merging gives.
+A batch's texts are concatenated, whole, and the suffixes of that are sorted by as many characters as the longest piece
+has: by four characters first, then by pairs of the ranks found, twice as many characters each time. Every piece is
+binary-searched for the range of suffixes that begin with it; its occurrences are edges from their start to their end. The
+edges are sorted by their end's place in its unit and relaxed from left to right, all units at once. (Units are words with
+the spaces and signs before them; loading proves that no piece goes on from a letter to a sign, or from anything to a
+space.) Relaxing: the merge order of BPE admits exactly one last piece for each prefix, the one that may stand beside the
+last piece of the prefix before it (two pieces may stand side by side if merging their characters yields just these two;
+a worker remembers that of PAIRS pairs of pieces, no text). Walking back from each unit's end gives its pieces, the same
+that the model's own merging gives.
 
 Texts get the model's dummy space in front; characters without a piece become their UTF-8 bytes' pieces. Decoding joins
 the pieces' bytes, drops that space and replaces malformed UTF-8. The round trip is exact unless the text holds
 U+2581, which stands for a space itself.
 
-Defined cases: null texts have null ids, empty texts none. Repeated rows and further columns are of no effect.
+Defined cases: null texts have null ids, empty texts none. Very long texts are indexed in blocks of about BLOCK
+characters, cut where a unit starts. Repeated rows and further columns are of no effect.
 The model's path is a parameter; the driver reads it and ships its pieces (bounded by the vocabulary) to the workers.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +34,30 @@ from .common import parts
 
 MODEL = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 SPACE = "▁"
-REMEMBERED = 500_000  # units whose pieces a worker keeps
+BLOCK, PAIRS = 1 << 18, 1 << 21  # characters of an index; pairs of pieces that a worker remembers
+FIRST, BITS = 4, 16  # characters of the first key, and bits for each
 NEVER = 1 << 30
 
 
+class _ByCharacter:
+    """A number for each code point: a table for the basic plane, a sorted list beyond it."""
+
+    def __init__(self, numbers: dict[int, int], default: int):
+        self._table, self._default = np.full(1 << 16, default, np.int32), default
+        high = sorted(c for c in numbers if c >= 1 << 16)
+        for c, n in numbers.items():
+            if c < 1 << 16:
+                self._table[c] = n
+        self._codes, self._numbers = np.array([*high, 1 << 21], np.uint32), np.array([*(numbers[c] for c in high), default], np.int32)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        out = self._table[np.minimum(codes, 0xFFFF)]
+        if len(high := np.flatnonzero(codes >= 1 << 16)):
+            at = np.searchsorted(self._codes, codes[high])
+            out[high] = np.where(self._codes[at] == codes[high], self._numbers[at], self._default)
+        return out
+
+
 class Vocabulary:
     """The normal pieces of a model with their ranks, and the ids of its byte pieces."""
 
@@ -46,10 +69,16 @@ class Vocabulary:
                 raise ValueError(f"piece {p!r} crosses a unit's start")
         if any("\n" in p for p in ids):
             raise ValueError("a piece holds a line break")
+        if len({c for p in ids for c in p}) + 2 > 1 << BITS:
+            raise ValueError("too many characters for a key")
         neighbours = {(a, b) for p in ids for a, b in zip(p, p[1:], strict=False) if re.match(r"\w", a)}
         self.going_on: set[str] = set()  # word characters that a piece continues with something else: they count as signs
         while more := {a for a, b in neighbours if a not in self.going_on and (b in self.going_on or not re.match(r"\w", b))}:
             self.going_on |= more
+        word = {m.start(): 1 for m in re.finditer(r"\w", "".join(map(chr, range(0x110000))))}
+        word = {c: k for c, k in word.items() if chr(c) not in self.going_on}
+        self.kind = _ByCharacter(word | {ord(SPACE): 2, ord("\n"): 3}, 0)  # 0: signs
+        self.name = hashlib.md5("\0".join(pieces).encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -81,131 +110,219 @@ class Vocabulary:
         return parts
 
 
+class _Pairs:
+    """An open-addressing table from pairs of pieces to whether they may stand side by side."""
+
+    def __init__(self, beside):
+        self._beside = beside
+        self._bits = (2 * PAIRS).bit_length() - 1
+        self._clear()
+
+    def _clear(self) -> None:
+        self._keys, self._fine, self._n = np.full(1 << self._bits, -1, np.int64), np.zeros(1 << self._bits, bool), 0
+
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed >> np.uint64(64 - self._bits)).astype(np.int64) + probe) & ((1 << self._bits) - 1)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys, 0)
+        held, out = self._keys[slot], self._fine[slot]
+        todo, probe = np.flatnonzero(held != keys), 0
+        missing = [keys[todo][held[todo] < 0]]
+        todo = todo[held[todo] >= 0]
+        while len(todo):
+            probe += 1
+            slot = self._slot(keys[todo], probe)
+            held = self._keys[slot]
+            out[todo] = self._fine[slot]
+            missing.append(keys[todo[held < 0]])
+            todo = todo[(held >= 0) & (held != keys[todo])]
+        if len(new := np.unique(np.concatenate(missing))):
+            fine = np.fromiter(map(self._beside, new.tolist()), bool, len(new))
+            at = np.minimum(np.searchsorted(new, keys), len(new) - 1)
+            out = np.where(new[at] == keys, fine[at], out)
+            self._add(new, fine)
+        return out
+
+    def _add(self, keys: np.ndarray, fine: np.ndarray) -> None:
+        if self._n + len(keys) > PAIRS:
+            self._clear()
+            keys, fine = keys[:PAIRS], fine[:PAIRS]
+        self._n += len(keys)
+        probe = 0
+        while len(keys):
+            slot = self._slot(keys, probe)
+            free = self._keys[slot] < 0
+            self._keys[slot[free]], self._fine[slot[free]] = keys[free], fine[free]
+            left = self._keys[slot] != keys
+            self._fine[slot[~left]] = fine[~left]
+            keys, fine, probe = keys[left], fine[left], probe + 1
+
+
 class Encoder:
-    """Pieces of units; remembers what it has seen."""
+    """Ids of texts, by an index of the texts."""
 
     def __init__(self, vocabulary: Vocabulary):
         v = self.vocabulary = vocabulary
-        odd = "".join(map(re.escape, sorted(v.going_on)))
-        signs, letters = f"(?:[^\\w{SPACE}\n]" + (f"|[{odd}])" if odd else ")"), f"[^\\W{odd}]"
-        self._units = re.compile(f"\n|{SPACE}*{signs}*{letters}+|{SPACE}*{signs}+|{SPACE}+")
-        normal = sorted(v.ids, key=v.ids.get)
+        normal = sorted(v.ids, key=lambda p: [ord(c) for c in p])  # in the order of the symbols, so searches run forward
         letters = sorted({c for p in normal for c in p})
-        self._codes = np.array([ord(c) for c in letters], np.uint32)
-        self._ids = np.array([v.ids[p] for p in normal], np.int64)
-        self._lengths = np.zeros(len(v.pieces) + 1, np.int64)
+        self._symbol = _ByCharacter({ord(c): i + 2 for i, c in enumerate(letters)}, 1)  # 1: no piece holds it; 0: between texts
+        self._kind = v.kind
+        self._ids = np.array([v.ids[p] for p in normal], np.int32)
+        self._lengths = np.zeros(len(v.pieces) + 1, np.int32)
         self._lengths[self._ids] = [len(p) for p in normal]
         self._lengths[-1] = 1  # -1: a character without a piece
-        self._width = v.longest
-        self._low = self._keys([self._symbols(p) for p in normal], 0)
-        self._high = self._keys([self._symbols(p) for p in normal], 0xFFFF)
-        self._pairs: dict[int, bool] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self._unit: dict[str, int] = {}
-        self._start, self._size, self._pool, self._filled = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.int32), 0
-
-    def _symbols(self, text: str) -> np.ndarray:
-        """Characters as 2 and up in the order of their code points; 1 for those that no piece holds."""
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        at = np.minimum(np.searchsorted(self._codes, codes), len(self._codes) - 1)
-        return np.where(self._codes[at] == codes, at + 2, 1)
-
-    def _keys(self, symbols: list[np.ndarray], fill: int) -> np.ndarray:
-        out = np.full((len(symbols), self._width), fill, ">u2")
-        for row, s in zip(out, symbols, strict=True):
-            row[: len(s)] = s
-        return out.view(f"S{2 * self._width}").ravel()
-
-    def _edges(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Start and piece id of every occurrence of every piece in the text, by its suffix array."""
-        symbols = np.concatenate((self._symbols(text), np.zeros(self._width, np.int64))).astype(">u2")
-        suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(symbols, self._width)[:-1]).view(f"S{2 * self._width}").ravel()
-        order = np.argsort(suffixes, kind="stable")
-        ranked = suffixes[order]
-        low, high = np.searchsorted(ranked, self._low), np.searchsorted(ranked, self._high, "right")
-        n = high - low
-        at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        return order[at], np.repeat(self._ids, n)
-
-    def _beside(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether the pieces may stand side by side; characters without a piece (-1) always may."""
-        key = left.astype(np.int64) << 32 | right.astype(np.int64) & 0xFFFFFFFF
-        different, back = np.unique(key, return_inverse=True)
-        known, pieces = self._pairs, self.vocabulary.pieces
-        for k in different.tolist():
-            if k not in known:
-                a, b = k >> 32, k & 0xFFFFFFFF
-                known[k] = a < 0 or b == 0xFFFFFFFF or self.vocabulary.merged(pieces[a] + pieces[b]) == [pieces[a], pieces[b]]
-        return np.fromiter(map(known.__getitem__, different.tolist()), bool, len(different))[back]
-
-    def _solve(self, units: list[str]) -> None:
-        """Encode the units together and remember their pieces."""
-        text, lengths = "\0".join(units), np.fromiter(map(len, units), np.int64, len(units))
-        begins = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-        start, piece = self._edges(text)
-        unit_of = np.repeat(np.arange(len(units)), lengths + 1)[: len(text)]
-        plain = np.ones(len(text), bool)
-        plain[begins[1:] - 1] = False
-        lone = np.flatnonzero((self._symbols(text) == 1) & plain)
-        inside = plain[start]
-        start, piece = np.concatenate((start[inside], lone)), np.concatenate((piece[inside], np.full(len(lone), -1)))
+        self._width = FIRST
+        while self._width < v.longest:
+            self._width *= 2
+        symbols = np.zeros((len(normal), self._width), np.uint64)
+        for row, p in zip(symbols, normal, strict=True):
+            row[: len(p)] = self._symbol(_codes(p))
+        self._sizes = np.fromiter(map(len, normal), np.int64, len(normal))
+        groups = symbols.reshape(len(normal), -1, FIRST)
+        fill = np.uint64((1 << BITS) - 1)
+        self._low, self._high = _packed(groups), _packed(np.where(groups == 0, fill, groups))
+        self._pairs = _Pairs(self._fits)
+
+    def _fits(self, key: int) -> bool:
+        """Whether two pieces may stand side by side; characters without a piece (-1) always may."""
+        a, b = (key >> 20) - 1, (key & 0xFFFFF) - 1
+        pieces = self.vocabulary.pieces
+        return a < 0 or b < 0 or self.vocabulary.merged(pieces[a] + pieces[b]) == [pieces[a], pieces[b]]
+
+    def _edges(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and piece id of every occurrence of every piece in the symbols, by their suffix array."""
+        n = len(symbols)
+        padded = np.concatenate((symbols, np.zeros(FIRST, symbols.dtype))).astype(np.uint64)
+        key = _packed(np.lib.stride_tricks.sliding_window_view(padded, FIRST)[:n])
+        order, rank, distinct, first = _ranked(key)
+        some = np.arange(len(self._ids))  # pieces that may still occur
+        low, high = np.searchsorted(distinct, self._low[:, 0]), np.searchsorted(distinct, self._high[:, 0], "right")
+        some = some[low < high]
+        found = {0: (low[some], high[some])}  # by the group of characters: ranks that begin with it
+        for g in range(1, self._width // FIRST):
+            low, high = np.zeros(len(some), np.int64), np.full(len(some), len(distinct))
+            on = self._sizes[some] > g * FIRST
+            low[on], high[on] = np.searchsorted(distinct, self._low[some[on], g]), np.searchsorted(distinct, self._high[some[on], g], "right")
+            found[g] = low, high
+        width = FIRST
+        while width < self._width:
+            after = np.concatenate((rank[width:] + 1, np.zeros(min(width, n), np.int64)))[:n]  # 0: beyond the end
+            order, rank, distinct, first = _ranked(rank.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64))
+            joined = {}
+            for g in range(0, len(found), 2):
+                (a, b), (c, d) = found[g], found[g + 1]
+                whole = self._sizes[some] > g // 2 * 2 * width + width  # the second group has characters, so the first is full
+                begin = a.astype(np.uint64) << np.uint64(32) | np.where(whole, c + 1, 0).astype(np.uint64)
+                end = np.where(whole, a, b - 1).clip(0).astype(np.uint64) << np.uint64(32) | np.where(whole, d, 0xFFFFFFFF).astype(np.uint64)
+                low, high = np.searchsorted(distinct, begin), np.searchsorted(distinct, end, "right")
+                none = (a >= b) | whole & (c >= d)
+                joined[g // 2] = np.where(none, 0, low), np.where(none, 0, high)
+            keep = joined[0][0] < joined[0][1]
+            some, found = some[keep], {g: (x[keep], y[keep]) for g, (x, y) in joined.items()}
+            width *= 2
+        low, high = found[0]
+        begin, times = first[low], first[high] - first[low]
+        return order[_ranges(begin, times)], np.repeat(self._ids[some], times)
+
+    def _solved(self, codes: np.ndarray, gaps: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the characters' pieces in order, and the place where each ends; gaps: characters between texts."""
+        symbols = self._symbol(codes)
+        symbols[gaps] = 0
+        start, piece = self._edges(symbols)
+        lone = np.flatnonzero(symbols == 1).astype(start.dtype)
+        start, piece = np.concatenate((start, lone)), np.concatenate((piece, np.full(len(lone), -1, np.int32)))
+        unit = np.cumsum(begins) - 1
+        at = np.flatnonzero(begins)
+        from_ = start - at[unit[start]]
         end = start + self._lengths[piece]
-        offset = end - begins[unit_of[start]]
-        order = np.argsort(offset, kind="stable")
-        start, piece, end = start[order], piece[order].astype(np.int32), end[order]
-        first = start == begins[unit_of[start]]
-        last = np.full(len(text) + 1, -2, np.int32)  # the last piece of the prefix that ends here
+        offset = from_ + self._lengths[piece]
+        order = np.argsort(offset.astype(np.uint16), kind="stable") if not len(offset) or offset.max() < 1 << 16 else np.argsort(offset, kind="stable")
+        start, piece, end, from_ = start[order], piece[order], end[order], from_[order]
+        last = np.full(len(codes) + 1, -2, np.int32)  # the last piece of the prefix that ends here
         for a, b in zip(*_groups(offset[order]), strict=True):
-            s, p = start[a:b], piece[a:b]
-            fits = first[a:b].copy()
-            if rest := np.flatnonzero(~fits & (last[s] != -2)).tolist():
-                fits[rest] = self._beside(last[s[rest]], p[rest])
+            p = piece[a:b]
+            before = last[start[a:b]]
+            fits = from_[a:b] == 0
+            rest = np.flatnonzero(~fits & (before != -2))
+            fits[rest] = self._pairs((before[rest].astype(np.int64) + 1) << 20 | (p[rest].astype(np.int64) + 1))
             last[end[a:b][fits]] = p[fits]
-        at, who, found = begins + lengths, np.arange(len(units)), []
-        while len(at):
-            token = last[at]
-            found.append((who, token, at))
-            at = at - self._lengths[token]
-            on = at > begins[who]
-            at, who = at[on], who[on]
-        who, token, at = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((at, who))
-        who, token, at = who[order], token[order], at[order]
+        ends = np.concatenate((at[1:], [len(codes)]))
+        real = symbols[at] != 0
+        at, walk = at[real], ends[real]
+        chosen = np.zeros(len(codes) + 1, bool)
+        while len(walk):
+            chosen[walk] = True
+            walk = walk - self._lengths[last[walk]]
+            on = walk > at
+            at, walk = at[on], walk[on]
+        place = np.flatnonzero(chosen)
+        return last[place], place
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, and how many each text has."""
+        whole = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+        codes = _codes("\0".join(whole))
+        gaps = np.cumsum(sizes + 1)[:-1] - 1
+        kind = self._kind(codes)
+        before = np.concatenate(([3], kind[:-1]))
+        begins = (kind == 3) | (before == 3) | (kind == 2) & (before != 2) | (kind == 0) & (before == 1)
+        begins[gaps] = True
+        begins[gaps[gaps + 1 < len(codes)] + 1] = True
+        cuts, starts = [0], np.flatnonzero(begins)
+        while cuts[-1] < len(codes):
+            k = np.searchsorted(starts, cuts[-1] + BLOCK)
+            cuts.append(int(starts[k]) if k < len(starts) else len(codes))
+        found = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            inside = gaps[np.searchsorted(gaps, a) : np.searchsorted(gaps, b)] - a
+            token, place = self._solved(codes[a:b], inside, begins[a:b])
+            found.append((token, place + a))
+        token, place = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        times = np.ones(len(token), np.int64)
         if len(none := np.flatnonzero(token < 0)):  # the bytes of characters without a piece
-            spelt = [[self.vocabulary.byte_ids[x] for x in text[i - 1].encode("utf-8", "replace")] for i in at[none].tolist()]
-            times = np.ones(len(token), np.int64)
+            spelt = [[self.vocabulary.byte_ids[x] for x in chr(c).encode("utf-8", "replace")] for c in codes[place[none] - 1].tolist()]
             times[none] = list(map(len, spelt))
             bytes_at = np.repeat(token < 0, times)
-            who, token = np.repeat(who, times), np.repeat(token, times)
+            token = np.repeat(token, times)
             token[bytes_at] = [x for s in spelt for x in s]
-        self._remember(units, token, np.bincount(who, minlength=len(units)))
-
-    def _remember(self, units: list[str], token: np.ndarray, n: np.ndarray) -> None:
-        known, at = len(self._unit), self._filled
-        self._start, self._size = _grown(self._start, known + len(units)), _grown(self._size, known + len(units))
-        self._pool = _grown(self._pool, at + len(token))
-        self._start[known : known + len(units)] = at + np.concatenate(([0], np.cumsum(n)[:-1]))
-        self._size[known : known + len(units)] = n
-        self._pool[at : at + len(token)] = token
-        self._filled += len(token)
-        self._unit.update(zip(units, range(known, known + len(units)), strict=True))
+        upto = np.concatenate(([0], np.cumsum(times)))[np.searchsorted(place, np.cumsum(sizes + 1) - 1, "right")]
+        return token.astype(np.int64), np.diff(upto, prepend=0)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts one after the other, and how many each text has."""
-        if len(self._unit) > REMEMBERED:
-            self._forget()
-        find, known = self._units.findall, self._unit
-        split = [find(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = set(chain.from_iterable(split)).difference(known)
-        if new:
-            self._solve(sorted(new))
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        index = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        n, start = self._size[index], self._start[index]
-        ids = self._pool[_ranges(start, n)]
-        return ids, np.bincount(np.repeat(np.arange(len(texts)), counts), n, len(texts)).astype(np.int64)
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(vocabulary: Vocabulary) -> Encoder:
+    """The process's encoder for a vocabulary: made once, so that a worker's tasks share it."""
+    if vocabulary.name not in _ENCODERS:
+        _ENCODERS[vocabulary.name] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary.name]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _packed(groups: np.ndarray) -> np.ndarray:
+    """FIRST symbols of the last axis as one number, in the order of the symbols."""
+    out = groups[..., 0].astype(np.uint64)
+    for k in range(1, FIRST):
+        out = out << np.uint64(BITS) | groups[..., k]
+    return out
+
+
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The places in the order of their keys, each place's rank, the distinct keys, and where each begins in the order (and the end)."""
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(key)]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return order, rank, ranked[first], np.concatenate((first, [len(key)]))
 
 
 class Decoder:
@@ -237,10 +354,6 @@ def _groups(x: np.ndarray) -> tuple[list[int], list[int]]:
     return [0, *cut], [*cut, len(x)]
 
 
-def _grown(x: np.ndarray, size: int) -> np.ndarray:
-    return x if len(x) >= size else np.concatenate((x, np.zeros(max(size, 2 * len(x)) - len(x), x.dtype)))
-
-
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... of each range, n of them, one range after the other."""
     before = np.cumsum(n) - n
@@ -252,9 +365,9 @@ def encode(docs: DataFrame, path: str = MODEL, batch: int = 1024) -> DataFrame:
     vocabulary = Vocabulary.load(path)
 
     def encoded(batches):
-        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        encoder, decoder = encoder_of(vocabulary), Decoder(vocabulary)
         for rows in batches:
-            for part in parts(rows, batch):
+            for part in parts(rows, batch, BLOCK):
                 texts = part.column("text").to_pylist()
                 ids, n = encoder.encode([t or "" for t in texts])
                 back = decoder.decode(ids, n)
