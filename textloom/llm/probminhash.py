@@ -44,7 +44,7 @@ WIDTH, SIMILARITY = 5, 0.8
 ROWS, BANDS = 6, 24
 SLOTS = ROWS * BANDS
 MEMO = 400_000
-BLOCK, COLUMNS, ELEMENTS = 1024, 4096, 1 << 20
+BLOCK, COLUMNS, ELEMENTS = 512, 4096, 1 << 20
 FINE, FINE_ROWS = 28, 5
 
 _U = np.uint64
