@@ -147,17 +147,17 @@ def frame(spark, v):
     return spark.createDataFrame([(i, [float(x) for x in row], "x") for i, row in enumerate(v)], "vec_id long, embedding array<float>, score string")
 
 
-def test_one_list_is_exact_and_ties_go_to_smaller_ids(spark):
+def test_every_list_probed_is_exact_and_ties_go_to_smaller_ids(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ERROR", 0.0)
     v = np.random.default_rng(1).standard_normal((300, 16)).astype(np.float32)
     v[50:120] = v[7]
-    got = ann.search(frame(spark, v), every=10, k=20).toPandas().sort_values(["query_id", "rank"])
+    got = ann.search(frame(spark, v), every=10, k=20, recall=1.0).toPandas().sort_values(["query_id", "rank"])
     want = exact(v.astype(float), np.arange(300), 10, 20)
     assert {q: g["vec_id"].tolist() for q, g in got.groupby("query_id")} == want
     assert all(abs(r.score - float(v[r.query_id].astype(float) @ v[r.vec_id].astype(float))) < 1e-12 for r in got.itertuples())
 
 
 def test_recall_over_lists_and_tiles(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SMALL", 100)
     monkeypatch.setattr(ann, "TILE_ROWS", 64)
     monkeypatch.setattr(ann, "TILE_QUERIES", 16)
     draws = np.random.default_rng(2)
@@ -170,6 +170,28 @@ def test_recall_over_lists_and_tiles(spark, monkeypatch):
     assert len(hits) == 150 and np.mean(hits) >= 0.9 and (got.groupby("query_id").size() == 20).all()
 
 
+def test_recall_at_several_sizes(spark):
+    for path, least in (("sf0.001", 0.95), ("sf0.1", 0.95)):
+        table = spark.read.parquet(f"/root/testdata/{path}/embeddings.parquet")
+        rows = table.toPandas().sort_values("vec_id")
+        v, ids = np.stack(rows["embedding"]).astype(float), rows["vec_id"].to_numpy()
+        got = {q: set(g["vec_id"]) for q, g in ann.search(table).toPandas().groupby("query_id")}
+        want = exact(v, ids, 20, 20)
+        assert set(got) == set(want) and np.mean([len(got[q] & set(want[q])) / 20 for q in want]) >= least
+
+
+def test_the_scan_abandons_early_and_loses_nothing():
+    draws = np.random.default_rng(6)
+    v = draws.standard_normal((30, 64))[draws.integers(0, 30, 4000)] + 0.5 * draws.standard_normal((4000, 64))
+    space = ann.Space.fit(v, float(np.linalg.norm(v, axis=1).max()), 20)
+    space.trial(v, 20, 0.97)
+    rows, asked = space.rows(v), space.queries(v[:100])
+    q, r, work = ann.scan(rows, asked, 21, space.bound(asked, 21), space.shares)
+    found = set(zip(q.tolist(), r.tolist()))
+    want = {(i, int(j)) for i in range(100) for j in np.argsort(-(v @ v[i]))[:20]}
+    assert len(want & found) >= 0.99 * len(want) and work < 0.5 * 100 * 4000 * 65
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, None]), (6, [3.0, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0])]

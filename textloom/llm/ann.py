@@ -1,12 +1,16 @@
 """Approximate nearest neighbours by inner product: inverted lists scanned with adaptive dimensions.
 
 Vectors get one more component so that the largest inner product is the smallest distance (all then have one length),
-and a random rotation. Centroids are fitted by k-means on a bounded sample; every vector goes to its nearest list and
+and a rotation into the principal axes of the differences between queries and rows, so the first columns tell most.
+Centroids are fitted by k-means on a bounded sample: as many lists as the root of the number of rows, at every size, until
+the sample of MAX_SAMPLE rows allows no more (PER_LIST rows for each list). Every vector goes to its nearest list and
 every query probes its nearest lists: as many as held a share RECALL of the true neighbours of TRIALS sample rows, found by
 brute force in the sample (and more, if those hold too few rows). Inside a list distances are summed
-over blocks of columns. After each block a hypothesis test compares the distance extrapolated from the columns seen
-with the bound of the k-th best: rotated, a partial distance over d of D columns estimates the whole within a relative
-error of EPSILON / sqrt(d), and candidates that fail the test are abandoned early. Survivors are scored exactly, in
+over blocks of columns. After each block a hypothesis test abandons candidates early: that a candidate is no farther than
+the k-th best found is rejected if its distance over the columns seen exceeds the share of the bound that, among the trial
+rows' true neighbours, only one of 1 / ERROR pairs exceeds. The bound is the smaller one of the k-th distance among the
+candidates that look best in the list and the one among ANCHORS rows of the sample in the probed lists, SPARE places further
+down, so that a wrong rejection doesn't shorten a result. Survivors are scored exactly, in
 double precision on the original vectors.
 
 Lists and queries meet in tiles of at most about TILE_ROWS rows by TILE_QUERIES queries, so no list, however
@@ -27,9 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SAMPLE, MAX_LISTS, RECALL, TRIALS, K, EPSILON, BLOCKS = 20_000, 1024, 0.97, 256, 20, 2.1, (16, 24, 32, 48)
-TILE_ROWS, TILE_QUERIES, ITERATIONS, SEED, FEW, SEEDS = 65_536, 16_384, 12, 11, 0.05, 8
-SMALL = 5_000  # below so many rows there is one list
+SAMPLE, MAX_SAMPLE, PER_LIST, RECALL, TRIALS, ANCHORS, K, ERROR, BLOCKS = 20_000, 100_000, 16, 0.97, 256, 2_000, 20, 1e-3, (8, 16, 24, 32, 48)
+TILE_ROWS, TILE_QUERIES, ITERATIONS, SEED, FEW, SEEDS, SPARE = 65_536, 16_384, 12, 11, 0.15, 4, 6
 
 
 def usable(embeddings: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -45,17 +48,22 @@ def _matrix(column, dimension: int) -> np.ndarray:
 
 
 class Space:
-    """The added component, the rotation and the lists' centroids."""
+    """The added component, the rotation, the lists' centroids, and what bounds and tests need."""
 
     def __init__(self, dimension: int, longest: float, rotation: np.ndarray, centroids: np.ndarray):
         self.dimension, self.longest, self.rotation, self.centroids = dimension, longest, rotation, centroids
+        self.anchors, self.shares = np.zeros((0, dimension + 1), np.float32), np.ones(dimension + 2)  # the share by number of columns
 
     @classmethod
     def fit(cls, sample: np.ndarray, longest: float, n_lists: int) -> Space:
         draws = np.random.default_rng(SEED)
         dimension = sample.shape[1]
-        rotation, _ = np.linalg.qr(draws.standard_normal((dimension + 1, dimension + 1)))
-        space = cls(dimension, longest, rotation.astype(np.float32), np.zeros((1, dimension + 1), np.float32))
+        space = cls(dimension, longest, np.eye(dimension + 1, dtype=np.float32), np.zeros((1, dimension + 1), np.float32))
+        rows, asked = space.rows(sample).astype(float), space.queries(sample).astype(float)
+        gap = rows.mean(0) - asked.mean(0)
+        centred = [x - x.mean(0) for x in (rows, asked)]
+        spread = sum(x.T @ x for x in centred) / len(sample) + np.outer(gap, gap)  # second moments of the differences
+        space.rotation = np.ascontiguousarray(np.linalg.eigh(spread)[1][:, ::-1].astype(np.float32))
         points = space.rows(sample)
         centroids = points[draws.choice(len(points), min(n_lists, len(points)), replace=False)]
         for _ in range(ITERATIONS):
@@ -65,18 +73,37 @@ class Space:
             np.add.at(sums, near, points)
             centroids = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centroids)
         space.centroids = centroids.astype(np.float32)
+        space.anchors = points[:ANCHORS]
         return space
 
-    def probes(self, sample: np.ndarray, k: int, recall: float) -> int:
-        """How many lists hold the share `recall` of the true neighbours of the sample's first rows."""
+    def trial(self, sample: np.ndarray, k: int, recall: float) -> int:
+        """Learn the tests' shares from the true neighbours of the sample's first rows; how many lists hold the share `recall` of them."""
         points, asked = self.rows(sample), self.queries(sample[:TRIALS])
         scores = sample[:TRIALS] @ sample.T
         scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
         true = np.argsort(-scores, axis=1)[:, : min(k, len(sample) - 1)]
+        if not true.size:
+            return 1
+        upto = np.cumsum((points[true] - asked[:, None]) ** 2, axis=2).reshape(-1, points.shape[1])
+        shares = np.quantile(upto / np.maximum(upto[:, -1:], 1e-12), 1 - ERROR, axis=0)
+        self.shares = np.append(0.0, np.minimum(1.0, shares))
         order = self.order(asked)
         place = np.empty_like(order)
         np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), 1)
-        return int(np.quantile(np.take_along_axis(place, self.nearest(points, self.centroids)[true], 1), recall)) + 1 if true.size else 1
+        return int(np.quantile(np.take_along_axis(place, self.nearest(points, self.centroids)[true], 1), recall)) + 1
+
+    def bound(self, queries: np.ndarray, k: int, probed: np.ndarray | None = None) -> np.ndarray:
+        """The distance of the k-th nearest anchor in the probed lists (a row of booleans for each query): no less than that of
+        the k-th nearest row there; infinite where they hold fewer."""
+        if len(self.anchors) < k:
+            return np.full(len(queries), np.inf)
+        own, out = self.nearest(self.anchors, self.centroids), []
+        for a in range(0, len(queries), 1024):
+            far = _distances(queries[a : a + 1024], self.anchors)
+            if probed is not None:
+                far[~probed[a : a + 1024][:, own]] = np.inf
+            out.append(np.partition(far, k - 1, axis=1)[:, k - 1])
+        return np.concatenate([*out, np.zeros(0)])
 
     def order(self, queries: np.ndarray) -> np.ndarray:
         """The lists of each query, nearest first."""
@@ -97,38 +124,48 @@ class Space:
         return np.hstack([unit, np.zeros((len(v), 1))]).astype(np.float32) @ self.rotation
 
 
-def scan(rows: np.ndarray, queries: np.ndarray, k: int, epsilon: float = EPSILON, blocks=BLOCKS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) that survive the adaptive scan: with them are the k nearest rows of each query.
+def _distances(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Squared distances by one matrix product; rounding may bring them a little below 0."""
+    return (rows**2).sum(1)[None] + (queries**2).sum(1)[:, None] - 2 * queries @ rows.T
 
-    While many candidates live, a block's part of all distances is one matrix product; once fewer than FEW of them do,
-    only theirs are computed.
+
+def scan(rows: np.ndarray, queries: np.ndarray, k: int, bounds: np.ndarray | None = None, shares: np.ndarray | None = None, blocks=BLOCKS) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs (query, row) that survive the adaptive scan: with them are the k nearest rows of each query; and the columns summed.
+
+    bounds: what each query's k-th distance doesn't exceed anyway. While many candidates live, a block's part of all
+    distances is one matrix product (of the rows that still live for any query); once fewer than FEW do, only theirs are computed.
     """
     d, n = rows.shape[1], len(rows)
-    if n <= k:
-        return np.repeat(np.arange(len(queries)), n), np.tile(np.arange(n), len(queries))
+    shares = np.ones(d + 1) if shares is None else shares
     ends = [b for b in blocks if b < d] + [d]
-    part = lambda a, b: (rows[:, a:b] ** 2).sum(1)[None] + (queries[:, a:b] ** 2).sum(1)[:, None] - 2 * queries[:, a:b] @ rows[:, a:b].T
-    so_far = part(0, ends[0])
-    few = min(n, SEEDS * k)
-    seeds = np.argpartition(so_far, few - 1, axis=1)[:, :few]
-    bound = np.partition(((rows[seeds] - queries[:, None]) ** 2).sum(2), k - 1, axis=1)[:, k - 1] * (1 + 1e-4) + 1e-5  # no less than the k-th distance
-    limit = lambda end: bound if end == d else np.minimum(bound, bound * end / d * (1 + epsilon / np.sqrt(end)) ** 2)
-    alive, done = so_far <= limit(ends[0])[:, None], ends[0]
-    while done < d and np.count_nonzero(alive) > FEW * alive.size:
+    so_far, work = _distances(queries[:, : ends[0]], rows[:, : ends[0]]), len(queries) * n * ends[0]
+    bound = np.full(len(queries), np.inf) if bounds is None else bounds.astype(float)
+    if n > k:
+        few = min(n, SEEDS * k)
+        seeds = np.argpartition(so_far, few - 1, axis=1)[:, :few]
+        last = min(few, k + SPARE) - 1
+        bound = np.minimum(bound, np.partition(((rows[seeds] - queries[:, None]) ** 2).sum(2), last, axis=1)[:, last])
+    bound = bound * (1 + 1e-4) + 1e-5  # no less than the k-th distance, for all rounding
+    alive = so_far <= (bound * shares[ends[0]] + 1e-5)[:, None]
+    done, live = ends[0], np.arange(n)
+    while done < d and (left := np.count_nonzero(alive)) and left > FEW * alive.size:
+        some = alive.any(0)
+        if not some.all():
+            live, so_far, alive = live[some], so_far[:, some], alive[:, some]
         end = ends[ends.index(done) + 1]
-        so_far += part(done, end)
-        alive &= so_far <= limit(end)[:, None]
+        so_far = so_far + _distances(queries[:, done:end], rows[live, done:end])
+        work += so_far.size * (end - done)
+        alive &= so_far <= (bound * shares[end] + 1e-5)[:, None]
         done = end
     q, r = np.nonzero(alive)
-    so_far = so_far[q, r]
+    so_far, r = so_far[q, r], live[r]
     for start, end in zip(ends, ends[1:], strict=False):
-        if start < done:
-            continue
-        gap = rows[r, start:end] - queries[q, start:end]
-        so_far = so_far + (gap * gap).sum(1)
-        on = so_far <= limit(end)[q]
-        q, r, so_far = q[on], r[on], so_far[on]
-    return q, r
+        if start >= done:
+            work += len(q) * (end - start)
+            so_far = so_far + ((rows[r, start:end] - queries[q, start:end]) ** 2).sum(1)
+            on = so_far <= bound[q] * shares[end] + 1e-5
+            q, r, so_far = q[on], r[on], so_far[on]
+    return q, r, work
 
 
 def search(embeddings: DataFrame, every: int = 20, k: int = K, recall: float = RECALL) -> DataFrame:
@@ -142,11 +179,13 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K, recall: float = R
     total, longest = points.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     if not total:
         return spark.createDataFrame([], schema)
-    sample = points.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(SAMPLE).toPandas()["v"]
+    lists = max(1, int(np.sqrt(total)))
+    wanted = min(MAX_SAMPLE, max(SAMPLE, PER_LIST * lists))
+    sample = points.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(wanted).toPandas()["v"]
     sizes = sample.map(len)
     dimension = int(sizes.mode().iloc[0])
     sample = np.stack(sample[sizes == dimension])
-    space = Space.fit(sample, float(np.sqrt(longest)) or 1.0, 1 if total < SMALL else min(MAX_LISTS, int(np.sqrt(total))))
+    space = Space.fit(sample, float(np.sqrt(longest)) or 1.0, min(lists, max(1, MAX_SAMPLE // PER_LIST)))
     points = points.where(F.size("v") == dimension)
 
     def listed(batches):
@@ -159,7 +198,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K, recall: float = R
     held = np.zeros(n_lists, np.int64)
     for r in rows.groupBy("list").count().collect():
         held[r["list"]] = r["count"]
-    least = space.probes(sample, k, recall)
+    least = space.trial(sample, k, recall)
 
     def probed(batches):
         for batch in batches:
@@ -168,28 +207,31 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K, recall: float = R
             enough = np.maximum(least, (held[order].cumsum(1) <= k + 1).sum(1) + 1)
             chosen = np.arange(n_lists)[None] < enough[:, None]
             at = np.nonzero(chosen)[0]
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at)) for c in ("vec_id", "v")] + [pa.array(order[chosen].astype(np.int32))], names=["query_id", "v", "list"])
+            inside = np.zeros_like(chosen)
+            np.put_along_axis(inside, order, chosen, 1)
+            bound = space.bound(q, k + 1 + SPARE, inside)[at]
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at)) for c in ("vec_id", "v")] + [pa.array(bound.astype(float)), pa.array(order[chosen].astype(np.int32))], names=["query_id", "v", "bound", "list"])
 
-    asked = materialise(rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(probed, "query_id long, v array<double>, list int"))
+    asked = materialise(rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(probed, "query_id long, v array<double>, bound double, list int"))
     asking = np.zeros(n_lists, np.int64)
     for r in asked.groupBy("list").count().collect():
         asking[r["list"]] = r["count"]
     cuts = spark.createDataFrame([(i, int(-(-held[i] // TILE_ROWS)) or 1, int(-(-asking[i] // TILE_QUERIES)) or 1) for i in range(n_lists)], "list int, rows_cut int, queries_cut int")
-    cuts = F.broadcast(cuts)  # a row for each list, MAX_LISTS at most
+    cuts = F.broadcast(cuts)  # a row for each list, MAX_SAMPLE / PER_LIST at most
     part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.join(cuts, "list").select("vec_id", "v", "list", part("vec_id", "rows_cut").alias("a"), spread("queries_cut").alias("b"))
-    right = asked.join(cuts, "list").select("query_id", "v", "list", spread("rows_cut").alias("a"), part("query_id", "queries_cut").alias("b"))
+    right = asked.join(cuts, "list").select("query_id", "v", "bound", "list", spread("rows_cut").alias("a"), part("query_id", "queries_cut").alias("b"))
 
     def tile(one: pa.Table, other: pa.Table) -> pa.Table:
         found: list = []
         if one.num_rows and other.num_rows:
             vectors, asks = _matrix(one["v"], dimension), _matrix(other["v"], dimension)
-            ids, own = one["vec_id"].to_numpy(), other["query_id"].to_numpy()
+            ids, own, bounds = one["vec_id"].to_numpy(), other["query_id"].to_numpy(), other["bound"].to_numpy()
             turned, asked_ = space.rows(vectors), space.queries(asks)
             step = min(256, max(1, (1 << 22) // len(ids)))
             for at in range(0, len(own), step):
-                q, r = scan(turned, asked_[at : at + step], k + 1)
+                q, r, _ = scan(turned, asked_[at : at + step], k + 1, bounds[at : at + step], space.shares)
                 on = ids[r] != own[at + q]
                 q, r = q[on] + at, r[on]
                 score = np.concatenate([np.einsum("ij,ij->i", asks[q[a : a + 65536]], vectors[r[a : a + 65536]]) for a in range(0, len(q), 65536)] or [np.zeros(0)])
