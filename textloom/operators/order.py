@@ -1,12 +1,19 @@
 """Running sums and prefixes over a global order, without gathering rows in one task.
 
-Rows are cut into blocks of neighbours by a range partitioning; only one sum for each block goes through a single task.
+Rows are range-partitioned by the order, so hashed, sparse or repeated keys make no difference; only one sum for each
+partition goes through a single task.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.shared import materialise, unused
 
 BLOCK = 1 << 16
 
@@ -15,28 +22,62 @@ def block(key: str, size: int = BLOCK) -> Column:
     return F.floor(F.col(key) / size)
 
 
-def running_before(df: DataFrame, key: str, value: str, out: str, size: int = BLOCK) -> DataFrame:
-    """df with `out`: the sum of `value` over all rows before this one in the order of the whole number `key`.
+def _sums_of(values: list[str], part: str, names: list[str]):
+    """A function of Arrow batches that adds the partition's number and the sums over the partition's earlier rows."""
+
+    def summed(batches):
+        from pyspark import TaskContext
+
+        held, number = [0] * len(values), TaskContext.get().partitionId()
+        for batch in batches:
+            added = [pa.array(np.full(batch.num_rows, number, np.int64))]
+            for k, v in enumerate(values):
+                own = pc.fill_null(batch.column(v).cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+                upto = np.cumsum(own) + held[k]
+                added.append(pa.array(upto - own))
+                held[k] = int(upto[-1]) if len(upto) else held[k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, part, *names])
+
+    return summed
+
+
+def running_before(df: DataFrame, order: list[str | Column], sums: dict[str, str]) -> DataFrame:
+    """df with, for each new column of `sums`, the sum of a whole-number column over all rows before this one in the order.
 
-    Blocks are ranges of `size` keys; rows of equal keys take any order among themselves.
+    Rows that are equal in the order stand in any order among themselves, the same for all sums; they share a partition,
+    so an order with a last column that tells rows apart splits them. Null values count as 0. The result is written.
     """
-    df = df.withColumn("_block", block(key, size))
-    sums = df.groupBy("_block").agg(F.sum(value).alias("_sum"))
-    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
-    starts = sums.select("_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return df.join(starts, "_block").withColumn(out, (F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long")).drop("_block", "_before")
+    part = unused("part", df)
+    inside = {out: unused(f"inside_{out}", df) for out in sums}
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    added = [T.StructField(c, T.LongType()) for c in (part, *inside.values())]
+    rows = materialise(placed.mapInArrow(_sums_of(list(sums.values()), part, list(inside.values())), T.StructType([*df.schema.fields, *added])))
+    whole = rows.groupBy(part).agg(*[F.sum(value).alias(inside[out]) for out, value in sums.items()])
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = whole.select(part, *[F.coalesce(F.sum(inside[out]).over(earlier), F.lit(0)).alias(out) for out in sums])
+    joined = rows.join(F.broadcast(starts), part)  # as many rows as shuffle partitions
+    return joined.select(*df.columns, *[(F.col(out) + F.col(inside[out])).cast("long").alias(out) for out in sums])
 
 
-def first_kept(df: DataFrame, order: list[str], kept: str, n: int) -> DataFrame:
+def first_kept(df: DataFrame, order: list[str], kept: str, n: int, size: int = BLOCK) -> DataFrame:
     """The rows up to the n-th kept one in the order: those before which fewer than n rows are kept.
 
-    The n-th kept row's order is found first (a bounded top-n of keys), then rows are filtered by it.
+    The order's last column is a whole number, such as a line's. Kept rows are counted for blocks of `size` of its values; blocks
+    before the one with the n-th stay whole, and only that block's rows are ranked.
     """
     if n <= 0:
         return df.limit(0)
-    last = df.where(kept).select(*order).orderBy(*order).limit(n)
-    found = last.agg(F.count("*").alias("n"), F.max(F.struct(*order)).alias("last")).first()
-    if found["n"] < n:
+    *major, minor = order
+    number, ranked = unused("block", df), unused("ranked", df)
+    rows = df.withColumn(number, F.floor(F.col(minor) / size))
+    counts = rows.groupBy(*major, number).agg(F.count_if(kept).alias("n"))
+    earlier = Window.orderBy(*major, number).rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    last = counts.where((F.col("before") < n) & (F.col("before") + F.col("n") >= n)).orderBy(*major, number).first()
+    if last is None:
         return df
-    return df.where(F.struct(*order) <= F.struct(*[F.lit(found["last"][c]).alias(c) for c in order]))
+    place = F.struct(*major, number)
+    at = F.struct(*[F.lit(last[c]).cast(rows.schema[c].dataType).alias(c) for c in (*major, number)])
+    inside = Window.orderBy(minor).rowsBetween(Window.unboundedPreceding, -1)  # the rows of one block
+    tail = rows.where(place == at).withColumn(ranked, F.coalesce(F.count_if(kept).over(inside), F.lit(0))).where(F.col(ranked) < n - last["before"])
+    return rows.where(place < at).select(*df.columns).unionByName(tail.select(*df.columns))

@@ -1,7 +1,8 @@
 """The flat token stream of a corpus, its split, its windows and batches.
 
-A document's place is the number of tokens before it, by block-wise running sums over document lengths, so no task sees
-more than a block of lengths, and tokens are placed without a sort or a shuffle of the stream.
+A document's place is the number of tokens before it, by running sums over range partitions, so tokens are placed without
+a sort of the stream: documents are shuffled and written once, whole. Batches and windows slice documents; only stored
+streams are handled token by token.
 """
 
 from __future__ import annotations
@@ -9,19 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialise
 from .order import running_before
 
 
 def placed(encoded: DataFrame, eot: int | None = None) -> DataFrame:
-    """(start, doc_id, ids): each document's tokens and the position of its first, in the order of doc_id.
+    """(start, n, doc_id, ids): each document's tokens, their number and the position of the first, in the order of doc_id.
 
-    Encoding is the costly part and its result is needed twice (lengths, then tokens), so it is written once.
+    Rows of one id are documents of their own, in the order of a hash of their tokens; those without an id come last.
+    Null ids of tokens count as none. The result is written, since it is read for numbers and for tokens.
     """
     ids = F.col("ids") if eot is None else F.concat("ids", F.array(F.lit(eot)))
-    sized = materialise(encoded.select("doc_id", ids.alias("ids")).withColumn("_n", F.size("ids")))
-    starts = running_before(sized.select("doc_id", "_n").groupBy("doc_id").agg(F.sum("_n").alias("_n")), "doc_id", "_n", "start")
-    return sized.join(starts.select("doc_id", "start"), "doc_id").select("start", "doc_id", "ids")
+    sized = encoded.select("doc_id", F.coalesce(ids, F.array().cast(encoded.schema["ids"].dataType)).alias("ids")).withColumn("n", F.size("ids").cast("long"))
+    return running_before(sized, [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("ids")], {"start": "n"}).select("start", "n", "doc_id", "ids")
+
+
+def first_documents(docs: DataFrame, least: Column, n: int) -> DataFrame:
+    """The documents, in the order of placed ones, that hold the first n tokens, and perhaps some more.
+
+    least: at least so many tokens a document has (its pretokens, say), so the rest need not be encoded.
+    """
+    sized = docs.select("doc_id", least.cast("long").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
+    last = running_before(sized, [F.col("doc_id").isNull(), F.col("doc_id")], {"before": "n"}).where(F.col("before") < n)
+    bounds = last.agg(F.max("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("null")).first()
+    inside = F.col("doc_id") <= F.lit(bounds["id"])
+    return docs.where(F.coalesce(inside, F.lit(bool(bounds["null"])))) if bounds["null"] is not None else docs
 
 
 def token_stream(documents: DataFrame) -> DataFrame:
@@ -30,7 +42,7 @@ def token_stream(documents: DataFrame) -> DataFrame:
 
 
 def count_tokens(documents: DataFrame) -> int:
-    return documents.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n")).first()["n"]
+    return documents.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
 
 def meta(stream: DataFrame, vocab_size: int) -> DataFrame:
@@ -118,13 +130,30 @@ def _hash(*columns) -> Column:
 
 
 def random_batches(stream: DataFrame, starts: DataFrame, seq_len: int) -> DataFrame:
-    """(batch_id, row, x, y): the drawn windows, gathered by an equi-join on the positions they cover."""
+    """(batch_id, row, x, y): the drawn windows of a stored stream, gathered by an equi-join on the positions they cover."""
     wanted = starts.select("batch_id", "row", F.posexplode(F.sequence("start", F.col("start") + seq_len)).alias("k", "pos"))
     got = wanted.join(stream.select("pos", "token_id"), "pos")
     w = got.groupBy("batch_id", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "token_id"))), lambda s: s["token_id"]).alias("w"))
     return w.select("batch_id", "row", F.slice("w", 1, seq_len).alias("x"), F.slice("w", 2, seq_len).alias("y"))
 
 
+def document_batches(documents: DataFrame, starts: DataFrame, seq_len: int, span: int = 1 << 16) -> DataFrame:
+    """random_batches() of placed documents: a drawn window meets the documents that it covers in blocks of `span` positions.
+
+    Tokens aren't made rows: each document gives the stretch that lies in the window.
+    """
+    block = lambda pos: F.floor(pos / span)
+    first, last = F.col("start"), F.col("start") + F.col("n") - 1
+    docs = documents.where("n > 0").withColumn("low", block(first)).withColumn("block", F.explode(F.sequence("low", block(last))))
+    wanted = starts.select("batch_id", "row", F.col("start").alias("at")).withColumn("at_low", block(F.col("at")))
+    wanted = wanted.withColumn("block", F.explode(F.sequence("at_low", block(F.col("at") + seq_len))))
+    met = docs.join(wanted, "block").where((F.col("block") == F.greatest("low", "at_low")) & (first <= F.col("at") + seq_len) & (last >= F.col("at")))
+    begin, end = F.greatest("at", first), F.least(F.col("at") + seq_len, last)
+    parts = met.select("batch_id", "row", F.struct(begin.alias("pos"), F.slice("ids", (begin - first + 1).cast("int"), (end - begin + 1).cast("int")).alias("ids")).alias("p"))
+    w = parts.groupBy("batch_id", "row").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda s: s["ids"])).alias("w"))
+    return w.select("batch_id", "row", F.slice("w", 1, seq_len).alias("x"), F.slice("w", 2, seq_len).alias("y"))
+
+
 def shuffled_split(pairs: DataFrame, key: str, val_fraction: float, seed: int = 0) -> DataFrame:
     """pairs with place (from 1, in the order of a hash) and split: the first floor(n * val_fraction) are 'val'.
 

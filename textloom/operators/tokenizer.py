@@ -1,27 +1,31 @@
 """Byte-level BPE: pretoken counts, training and encoding.
 
-Words are counted once with a partial aggregation before anything costly, and every later step works on distinct words.
-Few merges are learned in rounds of DataFrame jobs; a full vocabulary is learned on the driver from the distinct
-words, if there are no more than `driver_words` of them, else in rounds, with the lineage cut by checkpoints.
+Words are counted once with a partial aggregation before anything costly, and every later step of training works on
+distinct words: on the driver, if there are no more than `driver_words` of them (about 2 kB of its memory each), else in
+rounds of DataFrame jobs, each of which learns as many merges as can't change one another's counts. Encoding handles each
+distinct word of an Arrow batch once and gathers the ids of whole batches by array operations, for any number of merges.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import bytes as B
 from ..functions import text as X
-from ..sources.shared import materialise
-from .order import block
+from ..sources.shared import discard, materialise, unused
 
 EOT = "<|endoftext|>"
-DRIVER_WORDS = 2_000_000
-CUT_EVERY = 8
+DRIVER_WORDS, TOP, REMEMBERED = 500_000, 512, 500_000
 Merges = list[tuple[str, str]]
 
 
@@ -47,74 +51,109 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return words.select(F.explode(pairs).alias("p"), "n").groupBy("p.l", "p.r").agg(F.sum("n").alias("n"))
 
 
-def best_pair(pairs: DataFrame):
-    """The most frequent pair, of equals the largest by code points; None without pairs."""
-    return pairs.agg(F.max(F.struct("n", "l", "r")).alias("best")).first()["best"]
+def top_pairs(pairs: DataFrame, n: int) -> list[tuple[int, str, str]]:
+    """The n most frequent pairs (count, l, r), of equals the largest by code points first."""
+    return [(r["n"], r["l"], r["r"]) for r in pairs.orderBy(F.desc("n"), F.desc("l"), F.desc("r")).limit(n).collect()]
+
+
+def independent(top: list[tuple[int, str, str]], complete: bool) -> list[tuple[str, str]]:
+    """The first of the ranked pairs that merging one after the other would learn in this order.
+
+    Merging a pair changes only counts of pairs that touch its symbols, and a new pair's count is at most that of a pair that
+    touched them. So a pair is safe as long as no pair of its count or a larger one touches the symbols of those before it. Unless
+    `complete` the list goes on, maybe with pairs of the last one's count.
+    """
+    out: list[tuple[str, str]] = []
+    touched: set[str] = set()
+    for n, left, right in top:
+        if out and (not complete and n == top[-1][0] or any(m == n and (x in touched or y in touched) for m, x, y in top) or left in touched or right in touched):
+            break
+        out.append((left, right))
+        touched |= {left, right, left + right}
+    return out
 
 
 def train_rounds(counts: DataFrame, n_merges: int) -> Merges:
-    """Merges learned by one aggregation a round over the distinct words."""
-    words, merges = word_symbols(counts), []
-    words = materialise(words.groupBy("symbols").agg(F.sum("n").alias("n")))
-    for k in range(n_merges):
-        best = best_pair(pair_counts(words))
-        if best is None:
+    """Merges learned by one aggregation a round over the distinct words; a round learns all independent pairs at the top."""
+    merges: Merges = []
+    words = materialise(word_symbols(counts).groupBy("symbols").agg(F.sum("n").alias("n")))
+    while len(merges) < n_merges:
+        top = top_pairs(pair_counts(words), TOP)
+        found = independent(top, len(top) < TOP)[: n_merges - len(merges)]
+        if not found:
             break
-        merges.append((best["l"], best["r"]))
-        words = words.withColumn("symbols", B.merge(F.col("symbols"), best["l"], best["r"]))
-        if k % CUT_EVERY == CUT_EVERY - 1 and k + 1 < n_merges:
-            words = materialise(words)
+        merges += found
+        if len(merges) < n_merges:
+            before, words = words, materialise(words.withColumn("symbols", apply_merges(F.col("symbols"), found)))
+            discard(before)
     return merges
 
 
 class _Pairs:
-    """Pair counts, the words that hold each pair, and the pairs of each count."""
-
-    def __init__(self):
-        self.count: dict[tuple[str, str], int] = defaultdict(int)
-        self.words: dict[tuple[str, str], set[int]] = defaultdict(set)
-        self.at: dict[int, set[tuple[str, str]]] = defaultdict(set)
-
-    def add(self, pair: tuple[str, str], n: int) -> None:
-        before = self.count[pair]
-        if before:
-            held = self.at[before]
-            held.discard(pair)
-            if not held:
-                del self.at[before]
-        self.count[pair] = now = before + n
-        if now:
-            self.at[now].add(pair)
-        else:
-            del self.count[pair]
+    """Pair counts and the pairs of each count."""
+
+    def __init__(self, counts: dict[tuple[str, str], int]):
+        self.count, self.at = {}, defaultdict(set)
+        self.change(counts)
+
+    def change(self, by: dict[tuple[str, str], int]) -> None:
+        for pair, n in by.items():
+            before = self.count.pop(pair, 0)
+            if before and n:
+                self.at[before].discard(pair)
+                if not self.at[before]:
+                    del self.at[before]
+            now = before + n
+            if now:
+                self.count[pair] = now
+                self.at[now].add(pair)
 
     def best(self) -> tuple[str, str] | None:
         return max(self.at[max(self.at)]) if self.at else None
 
 
+def _merged(symbols: list[str], pair: tuple[str, str]) -> tuple[list[str], list, list]:
+    """The symbols with the pair merged from left to right, the pairs that go by that and the pairs that come: those around merged places."""
+    left, right = pair
+    places, k, last = [], 0, len(symbols) - 1
+    while k < last:
+        if symbols[k] == left and symbols[k + 1] == right:
+            places.append(k)
+            k += 1
+        k += 1
+    new, at = [], 0
+    for k in places:
+        new += symbols[at:k]
+        new.append(left + right)
+        at = k + 2
+    new += symbols[at:]
+    gone = {j for k in places for j in (k - 1, k, k + 1) if 0 <= j < last}
+    came = {j for i, k in enumerate(places) for j in (k - i - 1, k - i) if 0 <= j < len(new) - 1}
+    return new, [(symbols[j], symbols[j + 1]) for j in gone], [(new[j], new[j + 1]) for j in came]
+
+
 def train_words(words: dict[str, int], n_merges: int) -> Merges:
-    """Merges learned from words and their counts in memory; only words that hold the merged pair are touched."""
-    alphabet = B.ALPHABET
-    split = [[alphabet[b] for b in w.encode("utf-8")] for w in words]
-    weight, pairs = list(words.values()), _Pairs()
+    """Merges learned from words and their counts in memory; a merge touches the words that hold it, and there its surroundings."""
+    split = [[B.ALPHABET[b] for b in w.encode("utf-8")] for w in words]
+    weight = list(words.values())
+    counts: dict[tuple[str, str], int] = defaultdict(int)
+    held: dict[tuple[str, str], set[int]] = defaultdict(set)
     for i, symbols in enumerate(split):
         for p in zip(symbols, symbols[1:], strict=False):
-            pairs.add(p, weight[i])
-            pairs.words[p].add(i)
-    merges: Merges = []
+            counts[p] += weight[i]
+            held[p].add(i)
+    pairs, merges = _Pairs(counts), []
     while len(merges) < n_merges and (best := pairs.best()) is not None:
         merges.append(best)
-        for i in pairs.words.pop(best):
-            old = split[i]
-            new = merge_symbols(old, best)
-            if len(new) == len(old):
-                continue
-            for p in zip(old, old[1:], strict=False):
-                pairs.add(p, -weight[i])
-            for p in zip(new, new[1:], strict=False):
-                pairs.add(p, weight[i])
-                pairs.words[p].add(i)
-            split[i] = new
+        change: dict[tuple[str, str], int] = defaultdict(int)
+        for i in held.pop(best):
+            split[i], gone, came = _merged(split[i], best)
+            for p in gone:
+                change[p] -= weight[i]
+            for p in came:
+                change[p] += weight[i]
+                held[p].add(i)
+        pairs.change(change)
     return merges
 
 
@@ -167,60 +206,81 @@ def apply_merges(symbols: Column, merges: Merges) -> Column:
 
 
 def bpe_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """The symbols of one word: its lowest-ranked pair is merged until none is left."""
-    symbols = [B.ALPHABET[b] for b in word.encode("utf-8")]
-    while len(symbols) > 1:
-        best = min(zip(symbols, symbols[1:], strict=False), key=lambda p: ranks.get(p, len(ranks)))
-        if best not in ranks:
-            break
-        symbols = merge_symbols(symbols, best)
-    return symbols
-
+    """The symbols of one word: its lowest-ranked pair is merged, the leftmost first, until none is left.
 
-NATIVE_MERGES = 32
-
-
-def encode(docs: DataFrame, merges: Merges, text: str = "text", eot: bool = False) -> DataFrame:
-    """(doc_id, ids) of every document. Up to NATIVE_MERGES merges run as column expressions, more in Arrow batches.
-
-    Both stay inside a row's task: a word that all documents share costs no shuffle. EOT in a text is ordinary text.
+    Places wait in a heap by rank, so a very long word costs no more than n log n.
     """
-    vocab = build_vocab(merges)
-    if len(merges) <= NATIVE_MERGES:
-        out = docs.select("doc_id", F.transform(B.unwrapped(apply_merges(B.wrapped_words(X.pretokens(text)), merges)), _id_of(vocab)).alias("ids"))
-    else:
-        out = _encode_batches(docs.select("doc_id", X.pretokens(text).alias("words")), merges, vocab)
-    return out.withColumn("ids", F.concat("ids", F.array(F.lit(vocab[EOT])))) if eot else out
-
-
-def _id_of(vocab: dict[str, int]):
-    """Symbol to id: single signs by their code point in an array, merged symbols (few) in a map."""
-    signs = {ord(s): i for s, i in vocab.items() if len(s) == 1}
-    single = F.array(*[F.lit(signs.get(c)).cast("int") for c in range(max(signs) + 1)])
-    merged = [x for s, i in vocab.items() if len(s) > 1 for x in (F.lit(s), F.lit(i))]  # EOT is there, at least
-    return lambda s: F.when(F.length(s) == 1, F.get(single, F.ascii(s))).otherwise(F.element_at(F.create_map(*merged), s))
-
-
-def _encode_batches(docs: DataFrame, merges: Merges, vocab: dict[str, int], remembered: int = 500_000) -> DataFrame:
-    ranks = {m: i for i, m in enumerate(merges)}
+    symbols: list = [B.ALPHABET[b] for b in word.encode("utf-8")]
+    after = list(range(1, len(symbols) + 1))
+    before = list(range(-1, len(symbols) - 1))
+    waiting = [(ranks[p], i, *p) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in ranks]
+    heapify(waiting)
+    while waiting:
+        _, i, left, right = heappop(waiting)
+        j = after[i]
+        if symbols[i] != left or j >= len(symbols) or symbols[j] != right:
+            continue
+        symbols[i], symbols[j] = left + right, None
+        after[i] = k = after[j]
+        if k < len(symbols):
+            before[k] = i
+        for a, b in ((before[i], i), (i, k)):
+            if a >= 0 and b < len(symbols) and (rank := ranks.get((symbols[a], symbols[b]))) is not None:
+                heappush(waiting, (rank, a, symbols[a], symbols[b]))
+    return [s for s in symbols if s is not None]
+
+
+class _Ids:
+    """The ids of the words met so far, one after the other in one array."""
+
+    def __init__(self, merges: Merges, remembered: int):
+        self._ranks, self._vocab, self._most = {m: i for i, m in enumerate(merges)}, build_vocab(merges), remembered
+        self._clear()
+
+    def _clear(self) -> None:
+        self._number: dict[str, int] = {}
+        self._start, self._size, self._pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def of(self, words: list[str], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words[i] for each i of the index, one after the other, and how many each has."""
+        if len(self._number) > self._most:
+            self._clear()
+        if new := [w for w in words if w not in self._number]:
+            ids = [[self._vocab[s] for s in bpe_word(w, self._ranks)] for w in new]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._number.update(zip(new, range(len(self._number), len(self._number) + len(new)), strict=True))
+            self._start = np.append(self._start, len(self._pool) + np.cumsum(size) - size)
+            self._size = np.append(self._size, size)
+            self._pool = np.append(self._pool, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())))
+        at = np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))[index]
+        n = self._size[at]
+        return self._pool[np.repeat(self._start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+
+
+def encode(docs: DataFrame, merges: Merges, text: str = "text", eot: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+    """(doc_id, ids) of every document; null texts have null ids. EOT in a text is ordinary text.
+
+    All stays inside a row's task: a word that all documents share costs no shuffle.
+    """
+    end = build_vocab(merges)[EOT]
 
     def encoded(batches):
-        known: dict[str, list[int]] = {}
-        for batch in batches:
-            rows = []
-            for words in batch.column("words").to_pylist():
-                ids: list[int] = []
-                for w in words:
-                    if w not in known:
-                        if len(known) >= remembered:
-                            known.clear()
-                        known[w] = [vocab[s] for s in bpe_word(w, ranks)]
-                    ids += known[w]
-                rows.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        known = _Ids(merges, remembered)
+        for batch in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
+            lists = batch.column("words")
+            words = lists.flatten().dictionary_encode()
+            ids, n = known.of(words.dictionary.to_pylist(), words.indices.to_numpy())
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(sizes)] if len(sizes) else np.zeros(0, np.int64)
+            null = lists.is_null().to_numpy(zero_copy_only=False)
+            if eot:
+                ids = np.insert(ids, ends[~null], end)
+                ends = ends + np.cumsum(~null)
+            offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32), mask=np.append(null, False))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(encoded, schema)
+    return docs.select("doc_id", F.when(F.col(text).isNotNull(), X.pretokens(text)).alias("words")).mapInArrow(encoded, schema)
 
 
 def decode(ids: Column, merges: Merges) -> Column:
@@ -231,6 +291,19 @@ def decode(ids: Column, merges: Merges) -> Column:
     return B.to_text(F.array_join(F.transform(ids, known), ""))
 
 
+def _safe() -> str:
+    """A pattern of the places between two characters that no pretoken joins: neither is white space, the first is no apostrophe, and
+    no class of signs holds both."""
+    classes = [*X.SCRIPTS]
+    rest = f"[^{X.WS}{''.join(classes)}]"
+    sides = [f"(?<=[{c}])(?![{c}{X.WS}])" for c in classes]
+    both = "".join(f"(?!(?<=[{c}])[{c}])" for c in classes)  # a sign of two classes joins either
+    return f"(?<=[^{X.WS}'])(?=[^{X.WS}]){both}(?!(?<={rest}){rest})(?:{'|'.join([*sides, f'(?<={rest})(?!{rest})'])})"
+
+
+_SAFE = _safe()
+
+
 def safe_pieces(docs: DataFrame, target: int, text: str = "text") -> DataFrame:
     """(doc_id, piece_no, piece): long documents cut at safe places into pieces of about `target` characters, or more.
 
@@ -239,22 +312,14 @@ def safe_pieces(docs: DataFrame, target: int, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
 
     def cut(batches):
-        import re
-
-        spaces, classes = re.compile(f"[{X.WS}]"), [re.compile(f"[{s}]") for s in X.SCRIPTS]
-
-        def kinds(c):
-            return {k for k, p in enumerate(classes) if p.match(c)} or {len(classes)}
-
-        for batch in batches:
+        safe = re.compile(_SAFE)
+        for batch in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
             rows = []
             for doc_id, whole in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 start = n = 0
-                for i in range(1, len(whole)):
-                    a, b = whole[i - 1], whole[i]
-                    if i - start >= target and a != "'" and not spaces.match(a) and not spaces.match(b) and not kinds(a) & kinds(b):
-                        rows.append((doc_id, n, whole[start:i]))
-                        start, n = i, n + 1
+                while m := safe.search(whole, start + target):
+                    rows.append((doc_id, n, whole[start : m.start()]))
+                    start, n = m.start(), n + 1
                 rows.append((doc_id, n, whole[start:]))
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field("doc_id").type), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string())], names=["doc_id", "piece_no", "piece"])
@@ -263,23 +328,71 @@ def safe_pieces(docs: DataFrame, target: int, text: str = "text") -> DataFrame:
     return docs.select("doc_id", t.alias("text")).mapInArrow(cut, schema)
 
 
-def bundles(pieces: DataFrame, order: str, size: Column, target: int) -> DataFrame:
-    """pieces with bundle_no: neighbours in the order, `target` or more together; a bundle closes when it is reached.
+def bundles(pieces: DataFrame, order: str, size: Column, target: int, block_rows: int = 1 << 16) -> DataFrame:
+    """pieces with bundle_no: neighbours in the order, `target` or more together; a bundle closes when that is reached.
 
-    Greedy bundling depends on all rows before, so it runs over keys and sizes only, one task for each 65,536 keys; a
-    bundle doesn't cross such a block. `order` is a whole-number key without repeats.
+    Greedy bundling depends on all rows before. A block of neighbours (a range partition's, `block_rows` at most) only has to tell,
+    for each of its pieces that can be the first to close a bundle, how many it closes and what stays open behind it: as
+    many rows as a bundle has pieces. One task chains those of all blocks; then each block numbers its own pieces. `order` is a
+    column without repeats.
     """
-    sized = pieces.select(order, size.cast("long").alias("_size"), block(order).alias("_block"))
-    schema = T.StructType([sized.schema[order], sized.schema["_block"], T.StructField("bundle_no", T.LongType())])
+    block, room = unused("block", pieces), unused("room", pieces)
 
-    def bundled(table: pa.Table) -> pa.Table:
+    def blocked(batches):
+        from pyspark import TaskContext
+
+        at, number = 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            own = number + (at + np.arange(batch.num_rows)) // block_rows
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, block])
+
+    sized = pieces.select(order, F.coalesce(size.cast("long"), F.lit(0)).alias(room)).repartitionByRange(order).sortWithinPartitions(order)
+    sized = materialise(sized.mapInArrow(blocked, T.StructType([*sized.schema.fields, T.StructField(block, T.LongType())])))
+
+    def closings(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Sums up to each piece, and for a bundle that begins at a piece the one that closes it (their number if none does)."""
+        upto = np.cumsum(table.sort_by(order)[room].to_numpy())
+        return upto, np.searchsorted(upto, np.concatenate(([0], upto[:-1])) + target)
+
+    def told(table: pa.Table) -> pa.Table:
+        upto, close = closings(table)
+        n = len(upto)
+        closed, left = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        for i in range(n - 1, -1, -1):
+            if close[i] < n:
+                closed[i], left[i] = closed[close[i] + 1] + 1, left[close[i] + 1]
+            else:
+                left[i] = upto[-1] - (upto[i - 1] if i else 0)
+        first = np.arange(min(int(np.searchsorted(upto, target)) + 1, n))
+        none = [0, upto[-1]]  # no piece closes the open bundle
+        rows = [np.append(x, y) for x, y in zip((upto[first], closed[first + 1] + 1, left[first + 1]), (-1, *none), strict=True)]
+        return pa.table([np.full(len(rows[0]), table[block][0].as_py()), *rows], names=["block", "upto", "closed", "left"])
+
+    def chained(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("block", "ascending"), ("upto", "ascending")])
+        names, upto, closed, left = (table[c].to_numpy() for c in ("block", "upto", "closed", "left"))
+        starts = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+        number, full, out = 0, 0, []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(names)], strict=True):
+            out.append((names[a], number, full))
+            k = a + 1 + int(np.searchsorted(upto[a + 1 : b], target - full))  # the first row of a block is the one of no closing
+            number, full = (number + closed[k], left[k]) if k < b else (number, full + left[a])
+        return pa.table([[x[c] for x in out] for c in range(3)], names=["block", "number", "open"])
+
+    def numbered(table: pa.Table) -> pa.Table:
         table = table.sort_by(order)
-        out, no, full = [], 0, 0
-        for n in table["_size"].to_pylist():
-            out.append(no)
-            full += n
-            if full >= target:
-                no, full = no + 1, 0
-        return table.select([order, "_block"]).append_column("bundle_no", pa.array(out, pa.int64()))
-
-    return pieces.join(sized.groupBy("_block").applyInArrow(bundled, schema).withColumnRenamed("_block", "block"), order)
+        upto, close = closings(table)
+        step, n = np.zeros(len(upto), np.int64), len(upto)
+        i = int(np.searchsorted(upto, target - table["open"][0].as_py()))
+        while i < n:
+            if i + 1 < n:
+                step[i + 1] = 1
+            i = int(close[i + 1]) if i + 1 < n else n
+        return table.select([order]).append_column("bundle_no", pa.array(np.cumsum(step) + table["number"][0].as_py()))
+
+    rows = sized.groupBy(block).applyInArrow(told, "block long, upto long, closed long, left long")
+    entries = materialise(rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(chained, "block long, number long, open long"))
+    inside = sized.join(entries.withColumnRenamed("block", block), block)
+    numbers = inside.groupBy(block).applyInArrow(numbered, T.StructType([pieces.schema[order], T.StructField("bundle_no", T.LongType())]))
+    return pieces.join(numbers, order)

@@ -85,7 +85,10 @@ def train_val_split(spark, d):
 
 
 def sequential_windows(spark, d):
-    b = stream.sequential_batches(stream.document_windows(_placed(spark, d), SEQ, BATCH * BATCHES), BATCH, BATCHES)
+    """The first windows; only the documents that hold them are encoded."""
+    docs = stream.first_documents(read(spark, d, "documents"), F.size(X.pretokens("text")) + 1, SEQ * BATCH * BATCHES + 1)
+    placed = stream.placed(tokenizer.encode(docs, [], eot=True))
+    b = stream.sequential_batches(stream.document_windows(placed, SEQ, BATCH * BATCHES), BATCH, BATCHES)
     return b.select("batch_id", "row", _summed(F.col("x")).alias("x"), _summed(F.col("y")).alias("y"), F.size("x").alias("n"))
 
 
@@ -95,6 +98,14 @@ def shifted_targets(spark, d):
 
 
 def hash_batches(spark, d):
+    placed = _placed(spark, d)
+    starts = stream.batch_starts(spark, BATCHES, BATCH, stream.count_tokens(placed), SEQ, seed=3)
+    got = stream.document_batches(placed, starts, SEQ)
+    return got.select("batch_id", "row", _summed(F.col("x")).alias("x"), _summed(F.col("y")).alias("y"))
+
+
+def stored_batches(spark, d):
+    """The same from a stored stream."""
     s = _stream(spark, d)
     starts = stream.batch_starts(spark, BATCHES, BATCH, s.count(), SEQ, seed=3)
     got = stream.random_batches(s, starts, SEQ)
@@ -127,7 +138,7 @@ def safe_pieces(spark, d):
 def bundles(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
     out = tokenizer.bundles(docs, "doc_id", F.col("n"), 10_000)
-    return out.groupBy("block", "bundle_no").agg(F.count("*").alias("pieces"), F.sum("n").alias("chars"))
+    return out.groupBy("bundle_no").agg(F.count("*").alias("pieces"), F.sum("n").alias("chars"))
 
 
 _WORDS = f"words AS (SELECT unnest({sql.pretokens('text')}) AS word FROM documents), counts AS (SELECT word, count(*) AS n FROM words GROUP BY word)"
@@ -199,9 +210,10 @@ ORACLES = {
     "epoch_batches": "WITH c AS (SELECT DISTINCT conv_id FROM conversations) " + " UNION ALL ".join(
         f"SELECT {e} AS epoch, (p - 1) // 8 AS step, (p - 1) % 8 AS batch_row, conv_id FROM (SELECT conv_id, {_PLACES.format(f'1/{e}')} AS p FROM c)" for e in range(2)),
     "safe_pieces": f"SELECT doc_id, len({sql.pretokens('text')}) AS n, length(text) AS n_chars FROM documents",
-    "bundles": """WITH RECURSIVE d AS (SELECT doc_id // 65536 AS block, length(text) AS n, row_number() OVER (PARTITION BY doc_id // 65536 ORDER BY doc_id) AS i FROM documents),
-        r AS (SELECT block, i, n, 0 AS no, n AS filled FROM d WHERE i = 1
-          UNION ALL SELECT d.block, d.i, d.n, CASE WHEN r.filled >= 10000 THEN r.no + 1 ELSE r.no END, CASE WHEN r.filled >= 10000 THEN d.n ELSE r.filled + d.n END FROM r JOIN d ON d.block = r.block AND d.i = r.i + 1)
-        SELECT block, no::BIGINT AS bundle_no, count(*) AS pieces, sum(n)::BIGINT AS chars FROM r GROUP BY block, no""",
+    "bundles": """WITH RECURSIVE d AS (SELECT length(text) AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+        r AS (SELECT i, n, 0 AS no, n AS filled FROM d WHERE i = 1
+          UNION ALL SELECT d.i, d.n, CASE WHEN r.filled >= 10000 THEN r.no + 1 ELSE r.no END, CASE WHEN r.filled >= 10000 THEN d.n ELSE r.filled + d.n END FROM r JOIN d ON d.i = r.i + 1)
+        SELECT no::BIGINT AS bundle_no, count(*) AS pieces, sum(n)::BIGINT AS chars FROM r GROUP BY no""",
 }
+ORACLES["stored_batches"] = ORACLES["hash_batches"]
 QUERIES = {n: globals()[n] for n in ORACLES}
