@@ -91,11 +91,29 @@ def test_mixing_equals_its_sql(spark, sf):
 
 
 def test_targets_share_the_excess(spark):
-    sizes = spark.createDataFrame([(f"={s}", s, n) for s, n in (("a", 10), ("b", 100), ("c", 1000))], "_source string, source string, source_size long")
-    got = {r["_source"]: r["_target"] for r in mixing.targets(sizes).collect()}
+    sizes = spark.createDataFrame([(f"={s}", n) for s, n in (("a", 10), ("b", 100), ("c", 1000))], "from string, source_size long")
+    got = {r["from"]: r["target"] for r in mixing.targets(sizes).collect()}
     assert got == {"=a": 20.0, "=b": 200.0, "=c": 1.5 * 1110 - 220}
 
 
+def test_targets_of_many_sources_equal_a_plain_sharing(spark):
+    draw = random.Random(2)
+    sizes = {f"h{i}": draw.randint(1, 5000) for i in range(300)} | {"é": 7, None: 900}
+    rows = [("-" if s is None else f"={s}", n) for s, n in sizes.items()]
+    got = {r["from"]: r["target"] for r in mixing.targets(spark.createDataFrame(rows, "from string, source_size long").repartition(7)).collect()}
+    names = sorted(s for s in sizes if s is not None) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    full, total = set(), sum(sizes.values())
+    while True:
+        rest = 1.5 * total - sum(2 * sizes[s] for s in full)
+        share = {s: rest * weight[s] / sum(weight[x] for x in names if x not in full) for s in names if s not in full}
+        if not (over := {s for s in share if share[s] > 2 * sizes[s]}):
+            break
+        full |= over
+    want = {s: 2 * sizes[s] if s in full else share[s] for s in names}
+    assert all(abs(got["-" if s is None else f"={s}"] - t) < 1e-6 * max(t, 1) for s, t in want.items())
+
+
 def test_mix_takes_near_targets_and_never_more_than_twice(spark, messy, empty):
     draw = random.Random(1)
     rows = [(i, "w " * draw.randint(1, 40), draw.choice("abc")) for i in range(900)]
