@@ -45,6 +45,46 @@ def test_line_numbers_across_splits(spark, tmp_path):
     assert {r["line_no"]: r["value"] for r in got} == {i: f"line {i}" for i in range(5000)}
 
 
+def test_many_files_are_one_scan(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"part {i}.jsonl").write_text("".join(json.dumps({"text_ja": f"はなし{i}の{k}"}, ensure_ascii=False) + "\n" for k in range(3)), encoding="utf-8")
+    (tmp_path / "z.txt").write_text("")
+    twice = str(tmp_path / "part 2.jsonl")
+    docs = corpus.iter_documents(spark, [str(tmp_path), twice])
+    got = docs.orderBy("file_idx", "line_no").collect()
+    assert [r["text"] for r in got] == [f"はなし{i}の{k}" for i in range(6) for k in range(3)] + [""] + [f"はなし2の{k}" for k in range(3)]
+    assert {r["file_idx"] for r in got} == set(range(8))
+    assert docs._jdf.queryExecution().executedPlan().toString().count("FileScan text") <= 3  # whole files; lines and their numbers
+    with pytest.raises(FileNotFoundError):
+        corpus.iter_documents(spark, [str(tmp_path / "none")])
+
+
+def test_openings_from_a_line_on(spark):
+    lines = spark.createDataFrame([(0, "いちばんめのはなし。"), (1, "にばんめのはなしです。つづき"), (2, "短。"), (3, "さんばんめのはなし。"), (4, "よんばんめのはなし。")], "line_no long, text string")
+    assert [r["opening"] for r in corpus.story_openings(lines, 2, skip=1).orderBy("line_no").collect()] == ["にばんめのはなしです。", "さんばんめのはなし。"]
+
+
+def test_a_shared_folder_is_needed_off_local(spark, monkeypatch):
+    from textloom.sources import shared
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(Elsewhere)
+    written = shared.materialise(spark.range(3))
+    path = written._textloom_path
+    assert written.count() == 3 and shared.own_dir(spark) in path
+    shared.discard(written)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    assert shared.unused("A", spark.range(1).toDF("a")) == "_A"
+
+
 def test_bad_json_raises(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"text_ja": "a"}\n{broken\n')
     with pytest.raises(Exception):

@@ -37,18 +37,49 @@ def test_shift_and_split(documents):
 
 def test_drawn_windows_are_windows(spark, documents):
     starts = stream.batch_starts(spark, 3, 4, len(FLAT), 5, seed=9)
-    got = {(r["batch_id"], r["row"]): (r["x"], r["y"]) for r in stream.random_batches(stream.token_stream(documents), starts, 5).collect()}
-    for r in starts.collect():
-        assert 0 <= r["start"] < len(FLAT) - 5
-        assert got[(r["batch_id"], r["row"])] == (FLAT[r["start"] : r["start"] + 5], FLAT[r["start"] + 1 : r["start"] + 6])
+    for batches in (stream.random_batches(stream.token_stream(documents), starts, 5), stream.document_batches(documents, starts, 5), stream.document_batches(documents, starts, 5, span=3)):
+        got = {(r["batch_id"], r["row"]): (r["x"], r["y"]) for r in batches.collect()}
+        for r in starts.collect():
+            assert 0 <= r["start"] < len(FLAT) - 5
+            assert got[(r["batch_id"], r["row"])] == (FLAT[r["start"] : r["start"] + 5], FLAT[r["start"] + 1 : r["start"] + 6])
     with pytest.raises(ValueError):
         stream.batch_starts(spark, 1, 1, 5, 5)
 
 
+def test_repeated_and_null_ids_are_documents_of_their_own(spark):
+    rows = [(1, [1, 2]), (1, [3]), (None, [7, 8, 9]), (2, [4]), (None, [7, 8, 9]), (3, None)]
+    docs = stream.placed(spark.createDataFrame(rows, "doc_id long, ids array<int>").repartition(3))
+    got = stream.token_stream(docs).orderBy("pos").collect()
+    assert [r["pos"] for r in got] == list(range(10)) and [r["token_id"] for r in got][3:] == [4, 7, 8, 9, 7, 8, 9]
+    assert sorted(r["token_id"] for r in got[:3]) == [1, 2, 3] and stream.count_tokens(docs) == 10
+
+
+def test_the_first_documents_hold_the_first_tokens(spark):
+    docs = spark.createDataFrame([(i, "x " * (i % 5)) for i in range(40)], "doc_id long, text string").repartition(4)
+    got = sorted(r["doc_id"] for r in stream.first_documents(docs, F.size(F.split("text", " ")), 20).collect())
+    assert got == list(range(len(got))) and sum(1 + i % 5 for i in got) >= 20 > sum(1 + i % 5 for i in got[:-1])
+    null = docs.withColumn("doc_id", F.when(F.col("doc_id") < 39, F.col("doc_id")))
+    assert stream.first_documents(null, F.lit(1), 100).count() == 40 and stream.first_documents(docs.limit(0), F.lit(1), 5).count() == 0
+
+
+def test_running_sums_over_any_keys(spark):
+    rows = [(f"k{(i * 7919) % 1000:x}", None if i % 7 == 0 else i, 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v long, part int").repartition(6)
+    got = order.running_before(df, ["k", F.col("v")], {"before": "v", "place": "part"}).orderBy("place").collect()
+    total = 0
+    for place, r in enumerate(got):
+        assert r["before"] == total and r["place"] == place
+        total += r["v"] or 0
+    assert [r["k"] for r in got] == sorted(r["k"] for r in got)
+
+
 def test_prefix_of_kept_rows(spark):
     rows = spark.createDataFrame([(i, i % 3 == 0) for i in range(20)], "i long, kept boolean")
     assert sorted(r["i"] for r in order.first_kept(rows, ["i"], "kept", 3).collect()) == list(range(7))
     assert order.first_kept(rows, ["i"], "kept", 100).count() == 20
+    for n in (0, 1, 4, 7):
+        got = order.first_kept(rows.selectExpr("cast(i / 6 as int) AS f", "i", "kept"), ["f", "i"], "kept", n, size=4)
+        assert sorted(r["i"] for r in got.collect()) == list(range(max(0, 3 * n - 2))), n
 
 
 def test_empty_documents(spark):

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -68,6 +69,22 @@ def test_byte_symbols_round_trip(spark):
     assert len(set(B.ALPHABET)) == 256
 
 
+def merge_plainly(symbols, pair):
+    out = []
+    for s in symbols:
+        if out and out[-1] == pair[0] and s == pair[1] and not getattr(out[-1], "whole", False):
+            out[-1] = Whole(out[-1] + s)
+        else:
+            out.append(s)
+    return [str(x) for x in out]
+
+
+class Whole(str):
+    """A symbol made in this pass, which can't be a left half."""
+
+    whole = True
+
+
 def naive(words, n):
     split, merges = {w: [B.ALPHABET[b] for b in w.encode()] for w in words}, []
     for _ in range(n):
@@ -79,7 +96,7 @@ def naive(words, n):
             break
         best = max(count, key=lambda p: (count[p], p))
         merges.append(best)
-        split = {w: tokenizer.merge_symbols(s, best) for w, s in split.items()}
+        split = {w: merge_plainly(s, best) for w, s in split.items()}
     return merges
 
 
@@ -93,17 +110,90 @@ def test_training_in_memory_and_in_rounds_is_the_naive_count(spark):
     assert tokenizer.train_rounds(counts, 12) == want
 
 
-def test_encoding_both_ways_is_lowest_rank_first_and_decodes(spark):
-    texts = ["the then <|endoftext|> there", "あいあい", "", "x\ny"]
+def test_many_merges_in_rounds_equal_those_in_memory(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 20")
+    counts = tokenizer.pretoken_counts(docs)
+    words = {r["word"]: r["n"] for r in counts.collect()}
+    assert tokenizer.train_rounds(counts, 120) == tokenizer.train_words(words, 120)
+
+
+def test_training_in_memory_equals_the_naive_count_on_random_words():
+    draw = random.Random(0)
+    for alphabet in ("ab", "abあい"):
+        words = {"".join(draw.choice(alphabet) for _ in range(draw.randint(1, 9))): draw.randint(1, 5) for _ in range(60)} | {"a" * 40: 2}
+        assert tokenizer.train_words(words, 40) == naive(words, 40)
+
+
+def test_independent_pairs_stop_where_counts_may_change():
+    assert tokenizer.independent([(9, "a", "b"), (8, "c", "d"), (7, "b", "x"), (6, "e", "f")], True) == [("a", "b"), ("c", "d")]
+    assert tokenizer.independent([(9, "a", "b"), (8, "c", "d"), (8, "b", "x")], True) == [("a", "b")]  # a tie that touches b
+    assert tokenizer.independent([(9, "a", "b"), (8, "c", "d")], False) == [("a", "b")]  # more pairs of count 8 may follow
+    assert tokenizer.independent([], True) == []
+    assert tokenizer.independent([(9, "a", "a"), (3, "c", "d")], True) == [("a", "a")]  # a run of a may give more than 3 of (aa, aa)
+
+
+def test_a_word_is_merged_by_lowest_rank_first():
+    draw = random.Random(1)
+    words = {"".join(draw.choice("abc") for _ in range(draw.randint(1, 12))): 1 for _ in range(200)}
+    merges = tokenizer.train_words(words, 30)
+    ranks = {m: i for i, m in enumerate(merges)}
+    for w in words:
+        s = [B.ALPHABET[b] for b in w.encode()]
+        while known := [p for p in zip(s, s[1:]) if p in ranks]:
+            s = merge_plainly(s, min(known, key=ranks.get))
+        assert tokenizer.bpe_word(w, ranks) == s
+    assert "".join(tokenizer.bpe_word("abc" * 20_000, ranks)) == "abc" * 20_000
+
+
+def test_bundles_are_the_greedy_ones_whatever_the_blocks(spark):
+    draw = random.Random(2)
+    sizes = {draw.randrange(1 << 50): draw.choice([0, 1, 3, 10, 40, 200]) for _ in range(500)}
+    pieces = spark.createDataFrame(list(sizes.items()), "k long, n long").repartition(5)
+    want, no, full = {}, 0, 0
+    for k in sorted(sizes):
+        want[k] = no
+        full += sizes[k]
+        if full >= 100:
+            no, full = no + 1, 0
+    for rows in (7, 64, 1 << 16):
+        got = {r["k"]: r["bundle_no"] for r in tokenizer.bundles(pieces, "k", F.col("n"), 100, rows).collect()}
+        assert got == want, rows
+    assert tokenizer.bundles(pieces.limit(0), "k", F.col("n"), 100).count() == 0
+
+
+def test_scores_are_rounded_by_their_exact_value(spark):
+    draw = random.Random(3)
+    numbers = [1.0005, 1.0015, 0.1235, 2.0625, 0.0005, 0.9995, 0.0, 1.0, 0.4375, *(k / 16 for k in range(40)), *(round(draw.random(), 4) for _ in range(500)), *(draw.random() for _ in range(100))]
+    got = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", quality.rounded(F.col("x")).alias("r")).collect()
+    assert all(r["r"] == round(r["x"], 3) for r in got)
+
+
+def test_records_of_the_three_modes(spark):
+    c = spark.createDataFrame([(1, 0, PROMPT, GOOD, True), (1, 1, PROMPT, "サラン。", True), (2, 0, PROMPT, GOOD, True)], "prompt_id long, cand_idx int, prompt string, text string, finished boolean")
+    judged = spark.createDataFrame([(1, "x", ["a", "b"]), (2, None, [])], "prompt_id long, preferred string, reasons array<string>")
+    rule = quality.pair_records(quality.rule_pairs(c, min_gap=0.05), "rule").collect()
+    assert [(r["prompt_id"], r["chosen"], r["rejected"], r["judge"], r["llm_reasons"]) for r in rule] == [(1, GOOD, "サラン。", "rule", None)]
+    assert rule[0]["rule_scores"][0] == 1.0 and set(rule[0]["rule_penalties"][1]) == {"too_short"} and rule[0]["rule_penalties"][0] == {}
+    both = quality.pair_records(quality.with_judge(quality.rule_pairs(c, min_gap=0.05), judged), "both").collect()
+    assert [(r["judge"], r["llm_reasons"]) for r in both] == [("both", ["a", "b"])] and both[0]["rule_scores"] == rule[0]["rule_scores"]
+    llm = quality.pair_records(quality.judge_only(c, judged), "llm").collect()
+    assert [(r["chosen"], r["rejected"], r["rule_scores"], r["llm_reasons"]) for r in llm] == [(GOOD, "サラン。", None, ["a", "b"])]
+
+
+def test_encoding_is_lowest_rank_first_and_decodes(spark):
+    texts = ["the then <|endoftext|> there", "あいあい", "", "x\ny", None, "the"]
     docs = rows(spark, texts)
     merges, vocab = tokenizer.train(docs, 270)
     ranks = {m: i for i, m in enumerate(merges)}
-    native = {r["doc_id"]: r["ids"] for r in tokenizer.encode(docs, merges).collect()}
-    batches = {r["doc_id"]: r["ids"] for r in tokenizer._encode_batches(docs.select("doc_id", X.pretokens("text").alias("words")), merges, vocab).collect()}
-    assert native == batches
+    got = {r["doc_id"]: r["ids"] for r in tokenizer.encode(docs, merges).collect()}
+    small = {r["doc_id"]: r["ids"] for r in tokenizer.encode(docs.repartition(1), merges, eot=True, remembered=0).collect()}
     for i, t in enumerate(texts):
+        if t is None:
+            assert got[i] is None and small[i] is None
+            continue
         words = [r for r in rows(spark, [t]).select(X.pretokens("text").alias("w")).first()["w"]]
-        assert native[i] == [vocab[s] for w in words for s in tokenizer.bpe_word(w, ranks)]
+        assert got[i] == [vocab[s] for w in words for s in tokenizer.bpe_word(w, ranks)]
+        assert small[i] == [*got[i], vocab[tokenizer.EOT]]
     back = tokenizer.encode(docs, merges).select("doc_id", tokenizer.decode(F.col("ids"), merges).alias("t")).collect()
     assert {r["doc_id"]: r["t"] for r in back} == dict(enumerate(texts))
     assert max(vocab.values()) == vocab[tokenizer.EOT] == len(vocab) - 1

@@ -73,6 +73,22 @@ def top_k_mask(x: Column, k: int) -> Column:
     return bound(least, lambda low: F.transform(x, lambda v: F.when(v >= low, v)))
 
 
+def sample_index(x: Column, draw: Column, temperature: float, k: int | None = None) -> Column:
+    """The (0-based) index drawn from logits x: of the k largest and their ties, by their softmax at the temperature.
+
+    draw: a number from 0 to below 1 for each row; temperature 0 takes the first largest.
+    """
+    if temperature < 0:
+        raise ValueError(f"the temperature must not be negative, got {temperature}")
+    if temperature == 0:
+        return (F.array_position(x, F.array_max(x)) - 1).cast("long")
+    kept = x if k is None else F.transform(top_k_mask(x, k), lambda v: F.coalesce(v, F.lit(float("-inf"))))
+    start = F.struct(F.lit(0.0).alias("upto"), F.lit(0).cast("long").alias("at"))
+    step = lambda u: lambda a, p: F.struct((a["upto"] + p).alias("upto"), (a["at"] + F.when(a["upto"] + p <= u, 1).otherwise(0)).cast("long").alias("at"))
+    found = bound(draw, lambda u: F.aggregate(softmax(F.transform(kept, lambda v: v / F.lit(float(temperature)))), start, step(u), lambda a: a["at"]))
+    return F.least(found, F.size(x).cast("long") - 1)
+
+
 def num_params(vocab: int, d: int, layers: int, hidden: int, tied: bool = False) -> int:
     """Parameters of embeddings, attention, gated layers and norms."""
     return vocab * d * (1 if tied else 2) + layers * (4 * d * d + 3 * d * hidden + 2 * d) + d

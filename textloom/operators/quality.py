@@ -96,6 +96,39 @@ def with_judge(pairs: DataFrame, judged: DataFrame, key: str = "prompt_id") -> D
     return out.withColumn("status", F.when(F.col("status") == KEPT, after).otherwise(F.col("status")))
 
 
+def rounded(x: Column, digits: int = 3) -> Column:
+    """The number rounded to decimals by its exact binary value, a true half to the even neighbour.
+
+    What a product by the power of ten lost to rounding decides where the product looks like a half.
+    """
+    scale = float(10**digits)
+    p, low = x * scale, F.floor(x * scale)
+    high = x * 134217729.0 - (x * 134217729.0 - x)  # the upper half of the digits
+    lost = (high * scale - p) + (x - high) * scale
+    over = p - low
+    up = (over > 0.5) | (over == 0.5) & ((lost > 0) | (lost == 0) & (low % 2 != 0))
+    return F.when(up, low + 1).otherwise(low) / scale
+
+
+def pair_records(pairs: DataFrame, mode: str, key: str = "prompt_id") -> DataFrame:
+    """The preference records of the kept pairs: (key, prompt, chosen, rejected, judge, rule_scores, rule_penalties, llm_reasons).
+
+    mode: "rule" for rule_pairs, "both" for with_judge, "llm" for judge_only; what a mode has not is null.
+    """
+    if mode not in ("rule", "both", "llm"):
+        raise ValueError(f"unknown mode {mode!r}")
+    kept = pairs.where(F.col("status") == KEPT)
+    both = lambda field: F.array(F.col(f"chosen.{field}"), F.col(f"rejected.{field}"))
+    scores, penalties = F.lit(None).cast("array<double>"), F.lit(None).cast("array<map<string,double>>")
+    reasons = F.lit(None).cast("array<string>") if mode == "rule" else F.col("reasons")
+    chosen, rejected = F.col("chosen"), F.col("rejected")
+    if mode != "llm":
+        scores, penalties = F.transform(both("score"), lambda x: rounded(x)), both("penalties")
+        chosen, rejected = F.col("chosen.text"), F.col("rejected.text")
+    return kept.select(
+        key, "prompt", chosen.alias("chosen"), rejected.alias("rejected"), F.lit(mode).alias("judge"), scores.alias("rule_scores"), penalties.alias("rule_penalties"), reasons.alias("llm_reasons"))
+
+
 def first_two(candidates: DataFrame, key: str = "prompt_id") -> DataFrame:
     """(key, n, x, y): the first two finished candidates of each prompt."""
     ranked = candidates.where("finished").withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("cand_idx"))).where("_r <= 2")

@@ -70,6 +70,8 @@ def independent(top: list[tuple[int, str, str]], complete: bool) -> list[tuple[s
             break
         out.append((left, right))
         touched |= {left, right, left + right}
+        if left == right:  # what a run of one symbol becomes touches no other pair
+            break
     return out
 
 
@@ -157,20 +159,6 @@ def train_words(words: dict[str, int], n_merges: int) -> Merges:
     return merges
 
 
-def merge_symbols(symbols: list[str], pair: tuple[str, str]) -> list[str]:
-    """Merge a pair from left to right, without overlap."""
-    out: list[str] = []
-    open_left = False  # whether out's last symbol may still be the left half
-    for s in symbols:
-        if open_left and s == pair[1] and out[-1] == pair[0]:
-            out[-1] += s
-            open_left = False
-        else:
-            out.append(s)
-            open_left = True
-    return out
-
-
 def train(docs: DataFrame, vocab_size: int, text: str = "text", driver_words: int = DRIVER_WORDS) -> tuple[Merges, dict[str, int]]:
     """Merges and vocabulary of `vocab_size` ids and one for EOT; fewer if no pair is left."""
     if vocab_size < 256:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import layers as L
 from ..operators import preference as P
 from .texts import read
 
@@ -80,7 +81,7 @@ def _vectors(spark, d):
 
 
 def _parts(df, column, name: str = "value"):
-    return df.select("vec_id", F.posexplode(column).alias("i", "x")).select("vec_id", "i", _r(F.col("x"), name))
+    return df.select("vec_id", F.posexplode(column).alias("i", "x")).select("vec_id", "i", (F.round("x", 6) + 0.0).alias(name))  # no negative zero
 
 
 def rmsnorm(spark, d):
@@ -97,13 +98,20 @@ def swiglu_dim(spark, d):
     return sizes.select("d", "multiple", V.swiglu_hidden(F.col("d"), F.col("multiple")).alias("hidden"))
 
 
-_GATE = [[0.5, -1.0, 0.25, 2.0], [1.5, 0.5, -0.5, 1.0], [-1.0, 1.0, 1.0, 0.5]]
-_UP = [[1.0, 0.5, -1.5, 0.25], [0.5, 0.5, 0.5, 0.5], [2.0, -1.0, 0.0, 1.0]]
-_DOWN = [[1.0, -1.0, 0.5], [0.25, 2.0, 1.0]]
+HIDDEN_ROWS, WIDTH, HEADS, SEQ_ROWS = 8, 64, 4, 10
+
+
+def _weight(i: int, j: int, k: int) -> float:
+    """Weights of three matrices by a formula that SQL has too."""
+    return ((i * 7 + j * 3 + k * 5) % 11 - 5) / 16
+
+
+_GATE, _UP = ([[_weight(i, j, k) for j in range(WIDTH)] for i in range(HIDDEN_ROWS)] for k in (0, 1))
+_DOWN = [[_weight(i, j, 2) for j in range(HIDDEN_ROWS)] for i in range(WIDTH)]
 
 
 def swiglu(spark, d):
-    return _parts(_vectors(spark, d), V.swiglu(F.slice("v", 1, 4), _GATE, _UP, _DOWN))
+    return _parts(_vectors(spark, d), V.swiglu(F.col("v"), _GATE, _UP, _DOWN))
 
 
 def softmax(spark, d):
@@ -111,11 +119,23 @@ def softmax(spark, d):
 
 
 def softmax_causal(spark, d):
-    """Causal attention in sequences of 10 vectors: scores of earlier positions only, softmax, weighted values."""
-    rows = _vectors(spark, d).select(F.floor(F.col("vec_id") / 10).alias("seq"), "vec_id", F.slice("v", 1, 8).alias("v"))
-    pairs = rows.alias("q").join(rows.select("seq", F.col("vec_id").alias("k"), F.col("v").alias("kv")).alias("k"), "seq").where("k <= vec_id")
-    scored = pairs.select("vec_id", "k", "kv", F.exp(V.dot(F.col("v"), F.col("kv")) / F.sqrt(F.lit(8.0))).alias("e"))
-    return scored.groupBy("vec_id").agg(*[_r(F.sum(F.col("e") * F.get("kv", F.lit(i))) / F.sum("e"), f"o{i}") for i in range(4)])
+    """Causal attention of HEADS heads in sequences of 10 vectors, which are queries, keys and values at once."""
+    rows = _vectors(spark, d).select(F.floor(F.col("vec_id") / SEQ_ROWS).alias("seq"), (F.col("vec_id") % SEQ_ROWS).alias("pos"), "vec_id", "v")
+    out = L.causal_attention(rows.select("seq", "pos", "vec_id", F.col("v").alias("q")), rows.select("seq", "pos", F.col("v").alias("k"), "v"), HEADS, WIDTH)
+    return _parts(out, F.col("out"))
+
+
+def embedding_lookup(spark, d):
+    """The vectors of the documents' ids modulo 500, as sums of their numbers times place."""
+    tokens = read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 500).alias("token_id"))
+    out = L.embedded(tokens, _vectors(spark, d), row="vec_id", vector="v")
+    return out.select("doc_id", "token_id", _r(V.dot(F.col("v"), F.transform(F.sequence(F.lit(1), F.lit(WIDTH)), lambda i: i.cast("double"))), "total"))
+
+
+def sampled_next(spark, d):
+    """A token drawn by a hash at temperature 0.7 among the 10 largest."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit("5:"), F.col("vec_id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return _vectors(spark, d).select("vec_id", V.sample_index(F.col("v"), draw, 0.7, 10).alias("token"))
 
 
 def topk_mask(spark, d):
@@ -152,12 +172,11 @@ _TRAINED = "(VALUES " + ", ".join(f"({b}::BIGINT, {r}::BIGINT, {p or '[]::INT[]'
 _ENC = f"enc AS (SELECT batch_id, r, prompt, list_slice(list_append(chosen, 99), 1, 5 - len(prompt)) AS chosen, list_slice(list_append(rejected, 99), 1, 5 - len(prompt)) AS rejected FROM {_TRAINED} WHERE len(prompt) > 0 AND len(prompt) < 5)"
 
 
-def _dot(row: list[float]) -> str:
-    return "(" + " + ".join(f"{w}::DOUBLE * v[{i + 1}]" for i, w in enumerate(row)) + ")"
-
+def _w(k: int) -> str:
+    """SQL of the k-th matrix's weights: rows i, columns j."""
+    rows, columns = (WIDTH, HIDDEN_ROWS) if k == 2 else (HIDDEN_ROWS, WIDTH)
+    return f"(SELECT i, j, ((i * 7 + j * 3 + {k * 5}) % 11 - 5) / 16.0::DOUBLE AS w FROM (SELECT unnest(range(0, {rows})) AS i), (SELECT unnest(range(0, {columns})) AS j))"
 
-_INNER = [f"({_dot(g)} / (1 + exp(-{_dot(g)})) * {_dot(u)})" for g, u in zip(_GATE, _UP, strict=True)]
-_OUT = ["(" + " + ".join(f"{w}::DOUBLE * {x}" for w, x in zip(row, _INNER, strict=True)) + ")" for row in _DOWN]
 
 ORACLES = {
     "encode_pairs": f"WITH {_ENC} SELECT batch_id, r AS \"row\", array_to_string(prompt, ',') AS prompt, array_to_string(chosen, ',') AS chosen, array_to_string(rejected, ',') AS rejected FROM enc",
@@ -173,16 +192,21 @@ ORACLES = {
     "d2z_schedule": """WITH s AS (SELECT total, warmup, unnest(range(0, total + 2))::INT AS step FROM (VALUES (100, 10), (4, 0), (7, 6)) AS v(total, warmup)),
         m AS (SELECT *, CASE WHEN step < warmup THEN (step + 1)::DOUBLE / warmup ELSE greatest(0, (total - step)::DOUBLE / (total - warmup)) END AS m FROM s)
         SELECT total, warmup, step, round(m, 6) AS multiplier, round(m * 0.0003::DOUBLE, 6) AS lr FROM m""",
-    "rmsnorm": f"WITH {_VALUES}, n AS (SELECT *, sqrt(avg(x * x) OVER (PARTITION BY vec_id) + 1e-6::DOUBLE) AS r FROM e) SELECT vec_id, i::INT AS i, round(x / r * ((i + 1) / 64.0::DOUBLE), 6) AS value FROM n",
+    "rmsnorm": f"WITH {_VALUES}, n AS (SELECT *, sqrt(avg(x * x) OVER (PARTITION BY vec_id) + 1e-6::DOUBLE) AS r FROM e) SELECT vec_id, i::INT AS i, round(x / r * ((i + 1) / 64.0::DOUBLE), 6) + 0 AS value FROM n",
     "rope": f"""WITH {_VALUES}, a AS (SELECT l.vec_id, l.i, l.x, h.x AS y, (l.vec_id % 512) * pow(10000.0::DOUBLE, -2.0::DOUBLE * l.i / 64) AS w FROM e l JOIN e h ON l.vec_id = h.vec_id AND h.i = l.i + 32)
-        SELECT vec_id, i::INT AS i, round(x * cos(w) - y * sin(w), 6) AS value FROM a UNION ALL SELECT vec_id, (i + 32)::INT, round(y * cos(w) + x * sin(w), 6) FROM a""",
+        SELECT vec_id, i::INT AS i, round(x * cos(w) - y * sin(w), 6) + 0 AS value FROM a UNION ALL SELECT vec_id, (i + 32)::INT, round(y * cos(w) + x * sin(w), 6) + 0 FROM a""",
     "swiglu_dim": "SELECT d, m AS multiple, (ceil((8 * d // 3) / m::DOUBLE) * m)::INT AS hidden FROM (VALUES (768, 64), (64, 64), (64, 8), (256, 64), (100, 1)) AS v(d, m)",
-    "swiglu": "WITH t AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS v FROM embeddings) " + " UNION ALL ".join(f"SELECT vec_id, {i} AS i, round({x}, 6) AS value FROM t" for i, x in enumerate(_OUT)),
+    "swiglu": f"""WITH {_VALUES}, g AS (SELECT vec_id, m.i AS h, sum(w * x) AS g FROM e JOIN {_w(0)} m ON m.j = e.i GROUP BY ALL), u AS (SELECT vec_id, m.i AS h, sum(w * x) AS u FROM e JOIN {_w(1)} m ON m.j = e.i GROUP BY ALL)
+        SELECT vec_id, m.i::INT AS i, round(sum(w * (g / (1 + exp(-g)) * u)), 6) + 0 AS value FROM g JOIN u USING (vec_id, h) JOIN {_w(2)} m ON m.j = h GROUP BY vec_id, m.i""",
     "softmax": f"WITH {_VALUES} SELECT vec_id, i::INT AS i, round(exp(x * 10) / sum(exp(x * 10)) OVER (PARTITION BY vec_id), 6) AS value FROM e",
-    "softmax_causal": f"""WITH {_VALUES}, h AS (SELECT vec_id // 10 AS seq, vec_id, x, i FROM e WHERE i < 8),
-        s AS (SELECT q.vec_id, k.vec_id AS k, exp(sum(q.x * k.x) / sqrt(8.0::DOUBLE)) AS w FROM h q JOIN h k ON q.seq = k.seq AND q.i = k.i AND k.vec_id <= q.vec_id GROUP BY 1, 2),
-        o AS (SELECT s.vec_id, i, sum(w * x) / sum(w) AS o FROM s JOIN h ON h.vec_id = s.k GROUP BY 1, 2)
-        SELECT vec_id, {', '.join(f'round(max(o) FILTER (i = {i}), 6) AS o{i}' for i in range(4))} FROM o GROUP BY vec_id""",
+    "softmax_causal": f"""WITH {_VALUES}, h AS (SELECT vec_id // {SEQ_ROWS} AS seq, vec_id, i, i // {WIDTH // HEADS} AS h, x FROM e),
+        s AS (SELECT q.vec_id, k.vec_id AS k, q.h, sum(q.x * k.x) / sqrt({WIDTH / HEADS}::DOUBLE) AS s FROM h q JOIN h k ON q.seq = k.seq AND q.i = k.i AND k.vec_id <= q.vec_id GROUP BY ALL),
+        w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id, h)) AS w FROM s)
+        SELECT w.vec_id, i::INT AS i, round(sum(w * x) / sum(w), 6) + 0 AS value FROM w JOIN h ON h.vec_id = w.k AND h.h = w.h GROUP BY w.vec_id, i""",
+    "embedding_lookup": f"WITH {_VALUES}, t AS (SELECT vec_id, sum(x * (i + 1)) AS t FROM e GROUP BY vec_id) SELECT doc_id, doc_id % 500 AS token_id, round(t, 6) AS total FROM documents JOIN t ON vec_id = doc_id % 500",
+    "sampled_next": f"""WITH {_VALUES}, r AS (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY x DESC) AS r FROM e), k AS (SELECT vec_id, i, exp(x / 0.7::DOUBLE) AS w FROM r WHERE r <= 10),
+        c AS (SELECT vec_id, i, sum(w) OVER (PARTITION BY vec_id ORDER BY i) / sum(w) OVER (PARTITION BY vec_id) AS upto, ('0x' || substr(md5('5:' || vec_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM k)
+        SELECT vec_id, min(i) AS token FROM c WHERE upto > u GROUP BY vec_id""",
     "topk_mask": f"WITH {_VALUES}, r AS (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY x DESC) AS r FROM e) SELECT vec_id, i::INT AS i, round(x, 6) AS logit FROM r WHERE r <= 5",
     "greedy_next": f"WITH {_VALUES} SELECT vec_id, arg_max(-i, {{x: x, i: -i}}) * -1 AS token FROM e GROUP BY vec_id",
     "cross_entropy": f"WITH {_VALUES}, l AS (SELECT vec_id, ln(sum(exp(x))) - max(x) FILTER (i = label) AS l FROM e GROUP BY vec_id) SELECT round(avg(l), 6) AS loss, round(exp(avg(l)), 6) AS perplexity FROM l",

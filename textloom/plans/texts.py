@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import order, quality, tokenizer
+from ..sources import corpus, shared
 from . import sql
 
 ENDS = ".!?。！？」"
@@ -157,6 +160,93 @@ def judge_responses(spark, d):
     return spark.createDataFrame(rows, "id int, response string").select("id", v["reason"].alias("reason"), v["winner"].alias("winner"))
 
 
+def first_openings(spark, d):
+    """The first 50 usable openings from raw line 20 on."""
+    return corpus.story_openings(read(spark, d, "documents").withColumnRenamed("doc_id", "line_no"), 50, skip=20, end=".")
+
+
+def _longer(prompt, a, b):
+    """A judge that prefers the longer text, the first of equals, and refuses where the prompt is empty."""
+    return ("A" if len(a) >= len(b) else "B", f"{len(a)}:{len(b)}") if prompt else None
+
+
+def judge_asked(spark, d):
+    c = _turns(spark, d)
+    pairs = quality.first_two(c).where("n = 2").join(c.groupBy("prompt_id").agg(F.min_by("prompt", "cand_idx").alias("prompt")), "prompt_id")
+    return quality.ask_judge(pairs.select("prompt_id", "prompt", "x", "y"), _longer)
+
+
+def _recorded(pairs, mode):
+    r = quality.pair_records(pairs, mode)
+    scored = [F.get("rule_scores", F.lit(k)).alias(f"score_{k}") for k in (0, 1)] + [F.size(F.get("rule_penalties", F.lit(k))).alias(f"penalties_{k}") for k in (0, 1)]
+    return r.select("prompt_id", "prompt", "chosen", "rejected", "judge", *(scored if mode != "llm" else []), F.array_join("llm_reasons", "|").alias("reasons"))
+
+
+def _asked(spark, prompts):
+    judged = quality.judge_pairs(_verdicts(spark)).withColumnRenamed("prompt_id", "v")
+    return prompts.select("prompt_id", (F.col("prompt_id") % 6 + 1).alias("v")).distinct().join(judged, "v").drop("v")
+
+
+def _firsts(spark, d):
+    """Candidates whose conversation's first prompt stands for all."""
+    c = _turns(spark, d)
+    return c.drop("prompt").join(c.groupBy("prompt_id").agg(F.min_by("prompt", "cand_idx").alias("prompt")), "prompt_id").select(*c.columns)
+
+
+def pair_records_rule(spark, d):
+    return _recorded(quality.rule_pairs(_firsts(spark, d), min_gap=0.01), "rule")
+
+
+def pair_records_both(spark, d):
+    pairs = quality.rule_pairs(_firsts(spark, d), min_gap=0.01)
+    return _recorded(quality.with_judge(pairs, _asked(spark, pairs)), "both")
+
+
+def pair_records_llm(spark, d):
+    c = _firsts(spark, d)
+    return _recorded(quality.judge_only(c, _asked(spark, c)), "llm")
+
+
+def _folder(spark):
+    return f"{shared.own_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def _written(spark, d):
+    """The documents as JSON lines in range-sorted files of one folder, blank lines between them, and a plain text file beside it."""
+    docs = read(spark, d, "documents")
+    path = _folder(spark)
+    rows = docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    rows.select(F.explode(F.array(F.to_json(F.struct(F.col("text").alias("story"))), F.lit("  "))).alias("value")).write.text(f"{path}/lines")
+    spark.createDataFrame([("one\r\nplain text",)], "value string").coalesce(1).write.text(f"{path}/plain")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    folder = jvm.Path(f"{path}/lines")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(folder):
+        if (name := f.getPath().getName()).startswith("part-"):
+            fs.rename(f.getPath(), jvm.Path(folder, name.split(".")[0] + ".jsonl"))
+    return [f"{path}/lines", f"{path}/plain"]
+
+
+def corpus_files(spark, d):
+    out = corpus.iter_documents(spark, _written(spark, d), "story", max_latin_ratio=RATIO)
+    return out.groupBy("kept").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.sum(F.col("line_no") % 2).alias("odd_lines"))
+
+
+def corpus_files_prefix(spark, d):
+    out = corpus.iter_documents(spark, _written(spark, d), "story", MAX_DOCS, RATIO)
+    return corpus.corpus_stats(out)
+
+
+def pairs_file(spark, d):
+    """Records appended twice, in halves, and read back."""
+    r = quality.pair_records(quality.rule_pairs(_firsts(spark, d), min_gap=0.01), "rule")
+    path = _folder(spark)
+    for half in (0, 1):
+        corpus.append_pairs(r.where(F.col("prompt_id") % 2 == half), path)
+    back = corpus.load_pairs(spark, path)
+    return back.select("prompt", "chosen", "rejected", "judge", *[F.get("rule_scores", F.lit(k)).alias(f"score_{k}") for k in (0, 1)])
+
+
 def pairs_json(spark, d):
     p = _pairs(spark, d).where("status = 'kept'")
     record = F.struct(F.col("chosen.cand_idx").alias("chosen"), F.col("rejected.cand_idx").alias("rejected"), F.lit("rule").alias("judge"))
@@ -199,6 +289,13 @@ sides AS (
 _RULED = _SCORED + """, each AS (
   SELECT prompt_id, count(*) FILTER (finished) AS n, max(score) FILTER (finished) - min(score) FILTER (finished) AS gap FROM scored GROUP BY prompt_id
 )"""
+_RECORDS = _SCORED + f""", p AS (SELECT prompt_id, arg_min(prompt, cand_idx) AS prompt FROM turns GROUP BY 1),
+done AS (SELECT *, {' + '.join(f'({k} > 0)::INT' for k in X.WEIGHTS)} AS n_penalties FROM scored WHERE finished),
+ruled AS (
+  SELECT prompt_id, prompt, arg_max(text, {{s: score, i: cand_idx}}) AS chosen, arg_min(text, {{s: score, i: cand_idx}}) AS rejected, round(max(score), 3) AS score_0, round(min(score), 3) AS score_1,
+    arg_max(n_penalties, {{s: score, i: cand_idx}}) AS penalties_0, arg_min(n_penalties, {{s: score, i: cand_idx}}) AS penalties_1
+  FROM done JOIN p USING (prompt_id) GROUP BY prompt_id, prompt HAVING count(*) >= 2 AND max(score) - min(score) >= 0.01::DOUBLE
+)"""
 _JUDGED = """(VALUES (1, 'x', 'r11|r12'), (2, 'y', 'r21|r22'), (3, NULL, 'r31|r32'), (4, NULL, 'r41|r42'), (5, NULL, 'r51|r52'), (6, NULL, 'r61|r62')) AS j(v, preferred, reasons)"""
 _RATIO_OF = f"length(regexp_replace({sql.strip('text')}, '[^A-Za-z]', '', 'g'))::DOUBLE / nullif(length({sql.strip('text')}), 0)"
 _KEPT = f"coalesce({_RATIO_OF} <= {RATIO}::DOUBLE, false)"
@@ -260,6 +357,25 @@ ORACLES = {
           CASE WHEN coalesce(n, 0) < 2 THEN 'too_few_candidates' WHEN preferred IS NULL THEN 'llm_undecided' ELSE 'kept' END AS status
         FROM every LEFT JOIN two USING (prompt_id) JOIN {_JUDGED} ON j.v = prompt_id % 6 + 1""",
     "judge_responses": "SELECT * FROM (VALUES (1, 'clear', 'A'), (2, 'even', 'tie'), (3, 'odd', NULL), (4, NULL, NULL), (5, NULL, NULL)) AS v(id, reason, winner)",
+    "first_openings": f"""SELECT doc_id AS line_no, substr(t, 1, instr(t, '.')) AS opening FROM (SELECT doc_id, {sql.strip('text')} AS t FROM documents)
+        WHERE doc_id >= 20 AND instr(t, '.') - 1 BETWEEN 5 AND 80 ORDER BY doc_id LIMIT 50""",
+    "judge_asked": f"""WITH {_TURNS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY cand_idx) AS r FROM turns WHERE finished),
+        two AS (SELECT prompt_id, max(text) FILTER (r = 1) AS x, max(text) FILTER (r = 2) AS y FROM ranked WHERE r <= 2 GROUP BY 1 HAVING count(*) = 2),
+        p AS (SELECT prompt_id, arg_min(prompt, cand_idx) AS prompt FROM turns GROUP BY 1),
+        o AS (SELECT prompt_id, prompt, 1 AS order_no, x AS a, y AS b FROM two JOIN p USING (prompt_id) UNION ALL SELECT prompt_id, prompt, 2, y, x FROM two JOIN p USING (prompt_id))
+        SELECT prompt_id, order_no, CASE WHEN prompt = '' THEN NULL WHEN length(a) >= length(b) THEN 'A' ELSE 'B' END AS winner, CASE WHEN prompt <> '' THEN length(a) || ':' || length(b) END AS reason FROM o""",
+    "pair_records_rule": _RECORDS + " SELECT prompt_id, prompt, chosen, rejected, 'rule' AS judge, score_0, score_1, penalties_0, penalties_1, NULL::VARCHAR AS reasons FROM ruled",
+    "pair_records_both": _RECORDS + f" SELECT prompt_id, prompt, chosen, rejected, 'both' AS judge, score_0, score_1, penalties_0, penalties_1, reasons FROM ruled JOIN {_JUDGED} ON j.v = prompt_id % 6 + 1 WHERE preferred = 'x'",
+    "pair_records_llm": f"""WITH {_TURNS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY cand_idx) AS r FROM turns WHERE finished),
+        two AS (SELECT prompt_id, max(text) FILTER (r = 1) AS x, max(text) FILTER (r = 2) AS y FROM ranked WHERE r <= 2 GROUP BY 1 HAVING count(*) = 2),
+        p AS (SELECT prompt_id, arg_min(prompt, cand_idx) AS prompt FROM turns GROUP BY 1)
+        SELECT prompt_id, prompt, CASE preferred WHEN 'x' THEN x ELSE y END AS chosen, CASE preferred WHEN 'x' THEN y ELSE x END AS rejected, 'llm' AS judge, reasons
+        FROM two JOIN p USING (prompt_id) JOIN {_JUDGED} ON j.v = prompt_id % 6 + 1 WHERE preferred IS NOT NULL""",
+    "corpus_files": f"""WITH k AS (SELECT {_KEPT} AS kept, text, {sql.strip('text')} AS t FROM documents)
+        SELECT kept, count(*) + kept::INT AS n, (sum(length(CASE WHEN kept THEN t ELSE text END)) + CASE WHEN kept THEN 15 ELSE 0 END)::BIGINT AS chars, 0::BIGINT AS odd_lines FROM k GROUP BY kept""",
+    "corpus_files_prefix": f"""SELECT least(count(*) FILTER (kept) + 1, {MAX_DOCS}) AS kept, count(*) FILTER (NOT kept) AS dropped FROM (SELECT *, coalesce(sum(kept::INT) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM (SELECT doc_id, {_KEPT} AS kept FROM documents)) WHERE before < {MAX_DOCS}""",
+    "pairs_file": _RECORDS + " SELECT prompt, chosen, rejected, 'rule' AS judge, score_0, score_1 FROM ruled",
     "pairs_json": _BEST + """ SELECT prompt_id, '{"chosen":' || chosen || ',"rejected":' || rejected || ',"judge":"rule"}' AS record FROM pairs WHERE status = 'kept'""",
 }
 

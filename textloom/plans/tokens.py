@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import bytes as B
 from ..functions import text as X
 from ..operators import stream, tokenizer
+from ..sources import corpus, shared
 from . import sql
 from .texts import read
 
-LEARNED = 8
+LEARNED, LARGE = 8, 400
 MERGES = [("t", "h"), ("th", "e"), ("Ġ", "the")]  # of the encoding queries
 SEQ, BATCH, BATCHES, VAL = 64, 4, 16, 0.1
 
@@ -118,6 +121,34 @@ def stored_windows(spark, d):
     return w.select("window_id", _summed(F.col("x")).alias("x"), _summed(F.col("y")).alias("y"))
 
 
+def _folder(spark):
+    return f"{shared.own_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def token_store(spark, d):
+    """The stream written, read back and checked against its metadata."""
+    path = _folder(spark)
+    corpus.write_tokens(_stream(spark, d), path, 257)
+    s = corpus.load_tokens(spark, path)
+    return s.agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.sum(F.col("token_id") * (F.col("pos") % 997 + 1)).alias("checksum"))
+
+
+def tokenizer_file(spark, d):
+    """A tokenizer written and read back: its merges' symbols and ids."""
+    path = _folder(spark)
+    corpus.save_tokenizer(spark, MERGES, tokenizer.build_vocab(MERGES), path)
+    merges, vocab = corpus.load_tokenizer(spark, path)
+    return spark.createDataFrame([(vocab[a + b], a + b, False) for a, b in merges] + [(vocab[tokenizer.EOT], tokenizer.EOT, True)], "id int, symbol string, is_special boolean")
+
+
+def encode_learned(spark, d):
+    """The documents by LARGE learned merges, decoded again."""
+    docs = read(spark, d, "documents")
+    merges, _ = tokenizer.train(docs, 256 + LARGE)
+    ids = tokenizer.encode(docs, merges)
+    return ids.select("doc_id", tokenizer.decode(F.col("ids"), merges).alias("text"))
+
+
 def pair_split(spark, d):
     pairs = read(spark, d, "conversations").select("conv_id").distinct()
     return stream.shuffled_split(pairs, "conv_id", 0.2, seed=1)
@@ -191,6 +222,8 @@ ORACLES = {
         lengths AS (SELECT doc_id, count(*) AS n, sum(id * (k % 997 + 1)) AS c FROM ids GROUP BY doc_id)
         SELECT doc_id, (n + 1)::INT AS n, (c + {256 + len(MERGES)} * (n % 997 + 1))::BIGINT AS checksum FROM lengths""",
     "decode_roundtrip": "SELECT doc_id, text FROM documents",
+    "token_store": _FLAT + " SELECT count(*) AS n, max(pos) AS last, sum(token_id * (pos % 997 + 1))::BIGINT AS checksum FROM stream",
+    "tokenizer_file": f"SELECT * FROM {_VOCAB} WHERE id >= 256",
     "token_stream": _FLAT + " SELECT doc_id, min(pos) AS first, max(pos) AS last, sum(token_id * (pos % 997 + 1))::BIGINT AS checksum FROM stream GROUP BY doc_id",
     "stream_meta": _FLAT + " SELECT count(*) AS num_tokens, 'uint16' AS dtype FROM stream",
     "train_val_split": _FLAT + f""" SELECT CASE WHEN pos < floor({_N} * (1 - {VAL}::DOUBLE)) THEN 'train' ELSE 'val' END AS split, count(*) AS n, min(pos) AS first, max(pos) AS last,
@@ -215,5 +248,6 @@ ORACLES = {
           UNION ALL SELECT d.i, d.n, CASE WHEN r.filled >= 10000 THEN r.no + 1 ELSE r.no END, CASE WHEN r.filled >= 10000 THEN d.n ELSE r.filled + d.n END FROM r JOIN d ON d.i = r.i + 1)
         SELECT no::BIGINT AS bundle_no, count(*) AS pieces, sum(n)::BIGINT AS chars FROM r GROUP BY no""",
 }
+ORACLES["encode_learned"] = ORACLES["decode_roundtrip"]
 ORACLES["stored_batches"] = ORACLES["hash_batches"]
 QUERIES = {n: globals()[n] for n in ORACLES}

@@ -6,7 +6,7 @@ line_no, since the order of documents has a meaning.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,69 +32,81 @@ def expand_corpus_paths(spark: SparkSession, paths: list[str]) -> list[str]:
     return out
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """line_no within each file, counted over all its lines: Spark hands a file's rows out in order of block and offset."""
-    return df.withColumn("_row", F.monotonically_increasing_id())
+def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file_idx, file): the paths in their order; a path that is given twice is read for each time."""
+    return spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "file_idx int, path string").select("file_idx", _plain("path").alias("file"))
 
 
-def read_lines(spark: SparkSession, path: str, file_idx: int = 0) -> DataFrame:
-    """(file_idx, line_no, value) of one text file. Each split is numbered by its own count plus those before it."""
-    lines = _numbered(spark.read.text(path)).withColumn("_part", F.spark_partition_id())
-    sizes = lines.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("_first"))
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(_before("_part")), F.lit(0)))  # a row for each split
-    joined = lines.join(F.broadcast(starts.select("_part", "start", "_first")), "_part")
-    return joined.select(F.lit(file_idx).alias("file_idx"), (F.col("start") + F.col("_row") - F.col("_first")).alias("line_no"), "value")
+def _plain(path: str) -> Column:
+    """A path's name whichever way a reader writes its scheme."""
+    return F.regexp_replace(F.col(path), "^file:/+", "/")
 
 
-def _before(column: str):
-    from pyspark.sql import Window
+def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file_idx, line_no, value) of text files: one scan for all of them, each line numbered within its file.
 
-    return Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def read_jsonl(spark: SparkSession, path: str, field: str = "text_ja", file_idx: int = 0) -> DataFrame:
+    Spark hands a split's rows out in order, so a line's number is its place in its split and the lines of the splits before it.
+    """
+    paths = [paths] if isinstance(paths, str) else paths
+    lines = spark.read.text(sorted(set(paths))).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"))
+    lines = lines.withColumn("row", F.monotonically_increasing_id())
+    splits = lines.groupBy("path", "split").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a file's splits
+    starts = splits.select("path", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = starts.withColumn("file", _plain("path")).join(F.broadcast(_files(spark, paths)), "file")  # as many rows as paths
+    joined = lines.join(starts.select("path", "split", "first", "start", "file_idx"), ["path", "split"])
+    return joined.select("file_idx", (F.col("start") + F.col("row") - F.col("first")).alias("line_no"), "value")
+
+
+def read_jsonl(spark: SparkSession, paths: str | list[str], field: str = "text_ja") -> DataFrame:
     """(file_idx, line_no, text): a line each, blank lines left out, a missing or null field as empty; bad JSON raises."""
-    lines = read_lines(spark, path, file_idx).where(X.strip("value") != "")
+    lines = read_lines(spark, paths).where(X.strip("value") != "")
     record = F.from_json("value", T.StructType([T.StructField(field, T.StringType())]), {"mode": "FAILFAST"})
     return lines.select("file_idx", "line_no", F.coalesce(record[field], F.lit("")).alias("text"))
 
 
-def read_txt(spark: SparkSession, path: str, file_idx: int = 0) -> DataFrame:
-    """A whole file as one document, neither stripped nor filtered."""
-    whole = spark.read.text(path, wholetext=True)
-    empty = spark.createDataFrame([("",)], "value string")
-    whole = whole if not whole.isEmpty() else empty
-    return whole.select(F.lit(file_idx).alias("file_idx"), F.lit(0).cast("long").alias("line_no"), X.newlines("value").alias("text"))
+def read_txt(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file_idx, line_no 0, text): each file as one document, neither stripped nor filtered; an empty file is an empty document."""
+    paths = [paths] if isinstance(paths, str) else paths
+    whole = spark.read.text(sorted(set(paths)), wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    found = F.broadcast(_files(spark, paths)).join(whole.withColumn("file", _plain("path")), "file", "left")
+    return found.select("file_idx", F.lit(0).cast("long").alias("line_no"), X.newlines(F.coalesce("value", F.lit(""))).alias("text"))
 
 
 def iter_documents(spark: SparkSession, paths: list[str], field: str = "text_ja", max_docs: int | None = None, max_latin_ratio: float = 0.05) -> DataFrame:
     """(file_idx, line_no, text, kept) of a corpus in reading order; kept texts are stripped.
 
-    With max_docs rows end at the last one that the reader would have looked at: the max_docs-th kept document.
+    All files of a kind are one scan. With max_docs rows end at the last one that the reader would have looked at: the
+    max_docs-th kept document.
     """
-    parts = []
-    for i, path in enumerate(expand_corpus_paths(spark, paths)):
-        if path.endswith(".txt"):
-            parts.append(read_txt(spark, path, i).withColumn("kept", F.lit(True)))
-        else:
-            kept = X.keep_story("text", max_latin_ratio)
-            parts.append(read_jsonl(spark, path, field, i).select("file_idx", "line_no", F.when(kept, X.strip("text")).otherwise(F.col("text")).alias("text"), kept.alias("kept")))
-    if not parts:
-        return spark.createDataFrame([], "file_idx int, line_no long, text string, kept boolean")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    files = expand_corpus_paths(spark, paths)
+    out = spark.createDataFrame([], "file_idx int, line_no long, text string, kept boolean")
+    number = lambda kind: F.element_at(F.array(*[F.lit(i) for i, p in enumerate(files) if p.endswith(".txt") == kind]), F.col("file_idx") + 1).alias("file_idx")
+    if texts := [p for p in files if p.endswith(".txt")]:
+        out = out.unionByName(read_txt(spark, texts).select(number(True), "line_no", "text", F.lit(True).alias("kept")))
+    if lines := [p for p in files if not p.endswith(".txt")]:
+        kept = X.keep_story("text", max_latin_ratio)
+        out = out.unionByName(read_jsonl(spark, lines, field).select(number(False), "line_no", F.when(kept, X.strip("text")).otherwise(F.col("text")).alias("text"), kept.alias("kept")))
     return out if max_docs is None else first_kept(out, ["file_idx", "line_no"], "kept", max_docs)
 
 
+def story_openings(lines: DataFrame, n: int, skip: int = 0, end: str = "。", order: str = "line_no") -> DataFrame:
+    """(order, opening): the first n usable openings of the rows (order, text) from raw line `skip` on."""
+    found = lines.where(F.col(order) >= skip).select(order, X.opening("text", end).alias("opening")).where("opening IS NOT NULL")
+    return found.orderBy(order).limit(n)
+
+
 def corpus_stats(documents: DataFrame) -> DataFrame:
     """One row: how many documents were kept and dropped."""
     return documents.agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
 
 
 def write_tokens(stream: DataFrame, path: str, vocab_size: int) -> None:
-    """(pos, token_id) as Parquet in the order of pos, and its metadata (dtype, num_tokens) in <path>.meta."""
-    stream.select("pos", "token_id").sort("pos").write.mode("overwrite").parquet(path)
+    """(pos, token_id) as Parquet, and its metadata (dtype, num_tokens) in <path>.meta.
+
+    Rows carry their position; a stream of placed documents is range-partitioned by it already, so nothing is sorted.
+    """
+    stream.select("pos", "token_id").write.mode("overwrite").parquet(path)
     meta = stream.sparkSession.read.parquet(path).agg(F.count("*").alias("num_tokens"), F.lit(dtype(vocab_size)).alias("dtype"))
     meta.write.mode("overwrite").json(f"{path}.meta")
 
