@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -84,31 +85,34 @@ def test_kernel_scores_equal_the_landmark_form(monkeypatch):
         assert np.allclose(model.margins(model.hits([text])[0])[0], want, atol=1e-4)
 
 
-def test_noisy_or_equals_a_plain_one():
-    weights = {"idiot": 5.0, "idio-": 2.0, "rude": 3.0, "fool": 9.0}
-    model = toxicity.Model(weights, -6.0)
+def plain_noisy_or(model, text):
+    """The chance of a document and of its sentences by the definition: each sentence over one without weight."""
     sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    quiet, each = 1.0, []
+    for s in re.split(r"[.!?\n]", text.lower()):
+        z = sum(model.weights.get(f, 0) for w in set(re.findall(r"\w+", s)) for f in [w, *(w[:k] + "-" for k in range(4, min(9, len(w))))])
+        ratio = (1 - sigmoid(model.bias + z)) / (1 - sigmoid(model.bias))
+        quiet *= ratio
+        each.append(1 - ratio)
+    return 1 - quiet, each
+
+
+def test_noisy_or_equals_a_plain_one():
+    model = toxicity.Model({"idiot": 5.0, "idio-": 2.0, "rude": 3.0, "fool": 9.0}, -6.0)
     draw = random.Random(3)
     words = ["idiot", "idiom", "rude", "fool", "fine", "day", "Rude", "x", "7"]
     for _ in range(200):
         text = "".join(draw.choice(words) + draw.choice([" ", " ", ", ", ". ", "!\n", "? ", "."]) for _ in range(draw.randint(0, 30)))
-        sentences = __import__("re").split(r"[.!?\n]", text)
-        quiet, each = 1.0, []
-        for s in sentences:
-            z = sum(weights.get(f, 0) for w in set(__import__("re").findall(r"\w+", s.lower())) for f in [w, *(w[:k] + "-" for k in range(4, min(9, len(w))))])
-            ratio = (1 - sigmoid(-6.0 + z)) / (1 - sigmoid(-6.0))  # over a sentence without weight
-            quiet *= ratio
-            each.append(1 - ratio)
+        want, each = plain_noisy_or(model, text)
         (whole, located), = model.located([text])
-        assert abs(whole - (1 - quiet)) < 1e-9 and abs(model.documents([text])[0] - whole) < 1e-12
+        assert abs(whole - want) < 1e-9 and abs(model.documents([text])[0] - whole) < 1e-12
         assert {s for s, p in located if p >= 0.5} == {i for i, p in enumerate(each) if p >= 0.5}
 
 
 def test_the_bias_is_learned():
-    draw = random.Random(8)
     texts = [". ".join(["calm words here"] * 5 + (["you grumble"] if i % 3 == 0 else [])) for i in range(120)]
     model = toxicity.fit_texts(texts, [int(i % 3 == 0) for i in range(120)], start=-4.0)
-    assert model.bias != -4.0 and draw is not None
+    assert model.bias < -4.0
     assert ((model.documents(texts) >= 0.5) == np.array([i % 3 == 0 for i in range(120)])).all()
 
 
@@ -120,7 +124,7 @@ def test_quality_scores_equal_a_plain_network():
     model = quality_classifier.fit_texts(texts, [i % 2 for i in range(80)], epochs=60)
     for text in [*texts[:10], "", "the Unknownword 42 ???"]:
         pooled, n = np.zeros(model.inner.shape[1]), 0
-        for token in __import__("re").findall(r"\w+|[^\w\s]+", text):
+        for token in re.findall(r"\w+|[^\w\s]+", text):
             row = model.ids.get(token, model.ids.get(quality_classifier.shape(token), len(model.ids)))
             pooled, n = pooled + model.inner[row], n + 1
         hidden = [np.tanh(a + b) for a, b in zip(pooled / max(n, 1), model.bias)]

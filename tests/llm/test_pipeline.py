@@ -1,5 +1,16 @@
+from collections import Counter
+
 import corpus_pipeline as P
 
+from textloom.llm import mixing, quality_rules, sentencepiece_codec, toxicity
+from textloom.llm.common import fold, read
+
+from ..oracle import sql_rows
+from .test_dedup import plain_classes
+from .test_models import plain_noisy_or
+
+SF = "/root/testdata/sf0.001"
+
 
 def test_stages_of_messy_and_empty_documents(spark, messy, empty, tmp_path):
     labels = spark.createDataFrame([(6, 1, 0), (7, 0, 1), (9, 1, 0)], "doc_id long, quality int, toxic int")
@@ -14,6 +25,45 @@ def test_stages_of_messy_and_empty_documents(spark, messy, empty, tmp_path):
         assert docs.count() == 0 if k else docs.count() > 0
 
 
+def test_each_stage_equals_a_plain_version(spark, tmp_path):
+    """Each stage on what its predecessor kept, against SQL, plain Python and the tokenizer's own library."""
+    import sentencepiece
+
+    docs, held = read(spark, SF, "documents"), {}
+    for name, stage in [("documents", lambda *_: docs), *P.STAGES]:
+        (tmp_path / name).mkdir()
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name / "documents.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        held[name] = docs.toPandas()
+
+    def sql(name, query):
+        folder = tmp_path / f"{name}_sql"
+        folder.mkdir()
+        held[name].to_parquet(folder / "documents.parquet")
+        return sql_rows(query, str(folder))
+
+    ruled = sql("documents", quality_rules.ORACLE).set_index("doc_id")
+    got = held["quality_rules"].set_index("doc_id")["text"]
+    assert set(got.index) == set(ruled.index[ruled["kept"]])
+    assert all(len(t.encode().split()) == ruled.loc[i, "n_words"] - ruled.loc[i, "n_removed_words"] for i, t in got.items())
+
+    model = toxicity.fit(spark.read.parquet(str(tmp_path / "quality_rules" / "documents.parquet")), read(spark, SF, "labels"), fold("doc_id", 5) != 0)
+    rows = held["quality_rules"]
+    assert set(held["toxicity"]["doc_id"]) == {i for i, t in zip(rows["doc_id"], rows["text"]) if plain_noisy_or(model, t)[0] < 0.5}
+
+    rows = held["toxicity"]
+    classes = plain_classes(list(zip(rows["doc_id"].tolist(), rows["text"])))
+    assert sorted(held["near_dedup"]["doc_id"]) == sorted(set(classes.values()))
+
+    taken = sql("near_dedup", mixing.ORACLE).set_index("doc_id")
+    assert Counter(held["mixing"]["doc_id"]) == {i: n for i, n in (taken["taken"] // taken["size"].clip(lower=1)).items() if n}
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    texts = held["mixing"].drop_duplicates("doc_id").set_index("doc_id")["text"]
+    assert len(held["tokens"]) == len(held["mixing"])
+    assert all(list(ids) == library.encode(texts[i]) for i, ids in zip(held["tokens"]["doc_id"], held["tokens"]["ids"]))
+
+
 def test_run_over_a_table(spark):
     out = P.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and out.where("NOT round_trip").count() == 0
