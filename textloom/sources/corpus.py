@@ -32,9 +32,21 @@ def expand_corpus_paths(spark: SparkSession, paths: list[str]) -> list[str]:
     return out
 
 
-def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file_idx, file): the paths in their order; a path that is given twice is read for each time."""
-    return spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "file_idx int, path string").select("file_idx", _plain("path").alias("file"))
+def _qualified(spark: SparkSession, paths: str | list[str]) -> list:
+    """The paths as Hadoop paths with their scheme, so that two names of one file are equal."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = [jvm.org.apache.hadoop.fs.Path(p) for p in ([paths] if isinstance(paths, str) else paths)]
+    return [p.getFileSystem(conf).makeQualified(p) for p in found]
+
+
+def _once(paths: list) -> list[str]:
+    return sorted({p.toString() for p in paths})
+
+
+def _files(spark: SparkSession, paths: list) -> DataFrame:
+    """(file_idx, file): the paths in their order, as readers name them; a path that is given twice is read for each time."""
+    named = [(i, p.toUri().toString()) for i, p in enumerate(paths)]
+    return spark.createDataFrame(named, "file_idx int, path string").select("file_idx", _plain("path").alias("file"))
 
 
 def _plain(path: str) -> Column:
@@ -47,8 +59,8 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     Spark hands a split's rows out in order, so a line's number is its place in its split and the lines of the splits before it.
     """
-    paths = [paths] if isinstance(paths, str) else paths
-    lines = spark.read.text(sorted(set(paths))).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"))
+    paths = _qualified(spark, paths)
+    lines = spark.read.text(_once(paths)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"))
     lines = lines.withColumn("row", F.monotonically_increasing_id())
     splits = lines.groupBy("path", "split").agg(F.count("*").alias("n"), F.min("row").alias("first"))
     before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a file's splits
@@ -67,8 +79,8 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], field: str = "text_j
 
 def read_txt(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file_idx, line_no 0, text): each file as one document, neither stripped nor filtered; an empty file is an empty document."""
-    paths = [paths] if isinstance(paths, str) else paths
-    whole = spark.read.text(sorted(set(paths)), wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    paths = _qualified(spark, paths)
+    whole = spark.read.text(_once(paths), wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     found = F.broadcast(_files(spark, paths)).join(whole.withColumn("file", _plain("path")), "file", "left")
     return found.select("file_idx", F.lit(0).cast("long").alias("line_no"), X.newlines(F.coalesce("value", F.lit(""))).alias("text"))
 
