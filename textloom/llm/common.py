@@ -43,7 +43,7 @@ def row_key(*columns: str) -> Column:
 
 
 def salt(*columns: str) -> Column:
-    """One of SALTS numbers by a hash of the columns; rows without any value get 0 to SALTS - 1 all the same."""
+    """One of SALTS numbers by a hash of the columns; nulls count as nothing."""
     return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
 
 

@@ -30,7 +30,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def _stars(edges: DataFrame) -> bool:
     """Whether every u has one v and no v is a u: then the edges are the answer."""
     once = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
-    chained = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+    chained = edges.select("v").distinct().join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
     return once.isEmpty() and chained.isEmpty()
 
 
