@@ -13,7 +13,8 @@ all weights 1, whose bands join the same buckets, so both kinds of pairs have th
 band are verified by both similarities, computed exactly.
 
 Equal texts are one node (by their md5), so copies cost nothing after the first stage. Inside a band's bucket not all
-pairs are compared: the smallest member is the pivot for all the others. Buckets that then still hold several
+pairs are compared: one member is the pivot for all the others, the first by one of PIVOTS hashes, so a group that shares
+many buckets meets PIVOTS different ones. Buckets that then still hold several
 components are compared in tiles. One of more than BLOCK members is first cut into smaller ones by FINE further bands of
 FINE_ROWS slots, each from other bands (a pair of similarity 0.8 is then lost with probability 0.00001); what is still too
 large is cut into tiles of two blocks of about BLOCK members or ELEMENTS shingles. A tile's sets are compared at once by
@@ -44,7 +45,7 @@ WIDTH, SIMILARITY = 5, 0.8
 ROWS, BANDS = 6, 24
 SLOTS = ROWS * BANDS
 MEMO = 400_000
-BLOCK, COLUMNS, ELEMENTS = 512, 4096, 1 << 20
+BLOCK, COLUMNS, ELEMENTS, PIVOTS = 1024, 4096, 1 << 20, 4
 FINE, FINE_ROWS = 28, 5
 
 _U = np.uint64
@@ -356,7 +357,8 @@ def linked(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("repeats", T.BooleanType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     banded = docs.mapInArrow(_banded, schema).groupBy("node").agg(F.first("size").alias("size"), F.first("repeats").alias("repeats"), F.first("bands").alias("bands"))
     banded = materialise(banded)
-    rows = banded.select("node", "size", "repeats", F.explode("bands").alias("b")).withColumn("own", F.struct("node", "size", "repeats"))
+    rows = banded.select("node", "size", "repeats", F.explode("bands").alias("b"))
+    rows = rows.withColumn("own", F.struct(F.xxhash64("node", F.pmod("b", F.lit(PIVOTS))).alias("first"), "node", "size", "repeats"))
     members = with_least(rows, ["b"], "own", "p", count="n", having="n > 1")
     members = materialise(members.select("b", "n", "node", "size", "repeats", F.col("p.node").alias("v"), F.col("p.size").alias("v_size"), F.col("p.repeats").alias("v_repeats")))
     discard(banded)
