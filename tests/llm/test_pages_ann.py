@@ -192,6 +192,31 @@ def test_the_scan_abandons_early_and_loses_nothing():
     assert len(want & found) >= 0.99 * len(want) and work < 0.5 * 100 * 4000 * 65
 
 
+def test_rows_from_the_lists_do_not_grow_with_the_square(spark):
+    """Rows that the lists give for each query: with five times the rows it isn't five times as many."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    made = []
+    for n in (4_000, 20_000):
+        first, total = store.executionsCount(), 0
+        table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.random.default_rng(8).standard_normal((n, 32)))], "vec_id long, embedding array<double>")
+        assert ann.search(table).count() == n // 20 * 20
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        ran = store.executionsList()
+        for at in range(first, ran.size()):
+            run = ran.apply(at).executionId()
+            values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                for metric in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                    if "CoGroups" in node.name() and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        total += int(values.apply(metric.accumulatorId()).replace(",", ""))
+        made.append(total / (n // 20))
+    assert made[0] >= 20 and made[1] < 2 * made[0]
+
+
+def test_no_queries(spark):
+    assert ann.search(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(1, 9)], "vec_id long, embedding array<float>")).collect() == []
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, None]), (6, [3.0, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0])]

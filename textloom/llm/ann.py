@@ -8,14 +8,18 @@ every query probes its nearest lists: as many as held a share RECALL of the true
 brute force in the sample (and more, if those hold too few rows). Inside a list distances are summed
 over blocks of columns. After each block a hypothesis test abandons candidates early: that a candidate is no farther than
 the k-th best found is rejected if its distance over the columns seen exceeds the share of the bound that, among the trial
-rows' true neighbours, only one of 1 / ERROR pairs exceeds. The bound is the smaller one of the k-th distance among the
-candidates that look best in the list and the one among ANCHORS rows of the sample in the probed lists, SPARE places further
-down, so that a wrong rejection doesn't shorten a result. Survivors are scored exactly, in
-double precision on the original vectors.
+rows' true neighbours, only one of 1 / ERROR pairs exceeds. The bound is the smallest one of the k-th distance found in
+earlier rounds, that among the candidates that look best in the list, and that among ANCHORS rows of the sample in the probed
+lists; the last two SPARE places further down, so that a wrong rejection doesn't shorten a result. Survivors are scored
+exactly, in double precision on the original vectors.
+
+A query's lists are scanned in rounds, nearest first: one list, then up to ROUND times as many lists in all with each round.
+A round starts from the best k rows of those before, and a list gives nothing that is farther than the last of them: a few
+times k rows for each round of a query, however many rows a list or the table has.
 
 Lists and queries meet in tiles of at most about TILE_ROWS rows by TILE_QUERIES queries, so no list, however
 large, is gathered in one task. Nothing but the sample, the centroids and the lists' sizes (one number for each list)
-reaches the driver.
+reaches the driver, in each round.
 
 Defined cases: null or zero vectors, vectors with null or non-finite components, vectors of another dimension than most
 of the sample, and rows without an id take no part. Repeated ids count as one row (the smallest vector by its order). A
@@ -29,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 SAMPLE, MAX_SAMPLE, PER_LIST, RECALL, TRIALS, ANCHORS, K, ERROR, BLOCKS = 20_000, 100_000, 16, 0.97, 256, 2_000, 20, 1e-3, (8, 16, 24, 32, 48)
-TILE_ROWS, TILE_QUERIES, ITERATIONS, SEED, FEW, SEEDS, SPARE = 65_536, 16_384, 12, 11, 0.15, 4, 6
+TILE_ROWS, TILE_QUERIES, ITERATIONS, SEED, FEW, SEEDS, SPARE, ROUND = 65_536, 16_384, 12, 11, 0.15, 4, 6, 4
 
 
 def usable(embeddings: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -175,7 +179,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K, recall: float = R
     """
     spark = embeddings.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    points = materialise(usable(embeddings))
+    points = taking = materialise(usable(embeddings))
     total, longest = points.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     if not total:
         return spark.createDataFrame([], schema)
@@ -202,26 +206,29 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K, recall: float = R
 
     def probed(batches):
         for batch in batches:
-            q = space.queries(_matrix(batch.column("v"), dimension))
+            v = _matrix(batch.column("v"), dimension)
+            q = space.queries(v)
             order = space.order(q)
             enough = np.maximum(least, (held[order].cumsum(1) <= k + 1).sum(1) + 1)
             chosen = np.arange(n_lists)[None] < enough[:, None]
-            at = np.nonzero(chosen)[0]
             inside = np.zeros_like(chosen)
             np.put_along_axis(inside, order, chosen, 1)
-            bound = space.bound(q, k + 1 + SPARE, inside)[at]
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at)) for c in ("vec_id", "v")] + [pa.array(bound.astype(float)), pa.array(order[chosen].astype(np.int32))], names=["query_id", "v", "bound", "list"])
-
-    asked = materialise(rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(probed, "query_id long, v array<double>, bound double, list int"))
-    asking = np.zeros(n_lists, np.int64)
-    for r in asked.groupBy("list").count().collect():
-        asking[r["list"]] = r["count"]
-    cuts = spark.createDataFrame([(i, int(-(-held[i] // TILE_ROWS)) or 1, int(-(-asking[i] // TILE_QUERIES)) or 1) for i in range(n_lists)], "list int, rows_cut int, queries_cut int")
-    cuts = F.broadcast(cuts)  # a row for each list, MAX_SAMPLE / PER_LIST at most
+            bound = space.bound(q, k + 1 + SPARE, inside)
+            ends = pa.array(np.concatenate(([0], np.cumsum(chosen.sum(1)))).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(order[chosen].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.linalg.norm(v, axis=1)), pa.array(bound.astype(float)), lists], names=["query_id", "v", "norm", "bound", "lists"])
+
+    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(probed, "query_id long, v array<double>, norm double, bound double, lists array<int>")
+    asked = materialise(asked)
+    ends = [1]
+    while ends[-1] < n_lists:
+        ends.append(ends[-1] * ROUND)
+    turn = sum(((F.col("at") >= end).cast("int") for end in ends[:-1]), F.lit(0)).alias("turn")
+    asking = [{} for _ in ends]  # how many queries each list has in each round
+    for r in asked.select(F.posexplode("lists").alias("at", "list")).groupBy(turn, "list").count().collect():
+        asking[r["turn"]][r["list"]] = r["count"]
     part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.join(cuts, "list").select("vec_id", "v", "list", part("vec_id", "rows_cut").alias("a"), spread("queries_cut").alias("b"))
-    right = asked.join(cuts, "list").select("query_id", "v", "bound", "list", spread("rows_cut").alias("a"), part("query_id", "queries_cut").alias("b"))
 
     def tile(one: pa.Table, other: pa.Table) -> pa.Table:
         found: list = []
@@ -243,6 +250,27 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K, recall: float = R
         columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
-    near = left.groupBy("list", "a", "b").cogroup(right.groupBy("list", "a", "b")).applyInArrow(tile, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found, start = None, 0
+    for end, queries in zip(ends, asking, strict=True):
+        if not queries:
+            break
+        cuts = spark.createDataFrame([(i, int(-(-held[i] // TILE_ROWS)) or 1, -(-n // TILE_QUERIES)) for i, n in queries.items()], "list int, rows_cut int, queries_cut int")
+        cuts = F.broadcast(cuts)  # a row for each list, MAX_SAMPLE / PER_LIST at most
+        bounded = asked
+        if found is not None:
+            last = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+            nearer = F.least("bound", F.lit(2.0) - 2 * F.col("least") / (F.lit(space.longest) * F.col("norm")))  # the squared distance of that score
+            bounded = asked.join(last, "query_id", "left").withColumn("bound", nearer)
+        bounded = bounded.select("query_id", "v", "bound", F.explode(F.slice("lists", start + 1, end - start)).alias("list"))
+        left = rows.join(cuts, "list").select("vec_id", "v", "list", part("vec_id", "rows_cut").alias("a"), spread("queries_cut").alias("b"))
+        right = bounded.join(cuts, "list").select("query_id", "v", "bound", "list", spread("rows_cut").alias("a"), part("query_id", "queries_cut").alias("b"))
+        near = left.groupBy("list", "a", "b").cogroup(right.groupBy("list", "a", "b")).applyInArrow(tile, "query_id long, vec_id long, score double")
+        before, start = found, end
+        near = near if before is None else near.unionByName(before.drop("rank"))
+        found = materialise(near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+        if before is not None:
+            discard(before)
+    for done in (taking, rows, asked):
+        discard(done)
+    return spark.createDataFrame([], schema) if found is None else found.select("query_id", "rank", "vec_id", "score")
