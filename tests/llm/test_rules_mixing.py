@@ -90,6 +90,26 @@ def test_mixing_equals_its_sql(spark, sf):
     same(queries.op10_mixing(spark, sf), mixing.ORACLE, sf)
 
 
+def test_the_query_sorts_the_mix(spark, sf):
+    """All copies are range-sorted by position, and the result is taken from them."""
+    from textloom.llm import queries
+
+    store = spark._jsparkSession.sharedState().statusStore()
+    first = store.executionsCount()
+    queries.op10_mixing(spark, sf).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = store.executionsList()
+    assert any("rangepartitioning(position" in ran.apply(at).physicalPlanDescription() for at in range(first, ran.size()))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    copies = sorted((p, r["doc_id"], r["size"]) for r in mixing.curriculum(docs).collect() for p in r["positions"])
+    starts, held = {}, 0
+    for _, doc_id, size in copies:
+        starts.setdefault(doc_id, held)
+        held += size
+    got = mixing.plan(docs).collect()
+    assert starts and {r["doc_id"]: r["first_start"] for r in got if r["taken"]} == starts and sum(r["taken"] for r in got) == held
+
+
 def test_targets_share_the_excess(spark):
     sizes = spark.createDataFrame([(f"={s}", n) for s, n in (("a", 10), ("b", 100), ("c", 1000))], "from string, source_size long")
     got = {r["from"]: r["target"] for r in mixing.targets(sizes).collect()}

@@ -8,7 +8,8 @@ Training time runs from 0 to 1. A source's weight at time t is target * (1 + slo
 Its integral, the words that are demanded up to t, is target * (t + slope * (t*t - t)). The source's documents queue in
 the order of the md5 of their id and their text's md5, once for each pass; a copy whose middle word is the demand at time t has training position t,
 and one whose middle word lies beyond the target has none and isn't taken. So the words taken miss the target by half a
-document at most, and no document is taken more than `most` (2) times. `mix` range-sorts the copies by position.
+document at most, and no document is taken more than `most` (2) times. `mix` range-sorts the copies by
+position; `plan` does the same without the texts and sums up for each document what the sorted mix holds.
 
 Queue places come from sums over (source, first digits of the md5) and a running sum inside each such bucket, so a hot
 source is spread over 4,096 tasks, and null ids by their texts. Sources can be as many as hosts: their order and the
@@ -70,7 +71,8 @@ def _time(share: Column, slope: Column) -> Column:
 
 
 def curriculum(docs: DataFrame, **settings) -> DataFrame:
-    """(row, doc_id, size, source_size, target, positions): the training positions of the copies taken."""
+    """(row, doc_id, size, source_size, target, from, end, positions): the training positions of the copies taken; end: the
+    words of the source's queue up to the document's last."""
     queued = _queued(docs)
     buckets = materialise(queued.groupBy("from", "bucket").agg(F.sum("size").alias("sum")))
     sizes = buckets.groupBy("from").agg(F.sum("sum").alias("source_size"))
@@ -82,13 +84,24 @@ def curriculum(docs: DataFrame, **settings) -> DataFrame:
     middle = F.col("start") + F.col("to") - F.col("size") / 2
     most = settings.get("most", MOST)
     copies = [F.when((F.col("size") > 0) & (middle + k * F.col("source_size") < F.col("target")), _time((middle + k * F.col("source_size")) / F.col("target"), F.col("slope"))) for k in range(most)]
-    return out.select("row", "doc_id", "size", "source_size", "target", F.array_compact(F.array(*copies)).alias("positions"))
+    end = (F.col("start") + F.col("to")).cast("long").alias("end")
+    return out.select("row", "doc_id", "size", "source_size", "target", "from", end, F.array_compact(F.array(*copies)).alias("positions"))
 
 
 def plan(docs: DataFrame, **settings) -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target, taken, first_position."""
-    return curriculum(docs.select("doc_id", "source", "text"), **settings).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), F.round(F.get("positions", F.lit(0)), 6).alias("first_position"))
+    """One row for each document: doc_id, size, source_size, target, taken, first_position, first_start.
+
+    The last three come from the mix itself: all copies, range-sorted by position, each with the words that the mix holds
+    before it (of which first_start is the first copy's).
+    """
+    docs = docs.select("doc_id", "source", "text")
+    dealt = materialise(curriculum(docs, **settings).select("doc_id", "size", "source_size", "target", "from", "end", "positions"))
+    copies = dealt.select("from", "end", "size", "doc_id", F.explode("positions").alias("position"))
+    ordered = running_before(copies, ["position", "doc_id", "from", "end"], {"start": "size"})
+    key = ["from", "end", "size"]  # only documents of size 0 share an end with another one of their source
+    taken = ordered.groupBy(*key).agg(F.sum("size").alias("taken"), F.min("position").alias("position"), F.min("start").alias("first_start"))
+    out = dealt.join(taken, key, "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.round("position", 6).alias("first_position"), "first_start")
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
