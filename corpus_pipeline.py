@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import mixing, probminhash, quality_rules, sentencepiece_codec, toxicity
-from textloom.llm.common import fold, materialise, read
+from textloom.llm.common import fold, materialise, read, small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,15 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(docs.select("doc_id", "text"))
 
 
-STAGES = [("quality_rules", quality), ("toxicity", nontoxic), ("near_dedup", near_dedup), ("mixing", mixed), ("tokens", tokens)]
+def _batched(stage):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _batched(stage)) for name, stage in [("quality_rules", quality), ("toxicity", nontoxic), ("near_dedup", near_dedup), ("mixing", mixed), ("tokens", tokens)]]
 
 #: Learned scores, MinHash and suffix arrays can't be said in SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None

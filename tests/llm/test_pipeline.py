@@ -68,3 +68,32 @@ def test_run_over_a_table(spark):
     out = P.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and out.where("NOT round_trip").count() == 0
     assert [n for n, _ in P.STAGES] == ["quality_rules", "toxicity", "near_dedup", "mixing", "tokens"] and P.ORACLE_SQL is None
+
+
+def test_workers_give_back_what_other_stages_left(spark, sf):
+    """An encoder's table of pairs grows with what it holds, other operators' tasks drop the encoder, and batches are small."""
+    vocabulary = sentencepiece_codec.Vocabulary.load()
+    encoder = sentencepiece_codec.encoder_of(vocabulary)
+    encoder.encode(["a few words, and a few more words"])
+    assert encoder._pairs._keys.nbytes < 1 << 20
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    try:
+        cleaned = P.STAGES[0][1](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+        assert cleaned.count() and int(spark.conf.get(key)) <= 1024
+        spark.conf.set(key, 7)
+        P.STAGES[4][1](spark, cleaned, sf)
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.unset(key)
+
+    def left(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(sentencepiece_codec._ENCODERS)])], names=["n"])
+
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").coalesce(1)
+    sentencepiece_codec.encode(documents).count()
+    quality_rules.measure(documents).collect()
+    assert {r["n"] for r in documents.mapInArrow(left, "n long").collect()} == {0}

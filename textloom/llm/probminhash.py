@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, for_each_salt, looked_up, materialise, parts, salt, salts_held, unused, with_least
+from .common import discard, for_each_salt, looked_up, materialise, parts, salt, salts_held, tidy, unused, with_least
 from .components import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -315,7 +315,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = pairs.where(fits).select("u", "v").distinct()
     side = lambda k: sets.select(F.col("node").alias(k), F.col("elements").alias(f"{k}_elements"), F.col("counts").alias(f"{k}_counts"))
     known = looked_up(pairs.join(side("u"), "u"), side("v"), ["v"], "u")
-    return materialise(known.mapInArrow(_verified, _LINK))
+    return materialise(known.mapInArrow(tidy(_verified), _LINK))
 
 
 _LINK = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())])
@@ -337,7 +337,7 @@ def _open(members: DataFrame, named: DataFrame) -> DataFrame:
 def _cut(large: DataFrame, sets: DataFrame) -> DataFrame:
     """The members of buckets cut by finer bands: (b, node, size, component, n, total) of those that hold several components."""
     schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("fine", T.ArrayType(T.LongType()))])
-    fine = materialise(sets.join(large.select("node").distinct(), "node", "left_semi").mapInArrow(_finer, schema))
+    fine = materialise(sets.join(large.select("node").distinct(), "node", "left_semi").mapInArrow(tidy(_finer), schema))
     rows = large.drop("n", "total").join(fine, "node").select(F.col("b").alias("outer"), "node", "size", "component", F.explode("fine").alias("f"))
     return materialise(_several(rows.select(F.xxhash64("outer", "f").alias("b"), "node", "size", "component")))
 
@@ -348,19 +348,19 @@ def _inside(members: DataFrame, sets: DataFrame) -> DataFrame:
     tiles = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     tiles = tiles.select("b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component")
     rows = looked_up(tiles, sets, ["node"], "b").repartition("b", "i", "j").sortWithinPartitions("b", "i", "j")
-    return materialise(rows.select("b", "i", "j", "component", "elements", "counts").mapInArrow(_tiled, _LINK))
+    return materialise(rows.select("b", "i", "j", "component", "elements", "counts").mapInArrow(tidy(_tiled), _LINK))
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """(node, component) of all texts with a similar one; docs has node (md5 of the text) and text."""
     schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("repeats", T.BooleanType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    banded = docs.mapInArrow(_banded, schema).groupBy("node").agg(F.first("size").alias("size"), F.first("repeats").alias("repeats"), F.first("bands").alias("bands"))
+    banded = docs.mapInArrow(tidy(_banded), schema).groupBy("node").agg(F.first("size").alias("size"), F.first("repeats").alias("repeats"), F.first("bands").alias("bands"))
     banded = materialise(banded)
     rows = banded.select("node", "size", "repeats", F.explode("bands").alias("b")).withColumn("own", F.struct("node", "size", "repeats"))
     members = with_least(rows, ["b"], "own", "p", count="n", having="n > 1")
     members = materialise(members.select("b", "n", "node", "size", "repeats", F.col("p.node").alias("v"), F.col("p.size").alias("v_size"), F.col("p.repeats").alias("v_repeats")))
     discard(banded)
-    sets = materialise(_texts(docs, members.select("node").distinct()).mapInArrow(_sets, _SETS))
+    sets = materialise(_texts(docs, members.select("node").distinct()).mapInArrow(tidy(_sets), _SETS))
     pairs = members.where("node <> v").select(F.col("node").alias("u"), F.col("size").alias("u_size"), F.col("repeats").alias("u_repeats"), "v", "v_size", "v_repeats")
     links = _links(pairs, sets)
     named = materialise(components(links))

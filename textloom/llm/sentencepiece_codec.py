@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import parts
+from .common import held, parts, tidy
 
 MODEL = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 SPACE = "▁"
@@ -115,10 +115,10 @@ class _Pairs:
 
     def __init__(self, beside):
         self._beside = beside
-        self._bits = (2 * PAIRS).bit_length() - 1
         self._clear()
 
-    def _clear(self) -> None:
+    def _clear(self, bits: int = 12) -> None:
+        self._bits = bits
         self._keys, self._fine, self._n = np.full(1 << self._bits, -1, np.int64), np.zeros(1 << self._bits, bool), 0
 
     def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
@@ -149,6 +149,10 @@ class _Pairs:
         if self._n + len(keys) > PAIRS:
             self._clear()
             keys, fine = keys[:PAIRS], fine[:PAIRS]
+        if (need := (2 * (self._n + len(keys))).bit_length()) > self._bits:  # at most half full; grows with what is held
+            held = self._keys >= 0
+            keys, fine = np.concatenate((self._keys[held], keys)), np.concatenate((self._fine[held], fine))
+            self._clear(need)
         self._n += len(keys)
         probe = 0
         while len(keys):
@@ -292,11 +296,11 @@ class Encoder:
         return token.astype(np.int64), np.diff(upto, prepend=0)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = held("encoders")
 
 
 def encoder_of(vocabulary: Vocabulary) -> Encoder:
-    """The process's encoder for a vocabulary: made once, so that a worker's tasks share it."""
+    """The process's encoder for a vocabulary: made once, so that a worker's tasks share it until it does other work."""
     if vocabulary.name not in _ENCODERS:
         _ENCODERS[vocabulary.name] = Encoder(vocabulary)
     return _ENCODERS[vocabulary.name]
@@ -380,7 +384,7 @@ def encode(docs: DataFrame, path: str = MODEL, batch: int = 1024) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())])
-    return docs.select("doc_id", "text").mapInArrow(encoded, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(encoded, "encoders"), schema)
 
 
 def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
@@ -397,4 +401,4 @@ def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind = tokens.schema["doc_id"].dataType
-    return tokens.select("doc_id", "ids").mapInArrow(decoded, T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.StringType())]))
+    return tokens.select("doc_id", "ids").mapInArrow(tidy(decoded), T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.StringType())]))

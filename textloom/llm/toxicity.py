@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts, sampled_ids, texts_of
+from .common import parts, sampled_ids, texts_of, tidy
 
 LIMIT, LEAST, LIFT, STEPS, PENALTY, NOISE, START = 4_000, 4, 2.0, 200, 3e-4, 0.02, -7.0
 MEMO = 400_000  # words whose weight a worker remembers
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: Model, name: str = "score", offences: str | No
     fields = [*own.schema.fields, T.StructField(name, T.DoubleType())]
     if offences:
         fields.append(T.StructField(offences, T.ArrayType(T.IntegerType())))
-    return own.mapInArrow(scored, T.StructType(fields))
+    return own.mapInArrow(tidy(scored), T.StructType(fields))
 
 
 def offending(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -195,4 +195,4 @@ def offending(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(types))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(located, f"doc_id {kind}, sentence_no int, start int, end int, sentence string, probability double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(located), f"doc_id {kind}, sentence_no int, start int, end int, sentence string, probability double")
