@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import discard, materialise, shared_dir, unused  # noqa: F401
+from ..sources.shared import discard, materialise, own_dir, shared_dir, unused  # noqa: F401
 
 SALTS, ARROW_ROWS = 32, 1024
 BYTES = 48 << 20  # of text that a fitting sample holds at most

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, langid, license_scan, mixing, probminhash, quality_classifier, quality_rules, sentencepiece_codec, toxicity
+from . import ann, collocations, html_extract, langid, license_scan, merkle, mixing, probminhash, quality_classifier, quality_rules, sentencepiece_codec, token_counts, toxicity
 from .common import fold, read
 
 
@@ -59,8 +59,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read(spark, sf_dir, "documents")).drop("first_start")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From an empty cache, so each distinct content is encoded on every run."""
+    return token_counts.count(read(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides the crc32 of the id, the proof is tried on a row whose n_chars is one more."""
+    docs = read(spark, sf_dir, "documents")
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    tampered = merkle.leaf(*[more if c == "n_chars" else F.col(c) for c in merkle.COLUMNS])
+    return merkle.proofs(merkle.manifest(docs, claimed=F.when((fold("doc_id", 7) == 0) & more.isNotNull(), tampered)))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_probminhash, op3_html_extraction, op4_ann, op5_toxicity, op6_quality_classifier, op7_sentencepiece, op8_language_id, op9_license_scan, op10_mixing)
+    for f in (op1_quality_rules, op2_probminhash, op3_html_extraction, op4_ann, op5_toxicity, op6_quality_classifier, op7_sentencepiece, op8_language_id, op9_license_scan, op10_mixing, op11_collocations, op12_token_counts, op13_merkle)
 }
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op9_license_scan": license_scan.oracle(), "op10_mixing": mixing.ORACLE}
+ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op9_license_scan": license_scan.oracle(), "op10_mixing": mixing.ORACLE, "op11_collocations": collocations.ORACLE, "op13_merkle": merkle.ORACLE}
