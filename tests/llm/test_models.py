@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import langid, quality_classifier, queries, toxicity
@@ -134,6 +135,24 @@ def test_quality_scores_equal_a_plain_network():
     assert ((model.score(texts) > 0.5) == y).mean() > 0.95 and model.temperature > 0
 
 
+def test_letters_of_all_planes():
+    model = langid.fit_texts(["the fox and the dog", "the dog and the fox", "le renard et le chien", "le chien et le renard", "𐐨𐐩𐐪𐐫 𐐬𐐭𐐮", "𐐬𐐭𐐮 𐐨𐐩𐐪𐐫"], ["en", "en", "fr", "fr", "deseret", "deseret"])
+    none = ["", " ", "🙂", "🙂🙂 123", "\U000E0041\U000E0042", "\ue000\uf8ff", "\U0010FFFF", "12 ½ ٣ €", "\ud800", "ͅ", "𝟘𝟙"]
+    assert model.predict([None, *none]) == (["und"] * 12, pytest.approx([0.0] * 12))
+    names, score = model.predict(["🙂 the fox 🙂", "𐐀𐐁𐐂𐐃", "漢字", "𠀀"])  # letters beyond the basic plane, in lower case as elsewhere
+    assert names[:2] == ["en", "deseret"] and "und" not in names and (score > 0).all()
+    grams = langid.Grams()
+    assert grams.codes("A🙂b").tolist() == grams.codes(" a b ").tolist() and grams.codes("𐐀").tolist() == [32, ord("𐐨"), 32]
+
+
+def test_held_out_is_never_null(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "some text of a row", "en", "s", 1), (7, "more text", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for q in (queries.op5_toxicity, queries.op6_quality_classifier, queries.op8_language_id):
+        assert {r["doc_id"]: r["held_out"] for r in q(spark, str(tmp_path)).collect()}[None] is False
+
+
 def test_messy_rows(spark, messy, empty):
     labels = spark.createDataFrame([(6, 1, 0), (7, 0, 1), (9, 1, 0), (None, 1, 1), (99, None, None), (6, 1, 0)], "doc_id long, quality int, toxic int")
     docs = messy

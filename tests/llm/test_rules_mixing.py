@@ -31,51 +31,69 @@ def test_verdicts_of_messy_rows(spark, messy, empty):
     assert quality_rules.verdicts(empty).count() == 0
 
 
+def _prose(draw):
+    return lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+
+def _verdicts(spark, texts, host="h"):
+    docs = spark.createDataFrame([(i, t, host) for i, t in texts.items()], "doc_id long, text string, source string")
+    return docs, {r["doc_id"]: r for r in quality_rules.verdicts(docs).collect()}
+
+
 def test_pasted_lines_go_and_copies_stay(spark):
-    draw = random.Random(5)
-    prose = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    prose = _prose(random.Random(5))
     notice = "Accept all cookies to go on reading this page " + prose(30)
-    rows = [(i, f"{prose(30)}\n{notice}\n{prose(30)}", "h") for i in range(40)]  # the notice in many settings
-    rows += [(100 + i, f"{prose(4)}\n{notice} \n{prose(4)}", "h") for i in range(3)]  # hardly more than the notice
+    texts = {i: f"{prose(30)}\n{notice}\n{prose(30)}" for i in range(40)}  # the notice in many settings
+    texts |= {100 + i: f"{prose(4)}\n{notice} \n{prose(4)}" for i in range(3)}  # hardly more than the notice
     page = f"{prose(30)}\n{prose(30)}\n{prose(30)}"
-    rows += [(200 + i, page, "h") for i in range(40)] + [(300 + i, page + f"\n{prose(6)}", "h") for i in range(40)]  # copies and near copies
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["doc_id"]: r for r in quality_rules.verdicts(docs).collect()}
+    texts |= {200 + i: page for i in range(40)} | {300 + i: page + f"\n{prose(6)}" for i in range(9)}  # copies, and as many variants as the limit allows
+    docs, got = _verdicts(spark, texts)
     assert all(got[i]["kept"] and got[i]["n_removed_words"] == len(notice.split()) for i in range(40))
     assert not any(got[100 + i]["kept"] for i in range(3))
-    assert all(got[i]["kept"] and not got[i]["n_removed_words"] for i in range(200, 340) if i in got)
+    assert all(got[i]["kept"] and not got[i]["n_removed_words"] for i in got if i >= 200)
     cleaned = {r["doc_id"]: r["text"] for r in quality_rules.clean(docs).collect()}
     assert set(cleaned) == {i for i in got if got[i]["kept"]} and notice not in cleaned[0] and cleaned[200] == page
 
 
-def test_blocks_of_two_lines_go(spark):
-    draw = random.Random(7)
-    prose = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(n))
-    head, foot = [prose(9), prose(12)], [prose(8), prose(11)]
-    rows = [(i, "\n".join([*head, prose(40), prose(40), *foot]), "h") for i in range(30)]
-    page = [prose(30).split() for _ in range(4)]
-    for i in range(60):  # near copies: one word of one line is another
-        lines = [list(x) for x in page]
-        lines[i % 4][draw.randrange(30)] = prose(1)
-        rows.append((100 + i, "\n".join(" ".join(x) for x in lines), "h"))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["doc_id"]: r["n_removed_words"] for r in quality_rules.verdicts(docs).collect()}
-    assert all(n == (40 if i < 100 else 0) for i, n in got.items()) and len(got) == 90
-    cleaned = {r["doc_id"]: r["text"].split("\n") for r in quality_rules.clean(docs).collect()}
-    assert len(cleaned) == 90 and all(len(x) == (2 if i < 100 else 4) for i, x in cleaned.items())
+def test_one_variant_more_than_the_limit(spark):
+    prose = _prose(random.Random(6))
+    page = f"{prose(30)}\n{prose(30)}"
+    for variants, kept in ((10, True), (11, False)):
+        _, got = _verdicts(spark, {i: f"{page}\n{prose(6)}" for i in range(variants)} | {100 + i: page.replace("a", "b") for i in range(30)})
+        assert all(r["kept"] == (kept or i >= 100) for i, r in got.items())
+
 
+def test_pages_that_are_hardly_more_than_boilerplate_go(spark):
+    """However little a page has of its own, it is a document of its own: the more depleted, the surer it goes."""
+    prose = _prose(random.Random(8))
+    block = [prose(15) for _ in range(4)]
+    for own in (1, 3, 6, 9, 25):
+        texts = {i: "\n".join([*block[: i % 5], prose(own), *block[i % 5 :]]) for i in range(200)}
+        _, got = _verdicts(spark, texts)
+        assert all(r["n_removed_words"] == 60 and not r["kept"] for r in got.values()) and len(got) == 200
+    _, got = _verdicts(spark, {i: "\n".join([*block, prose(26)]) for i in range(200)})  # 26 of 86 words are left
+    assert all(r["kept"] for r in got.values())
 
-def test_long_notices_go_and_long_copies_stay(spark):
+
+def test_the_footer_of_a_template_goes(spark):
+    """Lines of fixed wording with other values differ; what all pages share goes."""
     draw = random.Random(9)
-    prose = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(n))
-    notice, page = prose(60), prose(150)
-    rows = [(i, f"{prose(40)}\n{notice}\n{prose(40)}", "h") for i in range(30)]
-    rows += [(100, f"{prose(4)}\n{notice}", "h")]  # hardly more than the notice
-    rows += [(200 + i, f"{page}\n{prose(8)}", "h") for i in range(30)]  # near copies of one long line
-    rows += [(300 + i, " ".join([*page.split()[:i], prose(1), *page.split()[i + 1 :]]), "h") for i in range(30)]
-    got = {r["doc_id"]: r for r in quality_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert all(r["n_removed_words"] == (60 if i < 200 else 0) for i, r in got.items()) and len(got) == 91
-    assert {i for i, r in got.items() if not r["kept"]} == {100}
+    prose, footer = _prose(draw), _prose(draw)(12)
+    texts = {i: f"The weather in {prose(2)} on the day of {prose(1)} was {prose(3)} all day long\nand the wind came from {prose(2)} with gusts of {prose(2)} near the coast\n{footer}" for i in range(300)}
+    docs, got = _verdicts(spark, texts)
+    assert all(r["kept"] and r["n_removed_words"] == 12 for r in got.values())
+    assert not any(footer in r["text"] for r in quality_rules.clean(docs).collect())
+
+
+def test_limits_are_of_the_host(spark):
+    prose = _prose(random.Random(10))
+    line, other = prose(10), prose(10)
+    rows = [(i, f"{prose(30)}\n{line}\n{prose(5)} {i}", "large") for i in range(29)] + [(100 + i, f"{prose(30)}\n{other}", "large") for i in range(31)]
+    rows += [(1000 + i, f"{prose(20)} {i}", "large") for i in range(15_000 - 60)]
+    rows += [(20_000 + i, f"{prose(30)}\n{line}", None if i % 2 else "small") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    removed = {r["doc_id"]: r["n_removed_words"] for r in quality_rules.verdicts(docs).collect()}
+    assert {i for i, n in removed.items() if n} == {*range(100, 131), *range(20_000, 20_024)}  # 30 of 15,000 documents, 10 of a dozen
 
 
 def test_clean_keeps_columns(messy, empty):

@@ -16,6 +16,8 @@ Columns named lang_pred and score are replaced, all others passed through.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,13 +34,11 @@ COLUMNS, SPARE = 1 << 16, 8  # n-grams of a block; slots of the look-up table fo
 
 
 def _letters() -> np.ndarray:
-    """For each code point of the basic plane its lower-case letter, or a space; built from Python's own character data."""
-    out = np.full(0x10000, 32, np.uint32)
-    for code in range(0x10000):
-        c = chr(code)
+    """For each code point, of all planes, its lower-case letter, or a space; built from Python's own character data."""
+    out = np.full(sys.maxunicode + 1, 32, np.uint32)
+    for code, c in enumerate(map(chr, range(len(out)))):
         if c.isalpha():
-            low = c.lower()
-            out[code] = ord(low[0])
+            out[code] = ord(c.lower()[0])
     return out
 
 
@@ -51,7 +51,7 @@ class Grams:
     def codes(self, text: str) -> np.ndarray:
         """Letters and single spaces, a space at either end; empty if the text has no letter."""
         raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.where(raw < 0x10000, self._letter[np.minimum(raw, 0xFFFF)], raw)
+        codes = self._letter[raw]
         if not (codes != 32).any():
             return np.zeros(0, np.uint64)
         codes = np.concatenate(([32], codes, [32])).astype(np.uint64)

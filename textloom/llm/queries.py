@@ -9,6 +9,11 @@ from . import ann, collocations, html_extract, langid, license_scan, merkle, mix
 from .common import fold, read
 
 
+def _held_out(parts: int, part: int):
+    """Whether the row's fold is the one kept from fitting; a row without an id is in none."""
+    return F.coalesce(fold("doc_id", parts) == part, F.lit(False)).alias("held_out")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.verdicts(read(spark, sf_dir, "documents"))
     return out.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "n_removed_words")
@@ -30,14 +35,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
     scored = toxicity.score(docs, model, offences="offending_sentences").drop("text")
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending_sentences")
+    return scored.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending_sentences")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_classifier.fit(docs, read(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
     scored = quality_classifier.score(docs, model).drop("text")
-    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", _held_out(4, 2), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +53,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs, fold("doc_id", 4) != 2)
     found = langid.predict(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
