@@ -72,6 +72,12 @@ def test_phrases_of_parts_add_up(monkeypatch):
     assert whole == apart and whole["l", b"a b"] == 2 and whole["m", b"h a"] == 49
 
 
+def test_a_full_filter_lets_all_through(spark, monkeypatch):
+    docs = [(" ".join("abcdefghijklmnopqrstuvw"[(i * k) % 23] for k in range(40)), "en") for i in range(40)]
+    monkeypatch.setattr(collocations, "BITS", 64)
+    assert rows_of(collocations.mine(spark.createDataFrame(docs, "text string, lang string"), 4, 3)) == plain_phrases(docs, 4, 3, 50, 2000)
+
+
 def test_phrase_frames(spark, sf, messy, empty):
     assert collocations.mine(empty).count() == 0
     got = rows_of(collocations.mine(messy, least=2))

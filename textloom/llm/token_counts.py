@@ -7,7 +7,7 @@ by which the tokenizer itself writes a space, is a space.
 
 Texts are digested where they are read. Only digests are compared with the cache; those that it lacks are the misses. Each
 distinct miss brings one of its texts along by an aggregation with partial results, so copies that a third of all rows hold are one
-row for each task; where the misses are few (BROADCAST digests at most, 8 MB) all other texts are left out before it. The misses are encoded
+row for each task; where the misses are few (BROADCAST digests at most, 2 MB) all other texts are left out before it. The misses are encoded
 once each and appended. Then all rows look their count up by digest, spread by salts.
 
 An append that is cut off leaves nothing behind, and one that two jobs make at once repeats equal counts, which are read as one.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, held, looked_up, materialise, own_dir, parts, tidy
 
-MODEL, LIMIT, BROADCAST = public_tokenizers.path("piece_bpe_32k.model"), 4096, 1 << 18
+MODEL, LIMIT, BROADCAST = public_tokenizers.path("piece_bpe_32k.model"), 4096, 1 << 16
 SPACE = "▁"
 
 _CACHE = "content binary, n_tokens long"
