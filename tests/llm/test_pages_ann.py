@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from textloom.llm import ann
 from textloom.llm.html_extract import extract, main_text
@@ -148,7 +149,7 @@ def frame(spark, v):
 
 
 def test_every_list_probed_is_exact_and_ties_go_to_smaller_ids(spark, monkeypatch):
-    monkeypatch.setattr(ann, "ERROR", 0.0)
+    monkeypatch.setattr(ann, "DEVIATIONS", 1e9)  # no test ever rejects
     v = np.random.default_rng(1).standard_normal((300, 16)).astype(np.float32)
     v[50:120] = v[7]
     got = ann.search(frame(spark, v), every=10, k=20, recall=1.0).toPandas().sort_values(["query_id", "rank"])
@@ -180,13 +181,51 @@ def test_recall_at_several_sizes(spark):
         assert set(got) == set(want) and np.mean([len(got[q] & set(want[q])) / 20 for q in want]) >= least
 
 
+def recall_of(spark, v, k=20):
+    got = ann.search(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), k=k).toPandas()
+    want = exact(v, np.arange(len(v)), 20, k)
+    sizes = got.groupby("query_id").size()
+    assert set(sizes.index) == set(want) and (sizes == k).all()  # no query is short of a row
+    return {q: len(set(g["vec_id"]) & set(want[q])) / k for q, g in got.groupby("query_id")}
+
+
+@pytest.mark.parametrize("kind", ["longer by 10", "longer by 1000", "longer by 100000", "log-normal", "two lengths", "a far query"])
+def test_lengths_of_all_kinds(spark, kind):
+    draws = np.random.default_rng(12)
+    v = draws.standard_normal((40, 32))[draws.integers(0, 40, 5000)] + 0.5 * draws.standard_normal((5000, 32))
+    if kind.startswith("longer"):
+        v[1234] *= float(kind.split()[-1])
+    elif kind == "log-normal":
+        v *= draws.lognormal(0, 1, (5000, 1))
+    elif kind == "two lengths":
+        v[::7] *= 1e6
+    else:
+        v[[20, 40, 60]] = [[1e3] + [0] * 31, [0] * 31 + [-1e-9], [1.0, -1.0] * 16]
+    recall = recall_of(spark, v)
+    assert np.mean(list(recall.values())) >= 0.9 and min(recall.values()) > 0
+    if kind == "a far query":
+        assert min(recall[q] for q in (20, 40, 60)) >= 0.5
+
+
+def test_extreme_lengths(spark):
+    v = np.random.default_rng(13).standard_normal((300, 8))
+    for scale in (1e-150, 1e150):
+        assert np.mean(list(recall_of(spark, v * scale).values())) >= 0.9
+
+
+def test_queries_that_tests_leave_short_are_scanned_again(spark, monkeypatch):
+    monkeypatch.setattr(ann.Space, "bound", lambda self, queries, *_: np.full(len(queries), -1.0))  # every candidate is rejected
+    v = np.random.default_rng(14).standard_normal((2000, 16))
+    assert np.mean(list(recall_of(spark, v).values())) >= 0.9
+
+
 def test_the_scan_abandons_early_and_loses_nothing():
     draws = np.random.default_rng(6)
     v = draws.standard_normal((30, 64))[draws.integers(0, 30, 4000)] + 0.5 * draws.standard_normal((4000, 64))
     space = ann.Space.fit(v, float(np.linalg.norm(v, axis=1).max()), 20)
     space.trial(v, 20, 0.97)
     rows, asked = space.rows(v), space.queries(v[:100])
-    q, r, work = ann.scan(rows, asked, 21, space.bound(asked, 21), space.shares)
+    q, r, work = ann.scan(rows, asked, 21, space.bound(asked, 21))
     found = set(zip(q.tolist(), r.tolist()))
     want = {(i, int(j)) for i in range(100) for j in np.argsort(-(v @ v[i]))[:20]}
     assert len(want & found) >= 0.99 * len(want) and work < 0.5 * 100 * 4000 * 65
