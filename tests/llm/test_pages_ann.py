@@ -50,6 +50,53 @@ def test_names_of_layouts_drop_nothing():
         assert main_text(page) == f"{prose}\n{prose}", name
 
 
+PROSE = "A long paragraph, with commas, and many words, that scores well, and goes on, and on, for some time."
+
+
+def test_names_inside_an_article_drop_no_text():
+    for inside in (
+        '<section id="legal-background"><h2>Background</h2><p>The act of 1801.</p></section>', '<p id="share-prices">Prices rose.</p>', '<p class="alert">Mind the gap.</p>', "<blockquote class='comment'>He said so.</blockquote>",
+        '<table class="search"><tr><td>Depth</td><td>12 m</td></tr></table>', '<section id="discussion"><p>What we found.</p></section>', '<div class="notice"><p>Of 1 May.</p></div>', '<h2 id="related">Related work</h2>',
+        '<p class="byline">By A. Writer</p>', '<div class="searching-for-gold"><p>Gold.</p></div>', '<header><h2>Title</h2><p>Lead</p></header>', "<header><p>Lead</p></header>", '<div class="entry-header"><h3>Part</h3></div>',
+    ):
+        found = main_text(f"<body><nav>Menu</nav><article><h1>Head</h1><p>{PROSE}</p>{inside}<p>{PROSE}</p></article></body>").split("\n")
+        assert found[:2] == ["Head", PROSE] and found[-1] == PROSE and len(found) > 3, inside
+
+
+def test_what_is_no_text_goes_from_an_article_too():
+    for inside in (
+        '<div class="share-buttons"><a href=x>Tell</a></div>', '<div class="ad">Buy</div>', '<p class="ad">Buy</p>', '<section id="comments"><p>Great, thanks.</p></section>', '<div class="cookie-notice"><p>Cookies.</p></div>',
+        '<ul class="related"><li><a href=x>Other</a></li></ul>', "<ul><li><a href=x>Other</a></li><li><a href=y>More</a> 12</li></ul>", '<div class="newsletter signup"><p>Your mail, please.</p></div>', "<header><span>12 May</span></header>",
+        '<div role="navigation"><p>Home</p></div>', '<p hidden>No</p>', '<div style="display: none"><p>No</p></div>', "<aside><p>By the way.</p></aside>", '<div class="commentList-item-3"><p>Me too.</p></div>', "<div><a href=x>Next page</a></div>",
+    ):
+        assert main_text(f"<body><article><h1>Head</h1><p>{PROSE}</p>{inside}<p>{PROSE}</p></article></body>") == f"Head\n{PROSE}\n{PROSE}", inside
+
+
+def test_sources_and_links_in_prose_stay():
+    sources = "<ul><li><a href=a>A history of the old mills of the valley</a>, Oxford</li><li><a href=b>The river and its many tributaries</a>, 2nd ed.</li></ul>"
+    linked = "<div><p>See <a href=c>the report of the committee on mills, rivers and bridges in full</a></p></div><p><a href=d>The data</a></p>"
+    for around in ("article", "main", "div"):
+        found = main_text(f"<body><{around}><p>{PROSE}</p><p>{PROSE}</p>{sources}{linked}</{around}><footer>End</footer></body>").split("\n")
+        assert found[2:] == ["A history of the old mills of the valley, Oxford", "The river and its many tributaries, 2nd ed.", "See the report of the committee on mills, rivers and bridges in full", "The data"], around
+
+
+def test_the_score_decides_between_containers(monkeypatch):
+    from textloom.llm import html_extract
+
+    teaser, whole = "<p>A short teaser, of one sentence.</p>", f"<p>{PROSE}</p>" * 4
+    text = "\n".join([PROSE] * 4)
+    assert main_text(f"<body><article>{teaser}</article><article>{whole}</article><article>{teaser}</article></body>") == text
+    assert main_text(f"<body><article>{teaser}</article><div>{whole}</div></body>") == text  # the tag is a bonus, no verdict
+    assert main_text(f"<body><div>{teaser}</div><article>{whole}</article></body>") == text
+    links = "".join(f"<p><a href=x>{PROSE}</a></p>" for _ in range(9))
+    assert main_text(f"<body><div>{links}</div><div><p>{PROSE}</p>{whole}</div></body>") == f"{PROSE}\n{text}"  # by density
+    page = f"<body><div><p>{PROSE.replace(',', '')}</p></div><section><div>{whole}</div></section></body>"
+    assert main_text(page) == text  # by commas and length
+    assert main_text(f"<body><div>{whole}</div><div>{whole}</div><div>{teaser}</div></body>") == f"{text}\n{text}"
+    monkeypatch.setattr(html_extract, "_score", lambda order: None)
+    assert main_text(page) != text
+
+
 def test_deep_and_unbalanced_pages_take_linear_time():
     import time
 

@@ -1,24 +1,27 @@
 """The main text of web pages by tree scoring.
 
 The page becomes a tree (tags that HTML closes by itself are closed, raw text of scripts and styles is skipped). What is
-never article text goes first: scripts, styles, forms, navigation, page headers and footers, asides, hidden elements,
-and elements whose class, id or role names one of OUTSIDE (a name that only says what else a layout has, such as
-has-sidebar, or that stands on an element with an article or most of the page's paragraphs inside, drops nothing).
-Then every paragraph of 25 characters or more passes
-points, one and one for each comma and up to three for its length, to its parent, half of them to its grandparent and
-ever smaller parts to LEVELS ancestors in all. A container's score is discounted by the share of its text in links. The best
-container is the nearest article around it, if there is one, or else the widest element that holds nothing but it.
-
-Kept are the container and its siblings, in page order: inside an article, main or other element all of them but lists of
-links; at the top of the page, where siblings are parts of the page, those that score a fifth of the best, headings,
-paragraphs, lists, tables, preformatted and quoted text, but lists of links.
+never article text goes first: scripts, styles, forms, navigation, page headers and footers, asides, hidden elements, and elements that are
+named for something else. A name (a word of class or role, or the id) counts if it consists of words of OUTSIDE and LAYOUT alone,
+at least one of OUTSIDE: share-buttons does, share-prices and has-sidebar don't. Inside an article names of TOPICS, which may as well
+say what a text is about, drop only what holds no paragraph, and paragraphs, tables, headings and the like are dropped by names of ADVERTS
+alone. An element with an article or most of the page's paragraphs inside is dropped by no name.
+
+Then every paragraph of 25 characters or more passes points, one and one for each comma and up to three for its length, to its parent, half of
+them to its grandparent and ever smaller parts to LEVELS ancestors in all; the tag adds a bonus (an article's is worth some three paragraphs). A
+container's score is discounted by the share of its text in links. The container of the best score is taken, and from it the nearest article
+around it, if there is one, or else the widest element that holds nothing but it.
+
+Kept are the container and its siblings, in page order: inside an article, main or other element all of them; at the top of the page,
+where siblings are parts of the page, those whose paragraphs alone score a fifth of the best's, and headings,
+paragraphs, lists, tables, preformatted and quoted text that isn't mostly links. Lists, and parts without a paragraph, that hold nothing but links are
+menus wherever they stand.
 
 Text is cut into blocks at block elements, character references are decoded, runs of white space become one space,
 and the blocks are joined by line breaks in page order.
 
-Defined cases: null and empty pages give an empty text; a page without any scoring paragraph gives its <article>,
-<main> or else its body without the dropped elements; cut-off markup ends at the cut; elements may nest to any depth, and
-end tags without an element are skipped. Other columns are of no effect.
+Defined cases: null and empty pages give an empty text; a page where nothing scores gives its body without the dropped elements; cut-off markup
+ends at the cut; elements may nest to any depth, and end tags without an element are skipped. Other columns are of no effect.
 """
 
 from __future__ import annotations
@@ -47,27 +50,37 @@ OUTSIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted promotion comment comments commentlist discussion "
     "disqus reply replies respond reader sidebar sidebars rail menu menus nav navbar navigation breadcrumb breadcrumbs footer foot footnav masthead topbar cookie cookies "
     "consent gdpr notice notices alert newsletter subscribe subscription signup login social share sharing sharer related recommended recommendations "
-    "popup modal overlay paywall pagination pager widget widgets toolbar skip search copyright legal disclaimer tags tagcloud byline hidden contentinfo complementary".split()
+    "popup modal overlay paywall pagination pager widget widgets toolbar skip search copyright legal disclaimer tags tagcloud hidden contentinfo complementary".split()
+)
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion".split())
+TOPICS = frozenset("alert banner copyright disclaimer discussion foot legal login menu menus notice notices overlay rail reader related replies reply respond search share signup skip social subscription tags".split())
+LAYOUT = frozenset(
+    "area articles bar block bottom box btn button buttons card cards cell center code col column container content div el element float form global grid group holder icon icons inner "
+    "item items js layout left line link links list main message module nav outer page panel part placeholder popup post posts region right root row section site slot small sticky "
+    "strip tab text title top unit us view wrap wrapper zone".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCORED = frozenset("p pre td blockquote li dd div section article main".split())
-BONUS = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "td": 3.0, "pre": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "form": -3.0, "th": -5.0}
+BONUS = {"article": 10.0, "main": 8.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "td": 3.0, "pre": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "form": -3.0, "th": -5.0}
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_LETTER = re.compile(r"[^\W\d_]")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+WORDED = frozenset("p pre blockquote table caption tbody thead tr td th li dt dd figure figcaption".split()) | HEADINGS
 PLAIN = frozenset("p pre blockquote ul ol dl table figure".split()) | HEADINGS
 MIN_PARAGRAPH, SIBLING_SHARE, LINKS, LEVELS, MOST = 25, 0.2, 0.5, 6, 0.5
 _OTHERS = re.compile(r"\b(?:has|have|with|without|no|not|show|hide)[-_]+[\w-]*", re.I)  # names of what else a layout has
 
 
 class Node:
-    __slots__ = ("article", "attributes", "children", "heading", "inside", "length", "links", "parent", "prose", "score", "tag")
+    __slots__ = ("article", "attributes", "children", "heading", "inside", "length", "links", "parent", "plain", "points", "prose", "score", "tag")
 
     def __init__(self, tag: str, attributes: str = "", parent: Node | None = None):
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
-        self.score, self.links, self.length = None, 0, 0
-        self.heading = tag == "h1"  # or one inside; so is article
+        self.score, self.points, self.links, self.length = None, 0.0, 0, 0  # points: the score without the tag's bonus
+        self.heading = tag in HEADINGS  # or one inside; so is article
+        self.plain = False  # whether a letter stands outside of links
         self.article = tag in ("article", "main")
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.prose = 0  # characters in paragraphs
@@ -150,7 +163,7 @@ def _outside(node: Node, prose: int) -> bool:
     if tag in DROPPED or tag in RAW:
         return True
     if tag == "header":
-        return not node.inside or not node.heading
+        return not node.inside or not (node.heading or node.prose)
     if not node.attributes or tag in ("article", "main", "body", "html"):
         return False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(node.attributes)}
@@ -158,10 +171,14 @@ def _outside(node: Node, prose: int) -> bool:
         return True
     if node.article or prose and node.prose > MOST * prose:
         return False
-    names = {x.lower() for k in ("class", "id", "role") if k in found for x in _NAME.findall(_OTHERS.sub(" ", html.unescape(found[k])))}
-    if names & OUTSIDE:
-        return tag not in HEADINGS or not node.inside
-    return "header" in names and tag not in HEADINGS and not (node.inside and node.heading)
+    for word in " ".join(html.unescape(found[k]) for k in ("class", "id", "role") if k in found).split():
+        parts = {x.lower() for x in _NAME.findall(_OTHERS.sub(" ", word)) if not x.isdigit()}
+        named = parts & OUTSIDE
+        if named and parts <= OUTSIDE | LAYOUT and (not node.inside or (named & ADVERTS if tag in WORDED else named - TOPICS or not node.prose)):
+            return True
+        if "header" in parts and parts - {"header"} <= OUTSIDE | LAYOUT and tag not in WORDED and not (node.inside and (node.heading or node.prose)):
+            return True
+    return False
 
 
 def _pruned(root: Node, order: list[Node]) -> list[Node]:
@@ -182,8 +199,10 @@ def _pruned(root: Node, order: list[Node]) -> list[Node]:
             if isinstance(c, Node):
                 node.length += c.length
                 node.links += c.length if c.tag == "a" else c.links
+                node.plain = node.plain or c.plain and c.tag != "a"
             else:
                 node.length += len(c.strip())
+                node.plain = node.plain or _LETTER.search(c) is not None
     return kept
 
 
@@ -205,6 +224,8 @@ def _own_text(node: Node) -> str:
 
 def _score(order: list[Node]) -> None:
     for node in order:
+        if node.tag in ("article", "main") and node.length:
+            node.score = BONUS[node.tag]
         if node.tag in SCORED:
             text = _own_text(node)
             if len(text) >= MIN_PARAGRAPH:
@@ -214,21 +235,20 @@ def _score(order: list[Node]) -> None:
                 while up is not None and up.tag != "#root" and level < LEVELS:
                     if up.score is None:
                         up.score = BONUS.get(up.tag, 0.0)
-                    up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+                    part = points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+                    up.score, up.points = up.score + part, up.points + part
                     level, up = level + 1, up.parent
     for node in order:
         if node.score is not None:
             node.score *= 1 - _density(node)
+            node.points *= 1 - _density(node)
 
 
 def _kept(root: Node, order: list[Node]) -> list:
     """The best container and the siblings that belong to it, in page order; bare strings are siblings too."""
     scored = [n for n in order if n.score is not None]
     if not scored:
-        for tag in ("article", "main", "body"):
-            if found := [n for n in order if n.tag == tag]:
-                return found if tag == "article" else found[:1]
-        return [root]
+        return [n for n in order if n.tag == "body"][:1] or [root]
     best = top = max(scored, key=lambda n: n.score)
     while top.parent is not None and top.tag != "article":
         top = top.parent
@@ -238,7 +258,7 @@ def _kept(root: Node, order: list[Node]) -> list:
         best = best.parent
     if best.parent is None or best.tag in ("main", "body"):
         return [best]
-    least, apart = max(10.0, best.score * SIBLING_SHARE if best.score is not None else 0.0), best.tag == "article" or best.parent.tag in ("body", "html", "#root")
+    least, apart = max(10.0, best.points * SIBLING_SHARE), best.tag == "article" or best.parent.tag in ("body", "html", "#root")
     return [c for c in best.parent.children if c is best or _belongs(c, least, apart)]
 
 
@@ -246,13 +266,16 @@ def _belongs(sibling: Node | str, least: float, apart: bool) -> bool:
     """Whether a sibling of the best container is part of the article; apart: the siblings are parts of the page."""
     if isinstance(sibling, str):
         return not apart
-    if _list_of_links(sibling) or _density(sibling) > LINKS:
+    if _list_of_links(sibling):
         return False
-    return not apart or sibling.tag in PLAIN or sibling.score is not None and sibling.score >= least
+    return not apart or (sibling.tag in PLAIN and _density(sibling) <= LINKS) or sibling.points >= least
 
 
 def _list_of_links(node: Node) -> bool:
-    return node.tag in ("ul", "ol", "dl", "div", "section", "table") and node.links > 0 and _density(node) > LINKS
+    """Whether the element is a list, or a part without paragraphs, of nothing but links."""
+    if not node.links or node.plain:
+        return False
+    return node.tag in ("ul", "ol", "dl", "menu", "table") or node.tag in ("div", "section") and not node.prose
 
 
 def blocks(nodes: list[Node]) -> list[str]:
