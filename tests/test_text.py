@@ -1,5 +1,7 @@
 import random
 import re
+from collections import Counter
+from itertools import pairwise
 
 from pyspark.sql import functions as F
 
@@ -114,7 +116,44 @@ def test_many_merges_in_rounds_equal_those_in_memory(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 20")
     counts = tokenizer.pretoken_counts(docs)
     words = {r["word"]: r["n"] for r in counts.collect()}
-    assert tokenizer.train_rounds(counts, 120) == tokenizer.train_words(words, 120)
+    want = tokenizer.train_words(words, 60)
+    for budget in (40, 400, 10_000):  # rounds without gathered words, with some, and one round
+        assert tokenizer.train_rounds(counts, 60, budget) == want
+
+
+def test_rounds_touch_what_holds_their_pairs_and_count_nothing_anew(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 40")
+    counts = tokenizer.materialise(tokenizer.pretoken_counts(docs))
+    words = {r["word"]: r["n"] for r in counts.collect()}
+    touched, whole, learn = [], [], tokenizer.PairIndex.learn
+
+    def watched(self, found):
+        touched.append(self.words(found).count())
+        learn(self, found)
+        if len(touched) in (1, 9, 25):  # the running counts are those of the merged words
+            ranks = {m: i for i, m in enumerate(self.merges)}
+            want = Counter()
+            for w, n in words.items():
+                for p in pairwise(tokenizer.bpe_word(w, ranks)):
+                    want[p] += n
+            whole.append({(r["l"], r["r"]): r["n"] for r in self.pairs.collect()} == want)
+
+    monkeypatch.setattr(tokenizer.PairIndex, "learn", watched)
+    monkeypatch.setattr(tokenizer, "COMPACT", 4)
+    assert tokenizer.train_rounds(counts, 200, 300) == tokenizer.train_words(words, 200)
+    assert whole == [True] * 3 and sum(touched[-5:]) < len(words) / 2
+
+
+def test_a_batch_ends_between_counts():
+    top = [(9, "a", "b", 3), (7, "c", "d", 3), (7, "e", "f", 3), (5, "g", "h", 3)]
+    assert [tokenizer._batch(top, n, False) for n in (2, 3, 8, 9, 12)] == [0, 1, 1, 3, 3]
+    assert [tokenizer._batch(top, n, True) for n in (9, 12)] == [3, 4] and tokenizer._batch([], 9, True) == 0
+
+
+def test_training_beyond_the_driver(spark):
+    docs = rows(spark, ["the then there the cat", "a cat and the hat " * 5, "あいあい ab あい"])
+    assert tokenizer.train(docs, 300, driver_words=3) == tokenizer.train(docs, 300)
+    assert tokenizer.train_rounds(tokenizer.pretoken_counts(rows(spark, [])), 5) == []
 
 
 def test_training_in_memory_equals_the_naive_count_on_random_words():

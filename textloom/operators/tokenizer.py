@@ -2,16 +2,18 @@
 
 Words are counted once with a partial aggregation before anything costly, and every later step of training works on
 distinct words: on the driver, if there are no more than `driver_words` of them (about 2 kB of its memory each), else in
-rounds of DataFrame jobs, each of which learns as many merges as can't change one another's counts. Encoding handles each
+rounds over pair counts and an inverted index that are kept up to date by differences. Encoding handles each
 distinct word of an Arrow batch once and gathers the ids of whole batches by array operations, for any number of merges.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+import uuid
+from collections import Counter, defaultdict
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, pairwise
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,10 @@ from pyspark.sql import types as T
 
 from ..functions import bytes as B
 from ..functions import text as X
-from ..sources.shared import discard, materialise, unused
+from ..sources.shared import discard, materialise, own_dir, unused
 
 EOT = "<|endoftext|>"
-DRIVER_WORDS, TOP, REMEMBERED = 500_000, 512, 500_000
+DRIVER_WORDS, ROUND_WORDS, TOP, RANKED, REMEMBERED, BUCKETS, COMPACT = 500_000, 200_000, 512, 8_192, 500_000, 16, 16
 Merges = list[tuple[str, str]]
 
 
@@ -75,22 +77,6 @@ def independent(top: list[tuple[int, str, str]], complete: bool) -> list[tuple[s
     return out
 
 
-def train_rounds(counts: DataFrame, n_merges: int) -> Merges:
-    """Merges learned by one aggregation a round over the distinct words; a round learns all independent pairs at the top."""
-    merges: Merges = []
-    words = materialise(word_symbols(counts).groupBy("symbols").agg(F.sum("n").alias("n")))
-    while len(merges) < n_merges:
-        top = top_pairs(pair_counts(words), TOP)
-        found = independent(top, len(top) < TOP)[: n_merges - len(merges)]
-        if not found:
-            break
-        merges += found
-        if len(merges) < n_merges:
-            before, words = words, materialise(words.withColumn("symbols", apply_merges(F.col("symbols"), found)))
-            discard(before)
-    return merges
-
-
 class _Pairs:
     """Pair counts and the pairs of each count."""
 
@@ -134,19 +120,21 @@ def _merged(symbols: list[str], pair: tuple[str, str]) -> tuple[list[str], list,
     return new, [(symbols[j], symbols[j + 1]) for j in gone], [(new[j], new[j + 1]) for j in came]
 
 
-def train_words(words: dict[str, int], n_merges: int) -> Merges:
-    """Merges learned from words and their counts in memory; a merge touches the words that hold it, and there its surroundings."""
-    split = [[B.ALPHABET[b] for b in w.encode("utf-8")] for w in words]
+def _learned(words: dict[str, int], merges: Merges, counts: dict[tuple[str, str], int] | None, beyond: int, n_merges: int) -> Merges:
+    """The next merges, from words that hold all pairs of `counts` (None: these are all words), as long as the best pair counts for more
+    than `beyond`. A merge touches the words that hold it, and there its surroundings."""
+    ranks = {m: i for i, m in enumerate(merges)}
+    split = [bpe_word(w, ranks) for w in words]
     weight = list(words.values())
-    counts: dict[tuple[str, str], int] = defaultdict(int)
+    known: dict[tuple[str, str], int] = defaultdict(int)
     held: dict[tuple[str, str], set[int]] = defaultdict(set)
     for i, symbols in enumerate(split):
-        for p in zip(symbols, symbols[1:], strict=False):
-            counts[p] += weight[i]
+        for p in pairwise(symbols):
+            known[p] += weight[i]
             held[p].add(i)
-    pairs, merges = _Pairs(counts), []
-    while len(merges) < n_merges and (best := pairs.best()) is not None:
-        merges.append(best)
+    pairs, found = _Pairs(known if counts is None else counts), []
+    while len(found) < n_merges and (best := pairs.best()) is not None and pairs.count[best] > beyond:
+        found.append(best)
         change: dict[tuple[str, str], int] = defaultdict(int)
         for i in held.pop(best):
             split[i], gone, came = _merged(split[i], best)
@@ -156,20 +144,149 @@ def train_words(words: dict[str, int], n_merges: int) -> Merges:
                 change[p] += weight[i]
                 held[p].add(i)
         pairs.change(change)
-    return merges
+    return found
+
+
+def train_words(words: dict[str, int], n_merges: int) -> Merges:
+    """Merges learned from words and their counts in memory."""
+    return _learned(words, [], None, 0, n_merges)
+
+
+_CHANGES = "l string, r string, d long, held long, word string, n long"
+
+
+def _changed(before: Merges | None, after: Merges):
+    """For distinct (word, n): what a word's pairs count for more or less (d, and in how many words: held) once `after` are all merges
+    instead of `before` (None: before the word was counted at all). Rows of pairs that the word hasn't held carry it along."""
+
+    def changed(batches):
+        old, new = None if before is None else {m: i for i, m in enumerate(before)}, {m: i for i, m in enumerate(after)}
+        for batch in (batch.slice(at, 4096) for batch in batches for at in range(0, batch.num_rows, 4096)):
+            rows = []
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                gone, came = (Counter() if ranks is None else Counter(pairwise(bpe_word(word, ranks))) for ranks in (old, new))
+                for p in gone.keys() | came.keys():
+                    if d := came[p] - gone[p]:
+                        rows.append((*p, d * n, (p in came) - (p in gone), None if p in gone else word, n))
+            yield pa.RecordBatch.from_pydict(dict(zip(("l", "r", "d", "held", "word", "n"), zip(*rows, strict=True) if rows else [()] * 6, strict=True)), _CHANGES_ARROW)
+
+    return changed
+
+
+_CHANGES_ARROW = pa.schema([("l", pa.string()), ("r", pa.string()), ("d", pa.int64()), ("held", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
+
+
+class PairIndex:
+    """Pair counts of distinct words, and an inverted index pair -> words, both kept up to date by differences.
+
+    Merging touches only words that hold a merged pair; the index finds them, and what they count for before and after goes to a
+    log: differences of counts, and the words of pairs that are new in them. Words aren't rewritten: their symbols follow from the merges so far.
+    Entries of pairs that a word no longer holds may stay in the index; they find words that don't change. The first log is partitioned by a hash of the
+    pair (BUCKETS), so a round reads the parts that its pairs are in; later ones are put together every COMPACT rounds.
+    """
+
+    def __init__(self, counts: DataFrame):
+        self.spark, self.merges = counts.sparkSession, []
+        first = counts.select("word", "n").mapInArrow(_changed(None, []), _CHANGES)
+        path = f"{own_dir(self.spark)}/{uuid.uuid4().hex}"
+        first.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(path)
+        self.base = self.spark.read.schema(f"{_CHANGES}, bucket int").parquet(path)
+        self.base._textloom_path = path
+        self.logs: list[DataFrame] = []
+        self.pairs = materialise(self.base.groupBy("l", "r").agg(F.sum("d").alias("n"), F.sum("held").alias("held")))
+
+    @staticmethod
+    def _bucket() -> Column:
+        return (F.crc32(F.concat("l", F.lit(" "), "r")) % BUCKETS).cast("int")
+
+    def top(self, n: int) -> list[tuple[int, str, str, int]]:
+        """(count, l, r, words that hold it) of the n most frequent pairs, of equals the largest by code points first."""
+        return [(r["n"], r["l"], r["r"], r["held"]) for r in self.pairs.orderBy(F.desc("n"), F.desc("l"), F.desc("r")).limit(n).collect()]
+
+    def words(self, pairs: list[tuple[str, str]]) -> DataFrame:
+        """(word, n): the distinct words that hold one of the pairs, and perhaps some more."""
+        wanted = self.spark.createDataFrame(pairs, "l string, r string")
+        buckets = {crc32(f"{left} {right}".encode()) % BUCKETS for left, right in pairs}
+        found = self.base.where(F.col("bucket").isin(*buckets)).drop("bucket")
+        for log in self.logs:
+            found = found.unionByName(log)
+        return found.where("word IS NOT NULL").join(F.broadcast(wanted), ["l", "r"], "left_semi").select("word", "n").distinct()  # RANKED pairs at most
+
+    def learn(self, found: Merges) -> None:
+        """Merge the pairs, one after the other, in all words that hold them."""
+        after = [*self.merges, *found]
+        log = materialise(self.words(found).mapInArrow(_changed(self.merges, after), _CHANGES))
+        change = log.groupBy("l", "r").agg(F.sum("d").alias("n"), F.sum("held").alias("held"))
+        pairs = materialise(self.pairs.unionByName(change).groupBy("l", "r").agg(F.sum("n").alias("n"), F.sum("held").alias("held")).where("n > 0"))
+        discard(self.pairs)
+        self.pairs, self.merges = pairs, after
+        self.logs.append(log)
+        if len(self.logs) >= COMPACT:
+            whole = self.logs[0]
+            for one in self.logs[1:]:
+                whole = whole.unionByName(one)
+            whole = materialise(whole.where("word IS NOT NULL").coalesce(max(1, self.spark.sparkContext.defaultParallelism)))
+            for one in self.logs:
+                discard(one)
+            self.logs = [whole]
+
+    def close(self) -> None:
+        for written in (self.base, self.pairs, *self.logs):
+            discard(written)
+
+
+def _batch(top: list[tuple[int, str, str, int]], budget: int, complete: bool) -> int:
+    """How many of the ranked pairs are held by `budget` words at most in all, whole groups of equal counts only."""
+    upto, k = 0, 0
+    for i, (n, _, _, held) in enumerate(top):
+        upto += held
+        if upto > budget:
+            break
+        if i + 1 == len(top) and complete or i + 1 < len(top) and top[i + 1][0] < n:
+            k = i + 1
+    return k
+
+
+def train_rounds(counts: DataFrame, n_merges: int, budget: int = ROUND_WORDS) -> Merges:
+    """Merges learned in rounds over an index of pairs, for any number of distinct words.
+
+    A round takes the most frequent pairs that `budget` words at most hold together, gathers those words on the driver and merges there
+    until no pair is more frequent than the first one left out. That is exact: a pair of an old round loses occurrences only, and a new one stands only
+    in words that held what it was merged from, so all that can be that frequent is among the gathered words. While the first pair alone is in
+    more words than that, a round learns the pairs that can't change one another's counts, without gathering any.
+    """
+    index = PairIndex(counts)
+    try:
+        while len(index.merges) < n_merges:
+            top = index.top(RANKED)
+            if not top:
+                break
+            left, complete = n_merges - len(index.merges), len(top) < RANKED
+            if k := _batch(top, budget, complete):
+                some = index.words([(x, y) for _, x, y, _ in top[:k]])
+                beyond = top[k][0] if k < len(top) else 0
+                found = _learned({r["word"]: r["n"] for r in some.collect()}, index.merges, {(x, y): n for n, x, y, _ in top[:k]}, beyond, left)
+            else:
+                found = independent([t[:3] for t in top[:TOP]], len(top) < TOP)[:left]
+            index.learn(found)
+        return index.merges
+    finally:
+        index.close()
 
 
 def train(docs: DataFrame, vocab_size: int, text: str = "text", driver_words: int = DRIVER_WORDS) -> tuple[Merges, dict[str, int]]:
     """Merges and vocabulary of `vocab_size` ids and one for EOT; fewer if no pair is left."""
     if vocab_size < 256:
         raise ValueError(f"vocab_size must be 256 or more, got {vocab_size}")
-    counts = pretoken_counts(docs, text).persist()
+    counts = materialise(pretoken_counts(docs, text))
     n_merges = vocab_size - 256
-    if counts.limit(driver_words + 1).count() <= driver_words:
-        merges = train_words({r["word"]: r["n"] for r in counts.toLocalIterator()}, n_merges)
-    else:
-        merges = train_rounds(counts, n_merges)
-    counts.unpersist()
+    try:
+        if counts.limit(driver_words + 1).count() <= driver_words:
+            merges = train_words({r["word"]: r["n"] for r in counts.toLocalIterator()}, n_merges)
+        else:
+            merges = train_rounds(counts, n_merges, min(driver_words, ROUND_WORDS))
+    finally:
+        discard(counts)
     return merges, build_vocab(merges)
 
 

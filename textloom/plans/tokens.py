@@ -13,7 +13,7 @@ from ..sources import corpus, shared
 from . import sql
 from .texts import read
 
-LEARNED, LARGE = 8, 400
+LEARNED, LARGE, ROUNDS, ROUND_WORDS = 8, 400, 300, 6_000
 MERGES = [("t", "h"), ("th", "e"), ("Ġ", "the")]  # of the encoding queries
 SEQ, BATCH, BATCHES, VAL = 64, 4, 16, 0.1
 
@@ -33,6 +33,12 @@ def bpe_merges_8(spark, d):
     return spark.createDataFrame([(i, left, right) for i, (left, right) in enumerate(merges)], "rank int, l string, r string")
 
 
+def bpe_merges_300(spark, d):
+    """Merges in rounds that gather ROUND_WORDS words at most, kept up to date by differences."""
+    merges = tokenizer.train_rounds(tokenizer.pretoken_counts(read(spark, d, "documents")), ROUNDS, ROUND_WORDS)
+    return spark.createDataFrame([(i, left, right) for i, (left, right) in enumerate(merges)], "rank int, l string, r string")
+
+
 def bpe_train_driver(spark, d):
     merges, _ = tokenizer.train(read(spark, d, "documents"), 256 + LEARNED)
     return spark.createDataFrame([(i, left, right) for i, (left, right) in enumerate(merges)], "rank int, l string, r string")
@@ -194,6 +200,16 @@ def _learned(rounds: int) -> str:
     return f"WITH {_SYMBOLS}, " + ", ".join(ctes) + " " + " UNION ALL ".join(f"SELECT rank, l, r FROM b{k}" for k in range(rounds))
 
 
+def _learned_by_steps(rounds: int) -> str:
+    """The same for any number of rounds, by recursion."""
+    best = f"SELECT l, r FROM ({_pairs('(SELECT s, n FROM split)')}) ORDER BY n DESC, l DESC, r DESC LIMIT 1"
+    return f"""WITH RECURSIVE {_SYMBOLS}, steps AS (
+        SELECT 0 AS k, {_wrapped('s')} AS t, n, '' AS l, '' AS r FROM w0
+        UNION ALL SELECT k + 1, replace(t, '{_O}' || b.l || '{_C}{_O}' || b.r || '{_C}', '{_O}' || b.l || b.r || '{_C}'), n, b.l, b.r
+        FROM steps, (WITH split AS (SELECT regexp_extract_all(t, '{_O}([^{_C}]*){_C}', 1) AS s, n FROM steps) {best}) b WHERE k < {rounds}
+    ) SELECT DISTINCT (k - 1)::INT AS rank, l, r FROM steps WHERE k > 0"""
+
+
 def _encoded(words: str) -> str:
     out = _wrapped(words)
     for left, right in MERGES:
@@ -212,6 +228,7 @@ ORACLES = {
     "byte_symbols": f"WITH {_WORDS} SELECT word, array_to_string({sql.sign_list('word')}, '') AS symbols FROM counts",
     "pair_counts": f"WITH {_SYMBOLS} {_pairs('w0')}",
     "bpe_merges_8": _learned(LEARNED),
+    "bpe_merges_300": _learned_by_steps(ROUNDS),
     "bpe_train_driver": _learned(LEARNED),
     "bpe_vocab": f"SELECT * FROM {_VOCAB}",
     "bpe_encode_words": f"WITH {_WORDS}, e AS (SELECT word, {_encoded(sql.sign_list('word'))} AS s FROM counts) SELECT word, len(s)::INT AS n, array_to_string(s, ' ') AS symbols FROM e",
