@@ -406,7 +406,7 @@ def _safe() -> str:
     return f"(?<=[^{X.WS}'])(?=[^{X.WS}]){both}(?!(?<={rest}){rest})(?:{'|'.join([*sides, f'(?<={rest})(?!{rest})'])})"
 
 
-_SAFE = _safe()
+SAFE = _safe()
 
 
 def safe_pieces(docs: DataFrame, target: int, text: str = "text") -> DataFrame:
@@ -417,7 +417,7 @@ def safe_pieces(docs: DataFrame, target: int, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
 
     def cut(batches):
-        safe = re.compile(_SAFE)
+        safe = re.compile(SAFE)
         for batch in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
             rows = []
             for doc_id, whole in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions import bytes as B
 from ..functions import text as X
-from ..operators import stream, tokenizer
+from ..operators import chunks, stream, tokenizer
 from ..sources import corpus, shared
 from . import sql
 from .texts import read
 
 LEARNED, LARGE, ROUNDS, ROUND_WORDS = 8, 400, 300, 6_000
 MERGES = [("t", "h"), ("th", "e"), ("Ġ", "the")]  # of the encoding queries
+CHUNKS = (7, 64, 1000)  # characters
 SEQ, BATCH, BATCHES, VAL = 64, 4, 16, 0.1
 
 
@@ -172,6 +173,29 @@ def safe_pieces(spark, d):
     return pieces.groupBy("doc_id").agg(F.sum(F.size(X.pretokens("piece"))).alias("n"), F.sum(F.length("piece")).alias("n_chars"))
 
 
+def _of_document(parts, column):
+    """The column's arrays of all pieces of a document, in order."""
+    inside = F.array_sort(F.collect_list(F.struct("chunk_no", "part", column)))
+    return parts.groupBy("doc_id").agg(F.flatten(F.transform(inside, lambda x: x[column])).alias(column))
+
+
+def chunked_pretokens(spark, d):
+    """Documents cut anywhere give the pretokens of the whole; the SQL has those of the whole, once for each size of chunks."""
+    docs, out = read(spark, d, "documents"), None
+    for size in CHUNKS:
+        words = _of_document(chunks.pretokens(chunks.cut(docs, size)), "words")
+        one = words.select(F.lit(size).alias("size"), "doc_id", F.size("words").cast("long").alias("n"), F.md5(F.array_join("words", "|")).alias("digest"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def chunked_ids(spark, d):
+    """The ids of documents that come in chunks; the SQL is that of whole documents."""
+    docs = read(spark, d, "documents")
+    ids = _of_document(chunks.encode(chunks.cut(docs, CHUNKS[1]), MERGES), "ids").withColumn("ids", F.concat("ids", F.array(F.lit(256 + len(MERGES)))))
+    return ids.select("doc_id", F.size("ids").alias("n"), _summed(F.col("ids")).alias("checksum"))
+
+
 def bundles(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
     out = tokenizer.bundles(docs, "doc_id", F.col("n"), 10_000)
@@ -260,11 +284,13 @@ ORACLES = {
     "epoch_batches": "WITH c AS (SELECT DISTINCT conv_id FROM conversations) " + " UNION ALL ".join(
         f"SELECT {e} AS epoch, (p - 1) // 8 AS step, (p - 1) % 8 AS batch_row, conv_id FROM (SELECT conv_id, {_PLACES.format(f'1/{e}')} AS p FROM c)" for e in range(2)),
     "safe_pieces": f"SELECT doc_id, len({sql.pretokens('text')}) AS n, length(text) AS n_chars FROM documents",
+    "chunked_pretokens": f"SELECT size, doc_id, len(w) AS n, md5(array_to_string(w, '|')) AS digest FROM (SELECT doc_id, {sql.pretokens('text')} AS w FROM documents), (VALUES {', '.join(f'({n})' for n in CHUNKS)}) AS s(size)",
     "bundles": """WITH RECURSIVE d AS (SELECT length(text) AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
         r AS (SELECT i, n, 0 AS no, n AS filled FROM d WHERE i = 1
           UNION ALL SELECT d.i, d.n, CASE WHEN r.filled >= 10000 THEN r.no + 1 ELSE r.no END, CASE WHEN r.filled >= 10000 THEN d.n ELSE r.filled + d.n END FROM r JOIN d ON d.i = r.i + 1)
         SELECT no::BIGINT AS bundle_no, count(*) AS pieces, sum(n)::BIGINT AS chars FROM r GROUP BY no""",
 }
 ORACLES["encode_learned"] = ORACLES["decode_roundtrip"]
+ORACLES["chunked_ids"] = ORACLES["encode_docs"]
 ORACLES["stored_batches"] = ORACLES["hash_batches"]
 QUERIES = {n: globals()[n] for n in ORACLES}
