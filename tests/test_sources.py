@@ -3,7 +3,7 @@ import json
 import pytest
 
 from textloom.operators import stream, tokenizer
-from textloom.sources import corpus
+from textloom.sources import corpus, tokenfile
 
 
 @pytest.fixture
@@ -112,3 +112,103 @@ def test_tokenizer_and_pairs_round_trip(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text('{"prompt": "p", "chosen": "c"}\n')
     with pytest.raises(Exception, match="rejected"):
         corpus.load_pairs(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+@pytest.fixture
+def flat(spark, tmp_path):
+    ids = [i * 7 % 1000 for i in range(5000)]
+    rows = [(a, ids[a : a + 37]) for a in range(0, 5000, 37)] + [(5000, [])]
+    path = f"file://{tmp_path}/tokens"
+    tokenfile.write(spark.createDataFrame(rows, "start long, ids array<int>").repartition(5), path, 1000, part_tokens=300)
+    return path, ids
+
+
+def scanned(spark, df):
+    """Rows that the query's scans gave, by its metrics, and its result."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    out = df.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs, n = store.executionsList(), 0
+    for k in range(before, runs.size()):
+        run = runs.apply(k).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if "Scan" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    n += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return n, out
+
+
+def test_flat_token_file(spark, flat, tmp_path):
+    path, ids = flat
+    store = tokenfile.Store.open(path).check()
+    assert store.dtype == "uint16" and store.num_tokens == 5000 and len(store.parts) > 5
+    assert sum(p.stat().st_size for p in (tmp_path / "tokens").glob("part-*")) == 10_000
+    rows = [(i, t) for i, t in enumerate(ids)]
+    assert sorted(map(tuple, tokenfile.load(spark, path).collect())) == rows
+    for df, a, b in (
+        (tokenfile.load(spark, path, 700, 1100), 700, 1100), (tokenfile.load(spark, path, 4990), 4990, 5000), (tokenfile.load(spark, path, 10, 10), 10, 10),
+        (tokenfile.load(spark, path).where("pos >= 290 AND pos < 310"), 290, 310), (tokenfile.load(spark, path).where("pos = 77"), 77, 78), (tokenfile.load(spark, path).where("pos > 4997"), 4998, 5000),
+    ):
+        n, got = scanned(spark, df)
+        assert sorted(map(tuple, got)) == rows[a:b] and n == b - a  # the scan gave nothing else
+    assert sorted(map(tuple, tokenfile.load(spark, path).where("pos IN (5, 8) AND token_id > 40").collect())) == [(8, 56)]
+
+
+@pytest.mark.parametrize("seq_len", [1, 64, 299, 4999, 5000])
+def test_windows_of_a_flat_file(spark, flat, seq_len):
+    path, ids = flat
+    want = [(w, ids[w * seq_len : (w + 1) * seq_len], ids[w * seq_len + 1 : (w + 1) * seq_len + 1]) for w in range(4999 // seq_len)]
+    assert sorted(map(tuple, tokenfile.windows(spark, path, seq_len).collect())) == want
+    assert sorted(map(tuple, tokenfile.windows(spark, path, seq_len, 3).collect())) == want[:3]
+    assert "Exchange" not in tokenfile.windows(spark, path, seq_len)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_drawn_windows_open_only_their_parts(spark, flat, tmp_path):
+    path, ids = flat
+    starts = spark.createDataFrame([(0, 0, 4000), (0, 1, 4090), (1, 0, 4000)], "batch_id long, row int, start long")
+    used = {p[2] for p in tokenfile.Store.open(path).parts if p[0] < 4111 and p[0] + p[1] > 4000}
+    for part in (tmp_path / "tokens").glob("part-*"):
+        if part.name not in used:
+            part.unlink()
+    got = sorted(map(tuple, tokenfile.drawn(starts, path, 20).collect()))
+    assert got == sorted((b, r, ids[s : s + 20], ids[s + 1 : s + 21]) for b, r, s in ((0, 0, 4000), (0, 1, 4090), (1, 0, 4000)))
+    with pytest.raises(ValueError, match="metadata"):
+        tokenfile.load(spark, path)
+
+
+def test_a_store_is_whole_or_not_there(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    frame = lambda rows: spark.createDataFrame(rows, "start long, ids array<int>")
+    for rows, vocab in (([(0, [1, 2]), (3, [4])], 9), ([(0, [1, 2]), (1, [4])], 9), ([(0, [70_000])], 9), ([(0, [-1])], 9)):
+        with pytest.raises(Exception):
+            tokenfile.write(frame(rows), path, vocab)
+        with pytest.raises(FileNotFoundError):
+            tokenfile.Store.open(path)
+    tokenfile.write(frame([(0, [70_000, 3])]), path, 100_000)
+    assert [r["token_id"] for r in tokenfile.load(spark, path).orderBy("pos").collect()] == [70_000, 3] and tokenfile.Store.open(path).dtype == "uint32"
+    tokenfile.write(frame([(0, [5])]), path, 9)  # in its place
+    assert [tuple(r) for r in tokenfile.load(spark, path).collect()] == [(0, 5)] and len(list((tmp_path / "t").glob("part-*"))) == 1
+    tokenfile.write(frame([]), path, 9)
+    assert tokenfile.load(spark, path).count() == 0
+
+
+def test_files_behind_the_last_kept_document_stay_closed(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"a{i}.jsonl").write_text('{"text_ja": "むかしむかし。"}\n{"text_ja": "latin only"}\n', encoding="utf-8")
+    (tmp_path / "a3.jsonl").write_text("{broken\n")
+    rows = corpus.iter_documents(spark, [str(tmp_path)], max_docs=3).collect()
+    assert sorted((r["file_idx"], r["line_no"]) for r in rows) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]
+    with pytest.raises(Exception):
+        corpus.iter_documents(spark, [str(tmp_path)], max_docs=4).collect()
+
+
+def test_text_files_in_chunks(spark, tmp_path):
+    texts = ["one\n\ntwo\n", "no end", "", "あ\r\nい\n"]
+    for i, t in enumerate(texts):
+        (tmp_path / f"{i}.txt").write_bytes(t.encode())
+    got = {}
+    for r in sorted(corpus.read_chunks(spark, [str(tmp_path / f"{i}.txt") for i in range(4)]).collect()):
+        got.setdefault(r["file_idx"], []).append(r["chunk"])
+    assert {i: "".join(c) for i, c in got.items()} == {0: texts[0], 1: texts[1], 3: "あ\nい\n"}

@@ -25,6 +25,47 @@ def test_windows_of_documents_and_of_a_stream(documents, seq_len):
         assert sorted((r["window_id"], r["x"], r["y"]) for r in got.collect()) == want
 
 
+def test_documents_are_encoded_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    encoded = spark.createDataFrame([(i, [1] * (i % 7)) for i in range(500)], "doc_id long, ids array<int>").mapInArrow(counted, "doc_id long, ids array<int>")
+    assert stream.count_tokens(stream.placed(encoded)) == sum(i % 7 for i in range(500)) and calls.value == 500
+
+
+def test_only_documents_that_windows_meet_are_encoded(spark):
+    docs = spark.createDataFrame([(i if i % 9 else None, "abcdefg"[: i % 8] * 3 if i % 5 else None) for i in range(400)] + [(7, "abc")] * 5, "doc_id long, text string")
+    from textloom.operators import tokenizer
+
+    whole = stream.placed(tokenizer.encode(docs, [], eot=True))
+    placed = stream.places(docs, F.octet_length("text") + 1)
+    n = placed.agg(F.sum(F.col("n") * F.col("copies"))).first()[0]
+    assert n == stream.count_tokens(whole)
+    starts = stream.batch_starts(spark, 4, 3, n, 20, seed=5)
+    counted = []
+
+    def encode(some):
+        counted.append(some.count())
+        return tokenizer.encode(some, [], eot=True)
+
+    met = stream.drawn_documents(docs, placed, starts, 20, encode, span=16)
+    # equal ids may stand in another order than in `whole`: the windows are compared with the documents as placed here
+    flat = {}
+    texts = {(r["doc_id"], bytes(r["digest"])): r["text"] for r in docs.withColumn("digest", F.unhex(F.md5(F.coalesce(F.concat(F.lit("="), "text"), F.lit("-"))))).collect()}
+    for r in placed.collect():
+        for k in range(r["copies"]):
+            for i, b in enumerate([*texts[r["doc_id"], bytes(r["digest"])].encode(), 256] if r["n"] else []):
+                flat[r["start"] + k * r["n"] + i] = b
+    assert sorted(flat) == list(range(n))
+    at = {(r["batch_id"], r["row"]): r["start"] for r in starts.collect()}
+    got = {(r["batch_id"], r["row"]): (r["x"], r["y"]) for r in stream.document_batches(met, starts, 20).collect()}
+    assert got == {k: ([flat[s + i] for i in range(20)], [flat[s + i + 1] for i in range(20)]) for k, s in at.items()} and counted[0] < 100
+
+
 def test_shift_and_split(documents):
     got = sorted((r["pos"], r["input"], r["target"]) for r in stream.shifted_targets(documents).collect())
     assert got == [(i, a, b) for i, (a, b) in enumerate(zip(FLAT, FLAT[1:]))]
@@ -78,7 +119,7 @@ def test_prefix_of_kept_rows(spark):
     assert sorted(r["i"] for r in order.first_kept(rows, ["i"], "kept", 3).collect()) == list(range(7))
     assert order.first_kept(rows, ["i"], "kept", 100).count() == 20
     for n in (0, 1, 4, 7):
-        got = order.first_kept(rows.selectExpr("cast(i / 6 as int) AS f", "i", "kept"), ["f", "i"], "kept", n, size=4)
+        got = order.first_kept(rows.selectExpr("cast(i / 6 as int) AS f", "i", "kept"), ["f", "i"], "kept", n)
         assert sorted(r["i"] for r in got.collect()) == list(range(max(0, 3 * n - 2))), n
 
 

@@ -15,13 +15,6 @@ from pyspark.sql import types as T
 
 from ..sources.shared import materialise, unused
 
-BLOCK = 1 << 16
-
-
-def block(key: str, size: int = BLOCK) -> Column:
-    return F.floor(F.col(key) / size)
-
-
 def _sums_of(values: list[str], part: str, names: list[str]):
     """A function of Arrow batches that adds the partition's number and the sums over the partition's earlier rows."""
 
@@ -59,25 +52,16 @@ def running_before(df: DataFrame, order: list[str | Column], sums: dict[str, str
     return joined.select(*df.columns, *[(F.col(out) + F.col(inside[out])).cast("long").alias(out) for out in sums])
 
 
-def first_kept(df: DataFrame, order: list[str], kept: str, n: int, size: int = BLOCK) -> DataFrame:
-    """The rows up to the n-th kept one in the order: those before which fewer than n rows are kept.
+def first_kept(df: DataFrame, order: list[str], kept: str, n: int) -> DataFrame:
+    """The rows up to the n-th kept one in the order: those before which fewer than n rows are kept. Rows equal in the order stay together.
 
-    The order's last column is a whole number, such as a line's. Kept rows are counted for blocks of `size` of its values; blocks
-    before the one with the n-th stay whole, and only that block's rows are ranked.
+    Only the order's columns are sorted, by ranges; the rows themselves are filtered by the last of them.
     """
     if n <= 0:
         return df.limit(0)
-    *major, minor = order
-    number, ranked = unused("block", df), unused("ranked", df)
-    rows = df.withColumn(number, F.floor(F.col(minor) / size))
-    counts = rows.groupBy(*major, number).agg(F.count_if(kept).alias("n"))
-    earlier = Window.orderBy(*major, number).rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    last = counts.where((F.col("before") < n) & (F.col("before") + F.col("n") >= n)).orderBy(*major, number).first()
+    before, one = unused("before", df), unused("one", df)
+    narrow = df.select(*order, F.coalesce(F.col(kept), F.lit(False)).cast("int").alias(one))
+    last = running_before(narrow, [*map(F.col, order)], {before: one}).where(F.col(before) < n).agg(F.max(F.struct(*order)).alias("last")).first()["last"]
     if last is None:
         return df
-    place = F.struct(*major, number)
-    at = F.struct(*[F.lit(last[c]).cast(rows.schema[c].dataType).alias(c) for c in (*major, number)])
-    inside = Window.orderBy(minor).rowsBetween(Window.unboundedPreceding, -1)  # the rows of one block
-    tail = rows.where(place == at).withColumn(ranked, F.coalesce(F.count_if(kept).over(inside), F.lit(0))).where(F.col(ranked) < n - last["before"])
-    return rows.where(place < at).select(*df.columns).unionByName(tail.select(*df.columns))
+    return df.where(F.struct(*order) <= F.struct(*[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order]))

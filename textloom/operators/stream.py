@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
 from .order import running_before
 
 
@@ -17,11 +18,40 @@ def placed(encoded: DataFrame, eot: int | None = None) -> DataFrame:
     """(start, n, doc_id, ids): each document's tokens, their number and the position of the first, in the order of doc_id.
 
     Rows of one id are documents of their own, in the order of a hash of their tokens; those without an id come last.
-    Null ids of tokens count as none. The result is written, since it is read for numbers and for tokens.
+    Null ids of tokens count as none. The encoding is written once; only ids, hashes and lengths are sorted, and the starts joined back.
     """
     ids = F.col("ids") if eot is None else F.concat("ids", F.array(F.lit(eot)))
-    sized = encoded.select("doc_id", F.coalesce(ids, F.array().cast(encoded.schema["ids"].dataType)).alias("ids")).withColumn("n", F.size("ids").cast("long"))
-    return running_before(sized, [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("ids")], {"start": "n"}).select("start", "n", "doc_id", "ids")
+    sized = encoded.select("doc_id", F.coalesce(ids, F.array().cast(encoded.schema["ids"].dataType)).alias("ids"), F.monotonically_increasing_id().alias("row"))
+    rows = materialise(sized.withColumn("n", F.size("ids").cast("long")).withColumn("hash", F.xxhash64("ids")))
+    starts = running_before(rows.select("doc_id", "hash", "row", "n"), [F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"), F.col("row")], {"start": "n"})
+    return rows.join(starts.select("row", "start"), "row").select("start", "n", "doc_id", "ids")
+
+
+def places(docs: DataFrame, size: Column, text: str = "text") -> DataFrame:
+    """(doc_id, digest, copies, n, start): where documents of `size` tokens will stand, without encoding them.
+
+    A row for equal documents, which stand one after the other; the order is that of doc_id, null last, and of the digest.
+    """
+    digest = F.unhex(F.md5(F.coalesce(F.concat(F.lit("="), F.col(text)), F.lit("-"))))
+    sized = docs.select("doc_id", digest.alias("digest"), F.coalesce(size.cast("long"), F.lit(0)).alias("n")).groupBy("doc_id", "digest", "n").agg(F.count("*").alias("copies"))
+    sized = materialise(sized.withColumn("all", F.col("n") * F.col("copies")))
+    return running_before(sized, [F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest")], {"start": "all"}).select("doc_id", "digest", "copies", "n", "start")
+
+
+def drawn_documents(docs: DataFrame, placed_: DataFrame, starts: DataFrame, seq_len: int, encode, span: int = 1 << 16, text: str = "text") -> DataFrame:
+    """(start, n, doc_id, ids) of the documents that drawn windows meet: only these are encoded, by encode(documents) -> (doc_id, ids)."""
+    block = lambda pos: F.floor(pos / span)
+    copies = placed_.where("n > 0").withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: F.col("start") + k * F.col("n"))))
+    copies = copies.withColumn("block", F.explode(F.sequence(block(F.col("start")), block(F.col("start") + F.col("n") - 1))))
+    wanted = starts.select(F.col("start").alias("at")).withColumn("block", F.explode(F.sequence(block(F.col("at")), block(F.col("at") + seq_len))))
+    met = copies.join(wanted, "block").where((F.col("start") <= F.col("at") + seq_len) & (F.col("start") + F.col("n") > F.col("at")))
+    met = materialise(met.select("doc_id", "digest", "start", "n").distinct())
+    digest = F.unhex(F.md5(F.coalesce(F.concat(F.lit("="), F.col(text)), F.lit("-"))))
+    some = docs.select(F.struct("doc_id", digest.alias("digest")).alias("doc_id"), F.col(text).alias("text"))
+    keys = met.select(F.struct("doc_id", "digest").alias("doc_id")).distinct()
+    some = some.join(keys, some["doc_id"].eqNullSafe(keys["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    ids = encode(some).select(F.col("doc_id").alias("key"), "ids")
+    return met.join(ids, F.struct("doc_id", "digest").eqNullSafe(F.col("key"))).select("start", "n", "doc_id", "ids")
 
 
 def first_documents(docs: DataFrame, least: Column, n: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import bytes as B
 from ..functions import text as X
 from ..operators import chunks, stream, tokenizer
-from ..sources import corpus, shared
+from ..sources import corpus, shared, tokenfile
 from . import sql
 from .texts import read
 
@@ -17,6 +17,7 @@ LEARNED, LARGE, ROUNDS, ROUND_WORDS = 8, 400, 300, 6_000
 MERGES = [("t", "h"), ("th", "e"), ("Ġ", "the")]  # of the encoding queries
 CHUNKS = (7, 64, 1000)  # characters
 SEQ, BATCH, BATCHES, VAL = 64, 4, 16, 0.1
+RANGE = (12_345, 67_890)  # positions
 
 
 def byte_symbols(spark, d):
@@ -108,32 +109,57 @@ def shifted_targets(spark, d):
 
 
 def hash_batches(spark, d):
-    placed = _placed(spark, d)
-    starts = stream.batch_starts(spark, BATCHES, BATCH, stream.count_tokens(placed), SEQ, seed=3)
-    got = stream.document_batches(placed, starts, SEQ)
+    """Drawn windows; without merges a text's bytes are its length, so only documents that windows meet are encoded."""
+    docs = read(spark, d, "documents")
+    placed = stream.places(docs, F.octet_length("text") + 1)
+    n = placed.agg(F.sum(F.col("n") * F.col("copies"))).first()[0]
+    starts = stream.batch_starts(spark, BATCHES, BATCH, n, SEQ, seed=3)
+    met = stream.drawn_documents(docs, placed, starts, SEQ, lambda some: tokenizer.encode(some, [], eot=True))
+    got = stream.document_batches(met, starts, SEQ)
     return got.select("batch_id", "row", _summed(F.col("x")).alias("x"), _summed(F.col("y")).alias("y"))
 
 
+def _stored(spark, d):
+    """The path of the documents' flat token file."""
+    path = _folder(spark)
+    tokenfile.write(_placed(spark, d), path, 257)
+    return path
+
+
 def stored_batches(spark, d):
-    """The same from a stored stream."""
-    s = _stream(spark, d)
-    starts = stream.batch_starts(spark, BATCHES, BATCH, s.count(), SEQ, seed=3)
-    got = stream.random_batches(s, starts, SEQ)
+    """The same from a flat token file, of which only the windows are read."""
+    path = _stored(spark, d)
+    starts = stream.batch_starts(spark, BATCHES, BATCH, tokenfile.Store.open(path).num_tokens, SEQ, seed=3)
+    got = tokenfile.drawn(starts, path, SEQ)
     return got.select("batch_id", "row", _summed(F.col("x")).alias("x"), _summed(F.col("y")).alias("y"))
 
 
 def stored_windows(spark, d):
-    """All windows of a stored stream."""
-    w = stream.windows(_stream(spark, d).select("pos", "token_id"), SEQ)
+    """All windows of a flat token file."""
+    w = tokenfile.windows(spark, _stored(spark, d), SEQ)
     return w.select("window_id", _summed(F.col("x")).alias("x"), _summed(F.col("y")).alias("y"))
 
 
+def token_range(spark, d):
+    """A range of positions of a flat token file; n_scanned counts what the scan gave before any filter."""
+    first, until = RANGE
+    scan = tokenfile.load(spark, _stored(spark, d), first, until)
+    inside = (F.col("pos") >= first) & (F.col("pos") < until)
+    return scan.agg(F.count("*").alias("n_scanned"), F.count_if(inside).alias("n"), F.sum(F.when(inside, F.col("token_id") * (F.col("pos") % 997 + 1))).alias("checksum"))
+
+
 def _folder(spark):
     return f"{shared.own_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def token_store(spark, d):
-    """The stream written, read back and checked against its metadata."""
+    """The flat token file written, read back and checked against its metadata."""
+    s = tokenfile.load(spark, _stored(spark, d))
+    return s.agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.sum(F.col("token_id") * (F.col("pos") % 997 + 1)).alias("checksum"))
+
+
+def token_table(spark, d):
+    """The same as a table, a row for each token."""
     path = _folder(spark)
     corpus.write_tokens(_stream(spark, d), path, 257)
     s = corpus.load_tokens(spark, path)
@@ -291,6 +317,8 @@ ORACLES = {
         SELECT no::BIGINT AS bundle_no, count(*) AS pieces, sum(n)::BIGINT AS chars FROM r GROUP BY no""",
 }
 ORACLES["encode_learned"] = ORACLES["decode_roundtrip"]
+ORACLES["token_table"] = ORACLES["token_store"]
+ORACLES["token_range"] = _FLAT + f" SELECT count(*) AS n_scanned, count(*) AS n, sum(token_id * (pos % 997 + 1))::BIGINT AS checksum FROM stream WHERE pos >= {RANGE[0]} AND pos < {RANGE[1]}"
 ORACLES["chunked_ids"] = ORACLES["encode_docs"]
 ORACLES["stored_batches"] = ORACLES["hash_batches"]
 QUERIES = {n: globals()[n] for n in ORACLES}

@@ -85,21 +85,59 @@ def read_txt(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return found.select("file_idx", F.lit(0).cast("long").alias("line_no"), X.newlines(F.coalesce("value", F.lit(""))).alias("text"))
 
 
+def _documents(spark: SparkSession, files: list[tuple[int, str]], field: str, max_latin_ratio: float) -> DataFrame:
+    """(file_idx, line_no, text, kept) of numbered files; all of a kind are one scan."""
+    out = spark.createDataFrame([], "file_idx int, line_no long, text string, kept boolean")
+    numbered = lambda own: F.element_at(F.array(*[F.lit(i) for i, _ in own]), F.col("file_idx") + 1).alias("file_idx")
+    if texts := [(i, p) for i, p in files if p.endswith(".txt")]:
+        out = out.unionByName(read_txt(spark, [p for _, p in texts]).select(numbered(texts), "line_no", "text", F.lit(True).alias("kept")))
+    if lines := [(i, p) for i, p in files if not p.endswith(".txt")]:
+        kept = X.keep_story("text", max_latin_ratio)
+        text = F.when(kept, X.strip("text")).otherwise(F.col("text")).alias("text")
+        out = out.unionByName(read_jsonl(spark, [p for _, p in lines], field).select(numbered(lines), "line_no", text, kept.alias("kept")))
+    return out
+
+
 def iter_documents(spark: SparkSession, paths: list[str], field: str = "text_ja", max_docs: int | None = None, max_latin_ratio: float = 0.05) -> DataFrame:
     """(file_idx, line_no, text, kept) of a corpus in reading order; kept texts are stripped.
 
-    All files of a kind are one scan. With max_docs rows end at the last one that the reader would have looked at: the
-    max_docs-th kept document.
+    With max_docs rows end at the last one that the reader would have looked at: the max_docs-th kept document. Files are then counted
+    in groups that double, and those behind the group that completes max_docs aren't opened.
     """
-    files = expand_corpus_paths(spark, paths)
-    out = spark.createDataFrame([], "file_idx int, line_no long, text string, kept boolean")
-    number = lambda kind: F.element_at(F.array(*[F.lit(i) for i, p in enumerate(files) if p.endswith(".txt") == kind]), F.col("file_idx") + 1).alias("file_idx")
-    if texts := [p for p in files if p.endswith(".txt")]:
-        out = out.unionByName(read_txt(spark, texts).select(number(True), "line_no", "text", F.lit(True).alias("kept")))
-    if lines := [p for p in files if not p.endswith(".txt")]:
-        kept = X.keep_story("text", max_latin_ratio)
-        out = out.unionByName(read_jsonl(spark, lines, field).select(number(False), "line_no", F.when(kept, X.strip("text")).otherwise(F.col("text")).alias("text"), kept.alias("kept")))
-    return out if max_docs is None else first_kept(out, ["file_idx", "line_no"], "kept", max_docs)
+    files = list(enumerate(expand_corpus_paths(spark, paths)))
+    if max_docs is None:
+        return _documents(spark, files, field, max_latin_ratio)
+    end, found, group = 0, 0, 1
+    while end < len(files) and found < max_docs:
+        found += _documents(spark, files[end : end + group], field, max_latin_ratio).where("kept").count()
+        end, group = end + group, group * 2
+    return first_kept(_documents(spark, files[:end], field, max_latin_ratio), ["file_idx", "line_no"], "kept", max_docs)
+
+
+def read_chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file_idx, chunk_no, chunk): text files in chunks of a line and its end, so that a file of any size is read in splits.
+
+    The chunks of a file are its text, line ends being \\n; an empty file has none.
+    """
+    lines = read_lines(spark, paths)
+    ends = spark.createDataFrame([(i, _ends_a_line(spark, p)) for i, p in enumerate(_qualified(spark, paths))], "file_idx int, ended boolean")
+    last = lines.groupBy("file_idx").agg(F.max("line_no").alias("last")).join(F.broadcast(ends), "file_idx")  # a row for each path
+    closed = (F.col("line_no") < F.col("last")) | F.col("ended")
+    return lines.join(F.broadcast(last), "file_idx").select("file_idx", F.col("line_no").alias("chunk_no"), F.concat("value", F.when(closed, "\n").otherwise("")).alias("chunk"))
+
+
+def _ends_a_line(spark: SparkSession, path) -> bool:
+    """Whether a file's last byte ends a line."""
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getFileStatus(path).getLen()
+    if not size:
+        return False
+    stream = fs.open(path)
+    try:
+        stream.seek(size - 1)
+        return stream.read() in (10, 13)
+    finally:
+        stream.close()
 
 
 def story_openings(lines: DataFrame, n: int, skip: int = 0, end: str = "。", order: str = "line_no") -> DataFrame:
