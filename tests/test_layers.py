@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +44,42 @@ def test_embedding_look_up(spark):
     assert {r["pos"]: r["vector"] for r in got} == {0: [2.0], 1: [1.0]}
     with pytest.raises(Exception, match="unknown id"):
         layers.embedded(spark.createDataFrame([(0, 5)], "pos long, token_id long"), table).collect()
+
+
+def plain_attention(q, k, v, heads, offset=0):
+    width, out = q.shape[1] // heads, np.zeros_like(q)
+    for h in range(heads):
+        part = slice(h * width, (h + 1) * width)
+        scores = q[:, part] @ k[:, part].T / np.sqrt(width)
+        scores[np.arange(len(k))[None] > np.arange(len(q))[:, None] + offset] = -np.inf
+        weight = np.exp(scores - scores.max(1, keepdims=True))
+        out[:, part] = weight / weight.sum(1, keepdims=True) @ v[:, part]
+    return out
+
+
+@pytest.mark.parametrize(("n", "block", "offset"), [(4096, 256, 0), (37, 8, 0), (20, 8, 13), (5, 64, 0)])
+def test_attention_by_tiles(spark, n, block, offset):
+    draws = np.random.default_rng(n)
+    q, k, v = draws.standard_normal((n, 8)) * 3, draws.standard_normal((n + offset, 8)) * 3, draws.standard_normal((n + offset, 8))
+    k[1] *= 300  # scores whose exponentials overflow
+    rows = lambda **x: spark.createDataFrame([(7, i, *(a[i].tolist() for a in x.values())) for i in range(len(next(iter(x.values()))))], f"seq int, pos long, {', '.join(f'{c} array<double>' for c in x)}")
+    asked = rows(q=q).selectExpr("seq", f"pos + {offset} AS pos", "q", "'x' AS note").repartition(3)
+    got = layers.causal_attention(asked, rows(k=k, v=v), 2, 8, block=block)
+    assert got.columns == ["seq", "pos", "q", "note", "out"]
+    found = {r["pos"] - offset: r["out"] for r in got.collect()}
+    assert np.allclose([found[i] for i in range(n)], plain_attention(q, k, v, 2, offset), atol=1e-9)
+
+
+def test_states_merge_in_any_order():
+    draws = np.random.default_rng(3)
+    q, k, v = draws.standard_normal((5, 8)), draws.standard_normal((30, 8)), draws.standard_normal((30, 8))
+    seen = draws.random((5, 30)) < 0.4
+    seen[4] = False
+    whole = layers.tile_states(q, k, v, seen, 2)
+    parts = [layers.tile_states(q, k[a : a + 6], v[a : a + 6], seen[:, a : a + 6], 2) for a in range(0, 30, 6)]
+    for order in ([0, 1, 2, 3, 4], [3, 0, 4, 2, 1]):
+        state = parts[order[0]]
+        for i in order[1:]:
+            state = layers.merged_states(state, parts[i])
+        pair = layers.merged_states(layers.merged_states(parts[0], parts[1]), layers.merged_states(parts[2], layers.merged_states(parts[3], parts[4])))
+        assert all(np.allclose(a, b) and np.allclose(a, c) for a, b, c in zip(whole, state, pair))
