@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import flows
 from ..functions import text as X
-from ..operators import order, quality, tokenizer
-from ..sources import corpus, shared
+from ..operators import judge, order, quality, tokenizer
+from ..sources import corpus, shared, tokenfile
+from ..streaming import pairs as stream_pairs
 from . import sql
 
 ENDS = ".!?。！？」"
@@ -176,6 +178,54 @@ def judge_asked(spark, d):
     return quality.ask_judge(pairs.select("prompt_id", "prompt", "x", "y"), _longer)
 
 
+def judge_ledger(spark, d):
+    """The same through a ledger: a third is asked first, then all; n_asked counts the ledger's answers, one for each question."""
+    c, ledger = _turns(spark, d), _folder(spark)
+    pairs = quality.first_two(c).where("n = 2").join(c.groupBy("prompt_id").agg(F.min_by("prompt", "cand_idx").alias("prompt")), "prompt_id").select("prompt_id", "prompt", "x", "y")
+    judge.ask(pairs.where("prompt_id % 3 = 0"), _longer, ledger)
+    out = judge.ask(pairs, _longer, ledger)
+    return out.withColumn("n_asked", F.lit(spark.read.schema(judge.ANSWER).json(ledger).count()))
+
+
+def _prompts(spark, d):
+    """Each conversation's first prompt with its candidates."""
+    c = F.struct(F.col("cand_idx").cast("int").alias("cand_idx"), "text", "finished")
+    return _firsts(spark, d).groupBy("prompt_id").agg(F.first("prompt").alias("prompt"), F.array_sort(F.collect_list(c)).alias("candidates"))
+
+
+def pairs_stream(spark, d):
+    """Records of a stream of candidates that is stopped in the middle and started again from its checkpoint."""
+    path, prompts = _folder(spark), _prompts(spark, d)
+    for half in (0, 1):
+        prompts.where(F.col("prompt_id") % 2 == half).repartition(2).write.mode("append").json(f"{path}/in")
+        source = spark.readStream.schema(stream_pairs.CANDIDATES).option("maxFilesPerTrigger", 1).json(f"{path}/in")
+        stream_pairs.sink(source, f"{path}/out", f"{path}/checkpoint", min_gap=0.01).awaitTermination()
+    back = corpus.load_pairs(spark, f"{path}/out")
+    return back.select("prompt", "chosen", "rejected", "judge", *[F.get("rule_scores", F.lit(k)).alias(f"score_{k}") for k in (0, 1)])
+
+
+def flow_pairs(spark, d):
+    """The flow of preference pairs: files of candidates in, a pairs file out."""
+    path = _folder(spark)
+    _prompts(spark, d).write.json(f"{path}/in")
+    flows.make_pairs(spark, f"{path}/in", f"{path}/out", min_gap=0.01)
+    back = corpus.load_pairs(spark, f"{path}/out")
+    return back.select("prompt", "chosen", "rejected", "judge", *[F.get("rule_scores", F.lit(k)).alias(f"score_{k}") for k in (0, 1)])
+
+
+def flow_tokens(spark, d):
+    """Two flows: corpus files to a tokenizer, and both to a token file, which is read and decoded again, document by document."""
+    paths, path = _written(spark, d), _folder(spark)
+    settings = {"field": "story", "max_latin_ratio": RATIO}
+    flows.train_tokenizer(spark, paths, f"{path}/tokenizer", 300, **settings)
+    flows.prepare_tokens(spark, f"{path}/tokenizer", paths, f"{path}/tokens", **settings)
+    merges, vocab = corpus.load_tokenizer(spark, f"{path}/tokenizer")
+    ids = tokenfile.load(spark, f"{path}/tokens").withColumn("end", (F.col("token_id") == vocab[tokenizer.EOT]).cast("int"))
+    docs = order.running_before(ids, [F.col("pos")], {"doc_no": "end"}).where("end = 0").groupBy("doc_no")
+    whole = docs.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_id"))), lambda x: x["token_id"]).alias("ids"))
+    return whole.select("doc_no", tokenizer.decode(F.col("ids"), merges).alias("text"))
+
+
 def _recorded(pairs, mode):
     r = quality.pair_records(pairs, mode)
     scored = [F.get("rule_scores", F.lit(k)).alias(f"score_{k}") for k in (0, 1)] + [F.size(F.get("rule_penalties", F.lit(k))).alias(f"penalties_{k}") for k in (0, 1)]
@@ -376,7 +426,10 @@ ORACLES = {
     "corpus_files_prefix": f"""SELECT least(count(*) FILTER (kept) + 1, {MAX_DOCS}) AS kept, count(*) FILTER (NOT kept) AS dropped FROM (SELECT *, coalesce(sum(kept::INT) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
         FROM (SELECT doc_id, {_KEPT} AS kept FROM documents)) WHERE before < {MAX_DOCS}""",
     "pairs_file": _RECORDS + " SELECT prompt, chosen, rejected, 'rule' AS judge, score_0, score_1 FROM ruled",
+    "flow_tokens": f"SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) - 1 AS doc_no, t AS text FROM (SELECT doc_id, {sql.strip('text')} AS t FROM documents WHERE {_KEPT} UNION ALL SELECT NULL, 'one' || chr(10) || 'plain text' || chr(10))",
     "pairs_json": _BEST + """ SELECT prompt_id, '{"chosen":' || chosen || ',"rejected":' || rejected || ',"judge":"rule"}' AS record FROM pairs WHERE status = 'kept'""",
 }
 
+ORACLES["judge_ledger"] = ORACLES["judge_asked"].replace("FROM o", ", (SELECT count(*) FROM (SELECT DISTINCT prompt, a, b FROM o)) AS n_asked FROM o")
+ORACLES["pairs_stream"] = ORACLES["flow_pairs"] = ORACLES["pairs_file"]
 QUERIES = {n: globals()[n] for n in ORACLES}

@@ -193,10 +193,15 @@ PAIR = T.StructType([
 ])
 
 
-def append_pairs(pairs: DataFrame, path: str) -> None:
-    """Pairs as JSON lines, one record each, absent fields left out; appended."""
+def write_pairs(pairs: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Pairs as JSON lines, one record each, absent fields left out, in place of what is there: written again they are there once."""
     own = [c for c in PAIR.names if c in pairs.columns]
-    pairs.select(F.to_json(F.struct(*own)).alias("value")).write.mode("append").text(path)
+    pairs.select(F.to_json(F.struct(*own)).alias("value")).write.mode(mode).text(path)
+
+
+def append_pairs(pairs: DataFrame, path: str) -> None:
+    """Pairs appended to those that are there."""
+    write_pairs(pairs, path, "append")
 
 
 def load_pairs(spark: SparkSession, path: str) -> DataFrame:
