@@ -3,6 +3,7 @@ import re
 from collections import Counter
 from itertools import pairwise
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from textloom.functions import bytes as B
@@ -184,7 +185,9 @@ def test_a_word_is_merged_by_lowest_rank_first():
     assert "".join(tokenizer.bpe_word("abc" * 20_000, ranks)) == "abc" * 20_000
 
 
-def test_bundles_are_the_greedy_ones_whatever_the_blocks(spark):
+def test_bundles_are_the_greedy_ones_whatever_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(tokenizer, "TREE", 2)  # three levels above the partitions
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     draw = random.Random(2)
     sizes = {draw.randrange(1 << 50): draw.choice([0, 1, 3, 10, 40, 200]) for _ in range(500)}
     pieces = spark.createDataFrame(list(sizes.items()), "k long, n long").repartition(5)
@@ -197,9 +200,38 @@ def test_bundles_are_the_greedy_ones_whatever_the_blocks(spark):
     for rows in (7, 64, 1 << 16):
         got = {r["k"]: r["bundle_no"] for r in tokenizer.bundles(pieces, "k", F.col("n"), 100, rows).collect()}
         assert got == want, rows
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert tokenizer.bundles(pieces.limit(0), "k", F.col("n"), 100).count() == 0
 
 
+def test_bundling_functions_compose():
+    draw = random.Random(5)
+
+    def plain(sizes, number, open_, target=50):
+        for n in sizes:
+            open_ += n
+            if open_ >= target:
+                number, open_ = number + 1, 0
+        return number, open_
+
+    def function(sizes, target=50):
+        rows, upto = [], 0
+        for i, n in enumerate(sizes):
+            upto += n
+            rows.append((upto, *plain(sizes[i + 1 :], 1, 0)))
+            if upto >= target:
+                break
+        return tokenizer._Bundling(np.array(rows, np.int64), sum(sizes), target)
+
+    for _ in range(300):
+        parts = [[draw.choice([0, 1, 7, 20, 60]) for _ in range(draw.randint(1, 9))] for _ in range(3)]
+        one, two, three = map(function, parts)
+        for open_ in range(50):
+            want = plain(sum(parts, []), 4, open_)
+            assert one.then(two).then(three).after(4, open_) == want == one.then(two.then(three)).after(4, open_)
+            assert tokenizer._Bundling.of(one.rows(), 50).after(4, open_) == plain(parts[0], 4, open_)
+
+
 def test_scores_are_rounded_by_their_exact_value(spark):
     draw = random.Random(3)
     numbers = [1.0005, 1.0015, 0.1235, 2.0625, 0.0005, 0.9995, 0.0, 1.0, 0.4375, *(k / 16 for k in range(40)), *(round(draw.random(), 4) for _ in range(500)), *(draw.random() for _ in range(100))]

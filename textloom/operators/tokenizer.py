@@ -433,12 +433,86 @@ def safe_pieces(docs: DataFrame, target: int, text: str = "text") -> DataFrame:
     return docs.select("doc_id", t.alias("text")).mapInArrow(cut, schema)
 
 
+class _Bundling:
+    """What a run of neighbouring pieces does to the bundle that is open before it, as a function of the characters in that bundle.
+
+    closing: for each piece that can be the first to close it, the run's characters up to and with that piece, the bundles that the
+    run closes then, and the characters that it leaves open. If no piece closes it, the run only adds its `total`.
+    """
+
+    def __init__(self, closing: np.ndarray, total: int, target: int):
+        self.closing, self.total, self.target = closing.reshape(-1, 3).astype(np.int64), int(total), target
+
+    def after(self, number: int, open_: int) -> tuple[int, int]:
+        """Bundles closed so far and characters open, behind the run."""
+        k = int(np.searchsorted(self.closing[:, 0], self.target - open_))
+        return (number + int(self.closing[k, 1]), int(self.closing[k, 2])) if k < len(self.closing) else (number, open_ + self.total)
+
+    def then(self, other: _Bundling) -> _Bundling:
+        """The function of both runs, one behind the other."""
+        own = [(upto, *other.after(int(closed), int(left))) for upto, closed, left in self.closing]
+        if self.total < self.target:  # some open bundles come through this run
+            own += [(self.total + upto, closed, left) for upto, closed, left in other.closing]
+        return _Bundling(np.array(own, np.int64), self.total + other.total, self.target)
+
+    def rows(self) -> list[tuple[int, int, int]]:
+        return [(-1, 0, self.total), *map(tuple, self.closing.tolist())]
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, int, int]], target: int) -> _Bundling:
+        (_, _, total), *closing = sorted(rows)
+        return cls(np.array(closing, np.int64), total, target)
+
+
+_FUNCTION, TREE = "key long, upto long, closed long, left long", 32
+
+
+def _functions(table: pa.Table, target: int) -> list[tuple[int, _Bundling]]:
+    """(key, function) of a table of functions, in the order of the keys."""
+    rows: dict[int, list] = {}
+    for key, *row in zip(*(table[c].to_pylist() for c in ("key", "upto", "closed", "left")), strict=True):
+        rows.setdefault(key, []).append(tuple(row))
+    return [(key, _Bundling.of(rows[key], target)) for key in sorted(rows)]
+
+
+def _entries(functions: DataFrame, parents: list[int], target: int) -> DataFrame:
+    """(key, number, open): bundles closed and characters open before each block; functions: _FUNCTION.
+
+    Functions of neighbours are composed in a tree: `parents` divide keys into those of the next level, of which the last is one. Then the states come down it.
+    """
+    if not parents:  # one function, entered with nothing
+        return functions.select("key").distinct().select("key", F.lit(0).cast("long").alias("number"), F.lit(0).cast("long").alias("open"))
+    above = F.call_function("div", F.col("key"), F.lit(parents[0]).cast("long"))
+
+    def composed(table: pa.Table) -> pa.Table:
+        (_, whole), *rest = _functions(table, target)
+        for _, one in rest:
+            whole = whole.then(one)
+        rows = list(zip(*whole.rows(), strict=True))
+        return pa.table([pa.array([table["parent"][0].as_py()] * len(rows[0]), pa.int64()), *(pa.array(c, pa.int64()) for c in rows)], names=["key", "upto", "closed", "left"])
+
+    def entered(table: pa.Table, state: pa.Table) -> pa.Table:
+        at, out = (state["number"][0].as_py(), state["open"][0].as_py()), []
+        for key, one in _functions(table, target):
+            out.append((key, *at))
+            at = one.after(*at)
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["key", "number", "open"])
+
+    children = functions.withColumn("parent", above)
+    level = materialise(children.groupBy("parent").applyInArrow(composed, _FUNCTION))
+    states = _entries(level, parents[1:], target).withColumnRenamed("key", "parent")
+    out = materialise(children.groupBy("parent").cogroup(states.groupBy("parent")).applyInArrow(entered, "key long, number long, open long"))
+    discard(level)
+    discard(states)
+    return out
+
+
 def bundles(pieces: DataFrame, order: str, size: Column, target: int, block_rows: int = 1 << 16) -> DataFrame:
     """pieces with bundle_no: neighbours in the order, `target` or more together; a bundle closes when that is reached.
 
     Greedy bundling depends on all rows before. A block of neighbours (a range partition's, `block_rows` at most) only has to tell,
     for each of its pieces that can be the first to close a bundle, how many it closes and what stays open behind it: as
-    many rows as a bundle has pieces. One task chains those of all blocks; then each block numbers its own pieces. `order` is a
+    many rows as a bundle has pieces. These functions are composed in a tree, TREE neighbours at a time; then each block numbers its own pieces. `order` is a
     column without repeats.
     """
     block, room = unused("block", pieces), unused("room", pieces)
@@ -470,20 +544,8 @@ def bundles(pieces: DataFrame, order: str, size: Column, target: int, block_rows
             else:
                 left[i] = upto[-1] - (upto[i - 1] if i else 0)
         first = np.arange(min(int(np.searchsorted(upto, target)) + 1, n))
-        none = [0, upto[-1]]  # no piece closes the open bundle
-        rows = [np.append(x, y) for x, y in zip((upto[first], closed[first + 1] + 1, left[first + 1]), (-1, *none), strict=True)]
-        return pa.table([np.full(len(rows[0]), table[block][0].as_py()), *rows], names=["block", "upto", "closed", "left"])
-
-    def chained(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("block", "ascending"), ("upto", "ascending")])
-        names, upto, closed, left = (table[c].to_numpy() for c in ("block", "upto", "closed", "left"))
-        starts = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
-        number, full, out = 0, 0, []
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(names)], strict=True):
-            out.append((names[a], number, full))
-            k = a + 1 + int(np.searchsorted(upto[a + 1 : b], target - full))  # the first row of a block is the one of no closing
-            number, full = (number + closed[k], left[k]) if k < b else (number, full + left[a])
-        return pa.table([[x[c] for x in out] for c in range(3)], names=["block", "number", "open"])
+        rows = _Bundling(np.stack([upto[first], closed[first + 1] + 1, left[first + 1]], axis=1), upto[-1], target).rows()
+        return pa.table([pa.array(c, pa.int64()) for c in ([table[block][0].as_py()] * len(rows), *zip(*rows, strict=True))], names=["key", "upto", "closed", "left"])
 
     def numbered(table: pa.Table) -> pa.Table:
         table = table.sort_by(order)
@@ -496,8 +558,12 @@ def bundles(pieces: DataFrame, order: str, size: Column, target: int, block_rows
             i = int(close[i + 1]) if i + 1 < n else n
         return table.select([order]).append_column("bundle_no", pa.array(np.cumsum(step) + table["number"][0].as_py()))
 
-    rows = sized.groupBy(block).applyInArrow(told, "block long, upto long, closed long, left long")
-    entries = materialise(rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(chained, "block long, number long, open long"))
+    functions = materialise(sized.groupBy(block).applyInArrow(told, _FUNCTION))
+    parents, keys = [1 << 32], ((functions.agg(F.max("key")).first()[0] or 0) >> 32) + 1  # the blocks of a partition, then partitions
+    while keys > 1:
+        parents.append(TREE)
+        keys = -(-keys // TREE)
+    entries = _entries(functions, parents, target).withColumnRenamed("key", "block")
     inside = sized.join(entries.withColumnRenamed("block", block), block)
     numbers = inside.groupBy(block).applyInArrow(numbered, T.StructType([pieces.schema[order], T.StructField("bundle_no", T.LongType())]))
     return pieces.join(numbers, order)
