@@ -277,3 +277,16 @@ def test_small_vocabulary_and_unknown_ids_raise(spark):
         tokenizer.train(rows(spark, ["a"]), 255)
     with pytest.raises(Exception, match="unknown id"):
         spark.range(1).select(tokenizer.decode(F.array(F.lit(9999)), []).alias("t")).collect()
+
+
+def test_subtotals_equal_the_reports_of_their_rows(spark):
+    rows = [(k, s, PROMPT, t, f) for i, (k, s) in enumerate([("a", "x"), ("a", "y"), (None, "x"), ("b", None)] * 3) for t, f in [(GOOD * (i % 3 + 1), True), ("サラン。" * i, i % 2 == 0)]]
+    c = spark.createDataFrame(rows, "k string, s string, prompt string, text string, finished boolean")
+    got = quality.report_by(c, ["k", "s"]).collect()
+    assert len(got) == 4 + 3 + 3 + 1 and sorted({r["level"] for r in got}) == [0, 1, 2, 3]
+    for r in got:
+        own = c if r["level"] & 2 else c.where(F.col("k").eqNullSafe(F.lit(r["k"])))
+        own = own if r["level"] & 1 else own.where(F.col("s").eqNullSafe(F.lit(r["s"])))
+        want = quality.report(own).first()
+        assert all(r[n] == want[n] or abs(r[n] - want[n]) < 1e-12 for n in want.asDict())
+    assert [r["stories"] for r in quality.report_by(c.limit(0), ["k"]).collect()] in ([], [None], [0]) and quality.report(c.limit(0)).first()["stories"] == 0

@@ -153,12 +153,35 @@ def outcomes(pairs: DataFrame, candidates: DataFrame | None = None) -> DataFrame
     return out.unionByName(candidates.agg(F.count_if(~F.col("finished")).alias("n")).select(F.lit("unfinished_dropped").alias("status"), "n"))
 
 
+#: The report's means: of what, and over which candidates (all, or those that finished).
+_MEANS = {
+    "finished": (lambda: F.col("finished").cast("double"), False), "chars": (lambda: F.length("text").cast("double"), False),
+    "repeated_sentences": (lambda: X.repeated_sentence_ratio("text"), False), "repeated_ngrams": (lambda: X.repeated_ngram_ratio("text"), False),
+    "rule_score": (lambda: F.col("score"), True), "bad_ending": (lambda: F.col("bad_ending"), True), "lost_protagonist": (lambda: F.col("lost_protagonist"), True),
+}
+
+
 def report(candidates: DataFrame) -> DataFrame:
     """One row of means: ratios of the unstripped texts over all, scores and penalties over the finished."""
+    return report_by(candidates, [], [[]]).drop("level")
+
+
+def report_by(candidates: DataFrame, keys: list[str], sets: list[list[str]] | None = None) -> DataFrame:
+    """The report for groups: (keys, level, stories, means) for each set of keys (None: all keys, each alone, and none).
+
+    `level` has a bit for each key, the first one's highest, that is 1 where the row is a total over that key, which is null then. Candidates are read
+    once: each group of all keys becomes sums and counts, and only those are added up for the sets.
+    """
+    sets = [list(keys), *([[k] for k in keys] if len(keys) > 1 else []), []] if sets is None else sets
     scored = rule_scores(candidates)
-    done = lambda c: F.avg(F.when(F.col("finished"), c))
-    return scored.agg(
-        F.count("*").alias("stories"), F.avg(F.col("finished").cast("double")).alias("finished"), F.avg(F.length("text")).alias("chars"),
-        F.avg(X.repeated_sentence_ratio("text")).alias("repeated_sentences"), F.avg(X.repeated_ngram_ratio("text")).alias("repeated_ngrams"),
-        done(F.col("score")).alias("rule_score"), done(F.col("bad_ending")).alias("bad_ending"), done(F.col("lost_protagonist")).alias("lost_protagonist"),
-    )
+    values = {name: F.when(F.col("finished"), value()) if done else value() for name, (value, done) in _MEANS.items()}
+    scored = scored.select(*keys, *[v.alias(f"_{name}") for name, v in values.items()])
+    parts = [F.count("*").alias("stories"), *[f(F.col(f"_{name}")).alias(f"_{kind}_{name}") for name in values for kind, f in (("sum", F.sum), ("n", F.count))]]
+    fine = scored.groupBy(*keys).agg(*parts)
+    added = [F.sum(F.col(c)).alias(c) for c in ("stories", *(f"_{kind}_{name}" for name in values for kind in ("sum", "n")))]
+    if keys:
+        whole = fine.groupingSets([[F.col(k) for k in s] for s in sets], *map(F.col, keys)).agg(F.grouping_id().alias("level"), *added)
+    else:
+        whole = fine.withColumn("level", F.lit(0).cast("long"))
+    means = [F.try_divide(F.col(f"_sum_{name}"), F.col(f"_n_{name}")).alias(name) for name in values]
+    return whole.select(*keys, "level", "stories", *means)

@@ -132,6 +132,13 @@ def quality_report(spark, d):
     return r.select("stories", *[F.round(c, 6).alias(c) for c in r.columns if c != "stories"])
 
 
+def quality_report_groups(spark, d):
+    """The report over the documents' languages and sources, with all subtotals."""
+    docs = read(spark, d, "documents").select("lang", "source", F.lit("").alias("prompt"), "text", F.right("text", F.lit(1)).isin(".", "!", "?").alias("finished"))
+    r = quality.report_by(docs, ["lang", "source"])
+    return r.select("lang", "source", "level", "stories", *[F.round(c, 6).alias(c) for c in r.columns[4:]])
+
+
 _VERDICTS = [(1, 1, "A"), (1, 2, "B"), (2, 1, "B"), (2, 2, "A"), (3, 1, "A"), (3, 2, "A"), (4, 1, "tie"), (4, 2, "B"), (5, 1, None), (5, 2, "B"), (6, 1, "B"), (6, 2, "B")]
 
 
@@ -430,6 +437,9 @@ ORACLES = {
     "pairs_json": _BEST + """ SELECT prompt_id, '{"chosen":' || chosen || ',"rejected":' || rejected || ',"judge":"rule"}' AS record FROM pairs WHERE status = 'kept'""",
 }
 
+_DOCS = "turns AS (SELECT doc_id AS prompt_id, 0 AS cand_idx, '' AS prompt, text, right(text, 1) IN ('.', '!', '?') AS finished FROM documents)"
+_REPORT, _FROM = ORACLES["quality_report"].replace(_TURNS.strip(), _DOCS).rsplit("SELECT count(*) AS stories", 1)
+ORACLES["quality_report_groups"] = f"{_REPORT}SELECT d.lang, d.source, grouping(d.lang, d.source) AS level, count(*) AS stories{_FROM} JOIN (SELECT doc_id, lang, source FROM documents) d ON d.doc_id = p.prompt_id GROUP BY GROUPING SETS ((d.lang, d.source), (d.lang), (d.source), ())"
 ORACLES["judge_ledger"] = ORACLES["judge_asked"].replace("FROM o", ", (SELECT count(*) FROM (SELECT DISTINCT prompt, a, b FROM o)) AS n_asked FROM o")
 ORACLES["pairs_stream"] = ORACLES["flow_pairs"] = ORACLES["pairs_file"]
 QUERIES = {n: globals()[n] for n in ORACLES}
