@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import bytes as B
 from textloom.functions import text as X
-from textloom.operators import quality, tokenizer
+from textloom.operators import preference, quality, tokenizer
 
 PROMPT = "むかし、むすめのサランがいました。"
 GOOD = "サランは森へ行きました。友だちに会って、いっしょに遊びました。日が暮れると、みんなで家に帰り、あたたかいスープを飲みました。そして、ぐっすりねむりました。次の日も、また森で会うことにしました。"
@@ -290,3 +290,29 @@ def test_subtotals_equal_the_reports_of_their_rows(spark):
         want = quality.report(own).first()
         assert all(r[n] == want[n] or abs(r[n] - want[n]) < 1e-12 for n in want.asDict())
     assert [r["stories"] for r in quality.report_by(c.limit(0), ["k"]).collect()] in ([], [None], [0]) and quality.report(c.limit(0)).first()["stories"] == 0
+
+
+def test_names_places_and_classes_of_plain_cases(spark):
+    names = {"ドラゴンのピピとサラがいました。": ["ドラゴン", "サラ"], "ピカピカの星とキラキラの夜": [], "ミーミーとネコ": ["ネコ"], "no names here": [], "アリスーとボブとアリスー": ["アリスー", "ボブ", "アリスー"]}
+    got = {r["t"]: r["n"] for r in rows(spark, list(names)).select(F.col("text").alias("t"), X.character_names("text").alias("n")).collect()}
+    assert got == names
+    at = spark.createDataFrame([(t, i) for t in ("abcあいう", "it's 9時", "ドラゴンーは", "a b!c", "漢字かな12ab") for i in range(1, len(t))], "t string, i int")
+    safe = {(r["t"], r["i"]) for r in at.select("t", "i", X.safe_split("t", F.col("i")).alias("s")).collect() if r["s"]}
+    words = lambda t: re.findall(X.PRETOKEN, t)
+    assert safe and all(words(t[:i]) + words(t[i:]) == words(t) for t, i in safe)
+    assert {("abcあいう", 3), ("a b!c", 3), ("漢字かな12ab", 2), ("漢字かな12ab", 4), ("漢字かな12ab", 6)} <= safe and not {("it's 9時", 2), ("ドラゴンーは", 4), ("ドラゴンーは", 5), ("a b!c", 1)} & safe
+    classes = {r["c"]: r["k"] for r in spark.createDataFrame([(c,) for c in "aＡ1９あーアｱ漢々!。é"], "c string").select("c", X.char_classes("c").alias("k")).collect()}
+    assert classes == {"a": [0], "Ａ": [0], "1": [1], "９": [1], "あ": [2], "ー": [2, 3], "ア": [3], "ｱ": [3], "漢": [4], "々": [4], "!": [5], "。": [5], "é": [5]}
+
+
+def test_answers_and_pairs_of_plain_cases(spark):
+    v = quality.parse_verdict(F.col("r"))
+    got = spark.createDataFrame([('{"reason": "clear", "winner": "A"}',), ('{"reason": "odd", "winner": "C"}',), (None,), ("not json",)], "r string").select(v["reason"], v["winner"]).collect()
+    assert [tuple(r) for r in got] == [("clear", "A"), ("odd", None), (None, None), (None, None)]
+    pairs = spark.createDataFrame([(0, 0, [1, 2], [3, 4, 5], [6]), (0, 1, [7], [8], [9, 10]), (1, 1, [], [1], [2]), (2, 0, [1, 2, 3, 4, 5, 6], [1], [2])], "batch_id long, row long, prompt array<int>, chosen array<int>, rejected array<int>")
+    encoded = preference.encode_pairs(pairs, eot=99, max_len=5)
+    assert sorted(map(tuple, encoded.collect())) == [(0, 0, [1, 2], [3, 4, 5], [6, 99]), (0, 1, [7], [8, 99], [9, 10, 99])]
+    assert sorted(map(tuple, preference.collate(encoded, pad=0).collect())) == [
+        (0, 0, 0, [1, 2, 3, 4, 5], [0, 0, 1, 1, 1]), (0, 1, 0, [7, 8, 99, 0, 0], [0, 1, 1, 0, 0]), (0, 2, 1, [1, 2, 6, 99, 0], [0, 0, 1, 1, 0]), (0, 3, 1, [7, 9, 10, 99, 0], [0, 1, 1, 1, 0])]
+    ids = spark.createDataFrame([(1, [5, 6, 9, 7]), (2, [5, 6]), (3, [9]), (4, [])], "id int, ids array<int>")
+    assert [tuple(r) for r in quality.truncated(ids, 9).orderBy("id").select("id", "ids", "finished").collect()] == [(1, [5, 6], True), (2, [5, 6], False), (3, [], True), (4, [], False)]

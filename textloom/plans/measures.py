@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import layers as L
 from ..operators import preference as P
+from .texts import _TURNS as TURNS
+from .texts import _turns as turns
 from .texts import read
 
 BETA = 0.5
@@ -16,12 +18,14 @@ def _r(c, name: str):
     return F.round(c, 6).alias(name)
 
 
-_PAIRS = [(0, 0, [1, 2], [3, 4, 5], [6]), (0, 1, [7], [8], [9, 10]), (1, 0, [1], [2, 3], [4]), (1, 1, [], [1], [2]), (2, 0, [1, 2, 3, 4, 5, 6], [1], [2])]
+EOT, ROOM = 99, 40
 
 
-def _encoded(spark):
-    rows = spark.createDataFrame(_PAIRS, "batch_id long, row long, prompt array<int>, chosen array<int>, rejected array<int>")
-    return P.encode_pairs(rows, eot=99, max_len=5)
+def _encoded(spark, d):
+    """Candidates as pairs of ids, a word's length each: the text before, the text, and the text backwards."""
+    lengths = lambda c: F.when(F.col(c) != "", F.transform(F.split(c, " "), F.length)).otherwise(F.array().cast("array<int>"))
+    rows = turns(spark, d).select(F.floor(F.col("prompt_id") / 4).alias("batch_id"), (F.col("prompt_id") % 4 * 100 + F.col("cand_idx")).alias("row"), lengths("prompt").alias("prompt"), lengths("text").alias("chosen"))
+    return P.encode_pairs(rows.withColumn("rejected", F.reverse("chosen")), eot=EOT, max_len=ROOM)
 
 
 def _joined(c: str):
@@ -29,11 +33,11 @@ def _joined(c: str):
 
 
 def encode_pairs(spark, d):
-    return _encoded(spark).select("batch_id", "row", *map(_joined, ("prompt", "chosen", "rejected")))
+    return _encoded(spark, d).select("batch_id", "row", *map(_joined, ("prompt", "chosen", "rejected")))
 
 
 def collate(spark, d):
-    return P.collate(_encoded(spark), pad=0).select("batch_id", "seq_no", "which", _joined("idx"), _joined("mask"))
+    return P.collate(_encoded(spark, d), pad=0).select("batch_id", "seq_no", "which", _joined("idx"), _joined("mask"))
 
 
 def _logprobs(spark, d):
@@ -65,15 +69,17 @@ def sequence_logprobs(spark, d):
 
 
 def batch_halves(spark, d):
-    rows = spark.range(40).select(F.floor(F.col("id") / 8).alias("batch_id"), (F.col("id") % 8).alias("seq_no"), (-F.col("id") / 4.0).alias("logp"))
-    return P.batch_halves(rows)
+    rows = read(spark, d, "events").select(F.floor(F.col("event_id") / 8).alias("batch_id"), (F.col("event_id") % 8).alias("seq_no"), (-F.col("value")).alias("logp"))
+    out = P.batch_halves(rows)
+    return out.select("batch_id", "row", _r(F.col("chosen"), "chosen"), _r(F.col("rejected"), "rejected"))
 
 
 def d2z_schedule(spark, d):
-    cases = spark.createDataFrame([(100, 10), (4, 0), (7, 6)], "total int, warmup int")
-    steps = cases.select("total", "warmup", F.explode(F.sequence(F.lit(0), F.col("total") + 1)).alias("step"))
+    """Schedules and steps from the documents' numbers and lengths."""
+    total = F.greatest(F.col("n_chars"), F.lit(1))
+    steps = read(spark, d, "documents").select("doc_id", total.alias("total"), (F.col("doc_id") % total).alias("warmup"), (F.col("doc_id") * 7 % (total + 2)).alias("step"))
     m = P.d2z_multiplier(F.col("step"), F.col("total"), F.col("warmup"))
-    return steps.select("total", "warmup", "step", _r(m, "multiplier"), _r(m * 3e-4, "lr"))
+    return steps.select("doc_id", "total", "warmup", "step", _r(m, "multiplier"), _r(m * 3e-4, "lr"))
 
 
 def _vectors(spark, d):
@@ -94,8 +100,8 @@ def rope(spark, d):
 
 
 def swiglu_dim(spark, d):
-    sizes = spark.createDataFrame([(768, 64), (64, 64), (64, 8), (256, 64), (100, 1)], "d int, multiple int")
-    return sizes.select("d", "multiple", V.swiglu_hidden(F.col("d"), F.col("multiple")).alias("hidden"))
+    sizes = read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("d"), (F.col("doc_id") % 64 + 1).alias("multiple"))
+    return sizes.select("doc_id", "d", "multiple", V.swiglu_hidden(F.col("d"), F.col("multiple")).cast("long").alias("hidden"))
 
 
 HIDDEN_ROWS, WIDTH, HEADS, SEQ_ROWS = 8, 64, 4, 10
@@ -153,23 +159,24 @@ def cross_entropy(spark, d):
 
 
 def truncated_ids(spark, d):
+    """Texts as their words' lengths; a word of nine letters ends them."""
     from ..operators import quality
 
-    rows = spark.createDataFrame([(1, [5, 6, 9, 7]), (2, [5, 6]), (3, [9]), (4, [])], "id int, ids array<int>")
-    return quality.truncated(rows, 9).select("id", "finished", _joined("ids"))
+    rows = read(spark, d, "conversations").select("conv_id", "turn", F.transform(F.split("text", " "), F.length).alias("ids"))
+    return quality.truncated(rows, 9).select("conv_id", "turn", "finished", _joined("ids"))
 
 
 def num_params(spark, d):
-    return spark.createDataFrame([(V.num_params(8000, 256, 6, V_HIDDEN),)], "n long")
+    c = F.col
+    return read(spark, d, "documents").select("doc_id", V.num_params(c("n_chars"), c("doc_id") % 64 + 1, c("doc_id") % 7, c("n_chars") % 100).alias("n"))
 
 
-V_HIDDEN = 704
-
 _LOGP = "lp AS (SELECT event_type AS kind, event_id, -value / 100 AS pc, -value / 100 * 2 + 1 AS pr, -value / 100 - 0.5::DOUBLE AS rc, -value / 100 * 1.5::DOUBLE AS rr FROM events)"
 _REWARDS = f"WITH {_LOGP}, rw AS (SELECT *, {BETA}::DOUBLE * (pc - rc) AS chosen_reward, {BETA}::DOUBLE * (pr - rr) AS rejected_reward FROM lp), m AS (SELECT *, chosen_reward - rejected_reward AS margin, greatest(-(chosen_reward - rejected_reward), 0) + ln(1 + exp(-abs(chosen_reward - rejected_reward))) AS loss FROM rw)"
 _VALUES = "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"
-_TRAINED = "(VALUES " + ", ".join(f"({b}::BIGINT, {r}::BIGINT, {p or '[]::INT[]'}, {c}, {j})" for b, r, p, c, j in _PAIRS) + ") AS v(batch_id, r, prompt, chosen, rejected)"
-_ENC = f"enc AS (SELECT batch_id, r, prompt, list_slice(list_append(chosen, 99), 1, 5 - len(prompt)) AS chosen, list_slice(list_append(rejected, 99), 1, 5 - len(prompt)) AS rejected FROM {_TRAINED} WHERE len(prompt) > 0 AND len(prompt) < 5)"
+_LENGTHS = "CASE WHEN {0} = '' THEN []::INT[] ELSE list_transform(string_split({0}, ' '), lambda w: length(w)::INT) END"
+_TRAINED = f"""(WITH {TURNS} SELECT prompt_id // 4 AS batch_id, prompt_id % 4 * 100 + cand_idx AS r, {_LENGTHS.format('prompt')} AS prompt, {_LENGTHS.format('text')} AS chosen, list_reverse({_LENGTHS.format('text')}) AS rejected FROM turns)"""
+_ENC = f"enc AS (SELECT batch_id, r, prompt, list_slice(list_append(chosen, {EOT}), 1, {ROOM} - len(prompt)) AS chosen, list_slice(list_append(rejected, {EOT}), 1, {ROOM} - len(prompt)) AS rejected FROM {_TRAINED} WHERE len(prompt) > 0 AND len(prompt) < {ROOM})"
 
 
 def _w(k: int) -> str:
@@ -188,14 +195,15 @@ ORACLES = {
     "dpo_rewards": _REWARDS + " SELECT event_id, round(chosen_reward, 6) AS chosen_reward, round(rejected_reward, 6) AS rejected_reward, round(margin, 6) AS margin, round(loss, 6) AS loss FROM m",
     "batch_means": _REWARDS + " SELECT round(avg(loss), 6) AS loss, round(avg(margin), 6) AS margin, round(exp(avg(loss)), 6) AS perplexity FROM m",
     "sequence_logprobs": "SELECT event_id % 50 AS seq_no, round(sum(CASE WHEN event_id % 3 <> 0 THEN -value / 100 ELSE 0 END), 6) AS logp FROM events WHERE event_id // 50 >= 1 GROUP BY 1",
-    "batch_halves": "SELECT b AS batch_id, r AS \"row\", -(b * 8 + r) / 4.0::DOUBLE AS chosen, -(b * 8 + r + 4) / 4.0::DOUBLE AS rejected FROM (SELECT unnest(range(0, 5)) AS b), (SELECT unnest(range(0, 4)) AS r)",
-    "d2z_schedule": """WITH s AS (SELECT total, warmup, unnest(range(0, total + 2))::INT AS step FROM (VALUES (100, 10), (4, 0), (7, 6)) AS v(total, warmup)),
+    "batch_halves": """WITH b AS (SELECT event_id // 8 AS batch_id, event_id % 8 AS seq_no, -value AS logp, count(*) OVER (PARTITION BY event_id // 8) // 2 AS half FROM events)
+        SELECT batch_id, seq_no % half AS "row", round(max(logp) FILTER (seq_no < half), 6) AS chosen, round(max(logp) FILTER (seq_no >= half), 6) AS rejected FROM b GROUP BY 1, 2""",
+    "d2z_schedule": """WITH t AS (SELECT doc_id, greatest(n_chars, 1) AS total FROM documents), s AS (SELECT doc_id, total, doc_id % total AS warmup, doc_id * 7 % (total + 2) AS step FROM t),
         m AS (SELECT *, CASE WHEN step < warmup THEN (step + 1)::DOUBLE / warmup ELSE greatest(0, (total - step)::DOUBLE / (total - warmup)) END AS m FROM s)
-        SELECT total, warmup, step, round(m, 6) AS multiplier, round(m * 0.0003::DOUBLE, 6) AS lr FROM m""",
+        SELECT doc_id, total, warmup, step, round(m, 6) AS multiplier, round(m * 0.0003::DOUBLE, 6) AS lr FROM m""",
     "rmsnorm": f"WITH {_VALUES}, n AS (SELECT *, sqrt(avg(x * x) OVER (PARTITION BY vec_id) + 1e-6::DOUBLE) AS r FROM e) SELECT vec_id, i::INT AS i, round(x / r * ((i + 1) / 64.0::DOUBLE), 6) + 0 AS value FROM n",
     "rope": f"""WITH {_VALUES}, a AS (SELECT l.vec_id, l.i, l.x, h.x AS y, (l.vec_id % 512) * pow(10000.0::DOUBLE, -2.0::DOUBLE * l.i / 64) AS w FROM e l JOIN e h ON l.vec_id = h.vec_id AND h.i = l.i + 32)
         SELECT vec_id, i::INT AS i, round(x * cos(w) - y * sin(w), 6) + 0 AS value FROM a UNION ALL SELECT vec_id, (i + 32)::INT, round(y * cos(w) + x * sin(w), 6) + 0 FROM a""",
-    "swiglu_dim": "SELECT d, m AS multiple, (ceil((8 * d // 3) / m::DOUBLE) * m)::INT AS hidden FROM (VALUES (768, 64), (64, 64), (64, 8), (256, 64), (100, 1)) AS v(d, m)",
+    "swiglu_dim": "SELECT doc_id, n_chars AS d, doc_id % 64 + 1 AS multiple, (ceil((8 * n_chars // 3) / (doc_id % 64 + 1)::DOUBLE) * (doc_id % 64 + 1))::BIGINT AS hidden FROM documents",
     "swiglu": f"""WITH {_VALUES}, g AS (SELECT vec_id, m.i AS h, sum(w * x) AS g FROM e JOIN {_w(0)} m ON m.j = e.i GROUP BY ALL), u AS (SELECT vec_id, m.i AS h, sum(w * x) AS u FROM e JOIN {_w(1)} m ON m.j = e.i GROUP BY ALL)
         SELECT vec_id, m.i::INT AS i, round(sum(w * (g / (1 + exp(-g)) * u)), 6) + 0 AS value FROM g JOIN u USING (vec_id, h) JOIN {_w(2)} m ON m.j = h GROUP BY vec_id, m.i""",
     "softmax": f"WITH {_VALUES} SELECT vec_id, i::INT AS i, round(exp(x * 10) / sum(exp(x * 10)) OVER (PARTITION BY vec_id), 6) AS value FROM e",
@@ -210,7 +218,9 @@ ORACLES = {
     "topk_mask": f"WITH {_VALUES}, r AS (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY x DESC) AS r FROM e) SELECT vec_id, i::INT AS i, round(x, 6) AS logit FROM r WHERE r <= 5",
     "greedy_next": f"WITH {_VALUES} SELECT vec_id, arg_max(-i, {{x: x, i: -i}}) * -1 AS token FROM e GROUP BY vec_id",
     "cross_entropy": f"WITH {_VALUES}, l AS (SELECT vec_id, ln(sum(exp(x))) - max(x) FILTER (i = label) AS l FROM e GROUP BY vec_id) SELECT round(avg(l), 6) AS loss, round(exp(avg(l)), 6) AS perplexity FROM l",
-    "truncated_ids": "SELECT * FROM (VALUES (1, true, '5,6'), (2, false, '5,6'), (3, true, ''), (4, false, '')) AS v(id, finished, ids)",
-    "num_params": f"SELECT (8000 * 256 * 2 + 6 * (4 * 256 * 256 + 3 * 256 * {V_HIDDEN} + 2 * 256) + 256)::BIGINT AS n",
+    "truncated_ids": """WITH t AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda w: length(w)) AS ids FROM conversations), p AS (SELECT *, coalesce(list_position(ids, 9), 0) AS at_ FROM t)
+        SELECT conv_id, turn, at_ > 0 AS finished, array_to_string(CASE WHEN at_ > 0 THEN ids[1:at_ - 1] ELSE ids END, ',') AS ids FROM p""",
+    "num_params": """WITH p AS (SELECT doc_id, n_chars AS vocab, doc_id % 64 + 1 AS d, doc_id % 7 AS layers, n_chars % 100 AS hidden FROM documents)
+        SELECT doc_id, (vocab * d * 2 + layers * (4 * d * d + 3 * d * hidden + 2 * d) + d)::BIGINT AS n FROM p""",
 }
 QUERIES = {n: globals()[n] for n in ORACLES}

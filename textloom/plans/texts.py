@@ -68,26 +68,30 @@ def repeated_ngrams(spark, d):
     return read(spark, d, "documents").select("doc_id", F.round(X.repeated_ngram_ratio("text"), 6).alias("ratio"))
 
 
-_NAMES = ["ドラゴンのピピとサラがいました。", "ピカピカの星とキラキラの夜", "ミーミーとネコ", "no names here", "アリスーとボブとアリスー"]
+#: Letters of the texts become signs of other scripts, so that all classes and names occur.
+_KANA = ("abcdefghijklmnopqrstuvwxyz", "アイウエオカキクケコサシスセソタチツテトナニヌネノハ")
+_MIXED = ("aeiountrsl", "あア漢9ーん々ｱ１'")
 
 
-def character_names(spark, d):
-    rows = spark.createDataFrame(list(enumerate(_NAMES)), "id int, prompt string")
-    return rows.select("id", F.posexplode(X.character_names("prompt")).alias("idx", "name"))
+def _talk(spark, d, signs):
+    return read(spark, d, "conversations").select("conv_id", "turn", F.translate("text", *signs).alias("text"))
 
 
-_SPLITS = ["abcあいう", "it's 9時", "ドラゴンーは", "a b!c", "漢字かな12ab"]
+def character_names(spark, d):
+    return _talk(spark, d, _KANA).select("conv_id", "turn", F.posexplode(X.character_names("text")).alias("idx", "name"))
 
 
 def safe_splits(spark, d):
-    rows = spark.createDataFrame(list(enumerate(_SPLITS)), "id int, text string")
-    at = rows.select("id", "text", F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("at"))
-    return at.select("id", "at", X.safe_split("text", F.col("at")).alias("safe"))
+    """How many places of each text are safe to cut, and the sum of those places."""
+    talk = _talk(spark, d, _MIXED).where(F.length("text") > 1)
+    at = talk.select("conv_id", "turn", "text", F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("at"))
+    safe = at.select("conv_id", "turn", "at", X.safe_split("text", F.col("at")).alias("safe"))
+    return safe.groupBy("conv_id", "turn").agg(F.count("*").alias("places"), F.count_if("safe").alias("safe"), F.sum(F.when(F.col("safe"), F.col("at")).otherwise(0)).alias("total"))
 
 
 def char_classes(spark, d):
-    rows = spark.createDataFrame([(c,) for c in "aＡ1９あーアｱ漢々!。é"], "c string")
-    return rows.select("c", F.array_join(X.char_classes("c").cast("array<string>"), ",").alias("classes"))
+    chars = _talk(spark, d, _MIXED).select(F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("n"))
+    return chars.select("c", "n", F.array_join(X.char_classes("c").cast("array<string>"), ",").alias("classes"))
 
 
 def _turns(spark, d):
@@ -147,7 +151,12 @@ def _verdicts(spark):
 
 
 def judge_consensus(spark, d):
-    j = quality.judge_pairs(_verdicts(spark))
+    """Winners of both orders by the conversation's number."""
+    winner = lambda k: F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("tie"), F.lit(None)), (k % 4 + 1).cast("int"))
+    convs = read(spark, d, "conversations").select(F.col("conv_id").alias("prompt_id")).distinct()
+    orders = F.explode(F.array(*[F.struct(F.lit(o).alias("order_no"), winner(k).alias("winner")) for o, k in ((1, F.col("prompt_id")), (2, F.floor(F.col("prompt_id") / 4)))]))
+    rows = convs.select("prompt_id", orders.alias("o")).select("prompt_id", "o.*", F.concat(F.lit("r"), F.col("prompt_id").cast("string"), F.lit("."), F.col("o.order_no").cast("string")).alias("reason"))
+    j = quality.judge_pairs(rows)
     return j.select("prompt_id", "preferred", F.array_join("reasons", "|").alias("reasons"))
 
 
@@ -164,9 +173,12 @@ def judge_only_mode(spark, d):
 
 
 def judge_responses(spark, d):
-    rows = [(1, '{"reason": "clear", "winner": "A"}'), (2, '{"reason": "even", "winner": "tie"}'), (3, '{"reason": "odd", "winner": "C"}'), (4, None), (5, "not json")]
+    """Answers that turns stand for: three sound ones, of which one names no side, none at all, and one that is no JSON."""
+    kind = F.col("turn") % 5
+    sound = lambda w: F.to_json(F.struct(F.col("text").alias("reason"), F.lit(w).alias("winner")))
+    response = F.when(kind == 0, sound("A")).when(kind == 1, sound("tie")).when(kind == 2, sound("C")).when(kind == 3, F.col("text"))
     v = quality.parse_verdict(F.col("response"))
-    return spark.createDataFrame(rows, "id int, response string").select("id", v["reason"].alias("reason"), v["winner"].alias("winner"))
+    return read(spark, d, "conversations").select("conv_id", "turn", response.alias("response")).select("conv_id", "turn", v["reason"].alias("reason"), v["winner"].alias("winner"))
 
 
 def first_openings(spark, d):
@@ -364,15 +376,12 @@ SELECT doc_id, coalesce(round(sum(CASE WHEN c > 1 THEN c ELSE 0 END)::DOUBLE / n
 """
 
 
-def _values(rows: list[str]) -> str:
-    return ", ".join("({}, '{}')".format(i, r.replace("'", "''")) for i, r in enumerate(rows))
-
-
 def _classes(c: str) -> str:
     tests = ", ".join(f"CASE WHEN regexp_matches({c}, '^[{s}]$') THEN {i} END" for i, s in enumerate(X.SCRIPTS))
     return f"CASE WHEN len(list_filter([{tests}], lambda v: v IS NOT NULL)) = 0 THEN [5] ELSE list_filter([{tests}], lambda v: v IS NOT NULL) END"
 
 
+_MIX = f"(SELECT conv_id, turn, translate(text, '{_MIXED[0]}', '{_MIXED[1].replace(chr(39), chr(39) * 2)}') AS text FROM conversations)"
 ORACLES = {
     "pretoken_counts": f"SELECT word, count(*) AS n FROM (SELECT unnest({sql.pretokens('text')}) AS word FROM documents) GROUP BY word",
     "pretokens_per_doc": f"SELECT doc_id, len(w)::INT AS n, len(list_distinct(w))::INT AS n_distinct, array_to_string(w, '') = text AS whole FROM (SELECT doc_id, text, {sql.pretokens('text')} AS w FROM documents)",
@@ -385,11 +394,12 @@ ORACLES = {
     "sentence_stats": f"SELECT doc_id, len(s)::INT AS n, len(list_distinct(s))::INT AS n_distinct FROM (SELECT doc_id, {sql.sentences('text', ENDS)} AS s FROM documents)",
     "repeated_sentences": f"SELECT doc_id, round(CASE WHEN len(s) < 2 THEN 0.0::DOUBLE ELSE 1 - len(list_distinct(s))::DOUBLE / len(s) END, 6) AS ratio FROM (SELECT doc_id, {sql.sentences('text', ENDS)} AS s FROM documents)",
     "repeated_ngrams": _DOC_GRAMS,
-    "character_names": f"""SELECT id, (generate_subscripts(n, 1) - 1)::INT AS idx, unnest(n) AS name FROM (SELECT id, list_filter(regexp_extract_all(prompt, '{X.NAME}'),
-        lambda w: NOT (length(w) % 2 = 0 AND left(w, length(w) // 2) = right(w, length(w) // 2))) AS n FROM (VALUES {_values(_NAMES)}) AS v(id, prompt))""",
-    "safe_splits": f"""SELECT id, at_::INT AS "at", a <> '''' AND NOT regexp_matches(a, '[{sql.WS}]') AND NOT regexp_matches(b, '[{sql.WS}]') AND NOT list_has_any({_classes('a')}, {_classes('b')}) AS safe
-        FROM (SELECT id, at_, substr(text, at_, 1) AS a, substr(text, at_ + 1, 1) AS b FROM (SELECT id, text, unnest(range(1, length(text))) AS at_ FROM (VALUES {_values(_SPLITS)}) AS v(id, text)))""",
-    "char_classes": f"SELECT c, array_to_string({_classes('c')}, ',') AS classes FROM (SELECT unnest(string_split('aＡ1９あーアｱ漢々!。é', '')) AS c)",
+    "character_names": f"""SELECT conv_id, turn, (generate_subscripts(n, 1) - 1)::INT AS idx, unnest(n) AS name FROM (SELECT conv_id, turn, list_filter(regexp_extract_all(translate(text, '{_KANA[0]}', '{_KANA[1]}'), '{X.NAME}'),
+        lambda w: NOT (length(w) % 2 = 0 AND left(w, length(w) // 2) = right(w, length(w) // 2))) AS n FROM conversations)""",
+    "safe_splits": f"""SELECT conv_id, turn, count(*) AS places, count(*) FILTER (safe) AS safe, coalesce(sum(at_) FILTER (safe), 0)::BIGINT AS total FROM (
+        SELECT conv_id, turn, at_, a <> '''' AND NOT regexp_matches(a, '[{sql.WS}]') AND NOT regexp_matches(b, '[{sql.WS}]') AND NOT list_has_any({_classes('a')}, {_classes('b')}) AS safe
+        FROM (SELECT conv_id, turn, at_, substr(text, at_, 1) AS a, substr(text, at_ + 1, 1) AS b FROM (SELECT conv_id, turn, text, unnest(range(1, length(text))) AS at_ FROM {_MIX}))) GROUP BY conv_id, turn""",
+    "char_classes": f"SELECT c, count(*) AS n, any_value(array_to_string({_classes('c')}, ',')) AS classes FROM (SELECT unnest(string_split(text, '')) AS c FROM {_MIX}) GROUP BY c",
     "rule_scores": _SCORED + f" SELECT prompt_id, cand_idx, {', '.join(f'round({k}, 6) AS {k}' for k in [*X.WEIGHTS, 'score'])} FROM scored",
     "rule_penalties": _SCORED + " SELECT prompt_id, cand_idx, penalty, round(value, 6) AS value FROM scored UNPIVOT (value FOR penalty IN (" + ", ".join(X.WEIGHTS) + ")) WHERE value > 0",
     "distinct_candidates": "SELECT source AS prompt_id, min(doc_id) AS cand_idx FROM documents GROUP BY source, text",
@@ -404,7 +414,8 @@ ORACLES = {
           round(avg(CASE WHEN len(s) < 2 THEN 0.0::DOUBLE ELSE 1 - len(list_distinct(s))::DOUBLE / len(s) END), 6) AS repeated_sentences, round(avg(coalesce(r, 0)), 6) AS repeated_ngrams,
           round(avg(score) FILTER (finished), 6) AS rule_score, round(avg(bad_ending) FILTER (finished), 6) AS bad_ending, round(avg(lost_protagonist) FILTER (finished), 6) AS lost_protagonist
         FROM scored p JOIN raw USING (prompt_id, cand_idx) LEFT JOIN raw_again USING (prompt_id, cand_idx)""".replace("repeated_sentences, round(avg(coalesce(r", "repeated_sentences, round(avg(coalesce(raw_again.r"),
-    "judge_consensus": f"SELECT v::BIGINT AS prompt_id, preferred, reasons FROM {_JUDGED}",
+    "judge_consensus": """WITH w AS (SELECT conv_id, ['A', 'B', 'tie', NULL][conv_id % 4 + 1] AS one, ['A', 'B', 'tie', NULL][conv_id // 4 % 4 + 1] AS two FROM (SELECT DISTINCT conv_id FROM conversations))
+        SELECT conv_id AS prompt_id, CASE WHEN one = 'A' AND two = 'B' THEN 'x' WHEN one = 'B' AND two = 'A' THEN 'y' END AS preferred, 'r' || conv_id || '.1|r' || conv_id || '.2' AS reasons FROM w""",
     "judge_both_mode": _RULED + f""" SELECT CASE WHEN n < 2 OR gap IS NULL THEN 'rule_gap_too_small' WHEN preferred = 'x' THEN 'kept' WHEN preferred = 'y' THEN 'llm_disagreed' ELSE 'llm_undecided' END AS status, count(*) AS n
         FROM each JOIN {_JUDGED} ON j.v = prompt_id % 6 + 1 GROUP BY 1""",
     "judge_only_mode": f"""WITH {_TURNS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY cand_idx) AS r FROM turns WHERE finished),
@@ -413,7 +424,7 @@ ORACLES = {
         SELECT prompt_id, CASE preferred WHEN 'x' THEN x WHEN 'y' THEN y END AS chosen, CASE preferred WHEN 'x' THEN y WHEN 'y' THEN x END AS rejected,
           CASE WHEN coalesce(n, 0) < 2 THEN 'too_few_candidates' WHEN preferred IS NULL THEN 'llm_undecided' ELSE 'kept' END AS status
         FROM every LEFT JOIN two USING (prompt_id) JOIN {_JUDGED} ON j.v = prompt_id % 6 + 1""",
-    "judge_responses": "SELECT * FROM (VALUES (1, 'clear', 'A'), (2, 'even', 'tie'), (3, 'odd', NULL), (4, NULL, NULL), (5, NULL, NULL)) AS v(id, reason, winner)",
+    "judge_responses": """SELECT conv_id, turn, CASE WHEN turn % 5 < 3 THEN text END AS reason, CASE turn % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'tie' END AS winner FROM conversations""",
     "first_openings": f"""SELECT doc_id AS line_no, substr(t, 1, instr(t, '.')) AS opening FROM (SELECT doc_id, {sql.strip('text')} AS t FROM documents)
         WHERE doc_id >= 20 AND instr(t, '.') - 1 BETWEEN 5 AND 80 ORDER BY doc_id LIMIT 50""",
     "judge_asked": f"""WITH {_TURNS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY cand_idx) AS r FROM turns WHERE finished),

@@ -47,7 +47,8 @@ def bpe_train_driver(spark, d):
 
 
 def bpe_vocab(spark, d):
-    return tokenizer.vocab_frame(spark, MERGES)
+    merges, _ = tokenizer.train(read(spark, d, "documents"), 256 + LEARNED)
+    return tokenizer.vocab_frame(spark, merges)
 
 
 def bpe_encode_words(spark, d):
@@ -167,9 +168,10 @@ def token_table(spark, d):
 
 
 def tokenizer_file(spark, d):
-    """A tokenizer written and read back: its merges' symbols and ids."""
+    """A learned tokenizer written and read back: its merges' symbols and ids."""
     path = _folder(spark)
-    corpus.save_tokenizer(spark, MERGES, tokenizer.build_vocab(MERGES), path)
+    merges, vocab = tokenizer.train(read(spark, d, "documents"), 256 + LEARNED)
+    corpus.save_tokenizer(spark, merges, vocab, path)
     merges, vocab = corpus.load_tokenizer(spark, path)
     return spark.createDataFrame([(vocab[a + b], a + b, False) for a, b in merges] + [(vocab[tokenizer.EOT], tokenizer.EOT, True)], "id int, symbol string, is_special boolean")
 
@@ -271,6 +273,7 @@ _VOCAB = "(VALUES " + ", ".join("({}, '{}', {})".format(i, s.replace("'", "''"),
 _FLAT = f"""WITH bytes AS (SELECT doc_id, list_append({sql.byte_list('text')}, 256) AS ids FROM documents),
 placed AS (SELECT doc_id, ids, coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM bytes),
 stream AS (SELECT start + generate_subscripts(ids, 1) - 1 AS pos, doc_id, unnest(ids)::BIGINT AS token_id FROM placed)"""
+_LEARNED_IDS = f"SELECT (256 + rank)::INT AS id, l || r AS symbol, false AS is_special FROM ({_learned(LEARNED)}) UNION ALL SELECT {256 + LEARNED}, '{tokenizer.EOT}', true"
 _N = "(SELECT count(*) FROM stream)"
 _PLACES = "row_number() OVER (ORDER BY md5('{}:' || conv_id), conv_id)"
 
@@ -280,7 +283,7 @@ ORACLES = {
     "bpe_merges_8": _learned(LEARNED),
     "bpe_merges_300": _learned_by_steps(ROUNDS),
     "bpe_train_driver": _learned(LEARNED),
-    "bpe_vocab": f"SELECT * FROM {_VOCAB}",
+    "bpe_vocab": f"SELECT b::INT AS id, {sql.SIGN} AS symbol, false AS is_special FROM (SELECT b::INT AS b FROM range(0, 256) AS t(b)) UNION ALL {_LEARNED_IDS}",
     "bpe_encode_words": f"WITH {_WORDS}, e AS (SELECT word, {_encoded(sql.sign_list('word'))} AS s FROM counts) SELECT word, len(s)::INT AS n, array_to_string(s, ' ') AS symbols FROM e",
     "encode_docs": f"""WITH words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {sql.pretokens('text')} AS w FROM documents)),
         known AS (SELECT word, {_encoded(sql.sign_list('word'))} AS s FROM (SELECT DISTINCT word FROM words)),
@@ -290,7 +293,7 @@ ORACLES = {
         SELECT doc_id, (n + 1)::INT AS n, (c + {256 + len(MERGES)} * (n % 997 + 1))::BIGINT AS checksum FROM lengths""",
     "decode_roundtrip": "SELECT doc_id, text FROM documents",
     "token_store": _FLAT + " SELECT count(*) AS n, max(pos) AS last, sum(token_id * (pos % 997 + 1))::BIGINT AS checksum FROM stream",
-    "tokenizer_file": f"SELECT * FROM {_VOCAB} WHERE id >= 256",
+    "tokenizer_file": _LEARNED_IDS,
     "token_stream": _FLAT + " SELECT doc_id, min(pos) AS first, max(pos) AS last, sum(token_id * (pos % 997 + 1))::BIGINT AS checksum FROM stream GROUP BY doc_id",
     "stream_meta": _FLAT + " SELECT count(*) AS num_tokens, 'uint16' AS dtype FROM stream",
     "train_val_split": _FLAT + f""" SELECT CASE WHEN pos < floor({_N} * (1 - {VAL}::DOUBLE)) THEN 'train' ELSE 'val' END AS split, count(*) AS n, min(pos) AS first, max(pos) AS last,
