@@ -55,6 +55,18 @@ def _matrix(column, dimension: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
 
 
+def _lengths(dimension: int):
+    """How many vectors there are and the longest one's length, batch by batch; squares of very long ones aren't out of range."""
+
+    def lengths(batches):
+        for batch in (b for b in batches if b.num_rows):
+            v = _matrix(batch.column("v"), dimension)
+            top = np.abs(v).max(1)
+            yield pa.RecordBatch.from_pydict({"n": [len(v)], "longest": [float((top * np.linalg.norm(v / top[:, None], axis=1)).max())]})
+
+    return lengths
+
+
 class Space:
     """The added component, the rotation, the lists' centroids, and what bounds need."""
 
@@ -196,8 +208,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K, recall: float = R
         return spark.createDataFrame([], schema)
     dimension = most["size"]
     points = taking.where(F.size("v") == dimension)
-    top = F.array_max(F.transform("v", F.abs))
-    total, longest = points.agg(F.count("*"), F.max(top * F.sqrt(F.aggregate(F.transform("v", lambda x: x / top), F.lit(0.0), lambda a, x: a + x * x)))).first()
+    total, longest = points.mapInArrow(tidy(_lengths(dimension)), "n long, longest double").agg(F.sum("n"), F.max("longest")).first()
     lists = max(1, int(np.sqrt(total)))
     wanted = max(1, min(MAX_SAMPLE, max(SAMPLE, PER_LIST * lists), SAMPLE_BYTES // (8 * dimension)))
     sample = _matrix(points.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(wanted).select("v").toArrow()["v"], dimension)
