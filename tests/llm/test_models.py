@@ -167,3 +167,79 @@ def test_messy_rows(spark, messy, empty):
     none = spark.createDataFrame([], labels.schema)
     assert toxicity.score(docs, toxicity.fit(docs, none, F.lit(True))).where("score <= 1").count() == messy.count()
     assert quality_classifier.score(docs, quality_classifier.fit(docs, none, F.lit(True))).where("score = 0.5").count() == messy.count()
+
+
+def test_noisy_or_weights_are_a_minimum_of_the_plain_objective():
+    """The objective by its definition, from texts: no small step in any weight, nor in the bias, makes it less."""
+    draw = random.Random(15)
+    calm, harsh = ["tree", "river", "stone", "cloud"], ["vile", "scum", "filth"]
+    texts, labels = [], []
+    for i in range(160):
+        sentences = [" ".join(draw.choice(calm) for _ in range(3)) for _ in range(3)]
+        if i % 3 == 0:
+            sentences[draw.randrange(3)] += " " + draw.choice(harsh)
+        texts.append(". ".join(sentences) + ".")
+        labels.append(int(i % 3 == 0) if i % 29 else 1)
+    model = toxicity.fit_texts(texts, labels, steps=4000)
+    assert {w for w in harsh} <= set(model.weights) and not set(calm) & set(model.weights)
+
+    def objective(weights, bias):
+        total = 0.0
+        for t, y in zip(texts, labels):
+            quiet = 1.0
+            for s in re.split("[.!?\n]", t):
+                if words := set(re.findall(r"\w+", s)):
+                    z = bias + sum(weights.get(x, 0.0) for x in {x for w in words for x in toxicity.features(w)})
+                    quiet *= 1 - 1 / (1 + np.exp(-z))
+            chance = toxicity.NOISE + (1 - toxicity.NOISE) * (1 - quiet)
+            total -= np.log(chance) if y else np.log(quiet)  # a label 0 isn't noisy
+        return total / len(texts) + toxicity.PENALTY * sum(weights.values())
+
+    least = objective(model.weights, model.bias)
+    for name in [*model.weights, *harsh]:
+        for step in (-0.1, 0.1):
+            changed = model.weights | {name: max(0.0, model.weights.get(name, 0.0) + step)}
+            assert objective(changed, model.bias) >= least - 1e-6, (name, step)
+    for step in (-0.1, 0.1):
+        assert objective(model.weights, model.bias + step) >= least - 1e-6
+
+
+def test_random_index_vectors_and_training_equal_a_plain_form():
+    draw = random.Random(16)
+    vocabulary = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(160)]
+    texts = [" ".join(draw.choice(vocabulary[:100] if i % 2 else vocabulary[60:]) for _ in range(60)) + draw.choice([".", " !!", ""]) for i in range(60)]
+    labels = [i % 2 for i in range(60)]
+    model = quality_classifier.fit_texts(texts, labels)
+    split = [re.findall(r"\w+|[^\w\s]+", t) for t in texts]
+    seen = {t: sum(t in s for s in map(set, split)) for s in split for t in s}
+    split = [[t if seen[t] >= quality_classifier.LEAST else quality_classifier.shape(t) for t in s] for s in split]
+    names = sorted({t for s in split for t in s})
+    vectors = {}
+    for name in names:  # the words around it, each by its own sparse vector
+        around = np.zeros(quality_classifier.SIZE)
+        for s in split:
+            for i, t in enumerate(s):
+                if t == name:
+                    for j in range(max(0, i - quality_classifier.WINDOW), min(len(s), i + quality_classifier.WINDOW + 1)):
+                        if j != i:
+                            around += quality_classifier.index_vector(s[j])
+        vectors[name] = around / max(np.linalg.norm(around), 1e-9) + quality_classifier.index_vector(name)
+    v = np.stack([vectors[n] for n in names])
+    assert sorted(model.ids) == names and len(names) > quality_classifier.SIZE
+    solved, *_ = np.linalg.lstsq(v, model.inner[[model.ids[n] for n in names]].astype(float), rcond=None)
+    assert np.abs(v @ solved - model.inner[[model.ids[n] for n in names]]).max() < 1e-3  # the first layer is linear in them
+    x = np.random.default_rng(4).standard_normal((50, 6))
+    y = (x[:, 0] > 0).astype(float)
+    loss = lambda net: np.logaddexp(0, -quality_classifier._forward(net, x)[0] * (2 * y - 1)).mean() + quality_classifier.DECAY / 2 * sum((net[k] ** 2).sum() for k in (0, 2))
+    net = quality_classifier._train(x, y, 6000, np.random.default_rng(5))
+    for k, p in enumerate(net):  # by differences the loss is level where the training ended, as it wasn't where it began
+        for at in list(np.ndindex(p.shape))[:40]:
+            slopes = []
+            for trained in (net, quality_classifier._train(x, y, 0, np.random.default_rng(5))):
+                ends = []
+                for step in (-1e-5, 1e-5):
+                    moved = [q.copy() for q in trained]
+                    moved[k][at] += step
+                    ends.append(loss(moved))
+                slopes.append(abs(ends[1] - ends[0]) / 2e-5)
+            assert slopes[0] < 2e-3, (k, at, slopes)
