@@ -48,16 +48,16 @@ class Pairs:
         self.bits = bits
 
     @staticmethod
-    def places(lang: np.ndarray, first: np.ndarray, second: np.ndarray):
-        """Of each pair, PROBES places of BITS."""
+    def places(lang: np.ndarray, first: np.ndarray, second: np.ndarray, bits: int):
+        """Of each pair, PROBES places of `bits`, a power of two."""
         h = (lang * _P + first) * _P + second
         for _ in range(PROBES):
             h = (h ^ (h >> np.uint64(32))) * _P
-            yield h >> np.uint64(64 - BITS.bit_length() + 1)
+            yield h >> np.uint64(65 - bits.bit_length())
 
     def may_hold(self, lang: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         out = np.ones(len(first), bool)
-        for at in self.places(lang, first, second):
+        for at in self.places(lang, first, second, 64 * len(self.bits)):
             out &= (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         return out
 
@@ -130,19 +130,19 @@ def grams(docs: DataFrame, lengths: range = range(1, MAX_N + 1), pairs=None) ->
     return rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))  # added up already before the shuffle
 
 
-def _pairs_of(frequent: DataFrame) -> np.ndarray:
-    """The bits of all frequent phrases of two words: BITS / 64 numbers at most reach the driver."""
+def _pairs_of(frequent: DataFrame, size: int) -> np.ndarray:
+    """The bits of all frequent phrases of two words: size / 64 numbers at most reach the driver."""
 
     def marked(batches):
         for batch in batches:
             both = pc.split_pattern(batch.column("phrase").cast(pa.binary()), " ")
             hashed = [_hashes(batch.column("lang").cast(pa.binary())), *(_hashes(pc.list_element(both, k)) for k in (0, 1))]
-            at = np.unique(np.concatenate(list(Pairs.places(*hashed))))
+            at = np.unique(np.concatenate(list(Pairs.places(*hashed, size))))
             yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["cell", "bits"])
 
     two = frequent.where(F.size(F.split("phrase", " ")) == 2).select("lang", "phrase")
     cells = two.mapInArrow(tidy(marked), "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(BITS >> 6, np.uint64)
+    bits = np.zeros(size >> 6, np.uint64)
     bits[cells["cell"].to_numpy()] = cells["bits"].to_numpy().view(np.uint64)
     return bits
 
@@ -157,7 +157,7 @@ def mine(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, share: int = S
     spark = docs.sparkSession
     every = materialise(grams(docs, range(1, min(max_n, 2) + 1)).where((F.col("n") >= least) | (F.col("phrase") == "")))
     if max_n > 2:
-        pairs = spark.sparkContext.broadcast(_pairs_of(every))  # BITS / 8 bytes
+        pairs = spark.sparkContext.broadcast(_pairs_of(every, BITS))  # BITS / 8 bytes
         every = every.unionByName(materialise(grams(docs, range(3, max_n + 1), pairs).where(F.col("n") >= least)))
         pairs.unpersist()
     frequent = every.where(F.col("phrase") != "").withColumnRenamed("n", "f")
