@@ -27,9 +27,8 @@ CUT = f"{tokenizer.SAFE}|(?<=[^{X.WS}])(?=[{X.WS}])"
 
 def cut(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
     """(doc_id, chunk_no, chunk): every text in chunks of `size` characters; an empty or null text is one empty chunk."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.length(t) - 1) / size), F.lit(0)))
-    return docs.select("doc_id", t.alias("t"), F.posexplode(starts).alias("chunk_no", "k")).select("doc_id", "chunk_no", F.substring("t", (F.col("k") * size + 1).cast("int"), F.lit(size)).alias("chunk"))
+    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return docs.select("doc_id", found.alias("found")).select("doc_id", F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(F.array(F.lit("")))).alias("chunk_no", "chunk"))
 
 
 def pieces(chunks: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from .texts import read
 
 LEARNED, LARGE, ROUNDS, ROUND_WORDS = 8, 400, 300, 12_000
 MERGES = [("t", "h"), ("th", "e"), ("Ġ", "the")]  # of the encoding queries
-CHUNKS = (7, 64, 1000)  # characters
+CHUNKS, FILES = (7, 64, 1000), 3  # characters
 SEQ, BATCH, BATCHES, VAL = 64, 4, 16, 0.1
 RANGE = (12_345, 67_890)  # positions
 
@@ -217,6 +217,19 @@ def chunked_pretokens(spark, d):
     return out
 
 
+def text_chunks(spark, d):
+    """Documents as lines of FILES text files, which are read in chunks and split; the SQL has the pretokens of whole files."""
+    docs, path, paths = read(spark, d, "documents"), _folder(spark), []
+    for k in range(FILES):
+        docs.where(F.col("doc_id") % FILES == k).orderBy("doc_id").select("text").coalesce(1).write.text(f"{path}/{k}")
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{k}")
+        found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+        paths += [f.getPath().toString() for f in found if f.getPath().getName().startswith("part-")]
+    words = chunks.pretokens(corpus.read_chunks(spark, paths).withColumnRenamed("file_idx", "doc_id").withColumn("doc_id", F.col("doc_id").cast("int")))
+    squares = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w) * F.length(w))
+    return words.groupBy(F.col("doc_id").alias("file_idx")).agg(F.sum(F.size("words")).alias("n"), F.sum(squares).alias("squares"))
+
+
 def chunked_ids(spark, d):
     """The ids of documents that come in chunks; the SQL is that of whole documents."""
     docs = read(spark, d, "documents")
@@ -313,6 +326,8 @@ ORACLES = {
     "epoch_batches": "WITH c AS (SELECT DISTINCT conv_id FROM conversations) " + " UNION ALL ".join(
         f"SELECT {e} AS epoch, (p - 1) // 8 AS step, (p - 1) % 8 AS batch_row, conv_id FROM (SELECT conv_id, {_PLACES.format(f'1/{e}')} AS p FROM c)" for e in range(2)),
     "safe_pieces": f"SELECT doc_id, len({sql.pretokens('text')}) AS n, length(text) AS n_chars FROM documents",
+    "text_chunks": f"""WITH f AS (SELECT (doc_id % {FILES})::INT AS file_idx, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY 1), w AS (SELECT file_idx, {sql.pretokens('text')} AS w FROM f)
+        SELECT file_idx, len(w) AS n, list_sum(list_transform(w, lambda x: length(x) * length(x)))::BIGINT AS squares FROM w""",
     "chunked_pretokens": f"SELECT size, doc_id, len(w) AS n, md5(array_to_string(w, '|')) AS digest FROM (SELECT doc_id, {sql.pretokens('text')} AS w FROM documents), (VALUES {', '.join(f'({n})' for n in CHUNKS)}) AS s(size)",
     "bundles": """WITH RECURSIVE d AS (SELECT length(text) AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
         r AS (SELECT i, n, 0 AS no, n AS filled FROM d WHERE i = 1
