@@ -91,11 +91,6 @@ def salt(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
 
 
-def spread(df: DataFrame, name: str) -> DataFrame:
-    """Each row once for every salt: the other side of a join on keys that a hot group may share."""
-    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
 def salts_held(by: Column) -> Column:
     """Aggregate: the salts that a group's rows have, as the bits of a number."""
     return F.bit_or(F.pow(F.lit(2.0), by).cast("long"))
