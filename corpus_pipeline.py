@@ -54,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+    """The stages one after the other; the size of Arrow batches is the caller's again at the end."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, docs = spark.conf.get(key), read(spark, sf_dir, "documents")
+    try:
+        for _, stage in STAGES:
+            docs = materialise(stage(spark, docs, sf_dir))
+    finally:
+        spark.conf.set(key, before)
     return docs
