@@ -13,7 +13,7 @@ from ..sources import corpus, shared, tokenfile
 from . import sql
 from .texts import read
 
-LEARNED, LARGE, ROUNDS, ROUND_WORDS = 8, 400, 300, 12_000
+LEARNED, LARGE, ROUNDS, ROUND_WORDS = 8, 400, 300, 20_000
 MERGES = [("t", "h"), ("th", "e"), ("Ġ", "the")]  # of the encoding queries
 CHUNKS, FILES = (7, 64, 1000), 3  # characters
 SEQ, BATCH, BATCHES, VAL = 64, 4, 16, 0.1
