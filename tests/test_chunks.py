@@ -70,3 +70,10 @@ def test_chunks_in_separate_micro_batches(spark, tmp_path, size):
     for r in spark.read.parquet(f"{tmp_path}/out").withColumn("file", F.input_file_name()).withColumn("at", F.col("_metadata.file_modification_time")).orderBy("at").collect():
         got.setdefault(r["doc_id"], []).extend(r["words"])
     assert {k: v for k, v in got.items() if v} == {k: re.findall(X.PRETOKEN, t) for k, t in texts.items()}
+
+
+def test_neighbouring_chunks_are_put_together_before_anything_is_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and, 'more' words! " * 40) for i in range(5)], "doc_id long, text string").coalesce(1)
+    assert len(chunks.pieces(chunks.cut(docs, 7)).where("part = 0").collect()) == 5  # a run for each document, not a row for each chunk
+    few = [("a", 0, "it"), ("a", 1, "'s "), ("b", 2, "x"), ("a", 3, "b"), ("a", 2, "a")]  # out of order, and a gap in b
+    assert words_of(spark, few) == {"a": ["it", "'s", " ab"], "b": ["x"]}

@@ -3,8 +3,9 @@
 Between two characters that no pretoken joins (`tokenizer.SAFE`), and behind any character that white space follows, a text can be cut
 without changing a pretoken, whatever follows. What a chunk holds between its first and its last such place doesn't depend on other chunks. The
 rest of it, its head and tail, is joined with the tail before and the head behind, over chunks that have no such place: seams.
-In batch form chunks are handled apart and seams found by running sums, so the chunks of one very long document are spread over
-tasks; in streaming form a document's open tail is its state.
+In batch form neighbouring chunks that a task meets one after the other are put together first (runs of RUN bytes or little more), runs are
+handled apart and seams found by running sums, so the chunks of one very long document are spread over tasks; in streaming form a document's
+open tail is its state.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 from ..sources.shared import materialise
@@ -23,6 +27,7 @@ from . import tokenizer
 from .order import running_before
 
 CUT = f"{tokenizer.SAFE}|(?<=[^{X.WS}])(?=[{X.WS}])"
+RUN = 1 << 18  # bytes
 
 
 def cut(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
@@ -31,26 +36,60 @@ def cut(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
     return docs.select("doc_id", found.alias("found")).select("doc_id", F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(F.array(F.lit("")))).alias("chunk_no", "chunk"))
 
 
+def _runs(batches):
+    """(doc_id, first chunk_no, text) of neighbouring chunks of a document that follow each other in the rows, a run ended at RUN bytes."""
+    doc = first = due = None
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, numbers, chunk = batch.column("doc_id"), batch.column("chunk_no").to_numpy(), batch.column("chunk").cast(pa.large_binary())
+        coded = ids.dictionary_encode(null_encoding="encode") if not pa.types.is_nested(ids.type) else None
+        same = coded.indices.to_numpy() if coded is not None else np.arange(len(ids))
+        offsets = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        data = memoryview(chunk.buffers()[2] or b"")
+        starts = np.concatenate(([0], np.flatnonzero((same[1:] != same[:-1]) | (numbers[1:] != numbers[:-1] + 1)) + 1, [len(same)])).tolist()
+        names, numbers = pc.take(ids, pa.array(starts[:-1])).to_pylist(), numbers.tolist()
+        for name, a, b in zip(names, starts, starts[1:], strict=False):
+            if first is None or name != doc or numbers[a] != due or size >= RUN:
+                if first is not None:
+                    yield doc, first, b"".join(held).decode()
+                doc, first, held, size = name, numbers[a], [], 0
+            held.append(bytes(data[offsets[a] : offsets[b]]))
+            size, due = size + len(held[-1]), numbers[b - 1] + 1
+    if first is not None:
+        yield doc, first, b"".join(held).decode()
+
+
 def pieces(chunks: DataFrame) -> DataFrame:
     """(doc_id, chunk_no, part, piece): texts whose pretokens, in the order of chunk_no and part, are the document's.
 
-    chunks: (doc_id, chunk_no, chunk) in any order; each number once in a document, null chunks are empty. Part 0 lies inside the chunk, part 1 is the seam behind it.
+    chunks: (doc_id, chunk_no, chunk) in any order; each number once in a document, null chunks are empty. Part 0 lies inside the chunk or the
+    run of neighbours that it begins, part 1 is the seam behind it.
     """
     kind = chunks.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("chunk_no", T.LongType()), T.StructField("open", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("head", "inside", "tail")]])
 
     def opened(batches):
-        place = re.compile(CUT)
-        for batch in (batch.slice(at, 1024) for batch in batches for at in range(0, batch.num_rows, 1024)):
-            rows = []
-            for chunk in batch.column("chunk").to_pylist():
-                found = [m.start() for m in place.finditer(chunk)]
-                rows.append((1, chunk[: found[0]], chunk[found[0] : found[-1]], chunk[found[-1] :]) if found else (0, chunk, "", ""))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            added = [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("chunk_no"), *added], names=schema.names)
-
-    ends = materialise(chunks.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.coalesce("chunk", F.lit("")).alias("chunk")).mapInArrow(opened, schema))
+        place, names = re.compile(CUT), schema.names
+        runs, rows, size = _runs(batches), [], 0
+
+        def record():
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        for doc, no, text in runs:
+            found = [m.start() for m in place.finditer(text)]
+            rows.append((doc, no, 1, text[: found[0]], text[found[0] : found[-1]], text[found[-1] :]) if found else (doc, no, 0, text, "", ""))
+            size += len(text)
+            if size >= 4 * RUN or len(rows) >= 1024:
+                yield record()
+                rows, size = [], 0
+        if rows:
+            yield record()
+
+    types = to_arrow_schema(schema).types
+    ends = materialise(chunks.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.coalesce("chunk", F.lit("")).alias("chunk")).mapInArrow(opened, schema), "zstd")
     narrow = running_before(ends.select("doc_id", "chunk_no", "open", "head", "tail"), ["doc_id", "chunk_no"], {"seam": "open"})
     # a head closes the seam that is open before it, a tail opens the next one
     sides = F.array(F.struct(F.col("seam"), F.lit(0).alias("side"), F.col("head").alias("text")), F.struct((F.col("seam") + F.col("open")).alias("seam"), F.lit(1).alias("side"), F.col("tail").alias("text")))
