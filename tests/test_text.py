@@ -1,7 +1,7 @@
 import random
 import re
 from collections import Counter
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -316,3 +316,15 @@ def test_answers_and_pairs_of_plain_cases(spark):
         (0, 0, 0, [1, 2, 3, 4, 5], [0, 0, 1, 1, 1]), (0, 1, 0, [7, 8, 99, 0, 0], [0, 1, 1, 0, 0]), (0, 2, 1, [1, 2, 6, 99, 0], [0, 0, 1, 1, 0]), (0, 3, 1, [7, 9, 10, 99, 0], [0, 1, 1, 1, 0])]
     ids = spark.createDataFrame([(1, [5, 6, 9, 7]), (2, [5, 6]), (3, [9]), (4, [])], "id int, ids array<int>")
     assert [tuple(r) for r in quality.truncated(ids, 9).orderBy("id").select("id", "ids", "finished").collect()] == [(1, [5, 6], True), (2, [5, 6], False), (3, [], True), (4, [], False)]
+
+
+def test_safe_lengths_are_those_between_the_safe_places_in_one_walk(spark):
+    draw = random.Random(8)
+    texts = ["".join(draw.choice(["a", "b'", "'ll", " ", "\n", "。", "あ", "ア", "ー", "漢", "1", "'", "é", "🙂", "𠀀", "\x85"]) for _ in range(60)) for _ in range(30)] + ["a", "", "🙂a🙂", "ab" * 100_000 + "1"]
+    got = [r["n"] for r in rows(spark, texts).select("doc_id", tokenizer.safe_lengths("text").alias("n")).orderBy("doc_id").collect()]
+    at = spark.createDataFrame([(k, t, i) for k, t in enumerate(texts[:-1]) for i in range(1, len(t))], "k int, t string, i int")
+    safe = {(r["k"], r["i"]) for r in at.where(X.safe_split("t", F.col("i"))).collect()}
+    for k, t in enumerate(texts[:-1]):
+        upto = list(accumulate(got[k]))
+        assert upto[-1] == len(t) and {(k, i) for i in upto[:-1]} == {x for x in safe if x[0] == k}
+    assert got[-1] == [200_000, 1]

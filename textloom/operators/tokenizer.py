@@ -409,6 +409,11 @@ def _safe() -> str:
 SAFE = _safe()
 
 
+def safe_lengths(text: Column | str) -> Column:
+    """Lengths of the pieces between all places where a text is safe to cut (X.safe_split), in order: one walk through the text."""
+    return F.transform(F.split(F.col(text) if isinstance(text, str) else text, SAFE), F.length)
+
+
 def safe_pieces(docs: DataFrame, target: int, text: str = "text") -> DataFrame:
     """(doc_id, piece_no, piece): long documents cut at safe places into pieces of about `target` characters, or more.
 

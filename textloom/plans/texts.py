@@ -84,9 +84,13 @@ def character_names(spark, d):
 def safe_splits(spark, d):
     """How many places of each text are safe to cut, and the sum of those places."""
     talk = _talk(spark, d, _MIXED).where(F.length("text") > 1)
-    at = talk.select("conv_id", "turn", "text", F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("at"))
-    safe = at.select("conv_id", "turn", "at", X.safe_split("text", F.col("at")).alias("safe"))
-    return safe.groupBy("conv_id", "turn").agg(F.count("*").alias("places"), F.count_if("safe").alias("safe"), F.sum(F.when(F.col("safe"), F.col("at")).otherwise(0)).alias("total"))
+    def summed(sizes):
+        """Each piece's length counts for every place behind it."""
+        behind = F.transform(sizes, lambda n, i: n.cast("long") * (F.size(sizes) - 1 - i))
+        return F.struct((F.size(sizes) - 1).alias("safe"), F.aggregate(behind, F.lit(0).cast("long"), lambda a, n: a + n).alias("total"))
+
+    safe = talk.select("conv_id", "turn", (F.length("text") - 1).alias("places"), X.bound(tokenizer.safe_lengths("text"), summed).alias("s"))
+    return safe.groupBy("conv_id", "turn").agg(F.sum("places").alias("places"), F.sum("s.safe").alias("safe"), F.sum("s.total").alias("total"))
 
 
 def char_classes(spark, d):
