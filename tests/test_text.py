@@ -328,3 +328,25 @@ def test_safe_lengths_are_those_between_the_safe_places_in_one_walk(spark):
         upto = list(accumulate(got[k]))
         assert upto[-1] == len(t) and {(k, i) for i in upto[:-1]} == {x for x in safe if x[0] == k}
     assert got[-1] == [200_000, 1]
+
+
+def test_passes_over_the_words_learn_the_same_merges(spark, monkeypatch):
+    monkeypatch.setattr(tokenizer, "INDEXED", 0)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60")
+    counts = tokenizer.materialise(tokenizer.pretoken_counts(docs))
+    words = {r["word"]: r["n"] for r in counts.collect()}
+    want, passes, confirmed = tokenizer.train_words(words, 60), [], tokenizer._confirmed
+
+    def watched(*a):
+        passes.append(len(got := confirmed(*a)))
+        return got
+
+    monkeypatch.setattr(tokenizer, "_confirmed", watched)
+    assert tokenizer.train_passes(counts, 60, 20) == want and len(passes) < 30  # several merges a round, whatever the guess
+    monkeypatch.setattr(tokenizer, "RANKED", 50)  # most pairs are beyond the counts that are known
+    assert tokenizer.train_rounds(counts, 12, 60) == want[:12]
+    draw = random.Random(4)
+    odd = {"".join(draw.choice("ab") for _ in range(draw.randint(1, 9))): draw.randint(1, 5) for _ in range(60)} | {"a" * 40: 2, "": 3}
+    counts = tokenizer.materialise(spark.createDataFrame(list(odd.items()), "word string, n long").coalesce(1))
+    for budget in (1, 40):  # no words gathered, some
+        assert tokenizer.train_passes(counts, 12, budget) == tokenizer.train_words(odd, 12)

@@ -27,6 +27,8 @@ from ..functions import text as X
 from ..sources.shared import discard, materialise, own_dir, unused
 
 EOT = "<|endoftext|>"
+INDEXED, PASSED = 200_000, 1_000  # distinct words, beyond which so many merges are learned by passes
+GUESSED, SAMPLE, WORD_SLICE = 64, 50_000, 1 << 16
 DRIVER_WORDS, ROUND_WORDS, TOP, RANKED, REMEMBERED, BUCKETS, COMPACT = 500_000, 200_000, 512, 8_192, 500_000, 16, 16
 Merges = list[tuple[str, str]]
 
@@ -185,9 +187,9 @@ class PairIndex:
     pair (BUCKETS), so a round reads the parts that its pairs are in; later ones are put together every COMPACT rounds.
     """
 
-    def __init__(self, counts: DataFrame):
-        self.spark, self.merges = counts.sparkSession, []
-        first = counts.select("word", "n").mapInArrow(_changed(None, []), _CHANGES)
+    def __init__(self, counts: DataFrame, merges: Merges = ()):
+        self.spark, self.merges = counts.sparkSession, [*merges]
+        first = counts.select("word", "n").mapInArrow(_changed(None, self.merges), _CHANGES)
         path = f"{own_dir(self.spark)}/{uuid.uuid4().hex}"
         first.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(path)
         self.base = self.spark.read.schema(f"{_CHANGES}, bucket int").parquet(path)
@@ -247,15 +249,237 @@ def _batch(top: list[tuple[int, str, str, int]], budget: int, complete: bool) ->
     return k
 
 
+class _Symbols:
+    """Numbers of symbols: the alphabet's in the order of the bytes, then those of the merges; equal symbols share one."""
+
+    def __init__(self, merges: Merges):
+        self.names = list(B.ALPHABET)
+        self.number = {x: i for i, x in enumerate(self.names)}
+        self.merges = [(self.number[left], self.number[right], self.add(left + right)) for left, right in merges]
+
+    def add(self, name: str) -> int:
+        if name not in self.number:
+            self.number[name] = len(self.names)
+            self.names.append(name)
+        return self.number[name]
+
+
+def _joined(at: np.ndarray, left: int, right: int) -> np.ndarray:
+    """Places of a pair in the symbols of many words, from left to right without overlap."""
+    k = np.flatnonzero((at[:-1] == left) & (at[1:] == right))
+    if left == right and len(k):  # of a run every second place
+        run = np.concatenate(([0], np.flatnonzero(np.diff(k) != 1) + 1))
+        k = k[(np.arange(len(k)) - np.repeat(run, np.diff(np.append(run, len(k))))) % 2 == 0]
+    return k
+
+
+def _after(at: np.ndarray, k: np.ndarray, new: int) -> np.ndarray:
+    """The symbols with those at k and behind merged."""
+    if not len(k):
+        return at
+    at = at.copy()
+    at[k] = new
+    return np.delete(at, k + 1)
+
+
+def _split_words(batches, merges: list[tuple[int, int, int]]):
+    """(symbols of many words, each -1 behind its word, and the word's place; places' counts) with the merges applied, a slice of words at a time."""
+
+    def slices():
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= WORD_SLICE:
+                yield pa.Table.from_batches(held)
+                held, rows = [], 0
+        if rows:
+            yield pa.Table.from_batches(held)
+
+    for table in slices():
+        word = pa.concat_arrays([c.cast(pa.large_binary()) for c in table.column("word").chunks])
+        ends = np.frombuffer(word.buffers()[1], np.int64)[word.offset : word.offset + len(word) + 1]
+        raw = np.frombuffer(word.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.int32)
+        at = np.insert(raw, ends[1:] - ends[0], -1)
+        for left, right, new in merges:
+            at = _after(at, _joined(at, left, right), new)
+        yield at, table.column("n").to_numpy()
+
+
+def _pair_sums(at: np.ndarray, n: np.ndarray, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (left << 32 | right) at the places (None: all), their counts by the words' n, and in how many words they stand."""
+    word = np.cumsum(at == -1)
+    k = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0)) if places is None else places
+    key, place = (at[k].astype(np.int64) << 32) | at[k + 1], word[k]
+    order = np.argsort(key, kind="stable")  # places stay ascending
+    key, place = key[order], place[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(n[place], first) if len(first) else np.zeros(0, np.int64)
+    once = np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] != place[:-1]))) if len(key) else np.zeros(0, bool)
+    held = np.add.reduceat(once.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    return key[first], sums, held
+
+
+_SUMS = "step int, pair long, d long, held long"
+
+
+def _sums_batch(step: int, key, d, held):
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), step, np.int32)), pa.array(key, pa.int64()), pa.array(d, pa.int64()), pa.array(held, pa.int64())], names=["step", "pair", "d", "held"])
+
+
+def _counted(merges: list[tuple[int, int, int]], place: list[int]):
+    """For distinct (word, n): the pairs of the merged words, in all and in how many words; a symbol is named by its place among all by code points."""
+
+    def counted(batches):
+        ranked = np.array(place, np.int64)
+        for at, n in _split_words(batches, merges):
+            key, sums, held = _pair_sums(at, n)
+            yield _sums_batch(0, ranked[key >> 32] << 32 | ranked[key & 0xFFFFFFFF], sums, held)
+
+    return counted
+
+
+def _stepped(merges: list[tuple[int, int, int]], guess: list[tuple[int, int, int]]):
+    """For distinct (word, n): by how much each step of the guess changes the counts of the pairs around it."""
+
+    def around(at, k):
+        near = np.unique(np.concatenate((k - 1, k, k + 1)))
+        near = near[(near >= 0) & (near < len(at) - 1)]
+        return near[(at[near] >= 0) & (at[near + 1] >= 0)]
+
+    def stepped(batches):
+        for at, n in _split_words(batches, merges):
+            for step, (left, right, new) in enumerate(guess):
+                if not len(k := _joined(at, left, right)):
+                    continue
+                key, d, _ = _pair_sums(at, n, around(at, k))
+                yield _sums_batch(step, key, -d, np.zeros(len(d), np.int64))
+                at = _after(at, k, new)
+                moved = k - np.arange(len(k))
+                near = np.unique(np.concatenate((moved - 1, moved)))
+                near = near[(near >= 0) & (near < len(at) - 1)]
+                key, d, _ = _pair_sums(at, n, near[(at[near] >= 0) & (at[near + 1] >= 0)])
+                yield _sums_batch(step, key, d, np.zeros(len(d), np.int64))
+
+    return stepped
+
+
+def _holding(merges: list[tuple[int, int, int]], wanted: list[tuple[int, int]]):
+    """The distinct (word, n) that hold one of the pairs."""
+
+    def holding(batches):
+        keys = np.array([left << 32 | right for left, right in wanted], np.int64)
+        for batch in batches:
+            for at, _ in _split_words([batch], merges):
+                k = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
+                hit = k[np.isin((at[k].astype(np.int64) << 32) | at[k + 1], keys)]
+                yield batch.take(pa.array(np.unique(np.cumsum(at == -1)[hit])))
+
+    return holding
+
+
+def _guess(some: dict[str, int], merges: Merges, exact: dict[tuple[str, str], int], n_merges: int) -> Merges:
+    """Merges that may be the next, by the exact counts and what the sample's words say about their changes, scaled up."""
+    ranks = {m: i for i, m in enumerate(merges)}
+    split, weight = [bpe_word(w, ranks) for w in some], list(some.values())
+    own: dict[tuple[str, str], float] = defaultdict(float)
+    held: dict[tuple[str, str], set[int]] = defaultdict(set)
+    for i, symbols in enumerate(split):
+        for p in pairwise(symbols):
+            own[p] += weight[i]
+            held[p].add(i)
+    likely, found = dict(exact), []
+    while len(found) < n_merges and likely:
+        best = max(likely, key=lambda p: (likely[p], p))
+        scale = likely.pop(best) / own[best] if own[best] else 1.0
+        found.append(best)
+        for i in held.pop(best, ()):
+            split[i], gone, came = _merged(split[i], best)
+            for p in gone:
+                own[p] -= weight[i]
+                if p in likely:
+                    likely[p] -= weight[i] * scale
+            for p in came:
+                own[p] += weight[i]
+                held[p].add(i)
+                likely[p] = likely.get(p, 0) + weight[i] * scale
+    return found
+
+
+def _confirmed(guess: Merges, exact: dict[tuple[str, str], int], known: set[str], beyond: int, changes: list[dict[tuple[str, str], int]]) -> Merges:
+    """The guess as far as it is right, and the merge that is right in its place where it isn't.
+
+    exact: counts of all pairs that count for more than `beyond`, and of others. A pair that isn't among them and whose symbols were there before only
+    loses occurrences, so as long as the best counts for more, it is the best of all. A merge whose symbol was there before ends the round.
+    """
+    pairs, seen, found = _Pairs(exact), set(known), []
+    for step in range(len(guess) + 1):
+        best = pairs.best()
+        if best is None or pairs.count[best] <= beyond:
+            break
+        found.append(best)
+        if step == len(guess) or best != guess[step] or best[0] + best[1] in seen:
+            break
+        new = best[0] + best[1]
+        seen.add(new)
+        pairs.change({p: d for p, d in changes[step].items() if p in pairs.count or new in p or not (p[0] in known and p[1] in known)})
+    return found
+
+
+def train_passes(counts: DataFrame, n_merges: int, budget: int = ROUND_WORDS) -> Merges:
+    """The merges by passes over the distinct words, which are split anew each time; of them `budget` at most are gathered.
+
+    A round counts all pairs. If `budget` words hold many of the first ones, these are gathered and merged on the driver, as in train_rounds. Else the next merges are guessed from the frequent words. A second pass tells exactly by how much each step of the guess changes counts, so the
+    driver can check the guess step by step against the counts of the RANKED most frequent pairs; it keeps what is right and the first correction.
+    """
+    some = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(min(budget, SAMPLE)).collect()}
+    merges: Merges = []
+    while len(merges) < n_merges:
+        symbols = _Symbols(merges)
+        names = sorted(symbols.names)  # by code points, as ties are decided
+        place = {x: i for i, x in enumerate(names)}
+        found = counts.mapInArrow(_counted(symbols.merges, [place[x] for x in symbols.names]), _SUMS).groupBy("pair").agg(F.sum("d").alias("d"), F.sum("held").alias("held"))
+        ranked = found.orderBy(F.desc("d"), F.desc("pair")).limit(RANKED).collect()
+        top = [(r["d"], names[r["pair"] >> 32], names[r["pair"] & 0xFFFFFFFF], r["held"]) for r in ranked]
+        if not top:
+            break
+        left, beyond = n_merges - len(merges), top[-1][0] if len(top) == RANKED else 0
+        if (k := _batch(top, budget, len(top) < RANKED)) >= min(left, GUESSED // 2):
+            held = counts.mapInArrow(_holding(symbols.merges, [(symbols.number[x], symbols.number[y]) for _, x, y, _ in top[:k]]), counts.schema)
+            beyond = top[k][0] if k < len(top) else 0
+            merges += _learned({r["word"]: r["n"] for r in held.collect()}, merges, {(x, y): n for n, x, y, _ in top[:k]}, beyond, left)
+            continue
+        exact = {(x, y): n for n, x, y, _ in top}
+        guess = _guess(some, merges, exact, min(left, GUESSED))
+        before = set(symbols.names)
+        named = [(symbols.number[x], symbols.number[y], symbols.add(x + y)) for x, y in guess]
+        changed = counts.mapInArrow(_stepped(symbols.merges, named), _SUMS).groupBy("step", "pair").agg(F.sum("d").alias("d")).where("d <> 0")
+        changes: list[dict[tuple[str, str], int]] = [{} for _ in guess]
+        for r in changed.collect():  # pairs around GUESSED merges
+            changes[r["step"]][symbols.names[r["pair"] >> 32], symbols.names[r["pair"] & 0xFFFFFFFF]] = r["d"]
+        merges += _confirmed(guess, exact, before, beyond, changes)[:left]
+    return merges
+
+
 def train_rounds(counts: DataFrame, n_merges: int, budget: int = ROUND_WORDS) -> Merges:
     """Merges learned in rounds over an index of pairs, for any number of distinct words.
 
     A round takes the most frequent pairs that `budget` words at most hold together, gathers those words on the driver and merges there
     until no pair is more frequent than the first one left out. That is exact: a pair of an old round loses occurrences only, and a new one stands only
     in words that held what it was merged from, so all that can be that frequent is among the gathered words. While the first pair alone is in
-    more words than that, a round learns the pairs that can't change one another's counts, without gathering any.
+    more words than that, a round learns the pairs that can't change one another's counts, without gathering any. Of more than INDEXED words the first PASSED merges are
+    learned by passes, before there is an index.
     """
-    index = PairIndex(counts)
+    counts = materialise(counts.select("word", "n").repartition(2 * counts.sparkSession.sparkContext.defaultParallelism))
+    try:
+        merges = train_passes(counts, min(n_merges, PASSED), budget) if counts.limit(INDEXED + 1).count() > INDEXED else []
+        return _train_indexed(counts, n_merges, budget, merges) if len(merges) < n_merges else merges
+    finally:
+        discard(counts)
+
+
+def _train_indexed(counts: DataFrame, n_merges: int, budget: int, merges: Merges) -> Merges:
+    index = PairIndex(counts, merges)
     try:
         while len(index.merges) < n_merges:
             top = index.top(RANKED)
