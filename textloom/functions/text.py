@@ -6,11 +6,14 @@ in U+001C to U+001F and U+0085.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Character classes, sentence ends and weights of the engine's rules.
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{WS}]", c))
 LATIN = "A-Za-zＡ-Ｚａ-ｚ"
 DIGIT = "0-9０-９"
 HIRAGANA = "ぁ-ゖゝゞー"
@@ -39,7 +42,7 @@ def bound(value: Column, body) -> Column:
 
 def strip(text: Column | str) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(_c(text), f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(_c(text), F.lit(SPACES))
 
 
 def newlines(text: Column | str) -> Column:
@@ -50,7 +53,7 @@ def newlines(text: Column | str) -> Column:
 def latin_ratio(text: Column | str) -> Column:
     """Share of ASCII letters among the characters of the stripped text; null for texts without a character."""
     t = strip(text)
-    return F.when(F.length(t) > 0, F.length(F.regexp_replace(t, "[^A-Za-z]", "")) / F.length(t))
+    return F.when(F.length(t) > 0, F.length(F.regexp_replace(t, "[^A-Za-z]+", "")) / F.length(t))
 
 
 def keep_story(text: Column | str, max_latin_ratio: float = 0.05) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import materialise, unused
+from ..sources.shared import discard, materialise, unused
 
 def _sums_of(values: list[str], part: str, names: list[str]):
     """A function of Arrow batches that adds the partition's number and the sums over the partition's earlier rows."""
@@ -60,8 +60,9 @@ def first_kept(df: DataFrame, order: list[str], kept: str, n: int) -> DataFrame:
     if n <= 0:
         return df.limit(0)
     before, one = unused("before", df), unused("one", df)
-    narrow = df.select(*order, F.coalesce(F.col(kept), F.lit(False)).cast("int").alias(one))
+    narrow = materialise(df.select(*order, F.coalesce(F.col(kept), F.lit(False)).cast("int").alias(one)))  # sampling and sorting would ask for `kept` each
     last = running_before(narrow, [*map(F.col, order)], {before: one}).where(F.col(before) < n).agg(F.max(F.struct(*order)).alias("last")).first()["last"]
+    discard(narrow)
     if last is None:
         return df
     return df.where(F.struct(*order) <= F.struct(*[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order]))
