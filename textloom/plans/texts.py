@@ -288,7 +288,7 @@ def _written(spark, d):
     """The documents as JSON lines in range-sorted files of one folder, blank lines between them, and a plain text file beside it."""
     docs = read(spark, d, "documents")
     path = _folder(spark)
-    rows = docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     rows.select(F.explode(F.array(F.to_json(F.struct(F.col("text").alias("story"))), F.lit("  "))).alias("value")).write.text(f"{path}/lines")
     spark.createDataFrame([("one\r\nplain text",)], "value string").coalesce(1).write.text(f"{path}/plain")
     jvm = spark._jvm.org.apache.hadoop.fs

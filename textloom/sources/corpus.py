@@ -66,7 +66,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a file's splits
     starts = splits.select("path", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     starts = starts.withColumn("file", _plain("path")).join(F.broadcast(_files(spark, paths)), "file")  # as many rows as paths
-    joined = lines.join(starts.select("path", "split", "first", "start", "file_idx"), ["path", "split"])
+    joined = lines.join(F.broadcast(starts.select("path", "split", "first", "start", "file_idx")), ["path", "split"])  # as many rows as splits
     return joined.select("file_idx", (F.col("start") + F.col("row") - F.col("first")).alias("line_no"), "value")
 
 
