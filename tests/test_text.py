@@ -350,3 +350,22 @@ def test_passes_over_the_words_learn_the_same_merges(spark, monkeypatch):
     counts = tokenizer.materialise(spark.createDataFrame(list(odd.items()), "word string, n long").coalesce(1))
     for budget in (1, 40):  # no words gathered, some
         assert tokenizer.train_passes(counts, 12, budget) == tokenizer.train_words(odd, 12)
+
+
+def test_without_merges_ids_are_bytes_and_no_pretokens_are_made(spark):
+    texts = ["a é\U0001f642", "", None, "x" * 3000, "<|endoftext|>"]
+    docs = rows(spark, texts).repartition(1)
+    plan = tokenizer.encode(docs, [], eot=True)
+    assert "regexp_extract_all" not in plan._jdf.queryExecution().toString()
+    for got in (plan, tokenizer.encode(docs, [])):
+        for r in got.collect():
+            t = texts[r["doc_id"]]
+            assert r["ids"] == (None if t is None else [*t.encode(), *([256] if got is plan else [])])
+
+
+def test_strip_takes_all_white_space_of_both_ends(spark):
+    white = [chr(c) for c in range(0x3100) if re.match(f"[{X.WS}]", chr(c))]
+    texts = [f"{a}{b}x{a} y{b}{a}" for a, b in zip(white, white[1:] + white[:1])] + ["", "".join(white), None, "z"]
+    got = [r["t"] for r in rows(spark, texts).select("doc_id", X.strip("text").alias("t"), X.latin_ratio("text")).orderBy("doc_id").collect()]
+    assert got == [t if t is None else re.sub(f"^[{X.WS}]+|[{X.WS}]+$", "", t) for t in texts]
+    assert len(white) == len(X.SPACES) == 29

@@ -593,6 +593,21 @@ def encode(docs: DataFrame, merges: Merges, text: str = "text", eot: bool = Fals
     """
     end = build_vocab(merges)[EOT]
 
+    def rows(doc_ids, ids, ends, null):
+        if eot:
+            ids = np.insert(ids, ends[~null], end)
+            ends = ends + np.cumsum(~null)
+        offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32), mask=np.append(null, False))
+        return pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
+
+    def plain(batches):
+        """Without merges the ids are the text's bytes."""
+        for batch in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
+            texts = batch.column("text").cast(pa.large_binary())
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            raw = np.frombuffer(b"".join(memoryview(x.as_buffer()) for x in texts if x.is_valid), np.uint8)
+            yield rows(batch.column("doc_id"), raw.astype(np.int32), ends, texts.is_null().to_numpy(zero_copy_only=False))
+
     def encoded(batches):
         known = _Ids(merges, remembered)
         for batch in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
@@ -601,14 +616,11 @@ def encode(docs: DataFrame, merges: Merges, text: str = "text", eot: bool = Fals
             ids, n = known.of(words.dictionary.to_pylist(), words.indices.to_numpy())
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(sizes)] if len(sizes) else np.zeros(0, np.int64)
-            null = lists.is_null().to_numpy(zero_copy_only=False)
-            if eot:
-                ids = np.insert(ids, ends[~null], end)
-                ends = ends + np.cumsum(~null)
-            offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32), mask=np.append(null, False))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
+            yield rows(batch.column("doc_id"), ids, ends, lists.is_null().to_numpy(zero_copy_only=False))
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    if not merges:
+        return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(plain, schema)
     return docs.select("doc_id", F.when(F.col(text).isNotNull(), X.pretokens(text)).alias("words")).mapInArrow(encoded, schema)
 
 
