@@ -369,3 +369,15 @@ def test_strip_takes_all_white_space_of_both_ends(spark):
     got = [r["t"] for r in rows(spark, texts).select("doc_id", X.strip("text").alias("t"), X.latin_ratio("text")).orderBy("doc_id").collect()]
     assert got == [t if t is None else re.sub(f"^[{X.WS}]+|[{X.WS}]+$", "", t) for t in texts]
     assert len(white) == len(X.SPACES) == 29
+
+
+def test_ngram_ratios_of_all_kinds_of_signs_equal_a_plain_count(spark):
+    draw = random.Random(6)
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 90))) for signs in ("ab", "abcé ", "あア漢", "a🙂𠀀", "\x00\x01") for _ in range(12)] + ["", "abcde", "abcdef", None, "\x00" * 9]
+    for n in (1, 3, 6, 7):
+        got = [r["r"] for r in rows(spark, texts).select("doc_id", X.repeated_ngram_ratio("text", n).alias("r")).orderBy("doc_id").collect()]
+        for t, r in zip(texts, got, strict=True):
+            grams = Counter(t[i : i + n] for i in range(len(t) - n + 1)) if t is not None else None
+            assert r == (None if grams is None else sum(k for k in grams.values() if k > 1) / max(1, sum(grams.values())))
+    plan = rows(spark, texts).select(X.repeated_ngram_ratio("text"))._jdf.queryExecution().toString()
+    assert "sort_array" not in plan  # no strings of n-grams

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,13 +113,35 @@ def ngrams(text: Column | str, n: int = 6) -> Column:
     return F.regexp_extract_all(_c(text), F.lit("(?s)(?=(.{" + str(n) + "}))"), F.lit(1))
 
 
+def _repeated(text: str, n: int) -> float:
+    """The ratio of one text: its n-grams as numbers, sorted. Numbers of 64 bits hold runs of small code points; else runs are doubled, each time numbered anew."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(points) < n:
+        return 0.0
+    grams, width, bits = points, 1, max(1, int(points.max()).bit_length())
+    while width < n:
+        step = min(width, n - width)
+        if bits * 2 > 64:
+            grams = np.unique(grams, return_inverse=True)[1].astype(np.uint64)
+            bits = max(1, int(grams.max()).bit_length())
+        grams = grams[:-step] << np.uint64(bits) | grams[step:]
+        width, bits = width + step, bits * 2
+    grams = np.sort(grams)
+    same = grams[1:] == grams[:-1]
+    again = np.zeros(len(grams), bool)
+    again[1:] |= same
+    again[:-1] |= same
+    return int(again.sum()) / len(grams)
+
+
 def repeated_ngram_ratio(text: Column | str, n: int = 6) -> Column:
-    """Share of n-grams that stand more than once; 0 if there are none. Sorted inside the row, so nothing is shuffled."""
-    def ratio(s: Column) -> Column:
-        again = F.filter(s, lambda x, i: x.eqNullSafe(F.get(s, i + 1)) | ((i > 0) & x.eqNullSafe(F.get(s, i - 1))))
-        return F.when(F.size(s) == 0, F.lit(0.0)).otherwise(F.size(again) / F.size(s))
+    """Share of n-grams that stand more than once; 0 if there are none. Sorted inside the row as numbers, in Arrow batches."""
+
+    @F.arrow_udf("double")
+    def ratio(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _repeated(t, n) for t in (x.as_py() for x in texts)], pa.float64())
 
-    return bound(F.sort_array(ngrams(text, n)), ratio)
+    return ratio(_c(text))
 
 
 def penalties(prompt: Column | str, text: Column | str, min_chars: int = 80) -> dict[str, Column]:
