@@ -212,3 +212,16 @@ def test_text_files_in_chunks(spark, tmp_path):
     for r in sorted(corpus.read_chunks(spark, [str(tmp_path / f"{i}.txt") for i in range(4)]).collect()):
         got.setdefault(r["file_idx"], []).append(r["chunk"])
     assert {i: "".join(c) for i, c in got.items()} == {0: texts[0], 1: texts[1], 3: "あ\nい\n"}
+
+
+def test_documents_of_a_token_file_are_read_where_they_begin(spark, tmp_path):
+    texts = [[1, 2, 3], [], [4] * 50, [5], [], [6, 7] * 9, [8]]
+    for last in (True, False):
+        ids = [x for t in texts for x in [*t, 9]]
+        ids = ids if last else ids[:-1]
+        path = f"file://{tmp_path}/docs{last}"
+        tokenfile.write(spark.createDataFrame([(0, ids)], "start long, ids array<int>"), path, 10)
+        for span in (1, 4, 7, 1000):
+            got = tokenfile.documents(spark, path, 9, span)
+            assert sorted((r["doc_no"], r["ids"]) for r in got.collect()) == [(i, t) for i, t in enumerate(texts) if t], span
+    assert "Exchange hash" not in got._jdf.queryExecution().toString()

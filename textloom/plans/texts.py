@@ -243,9 +243,7 @@ def flow_tokens(spark, d):
     flows.train_tokenizer(spark, paths, f"{path}/tokenizer", 300, **settings)
     flows.prepare_tokens(spark, f"{path}/tokenizer", paths, f"{path}/tokens", **settings)
     merges, vocab = corpus.load_tokenizer(spark, f"{path}/tokenizer")
-    ids = tokenfile.load(spark, f"{path}/tokens").withColumn("end", (F.col("token_id") == vocab[tokenizer.EOT]).cast("int"))
-    docs = order.running_before(ids, [F.col("pos")], {"doc_no": "end"}).where("end = 0").groupBy("doc_no")
-    whole = docs.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_id"))), lambda x: x["token_id"]).alias("ids"))
+    whole = tokenfile.documents(spark, f"{path}/tokens", vocab[tokenizer.EOT])
     return whole.select("doc_no", tokenizer.decode(F.col("ids"), merges).alias("text"))
 
 

@@ -240,6 +240,70 @@ def windows(spark: SparkSession, path: str, seq_len: int, max_windows: int | Non
     return (scan if max_windows is None else scan.option("max_windows", max_windows)).load()
 
 
+def documents(spark: SparkSession, path: str, end: int, span: int = SPLIT) -> DataFrame:
+    """(doc_no, ids) of a store: the tokens between those that are `end`, without it; doc_no counts the ends before. Empty documents have no row.
+
+    No token is shuffled: spans of positions are dealt out, a first pass counts the ends in each, and each document is read where it begins, to its end.
+    """
+    store = Store.open(path).check()
+
+    def counted(batches):
+        read = store.reader()
+        for batch in batches:
+            spans = batch.column("id").to_pylist()
+            ends = [sum(int((read(a, min(a + ROWS, until)) == end).sum()) for a in range(k * span, until, ROWS)) for k in spans for until in [min((k + 1) * span, store.num_tokens)]]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ends, pa.int64())], names=["id", "ends"])
+
+    def found(first: int, until: int, no: int, read):
+        """The documents that begin in the span, in order: number and tokens."""
+        whole = first == 0 or read(first - 1, first)[0] == end
+        held, a = [], first
+        while a < store.num_tokens and (a < until or whole):
+            ids = read(a, min(a + ROWS, store.num_tokens))
+            at = 0
+            for e in np.flatnonzero(ids == end).tolist():
+                if whole:
+                    held.append(ids[at:e])
+                    if sum(map(len, held)):
+                        yield no, np.concatenate(held)
+                if a + e < until:
+                    no += 1
+                whole, held, at = a + e + 1 < until, [], e + 1
+                if a + e + 1 >= until:
+                    return
+            if whole:
+                held.append(ids[at:])
+            a += len(ids)
+        if whole and sum(map(len, held)):
+            yield no, np.concatenate(held)
+
+    def split(batches):
+        read = store.reader()
+        for batch in batches:
+            for k, no in zip(batch.column("id").to_pylist(), batch.column("before").to_pylist(), strict=True):
+                rows, size = [], 0
+                for row in found(k * span, min((k + 1) * span, store.num_tokens), no, read):
+                    rows.append(row)
+                    size += len(row[1])
+                    if size >= ROWS * 4:
+                        yield _documents_batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _documents_batch(rows)
+
+    n = -(-store.num_tokens // span)
+    spans = spark.range(0, n, 1, max(1, n))
+    counts = [r["ends"] for r in spans.mapInArrow(counted, "id long, ends long").orderBy("id").collect()]  # a number for each span
+    before = spark.createDataFrame([(k, sum_) for k, sum_ in enumerate([0, *np.cumsum(counts).tolist()][:n])], "id long, before long")
+    return spans.join(F.broadcast(before), "id").mapInArrow(split, "doc_no long, ids array<int>")
+
+
+def _documents_batch(rows: list) -> pa.RecordBatch:
+    ends = np.cumsum([0, *(len(ids) for _, ids in rows)]).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([ids for _, ids in rows]).astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array([no for no, _ in rows], pa.int64()), ids], names=["doc_no", "ids"])
+
+
 def drawn(starts: DataFrame, path: str, seq_len: int) -> DataFrame:
     """(batch_id, row, x, y) for drawn (batch_id, row, start): each window is read where it begins, and nothing else is."""
     store = Store.open(path)
