@@ -381,3 +381,11 @@ def test_ngram_ratios_of_all_kinds_of_signs_equal_a_plain_count(spark):
             assert r == (None if grams is None else sum(k for k in grams.values() if k > 1) / max(1, sum(grams.values())))
     plan = rows(spark, texts).select(X.repeated_ngram_ratio("text"))._jdf.queryExecution().toString()
     assert "sort_array" not in plan  # no strings of n-grams
+
+
+def test_decoding_gathers_bytes_and_replaces_what_is_no_utf8(spark):
+    docs = spark.createDataFrame([(0, [255, 65]), (1, None), (2, []), (3, [227, 129, 130, 256]), (4, [227, 129])] + [(k, [97] * k) for k in range(5, 600)], "doc_id long, ids array<int>").coalesce(1)
+    plan = docs.select("doc_id", tokenizer.decode(F.col("ids"), []).alias("t"))
+    got = {r["doc_id"]: r["t"] for r in plan.collect()}
+    assert [got[k] for k in range(5)] == ["�A", None, "", "あ<|endoftext|>", "�"] and all(got[k] == "a" * k for k in range(5, 600))
+    assert "translate" not in plan._jdf.queryExecution().toString()

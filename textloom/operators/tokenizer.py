@@ -625,11 +625,30 @@ def encode(docs: DataFrame, merges: Merges, text: str = "text", eot: bool = Fals
 
 
 def decode(ids: Column, merges: Merges) -> Column:
-    """Text of an array of ids; malformed UTF-8 is replaced, EOT becomes its name, an unknown id raises."""
-    table = F.array(*[F.lit(s) for s in build_vocab(merges)])
-    eot = len(merges) + 256
-    known = lambda i: F.when((i >= 0) & (i <= eot), F.get(table, i)).otherwise(F.raise_error(F.concat(F.lit("unknown id "), i.cast("string"))).cast("string"))
-    return B.to_text(F.array_join(F.transform(ids, known), ""))
+    """Text of an array of ids; malformed UTF-8 is replaced, EOT becomes its name, an unknown id raises. The ids' bytes are gathered by array operations."""
+    byte = {c: i for i, c in enumerate(B.ALPHABET)}
+    known = [bytes(byte[c] for c in symbol) for symbol in build_vocab(merges)]
+    size = np.array([len(x) for x in known], np.int64)
+    start, pool = np.cumsum(size) - size, np.frombuffer(b"".join(known), np.uint8)
+
+    def gathered(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten()
+        at = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(odd := at[(at < 0) | (at >= len(size))]):
+            raise ValueError(f"unknown id {odd[0]}")
+        n = size[at]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        data = pool[np.repeat(start[at] - upto[:-1], n) + np.arange(upto[-1])]
+        rows = np.cumsum(np.concatenate(([0], pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+        out = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(upto[rows].astype(np.int32)), pa.py_buffer(data)])
+        return pc.if_else(lists.is_valid(), out, pa.scalar(None, pa.binary()))
+
+    @F.arrow_udf("binary")
+    def joined(lists: pa.Array) -> pa.Array:
+        parts = [gathered(lists.slice(k, 256)) for k in range(0, len(lists), 256)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+    return F.make_valid_utf8(joined(ids).cast("string"))
 
 
 def _safe() -> str:
