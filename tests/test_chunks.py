@@ -89,3 +89,56 @@ def test_the_texts_of_the_query_are_written_by_all_tasks(spark, sf, monkeypatch)
     got = tokens.text_chunks(spark, sf)
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(given) > tokens.FILES and got.count() == tokens.FILES
+
+
+def test_places_are_looked_for_at_the_ends_only(monkeypatch):
+    place, scanned = re.compile(tokenizer.CUT), []
+
+    class Counted:
+        def search(self, text):
+            return place.search(text)
+
+        def finditer(self, text, start, end):
+            scanned.append(end - start)
+            return place.finditer(text, start, end)
+
+    long = "some words, 'and' more\n" * 50_000
+    assert chunks._last(Counted(), long) == max(m.start() for m in place.finditer(long)) and sum(scanned) < 1000
+    draw = random.Random(4)
+    for window in (1, 2, 3, 32):
+        monkeypatch.setattr(chunks, "WINDOW", window)
+        for _ in range(2000):
+            text = "".join(draw.choice(["a", "b'", "'ll", " ", "  ", "\n", "。", "あ", "ア", "ー", "漢", "1", "'", "🙂"]) for _ in range(draw.randrange(14)))
+            found = [m.start() for m in place.finditer(text)]
+            assert (chunks._first(place, text), chunks._last(place, text)) == ((found[0], found[-1]) if found else (None, None))
+
+
+@pytest.mark.parametrize("rows", [1, 2, 100])
+def test_ids_of_a_document_are_folded_part_by_part(spark, monkeypatch, rows):
+    from textloom.plans import tokens
+
+    draw, given, want = random.Random(6), [], []
+    for doc in [None, *range(40)]:
+        parts = [[draw.randrange(260) for _ in range(draw.choice([0, 1, 7, 996, 997, 998, 5000]))] for _ in range(draw.randrange(1, 6))]
+        given += [(doc, k // 2, k % 2, ids) for k, ids in enumerate(parts)]
+        whole = sum(parts, []) + [259]
+        want.append((doc, len(whole), sum(x * (i % 997 + 1) for i, x in enumerate(whole))))
+    draw.shuffle(given)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        parts = spark.createDataFrame(given, "doc_id long, chunk_no long, part int, ids array<int>").select(F.struct("doc_id", "chunk_no", "part").alias("doc_id"), "ids")
+        weighed = parts.mapInArrow(tokens._weighed, "doc_id struct<doc_id: long, chunk_no: long, part: int>, n long, sums array<long>")
+        got = tokens._folded(weighed.select("doc_id.*", "n", "sums"), 259)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_the_query_of_ids_holds_no_document_whole(spark, sf):
+    from textloom.plans import tokens
+
+    plan = tokens.chunked_ids(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sums" in plan and "flatten" not in plan  # as for a document's array of all its ids
+    assert "'s|'t|" not in plan  # pretokens don't leave the task as rows of words

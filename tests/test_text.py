@@ -389,3 +389,18 @@ def test_decoding_gathers_bytes_and_replaces_what_is_no_utf8(spark):
     got = {r["doc_id"]: r["t"] for r in plan.collect()}
     assert [got[k] for k in range(5)] == ["�A", None, "", "あ<|endoftext|>", "�"] and all(got[k] == "a" * k for k in range(5, 600))
     assert "translate" not in plan._jdf.queryExecution().toString()
+
+
+def test_texts_are_encoded_in_bounded_slices(monkeypatch):
+    import pyarrow as pa
+
+    safe, word = re.compile(tokenizer.CUT), re.compile(X.PRETOKEN)
+    monkeypatch.setattr(tokenizer, "PART", 5)
+    for text in ("", "a" * 40, "Don't cut I'll, it'''s here!!  \n\n\t 　むかし  王様は「すごーい!」 ｶﾅカナ123と１２３", "one two  three"):
+        parts = list(tokenizer._parts(text, safe))
+        assert "".join(parts) == text and [w for p in parts for w in word.findall(p)] == word.findall(text)
+    monkeypatch.setattr(tokenizer, "SLICE", 10)
+    texts = ["x" * n for n in (3, 3, 4, 11, 0, 2)] + [None] * 600
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    slices = [s.column("text").to_pylist() for s in tokenizer._slices(batch)]
+    assert sum(slices, []) == texts and [len(s) for s in slices][:3] == [3, 1, 512] and len(slices) == 4

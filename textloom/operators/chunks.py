@@ -26,8 +26,7 @@ from ..sources.shared import materialise
 from . import tokenizer
 from .order import running_before
 
-CUT = f"{tokenizer.SAFE}|(?<=[^{X.WS}])(?=[{X.WS}])"
-RUN = 1 << 18  # bytes
+RUN, WINDOW = 1 << 18, 32  # bytes; characters
 
 
 def cut(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
@@ -36,6 +35,25 @@ def cut(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
     return docs.select("doc_id", found.alias("found")).select("doc_id", F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(F.array(F.lit("")))).alias("chunk_no", "chunk"))
 
 
+def _first(place: re.Pattern, text: str) -> int | None:
+    """The first place in a text."""
+    m = place.search(text)
+    return m.start() if m else None
+
+
+def _last(place: re.Pattern, text: str) -> int | None:
+    """The last place in a text, looked for from the end in windows that grow: a place depends on the characters beside it."""
+    end, window = len(text), WINDOW
+    while end > 0:
+        start, last = max(0, end - window), None
+        for m in place.finditer(text, start, end):
+            last = m.start()
+        if last is not None:
+            return last
+        end, window = start, 2 * window
+    return None
+
+
 def _runs(batches):
     """(doc_id, first chunk_no, text) of neighbouring chunks of a document that follow each other in the rows, a run ended at RUN bytes."""
     doc = first = due = None
@@ -71,7 +89,7 @@ def pieces(chunks: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("chunk_no", T.LongType()), T.StructField("open", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("head", "inside", "tail")]])
 
     def opened(batches):
-        place, names = re.compile(CUT), schema.names
+        place, names = re.compile(tokenizer.CUT), schema.names
         runs, rows, size = _runs(batches), [], 0
 
         def record():
@@ -79,8 +97,9 @@ def pieces(chunks: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
         for doc, no, text in runs:
-            found = [m.start() for m in place.finditer(text)]
-            rows.append((doc, no, 1, text[: found[0]], text[found[0] : found[-1]], text[found[-1] :]) if found else (doc, no, 0, text, "", ""))
+            first = _first(place, text)
+            last = None if first is None else _last(place, text)
+            rows.append((doc, no, 0, text, "", "") if last is None else (doc, no, 1, text[:first], text[first:last], text[last:]))
             size += len(text)
             if size >= 4 * RUN or len(rows) >= 1024:
                 yield record()
@@ -106,10 +125,11 @@ def pretokens(chunks: DataFrame) -> DataFrame:
     return pieces(chunks).select("doc_id", "chunk_no", "part", X.pretokens("piece").alias("words"))
 
 
-def encode(chunks: DataFrame, merges: tokenizer.Merges) -> DataFrame:
-    """(doc_id, chunk_no, part, ids): the ids of every piece, in that order those of the document."""
+def encode(chunks: DataFrame, merges: tokenizer.Merges, then=None) -> DataFrame:
+    """(doc_id, chunk_no, part, ids): the ids of every piece, in that order those of the document. then: as of tokenizer.encode, doc_id a struct of these three."""
     key = F.struct("doc_id", "chunk_no", "part").alias("doc_id")
-    return tokenizer.encode(pieces(chunks).select(key, F.col("piece").alias("text")), merges).select("doc_id.*", "ids")
+    out = tokenizer.encode(pieces(chunks).select(key, F.col("piece").alias("text")), merges, then=then)
+    return out.select("doc_id.*", *out.columns[1:])
 
 
 def stream_pretokens(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -120,7 +140,7 @@ def stream_pretokens(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     kind = chunks.schema[key].dataType
     out = T.StructType([T.StructField(key, kind), T.StructField("words", T.ArrayType(T.StringType()))])
-    place, token = re.compile(CUT), re.compile(X.PRETOKEN)
+    place, token = re.compile(tokenizer.CUT), re.compile(X.PRETOKEN)
 
     def advanced(group, frames, state):
         import pandas as pd
@@ -135,8 +155,7 @@ def stream_pretokens(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
         while not closed and due in waiting:
             chunk, closed = waiting.pop(due)
             tail, due = tail + chunk, due + 1
-        cuts = [m.start() for m in place.finditer(tail)]
-        at = len(tail) if closed else cuts[-1] if cuts else 0
+        at = len(tail) if closed else _last(place, tail) or 0
         words, tail = [m.group() for m in token.finditer(tail[:at])], tail[at:]
         if closed:
             state.remove()

@@ -2,8 +2,8 @@
 
 Words are counted once with a partial aggregation before anything costly, and every later step of training works on
 distinct words: on the driver, if there are no more than `driver_words` of them (about 2 kB of its memory each), else in
-rounds over pair counts and an inverted index that are kept up to date by differences. Encoding handles each
-distinct word of an Arrow batch once and gathers the ids of whole batches by array operations, for any number of merges.
+rounds over pair counts and an inverted index that are kept up to date by differences. Encoding merges each
+distinct word that a task meets once and gathers ids by array operations, for any number of merges.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from ..sources.shared import discard, materialise, own_dir, unused
 EOT = "<|endoftext|>"
 INDEXED, PASSED = 200_000, 1_000  # distinct words, beyond which so many merges are learned by passes
 GUESSED, SAMPLE, WORD_SLICE = 64, 50_000, 1 << 16
+SLICE, PART, WORDS = 2 << 20, 1 << 20, 1 << 17  # of the texts encoded at once: bytes, characters and words
 DRIVER_WORDS, ROUND_WORDS, TOP, RANKED, REMEMBERED, BUCKETS, COMPACT = 500_000, 200_000, 512, 8_192, 500_000, 16, 16
 Merges = list[tuple[str, str]]
 
@@ -540,10 +541,12 @@ def bpe_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     Places wait in a heap by rank, so a very long word costs no more than n log n.
     """
     symbols: list = [B.ALPHABET[b] for b in word.encode("utf-8")]
+    waiting = [(ranks[p], i, *p) for i, p in enumerate(pairwise(symbols)) if p in ranks]
+    if not waiting:
+        return symbols
+    heapify(waiting)
     after = list(range(1, len(symbols) + 1))
     before = list(range(-1, len(symbols) - 1))
-    waiting = [(ranks[p], i, *p) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in ranks]
-    heapify(waiting)
     while waiting:
         _, i, left, right = heappop(waiting)
         j = after[i]
@@ -559,6 +562,19 @@ def bpe_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return [s for s in symbols if s is not None]
 
 
+class _Numbers(dict):
+    """Numbers of words in the order in which they are first asked for; new: those without ids yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = number = len(self)
+        return number
+
+
 class _Ids:
     """The ids of the words met so far, one after the other in one array."""
 
@@ -567,29 +583,49 @@ class _Ids:
         self._clear()
 
     def _clear(self) -> None:
-        self._number: dict[str, int] = {}
+        self._number = _Numbers()
         self._start, self._size, self._pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def of(self, words: list[str], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words[i] for each i of the index, one after the other, and how many each has."""
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, one after the other, and how many each has."""
         if len(self._number) > self._most:
             self._clear()
-        if new := [w for w in words if w not in self._number]:
+        at = np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))
+        if new := self._number.new:
             ids = [[self._vocab[s] for s in bpe_word(w, self._ranks)] for w in new]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._number.update(zip(new, range(len(self._number), len(self._number) + len(new)), strict=True))
             self._start = np.append(self._start, len(self._pool) + np.cumsum(size) - size)
             self._size = np.append(self._size, size)
             self._pool = np.append(self._pool, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())))
-        at = np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))[index]
+            self._number.new = []
         n = self._size[at]
         return self._pool[np.repeat(self._start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
 
-def encode(docs: DataFrame, merges: Merges, text: str = "text", eot: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+def _slices(batch: pa.RecordBatch, rows: int = 512):
+    """The batch in slices of `rows` rows and, but for single texts beyond it, SLICE bytes of text at most."""
+    upto = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
+    at = 0
+    while at < batch.num_rows:
+        end = min(at + rows, max(at + 1, int(np.searchsorted(upto, upto[at] + SLICE, "right")) - 1))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _parts(text: str, safe: re.Pattern):
+    """The text in parts of PART characters or more, whose pretokens are those of the whole."""
+    at = 0
+    while len(text) - at > PART and (m := safe.search(text, at + PART)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
+def encode(docs: DataFrame, merges: Merges, text: str = "text", eot: bool = False, remembered: int = REMEMBERED, then=None) -> DataFrame:
     """(doc_id, ids) of every document; null texts have null ids. EOT in a text is ordinary text.
 
-    All stays inside a row's task: a word that all documents share costs no shuffle.
+    All stays inside a row's task: a word that all documents share costs no shuffle. then: a function of the Arrow batches of (doc_id, ids) and
+    the schema of the batches that it gives in their place, in the same task.
     """
     end = build_vocab(merges)[EOT]
 
@@ -609,19 +645,23 @@ def encode(docs: DataFrame, merges: Merges, text: str = "text", eot: bool = Fals
             yield rows(batch.column("doc_id"), raw.astype(np.int32), ends, texts.is_null().to_numpy(zero_copy_only=False))
 
     def encoded(batches):
-        known = _Ids(merges, remembered)
-        for batch in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
-            lists = batch.column("words")
-            words = lists.flatten().dictionary_encode()
-            ids, n = known.of(words.dictionary.to_pylist(), words.indices.to_numpy())
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(sizes)] if len(sizes) else np.zeros(0, np.int64)
-            yield rows(batch.column("doc_id"), ids, ends, lists.is_null().to_numpy(zero_copy_only=False))
-
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    if not merges:
-        return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(plain, schema)
-    return docs.select("doc_id", F.when(F.col(text).isNotNull(), X.pretokens(text)).alias("words")).mapInArrow(encoded, schema)
+        known, word, safe = _Ids(merges, remembered), re.compile(X.PRETOKEN), re.compile(CUT)
+        for batch in (part for batch in batches for part in _slices(batch)):
+            words, done, upto, found = [], 0, [], []  # upto: words up to each text's end
+            for text in batch.column("text").to_pylist():
+                for part in _parts(text or "", safe):
+                    words += word.findall(part)
+                    if len(words) >= WORDS:
+                        found.append(known.of(words))
+                        done, words = done + len(words), []
+                upto.append(done + len(words))
+            ids, sizes = zip(*found, known.of(words), strict=True)
+            ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))[np.array(upto, np.int64)]
+            yield rows(batch.column("doc_id"), np.concatenate(ids), ends, batch.column("text").is_null().to_numpy(zero_copy_only=False))
+
+    after, schema = then or (lambda out: out, T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    run = encoded if merges else plain
+    return docs.select("doc_id", (F.make_valid_utf8(F.col(text)) if merges else F.col(text)).alias("text")).mapInArrow(lambda batches: after(run(batches)), schema)
 
 
 def decode(ids: Column, merges: Merges) -> Column:
@@ -662,6 +702,7 @@ def _safe() -> str:
 
 
 SAFE = _safe()
+CUT = f"{SAFE}|(?<=[^{X.WS}])(?=[{X.WS}])"  # or behind any character that white space follows
 
 
 def safe_lengths(text: Column | str) -> Column:
